@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op10
+from . import op04, op10
 
 QUERIES = {
+    "op4_mixture_packing": op04.op4_mixture_packing,
     "op10_minhash_near_dedup": op10.op10_minhash_near_dedup,
 }
 
