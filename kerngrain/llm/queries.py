@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import op04, op10
+from . import op01, op04, op10
 
 QUERIES = {
+    "op1_warc_revisits": op01.op1_warc_revisits,
     "op4_mixture_packing": op04.op4_mixture_packing,
     "op10_minhash_near_dedup": op10.op10_minhash_near_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_warc_revisits": op01.ORACLE_SQL,
     "op10_minhash_near_dedup": op10.ORACLE_SQL,
 }
