@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op01, op02, op04, op05, op10
+from . import op01, op02, op03, op04, op05, op10
 
 QUERIES = {
     "op1_warc_revisits": op01.op1_warc_revisits,
     "op2_toxicity": op02.op2_toxicity,
+    "op3_quality_fertility": op03.op3_quality_fertility,
     "op4_mixture_packing": op04.op4_mixture_packing,
     "op5_language_id": op05.op5_language_id,
     "op10_minhash_near_dedup": op10.op10_minhash_near_dedup,
