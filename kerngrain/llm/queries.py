@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01, op02, op03, op04, op05, op10
+from . import op01, op02, op03, op04, op05, op06, op10
 
 QUERIES = {
     "op1_warc_revisits": op01.op1_warc_revisits,
@@ -10,10 +10,12 @@ QUERIES = {
     "op3_quality_fertility": op03.op3_quality_fertility,
     "op4_mixture_packing": op04.op4_mixture_packing,
     "op5_language_id": op05.op5_language_id,
+    "op6_licence_digests": op06.op6_licence_digests,
     "op10_minhash_near_dedup": op10.op10_minhash_near_dedup,
 }
 
 ORACLE_SQL = {
     "op1_warc_revisits": op01.ORACLE_SQL,
+    "op6_licence_digests": op06.ORACLE_SQL,
     "op10_minhash_near_dedup": op10.ORACLE_SQL,
 }
