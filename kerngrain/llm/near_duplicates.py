@@ -12,7 +12,8 @@ Steps, each over all documents:
    member, whatever the size of the bucket.
 3. Buckets that still hold several components may hide links between members other than the smallest. Their
    nodes go through an exact prefix filter: of a set of n shingles ordered by rarity, two sets that meet the threshold
-   share one of the first n - ceil(threshold * n) + 1. Tokens whose holders are all in one component are done;
+   share one of the first n - ceil(threshold * n) + 1, and at the first they share both must have enough left for sets of
+   their two sizes. Tokens whose holders are all in one component are done;
    elsewhere the nodes outside the token's largest component meet the others. All are confirmed on full sets.
 4. Connected components of the confirmed links.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,8 @@ from ._shared import written
 from .components import connected_components
 from .shingles import Powers, hash_family, minhashes, mix, parts, shingle_sets
 
+#: Of the parities that rule pairs out before their sets are compared.
+BITS = 1024
 SIGNATURE = "doc_id long, text_hash long, n_shingles long, node long, u array<long>, v array<long>"
 
 
@@ -87,9 +91,15 @@ def full_sets(wanted: DataFrame, size: int) -> DataFrame:
                 pdf = whole.iloc[part]
                 sets = shingle_sets(pdf["text"].tolist(), size, powers)
                 good = [i for i, (x, n) in enumerate(zip(sets, pdf["node"], strict=True)) if len(x) and _node(x) == n]
-                yield pd.DataFrame({"node": pdf["node"].to_numpy()[good], "codes": [sets[i].view(np.int64) for i in good]})
+                yield pd.DataFrame({"node": pdf["node"].to_numpy()[good], "codes": [sets[i].view(np.int64) for i in good], "bits": [parities(sets[i]) for i in good]})
 
-    return wanted.select("node", "text").mapInPandas(run, "node long, codes array<long>")
+    return wanted.select("node", "text").mapInPandas(run, "node long, codes array<long>, bits array<long>")
+
+
+def parities(codes: np.ndarray) -> np.ndarray:
+    """BITS bits: whether an odd number of the codes falls on each."""
+    odd = np.bincount((codes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _keys(nodes: DataFrame, m: int, *more: str) -> DataFrame:
@@ -99,8 +109,11 @@ def _keys(nodes: DataFrame, m: int, *more: str) -> DataFrame:
     return nodes.select(F.explode(keys).alias("key"), "node", *more)
 
 
-def _sizes_allow(x: str, y: str, limit: Fraction) -> Column:
-    return F.least(x, y) * limit.denominator >= F.greatest(x, y) * limit.numerator
+def _may_meet(x: str, y: str, limit: Fraction) -> Column:
+    """False only where two sets can't meet the threshold: bits that differ are no more than codes that only one has."""
+    differ = reduce(lambda p, q: p + q, [F.bit_count(F.get(f"bits_{x}", i).bitwiseXOR(F.get(f"bits_{y}", i))) for i in range(BITS // 64)])
+    both = F.col(f"n_{x}") + F.col(f"n_{y}")
+    return (both - differ) * (limit.numerator + limit.denominator) >= both * 2 * limit.numerator
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
@@ -117,20 +130,25 @@ def _hidden_pairs(sets: DataFrame, open_nodes: DataFrame, limit: Fraction) -> Da
 
     Returns (a, b, root_a, root_b).
     """
-    tokens = sets.join(open_nodes, "node").select(F.explode("codes").alias("token"), "node", "root", "n_shingles")
+    tokens = sets.select("node", "codes").join(open_nodes, "node").select(F.explode("codes").alias("token"), "node", "root", "n_shingles")
     held = written(tokens.groupBy("token").agg(F.count("*").alias("holders"), (F.min("root") != F.max("root")).alias("mixed")).where("holders > 1"), "tokens")
     shared = tokens.join(held, "token").groupBy("node", "root", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("holders", "token", "mixed"))).alias("by_rarity"))
     # the tokens that only this node holds come first in its order
     need = F.ceil(F.col("n_shingles") * limit.numerator / limit.denominator - F.lit(1e-9)).cast("long")
     left = (F.col("n_shingles") - need + 1 - (F.col("n_shingles") - F.size("by_rarity"))).cast("int")
-    prefix = shared.where(left > 0).select("node", "root", "n_shingles", F.explode(F.slice("by_rarity", 1, left)).alias("x"))
-    prefix = written(prefix.where("x.mixed").select(F.col("x.token").alias("token"), "node", "root", "n_shingles"), "prefixes")
+    prefix = shared.where(left > 0).select("node", "root", "n_shingles", (F.col("n_shingles") - F.size("by_rarity")).alias("alone"), F.posexplode(F.slice("by_rarity", 1, left)).alias("i", "x"))
+    # what is left of the set from this token on, the most that a set may share whose first common token it is
+    rest = (F.col("n_shingles") - F.col("alone") - F.col("i")).alias("rest")
+    prefix = written(prefix.where("x.mixed").select(F.col("x.token").alias("token"), "node", "root", "n_shingles", rest), "prefixes")
     by_root = prefix.groupBy("token", "root").count()
     top = written(by_root.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("token", "top"), "largest")
-    flagged = written(prefix.join(top, "token").withColumn("other", F.col("root") != F.col("top")).drop("top"), "flagged")
-    x = flagged.where("other").select("token", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n_shingles").alias("n_x"))
-    y = flagged.select("token", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n_shingles").alias("n_y"), "other")
-    pairs = x.join(y, "token").where((F.col("root_x") != F.col("root_y")) & (~F.col("other") | (F.col("x") < F.col("y"))) & _sizes_allow("n_x", "n_y", limit))
+    flagged = prefix.join(top, "token").withColumn("other", F.col("root") != F.col("top")).drop("top")
+    flagged = written(flagged.join(sets.select("node", "bits"), "node"), "flagged")
+    x = flagged.where("other").select("token", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n_shingles").alias("n_x"), F.col("rest").alias("rest_x"), F.col("bits").alias("bits_x"))
+    y = flagged.select("token", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n_shingles").alias("n_y"), F.col("rest").alias("rest_y"), F.col("bits").alias("bits_y"), "other")
+    least = (F.col("n_x") + F.col("n_y")) * limit.numerator  # over numerator + denominator: what two such sets must share
+    enough = F.least("rest_x", "rest_y") * (limit.numerator + limit.denominator) >= least
+    pairs = x.join(y, "token").where((F.col("root_x") != F.col("root_y")) & (~F.col("other") | (F.col("x") < F.col("y"))) & enough & _may_meet("x", "y", limit))
     swap = F.col("x") > F.col("y")
     pick = lambda p, q, name: F.when(swap, F.col(q)).otherwise(F.col(p)).alias(name)
     return written(pairs.select(pick("x", "y", "a"), pick("y", "x", "b"), pick("root_x", "root_y", "root_a"), pick("root_y", "root_x", "root_b")).distinct(), "hidden")
@@ -152,9 +170,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
     met = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")  # every node of a bucket with others
     stands = nodes.join(met, "node").select("node", F.coalesce("doc_id", F.lit(-(2**63))).alias("at"), "text_hash")
     texts = _texts(docs).withColumn("at", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id")
-    sets = written(full_sets(texts.join(stands, ["at", "text_hash"]), size), "sets").dropDuplicates(["node"])
-    n_of = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"))
-    likely = pairs.join(n_of("a"), "a").join(n_of("b"), "b").where(_sizes_allow("n_a", "n_b", limit)).select("a", "b")
+    sets = written(full_sets(texts.join(stands, ["at", "text_hash"]), size), "sets")
+    if sets.count() != met.count():  # rows that repeat an id and its text
+        sets = written(sets.dropDuplicates(["node"]), "sets")
+    brief = written(sets.select("node", F.size("codes").alias("n"), "bits"), "brief")
+    of = lambda x: brief.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    likely = pairs.join(of("a"), "a").join(of("b"), "b").where(_may_meet("a", "b", limit)).select("a", "b")
     links = written(_confirm(likely, sets, limit), "links")
     labels = connected_components(links)
 
