@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01, op02, op03, op04, op05, op06, op08, op09, op10
+from . import op01, op02, op03, op04, op05, op06, op07, op08, op09, op10
 
 QUERIES = {
     "op1_warc_revisits": op01.op1_warc_revisits,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_mixture_packing": op04.op4_mixture_packing,
     "op5_language_id": op05.op5_language_id,
     "op6_licence_digests": op06.op6_licence_digests,
+    "op7_chunked_bpe": op07.op7_chunked_bpe,
     "op8_wrapper_extraction": op08.op8_wrapper_extraction,
     "op9_binary_code_search": op09.op9_binary_code_search,
     "op10_minhash_near_dedup": op10.op10_minhash_near_dedup,
