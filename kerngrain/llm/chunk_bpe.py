@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .tokenizing import public_path, tokenizer
 
 WINDOW, BITS, KEEP = 16, 8, 32_000_000
+STOPS = ".,;:!?"
 _FIRST = re.compile(r"[ \t\n\r]")
 _BASE = 0x9E3779B97F4A7C15
 _DOWN = pow(_BASE, -1, 2**64)
@@ -76,6 +77,8 @@ class Encoder:
         self.strings = None
         if self.tokenizer.decoder is None:  # decoding then puts spaces between the ids' strings
             self.strings = np.array([self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())], dtype=object)
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.plain = all(ids(w + x) == ids(w.lower()) + ids(x) for w in ("Word", "ANOTHER", "x") for x in ("", *STOPS, ".,", "?!", "..."))
         self._forget()
         self.reused = 0
 
@@ -98,6 +101,20 @@ class Encoder:
             join = chunk[last + 1 :]
         return [*out, join]
 
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words. Letters of ASCII with stops after them go by their small letters and stops, if the tokenizer's do."""
+        split = {}
+        for w in words if self.plain else ():
+            core = w.rstrip(STOPS)
+            if core.isascii() and core.isalpha() and (len(core) < len(w) or not w.islower()):
+                split[w] = (core.lower(), w[len(core) :])
+        unknown = sorted(({x for pair in split.values() for x in pair} | words.difference(split)).difference(self.words))
+        for w, x in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            self.words[w] = array("I", x.ids).tobytes()
+        for w, (core, stops) in split.items():
+            self.words[w] = self.words[core] + self.words[stops]
+        self.kept += 40 * (len(unknown) + len(split))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Of each text the ids as little-endian 32-bit integers."""
         if self.kept > KEEP:
@@ -110,10 +127,8 @@ class Encoder:
                     new[x] = x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
                 elif i % 2:
                     self.reused += len(x)
-        unknown = sorted(set().union(*new.values()) - self.words.keys())
-        for w, x in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.words[w] = array("I", x.ids).tobytes()
-        self.kept += sum(map(len, new)) + 40 * len(unknown)
+        self._learn(set().union(*new.values()).difference(self.words))
+        self.kept += sum(map(len, new))
         known = self.words.__getitem__
         for x, words in new.items():
             self.chunks[x] = b"".join(map(known, words))
