@@ -136,19 +136,21 @@ def _hidden_pairs(sets: DataFrame, open_nodes: DataFrame, limit: Fraction) -> Da
     # the tokens that only this node holds come first in its order
     need = F.ceil(F.col("n_shingles") * limit.numerator / limit.denominator - F.lit(1e-9)).cast("long")
     left = (F.col("n_shingles") - need + 1 - (F.col("n_shingles") - F.size("by_rarity"))).cast("int")
-    prefix = shared.where(left > 0).select("node", "root", "n_shingles", (F.col("n_shingles") - F.size("by_rarity")).alias("alone"), F.posexplode(F.slice("by_rarity", 1, left)).alias("i", "x"))
+    prefix = shared.where(left > 0).select("node", "root", "n_shingles", (F.col("n_shingles") - F.size("by_rarity")).alias("alone"), F.col("by_rarity.token").alias("tokens"), F.posexplode(F.slice("by_rarity", 1, left)).alias("i", "x"))
     # what is left of the set from this token on, the most that a set may share whose first common token it is
     rest = (F.col("n_shingles") - F.col("alone") - F.col("i")).alias("rest")
-    prefix = written(prefix.where("x.mixed").select(F.col("x.token").alias("token"), "node", "root", "n_shingles", rest), "prefixes")
+    prefix = prefix.where("x.mixed").select(F.col("x.token").alias("token"), "node", "root", "n_shingles", rest, F.slice("tokens", 1, F.col("i")).alias("earlier"))
+    prefix = written(prefix, "prefixes")
     by_root = prefix.groupBy("token", "root").count()
     top = written(by_root.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("token", "top"), "largest")
     flagged = prefix.join(top, "token").withColumn("other", F.col("root") != F.col("top")).drop("top")
     flagged = written(flagged.join(sets.select("node", "bits"), "node"), "flagged")
-    x = flagged.where("other").select("token", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n_shingles").alias("n_x"), F.col("rest").alias("rest_x"), F.col("bits").alias("bits_x"))
-    y = flagged.select("token", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n_shingles").alias("n_y"), F.col("rest").alias("rest_y"), F.col("bits").alias("bits_y"), "other")
+    x = flagged.where("other").select("token", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n_shingles").alias("n_x"), F.col("rest").alias("rest_x"), F.col("bits").alias("bits_x"), F.col("earlier").alias("earlier_x"))
+    y = flagged.select("token", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n_shingles").alias("n_y"), F.col("rest").alias("rest_y"), F.col("bits").alias("bits_y"), F.col("earlier").alias("earlier_y"), "other")
     least = (F.col("n_x") + F.col("n_y")) * limit.numerator  # over numerator + denominator: what two such sets must share
     enough = F.least("rest_x", "rest_y") * (limit.numerator + limit.denominator) >= least
-    pairs = x.join(y, "token").where((F.col("root_x") != F.col("root_y")) & (~F.col("other") | (F.col("x") < F.col("y"))) & enough & _may_meet("x", "y", limit))
+    first = ~F.arrays_overlap("earlier_x", "earlier_y")  # a pair comes at the first token of its common ones alone
+    pairs = x.join(y, "token").where((F.col("root_x") != F.col("root_y")) & (~F.col("other") | (F.col("x") < F.col("y"))) & enough & _may_meet("x", "y", limit) & first)
     swap = F.col("x") > F.col("y")
     pick = lambda p, q, name: F.when(swap, F.col(q)).otherwise(F.col(p)).alias(name)
     return written(pairs.select(pick("x", "y", "a"), pick("y", "x", "b"), pick("root_x", "root_y", "root_a"), pick("root_y", "root_x", "root_b")).distinct(), "hidden")
