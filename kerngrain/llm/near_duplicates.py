@@ -41,7 +41,7 @@ from .shingles import Powers, hash_family, minhashes, mix, parts, shingle_sets
 
 #: Of the parities that rule pairs out before their sets are compared.
 BITS = 1024
-SIGNATURE = "doc_id long, text_hash long, n_shingles long, node long, u array<long>, v array<long>"
+SIGNATURE = "doc_id string, text_hash long, n_shingles long, node long, u array<long>, v array<long>"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -73,12 +73,12 @@ def signatures(docs: DataFrame, size: int, m: int, t: int) -> DataFrame:
                     sub = sub.view(np.int64)
                     for i, x in zip(some, sub, strict=True):
                         rows[i] = (len(sets[i]), _node(sets[i]), x[:m], x[m:])
-                out = pd.DataFrame(rows, columns=["n_shingles", "node", "u", "v"]).astype({"node": "Int64"})
-                out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-                out.insert(1, "text_hash", pdf["text_hash"].to_numpy())
-                yield out
+                n, node, u, v = zip(*rows, strict=True)
+                # pandas would make doubles of integers with nulls among them: hence Int64 here, and ids as text
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "text_hash": pdf["text_hash"].to_numpy(), "n_shingles": n, "node": pd.array(node, dtype="Int64"), "u": u, "v": v})
 
-    return _texts(docs).mapInPandas(run, SIGNATURE)
+    rows = _texts(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return rows.mapInPandas(run, SIGNATURE).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def full_sets(wanted: DataFrame, size: int) -> DataFrame:

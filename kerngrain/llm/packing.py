@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from ._shared import written
 from .tokenizing import byte_bpe_ids, public_path
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
 def encode(docs: DataFrame, json_path: str, ranks_path: str | None, end_id: int) -> DataFrame:
@@ -52,9 +52,9 @@ def encode(docs: DataFrame, json_path: str, ranks_path: str | None, end_id: int)
                     n.append(len(x))
                     places.append(place.get(queue, 0))
                     place[queue] = places[-1] + len(x)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").to_numpy(), "queue": pdf["queue"].to_numpy(), "chunk": chunk, "place": places, "n": n, "ids": ids})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "queue": pdf["queue"].to_numpy(), "chunk": chunk, "place": places, "n": n, "ids": ids})
 
-    return docs.mapInPandas(run, "doc_id long, queue string, chunk long, place long, n long, ids binary")
+    return docs.mapInPandas(run, "doc_id string, queue string, chunk long, place long, n long, ids binary")
 
 
 class Block:
@@ -147,11 +147,11 @@ def cut(encoded: DataFrame, totals: dict[str, int], window: int, block_tokens: i
                         lengths.append(size)
                         at = stop
                 if doc:
-                    ids_of = pdf["doc_id"].astype("Int64").array.take(np.concatenate(doc))
+                    ids_of = pdf["doc_id"].to_numpy()[np.concatenate(doc)]
                     cols = {"start": begins, "length": sizes, "ids_crc32": [np.array(crcs, dtype=np.int64)], "doc_tokens": n_all, "sequence_id": seqs, "offset": offsets, "sequence_length": lengths}
                     yield pd.DataFrame({"doc_id": ids_of} | {x: np.concatenate(y).astype(np.int64) for x, y in cols.items()})
 
-    return encoded.select("doc_id", "queue", "base", "place", "n", "ids").mapInPandas(run, PIECES)
+    return encoded.select("doc_id", "queue", "base", "place", "n", "ids").mapInPandas(run, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None, end_id: int = 1, window: int = 2048, block_tokens: int = 1 << 22, max_queues: int = 256) -> DataFrame:
@@ -164,7 +164,8 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None =
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     many = docs.select(source.alias("s")).distinct().limit(max_queues + 1).count() > max_queues
     queue = F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string") if many else source
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), F.col("text").cast("string").alias("text"))
+    # ids go through Python as text: pandas would make doubles of integers with nulls among them
+    rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), queue.alias("queue"), F.col("text").cast("string").alias("text"))
     encoded = written(encode(rows, json_path, ranks_path, end_id), "encoded")
     sums = encoded.groupBy("queue", "chunk").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

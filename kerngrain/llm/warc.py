@@ -103,7 +103,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 number = lambda x: int(x) if (x := named.get(x, "").removeprefix("<urn:record:").removesuffix(">")) else None
                 kind = named["WARC-Type"]
                 out.append((number("WARC-Record-ID"), kind, named["WARC-Target-URI"], int(named["X-Payload-Length"]), named["WARC-Payload-Digest"].removeprefix("sha1:"), number("WARC-Refers-To"), body[:size] if kind == "response" else None))
-            df = pd.DataFrame(out, columns=["record_id", "record_type", "target_uri", "payload_bytes", "payload_digest", "refers_to", "payload"])
-            yield df.astype({"record_id": "Int64", "refers_to": "Int64"})
+            columns = dict(zip([x.split()[0] for x in RECORD.split(", ")], zip(*out, strict=True) if out else [()] * 7, strict=True))
+            yield pd.DataFrame(columns | {x: pd.array(columns[x], dtype="Int64") for x in ("record_id", "refers_to")})
 
     return lines.mapInPandas(records, RECORD)
