@@ -160,7 +160,7 @@ def fit(training: DataFrame, dims: int = 4096, k: int = 4, sample: int = 1000) -
             ns.append(n[n > 0])
         x, n = np.concatenate(xs), np.concatenate(ns)
         if not len(x):
-            return pd.DataFrame({"lang": [], "centroid": [], "least": []})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("lang", "centroid", "least")})
         c = clusters(x, k)
         near, kind = (x @ c.T).max(1), np.searchsorted(LENGTHS, n, "right")
         # few texts of a length say nothing about the farthest
