@@ -3,12 +3,12 @@
 A unit vector v is rotated by a random orthogonal matrix R; its code is the signs of Rv, packed in bits, and its
 correction scalar is <x, Rv>, where x is the code as a unit vector of +-1/sqrt(d). For a unit query q the inner product
 is estimated as <x, Rq> / <x, Rv>, and with high probability it is off by at most
-epsilon * sqrt((1 - <x, Rv>^2) / <x, Rv>^2) / sqrt(d - 1). <x, Rq> comes from the packed bits by tables: of each byte of
-a code, for each of 256 values, the sum of its signed query components.
+epsilon * sqrt((1 - <x, Rv>^2) / <x, Rv>^2) / sqrt(d - 1). <x, Rq> comes from the bits of a block's codes, unpacked as
+signs, in one product with all queries of the block.
 
 Search: queries and candidates are dealt to blocks; every pair of a query block and a candidate block is a group. In
-it, a candidate whose upper bound lies below the k-th largest lower bound of its query's candidates there is left out; the others
-are reranked by the exact cosine in double precision. The k best of each group meet in a window per query. A query is
+it, the candidates of the largest estimates are reranked by the exact cosine in double precision, and their k-th cosine is
+the mark: every other candidate whose upper bound reaches it is reranked too. The k best of each group meet in a window per query. A query is
 compared with all candidates but in codes; groups have a bounded size (``query_block``, ``block``), and nothing grows
 in the driver. No candidate is capped: bounds alone decide.
 
@@ -42,17 +42,15 @@ def encode(unit: np.ndarray, rotate: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(1) / np.sqrt(unit.shape[1])
 
 
+def signs_of(codes: np.ndarray, d: int) -> np.ndarray:
+    """The codes of a block as -1 and 1."""
+    return np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1
+
+
 def estimates(codes: np.ndarray, correction: np.ndarray, query: np.ndarray, rotate: np.ndarray) -> np.ndarray:
     """Estimated inner products of unit queries (rows) with the coded vectors."""
     d = len(rotate)
-    turned = np.zeros((len(query), codes.shape[1] * 8))
-    turned[:, :d] = query @ rotate.T
-    signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(float) * 2 - 1
-    tables = turned.reshape(len(query), -1, 8) @ signs.T  # query, byte, value
-    out = np.zeros((len(query), len(codes)))
-    for i in range(codes.shape[1]):
-        out += tables[:, i][:, codes[:, i]]
-    return out / np.sqrt(d) / correction
+    return (query @ rotate.T).astype(np.float32) @ signs_of(codes, d).T / (np.sqrt(d) * correction).astype(np.float32)
 
 
 def margin(correction: np.ndarray, d: int, epsilon: float) -> np.ndarray:
@@ -60,14 +58,16 @@ def margin(correction: np.ndarray, d: int, epsilon: float) -> np.ndarray:
     return epsilon * np.sqrt((1 - c * c) / (c * c)) / np.sqrt(max(1, d - 1))
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision, summed in the order of the components."""
-    dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    out = np.zeros(len(a))
     for j in range(a.shape[1]):
-        dot += a[:, j] * b[:, j]
-        aa += a[:, j] * a[:, j]
-        bb += b[:, j] * b[:, j]
-    return dot / (np.sqrt(aa) * np.sqrt(bb))
+        out += a[:, j] * b[:, j]
+    return out
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return dots(a, b) / (np.sqrt(dots(a, a)) * np.sqrt(dots(b, b)))
 
 
 def usable(vector: Column) -> Column:
@@ -90,30 +90,36 @@ def nearest(vectors: DataFrame, query: Column, k: int = 5, epsilon: float = 4.0,
     queries = rows.where("q").withColumn("query_block", deal(n_query_blocks)).select("vec_id", "v", "d", "query_block", every(n_blocks).alias("block"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found = [pd.DataFrame({"query_id": np.zeros(0, dtype=np.int64), "vec_id": np.zeros(0, dtype=np.int64), "score": np.zeros(0)})]
         if len(left) and len(right):
             ids, qids = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
             d = int(left["d"].iloc[0])
             c, q = np.stack(right["v"].to_numpy()), np.stack(left["v"].to_numpy())
-            biggest = lambda x: x / np.abs(x).max(1, keepdims=True)  # noqa: E731  keeps squares finite
-            unit = lambda x: (y := biggest(x)) / np.sqrt((y * y).sum(1, keepdims=True))
+            unit = lambda x: (y := x / np.abs(x).max(1, keepdims=True)) / np.sqrt((y * y).sum(1, keepdims=True))  # noqa: E731  keeps squares finite
             rotate = rotation(d)
             codes, correction = encode(unit(c), rotate)
-            off = margin(correction, d, epsilon)
-            for at in range(0, len(q), 64):
-                qi = qids[at : at + 64]
-                guess = estimates(codes, correction, unit(q[at : at + 64]), rotate)
-                own = qi[:, None] == ids[None, :]
-                low = np.where(own, -np.inf, guess - off)
-                least = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(qi), -np.inf)
-                a, b = np.nonzero((guess + off >= least[:, None]) & ~own)
-                for x in range(0, len(a), 200_000):
-                    y = slice(x, x + 200_000)
-                    found.append(pd.DataFrame({"query_id": qi[a[y]], "vec_id": ids[b[y]], "score": cosines(q[at + a[y]], c[b[y]])}))
-                if found:
-                    part = pd.concat(found[-(1 + len(a) // 200_001) :]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-                    found[-(1 + len(a) // 200_001) :] = [part.groupby("query_id").head(k)]
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            guess = estimates(codes, correction, unit(q), rotate)
+            upper = margin(correction, d, epsilon).astype(np.float32) + np.float32(1e-5)
+            length, q_length = np.sqrt(dots(c, c)), np.sqrt(dots(q, q))
+
+            def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                parts = [dots(q[a[i : i + 100_000]], c[b[i : i + 100_000]]) for i in range(0, len(a), 100_000)]
+                return np.concatenate([np.zeros(0), *parts]) / (q_length[a] * length[b])
+
+            for at in range(0, len(q), 128):
+                rows = np.arange(at, min(at + 128, len(q)))
+                g = guess[rows]
+                g[qids[rows][:, None] == ids[None, :]] = -np.inf
+                # the best by estimate set the mark that others' upper bounds must reach
+                probes = min(8 * k, len(ids))
+                best = np.argpartition(-g, probes - 1, axis=1)[:, :probes]
+                a, b = np.repeat(rows, probes), best.ravel()
+                score = np.where(np.isfinite(np.take_along_axis(g, best, axis=1)), exact(a, b).reshape(best.shape), -np.inf)
+                least = np.partition(score, -k, axis=1)[:, -k] if probes > k else np.full(len(rows), -np.inf)
+                x, b = np.nonzero((g + upper >= least[:, None].astype(np.float32) - np.float32(1e-6)) & np.isfinite(g))
+                near = pd.DataFrame({"query_id": qids[rows[x]], "vec_id": ids[b], "score": exact(rows[x], b)})
+                found.append(near.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k))
+        return pd.concat(found)
 
     keys = ["d", "query_block", "block"]
     found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(search, FOUND)
