@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as E
-from ..operators import binding, knowledge, loss, records, rules, select
+from ..operators import binding, knowledge, lineage, loss, records, rules, select
+from ..sources import capture
 from ..sources.adapter import CGROUPS_SQL, EVENTS_SQL, MORE_SQL, PODS_SQL, cgroup_paths, kernel_events, more_events, pods
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,18 +482,40 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.concat_ws("/", "comm", "event_type").alias("question_id"), text.alias("question"))
 
 
-@query()
+def _kb_sql() -> str:
+    """The knowledge base as rows for DuckDB."""
+    texts = lambda xs: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
+    probes = [p for layer in knowledge.LAYERS for p in json.loads((Path(knowledge.__file__).parent.parent / "knowledge" / f"{layer}.json").read_text())["probes"]]
+    rows = ", ".join(f"({i}, '{p['function']}', '{p['event_type']}', {texts(p['answers'])}, {texts(p['keywords'])})" for i, p in enumerate(probes))
+    return f"kb AS (SELECT * FROM (VALUES {rows}) AS t(position, function, event_type, answers, keywords))"
+
+
+_ASKED = f"""WITH {EVENTS_SQL}, {MORE_SQL}, {_kb_sql()}, u AS (SELECT * FROM ke UNION ALL SELECT * FROM me),
+q AS (SELECT DISTINCT concat_ws('/', comm, event_type) AS question_id, concat('why does ', comm, ' see so many ', regexp_replace(regexp_replace(event_type, '^kernel\\.', ''), '[._]', ' ', 'g'), ' events') AS question FROM u),
+s AS (SELECT question_id, function, event_type, position, CAST(10 * len(list_filter(answers, lambda a: contains(lower(question), lower(a)) OR contains(lower(a), lower(question)))) + 5 * len(list_filter(keywords, lambda k: contains(lower(question), lower(k)))) + CASE WHEN contains(lower(question), function) THEN 20 ELSE 0 END AS INT) AS score FROM q, kb),
+f AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, position) AS INT) AS rank FROM s WHERE score > 0) """
+
+
+@query(_ASKED + "SELECT question_id, rank, function, event_type, score FROM f WHERE rank <= 5")
 def q01_j06_find(spark, sf_dir):
     return knowledge.find(_questions(spark, sf_dir), knowledge.load(spark)).select("question_id", "rank", "function", "event_type", "score")
 
 
-@query()
+_FIRST = "CASE " + " ".join(f"WHEN event_type = '{r.event_type}' AND ({r.predicate}) THEN '{r.id}'" for r in rules.RULES if r.shape == "filter") + " END"
+_VALUE = lambda name: "CASE " + " ".join(f"WHEN event_type = '{r.event_type}' AND ({r.predicate}) THEN '{getattr(r, name)}'" for r in rules.RULES if r.shape == "filter") + " END"
+
+
+@query(_ASKED + f""", e AS (SELECT event_type, observed_at_ns, event_id, {_FIRST} AS rule_id, {_VALUE('severity')} AS severity, {_VALUE('conclusion')} AS conclusion FROM u),
+t AS (SELECT *, CASE severity WHEN 'critical' THEN 3 WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END AS worst FROM e WHERE rule_id IS NOT NULL),
+b AS (SELECT question_id, t.* FROM f JOIN t ON f.event_type = t.event_type WHERE f.rank <= 3 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY worst DESC, observed_at_ns DESC, event_id DESC, rule_id DESC) = 1),
+c AS (SELECT question_id, count(*) AS n_probes FROM f WHERE rank <= 3 GROUP BY 1)
+SELECT q.question_id, CASE WHEN n_probes IS NULL THEN 'no probe answers this' WHEN b.rule_id IS NULL THEN 'no event tells' ELSE b.conclusion END AS answer, b.severity, b.event_id, coalesce(n_probes, 0) AS n_probes
+FROM q LEFT JOIN b USING (question_id) LEFT JOIN c USING (question_id)""")
 def q05_ask(spark, sf_dir):
     ev = more_events(spark, sf_dir).union(kernel_events(spark, sf_dir))
     return knowledge.ask(_questions(spark, sf_dir), knowledge.load(spark), ev)
 
 
-_FIRST = "CASE " + " ".join(f"WHEN event_type = '{r.event_type}' AND ({r.predicate}) THEN '{r.id}'" for r in rules.RULES if r.shape == "filter") + " END"
 
 
 @query(f"WITH {EVENTS_SQL}, {MORE_SQL}, u AS (SELECT * FROM ke UNION ALL SELECT * FROM me) SELECT event_type, {_FIRST} AS rule_id, count(*) AS n FROM u GROUP BY 1, 2")
@@ -507,3 +532,126 @@ def e01_e02_errno(spark, sf_dir):
 @query(f"WITH {CGROUPS_SQL} SELECT cgroup_id, CASE WHEN path LIKE '%cri-containerd-%' THEN 'containerd' WHEN path LIKE '%crio-%' THEN 'cri-o' WHEN path LIKE '/docker/%' THEN 'docker' END AS runtime, nullif(regexp_extract(path, '([0-9a-f]{{64}})(\\.scope)?$', 1), '') AS container_id FROM cgroups")
 def e08_s06_container_of_path(spark, sf_dir):
     return cgroup_paths(spark, sf_dir).withColumn("x", E.container_of_path(F.col("path"))).select("cgroup_id", F.col("x.runtime").alias("runtime"), F.col("x.id").alias("container_id"))
+
+
+# --- sources -------------------------------------------------------------------------------------------------------
+@query(KE + "SELECT event_id, observed_at_ns, pid, src_port, dst_port, ret, src_ip, dst_ip, cgroup_id, comm, CAST(NULL AS VARCHAR) AS decode_error FROM ke WHERE event_type = 'kernel.tcp.connect' AND event_id % 17 <> 0 UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'too short' FROM ke WHERE event_type = 'kernel.tcp.connect' AND event_id % 17 = 0")
+def s01_s02_decode(spark, sf_dir):
+    raw = capture.encode_connects(kernel_events(spark, sf_dir))
+    cut = raw.withColumn("raw", F.when(F.col("event_id") % 17 == 0, F.expr("substring(raw, 1, 40)")).otherwise(F.col("raw")))
+    return capture.decode(cut).select("event_id", "observed_at_ns", "pid", "src_port", "dst_port", "ret", "src_ip", "dst_ip", "cgroup_id", "comm", "decode_error")
+
+
+@query(KE + """, n AS (SELECT concat(event_id, ':', CASE WHEN event_id % 3 = 0 THEN 'x' END) AS d FROM ke)
+SELECT node_id, pid, cgroup_id, split_part(comm, 'p', 2) AS tail, octet_length(encode(comm)) AS size, lower(hex(comm)) AS hex_comm, CASE WHEN dst_ip IS NOT NULL THEN concat(dst_ip, ':', dst_port) END AS endpoint, count(*) AS n FROM ke GROUP BY ALL""".replace(""", n AS (SELECT concat(event_id, ':', CASE WHEN event_id % 3 = 0 THEN 'x' END) AS d FROM ke)
+""", " "))
+def e05_e06_e16_text(spark, sf_dir):
+    ev = kernel_events(spark, sf_dir)
+    raw = F.concat(F.col("comm"), F.lit("\0junk"))
+    rows = ev.select("node_id", "pid", "cgroup_id", F.split_part(E.c_string(raw), F.lit("p"), F.lit(2)).alias("tail"), F.octet_length(E.c_string(raw)).cast("long").alias("size"), E.hex_text(F.encode("comm", "utf-8")).alias("hex_comm"), E.endpoint(F.col("dst_ip"), F.col("dst_port")).alias("endpoint"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+
+
+_STATE_CASE = "CASE s " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in E.TCP_STATES.items()) + " ELSE 'UNKNOWN' END"
+
+
+@query(f"SELECT s AS code, {_STATE_CASE} AS name, CASE WHEN s BETWEEN 1 AND 11 THEN CAST(s AS INT) ELSE 0 END AS back, count(*) AS n FROM (SELECT CAST(event_id % 13 AS INT) AS s FROM events) GROUP BY s")
+def e03_tcp_states(spark, sf_dir):
+    rows = kernel_events(spark, sf_dir).select((F.col("event_id") % 13).cast("int").alias("code"))
+    return rows.groupBy("code").agg(F.count("*").alias("n")).withColumn("name", E.tcp_state_name(F.col("code"))).withColumn("back", E.tcp_state_code(F.col("name")))
+
+
+@query(KE + f"SELECT node_id, {TCP_ID} AS conn_id, count(*) AS n FROM ke WHERE event_type LIKE 'kernel.tcp.%' GROUP BY 1, 2")
+def e07_connection_id(spark, sf_dir):
+    return kernel_events(spark, sf_dir).where("event_type like 'kernel.tcp.%'").groupBy("node_id", E.connection_id().alias("conn_id")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PODS_SQL} SELECT pod_uid, container_id, CASE WHEN length(pod_uid) % 2 = 0 THEN 'docker' ELSE 'containerd' END AS runtime, namespace FROM pods")
+def e09_s05_pod_containers(spark, sf_dir):
+    rows = pods(spark, sf_dir).withColumn("uri", F.concat(F.when(F.length("pod_uid") % 2 == 0, "docker").otherwise("containerd"), F.lit("://"), F.upper("container_id")))
+    flat = binding.flatten_pods(rows.select("pod_uid", "namespace", F.array("uri").alias("containers")))
+    kinds = rows.select("pod_uid", E.container_of_uri(F.col("uri"))["runtime"].alias("runtime"))
+    return flat.join(kinds, "pod_uid").select("pod_uid", "container_id", "runtime", "namespace")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE lower(u) END AS boot, CASE WHEN o_orderkey % 2 = 0 THEN concat('owner-', o_custkey) END AS owner FROM (SELECT *, concat(substr(m, 1, 8), '-', substr(m, 9, 4), '-', substr(m, 13, 4), '-', substr(m, 17, 4), '-', substr(m, 21, 12)) AS u FROM (SELECT *, upper(md5(CAST(o_orderkey AS VARCHAR))) AS m FROM orders))")
+def e10_e11_boot_and_owner(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("m", F.upper(F.md5(F.col("o_orderkey").cast("string"))))
+    parts = F.concat_ws("-", *[F.substring("m", a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    boot = E.boot_id(F.when(F.col("o_orderkey") % 3 == 0, F.col("m")).otherwise(parts))
+    owner = lambda flag, name: F.struct(flag.alias("controller"), F.lit("ReplicaSet").alias("kind"), name.alias("name"), F.lit("u").alias("uid"))
+    owners = F.array(owner(F.lit(False), F.lit("other")), owner(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("owner-"), "o_custkey")))
+    return rows.select(F.col("o_orderkey").alias("id"), boot.alias("boot"), E.controlling_owner(owners)["name"].alias("owner"))
+
+
+@query(KE + f"SELECT event_id, {_ID} AS id, {_SOURCE.replace('concat(' + repr('kerngrain/') + ', ', '(')} AS function, strftime(make_timestamp(1704067200000000 + observed_at_ns // 1000), '%Y-%m-%dT%H:%M:%S.%fZ') AS at FROM ke")
+def e15_e17_e18_identity(spark, sf_dir):
+    rec = records.normalize(kernel_events(spark, sf_dir))
+    at = F.timestamp_micros(F.lit(1704067200000000) + F.expr("observed_at_ns div 1000"))
+    return rec.select("event_id", "id", E.function_of_source(F.col("source")).alias("function"), E.rfc3339(at).alias("at"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT event_type AS type, coalesce(ret, 0) AS ret, CAST(CASE tcp_state WHEN 'ESTABLISHED' THEN 1 WHEN 'SYN_SENT' THEN 2 WHEN 'CLOSE_WAIT' THEN 8 ELSE 0 END AS INT) AS tcp_state, count(*) AS n FROM ke GROUP BY 1, 2, 3")
+def e13_e14_explain_fields(spark, sf_dir):
+    rows = records.tcp_codes(records.normalize(kernel_events(spark, sf_dir)))
+    return rows.groupBy("type", F.coalesce("ret", F.lit(0)).alias("ret"), "tcp_state").agg(F.count("*").alias("n"))
+
+
+# --- time, lineage, coverage ---------------------------------------------------------------------------------------
+@query(KE + """, x AS (SELECT node_id, event_id, pid, observed_at_ns, comm, 1000 + (event_id * 7) % 500 AS ppid FROM ke WHERE event_type = 'kernel.process.exec')
+SELECT a.node_id, a.event_id, b.event_id AS parent_event, b.comm AS parent_comm FROM x a ASOF LEFT JOIN x b ON a.node_id = b.node_id AND a.ppid = b.pid AND a.observed_at_ns >= b.observed_at_ns""")
+def j10_parents(spark, sf_dir):
+    ex = kernel_events(spark, sf_dir).where("event_type = 'kernel.process.exec'").withColumn("ppid", F.expr("1000 + (event_id * 7) % 500"))
+    return lineage.parents(ex).select("node_id", "event_id", "parent_event", "parent_comm")
+
+
+@query(KE + """, m AS (SELECT node_id, pid, observed_at_ns AS valid_from, cgroup_id % 3 AS place, lead(observed_at_ns) OVER (PARTITION BY node_id, pid ORDER BY observed_at_ns, event_id) AS valid_to FROM ke WHERE event_type = 'kernel.process.exec')
+SELECT k.event_id, min(m.place) AS place FROM ke k JOIN m ON k.node_id = m.node_id AND k.pid = m.pid AND k.observed_at_ns >= m.valid_from AND (m.valid_to IS NULL OR k.observed_at_ns < m.valid_to) WHERE k.event_type = 'kernel.file.open' GROUP BY 1""")
+def j08_placement(spark, sf_dir):
+    ev = kernel_events(spark, sf_dir)
+    moves = ev.where("event_type = 'kernel.process.exec'").selectExpr("node_id", "pid", "observed_at_ns as since", "cgroup_id % 3 as place")
+    found = lineage.as_of(ev.where("event_type = 'kernel.file.open'").select("node_id", "pid", "event_id", "observed_at_ns"), moves, ["node_id", "pid"], "observed_at_ns", "since", ["place"])
+    return found.where("place is not null").select("event_id", "place")
+
+
+@query(KE + """, s AS (SELECT node_id, observed_at_ns // 60000000000 * 60000000000 AS boot_ns FROM ke GROUP BY 1, 2)
+SELECT event_id, 1704067200000000 + s.boot_ns // 1000 + 5 + (observed_at_ns - s.boot_ns) // 1000 AS event_time_us FROM ke ASOF JOIN s ON ke.node_id = s.node_id AND ke.observed_at_ns >= s.boot_ns""")
+def p15_wall_clock(spark, sf_dir):
+    ev = kernel_events(spark, sf_dir)
+    samples = ev.groupBy("node_id", F.expr("observed_at_ns div 60000000000 * 60000000000").alias("boot_ns")).agg(F.lit(1).alias("one")).selectExpr("node_id", "boot_ns", "1704067200000000 + boot_ns div 1000 + 5 as wall_us")
+    return lineage.wall_clock(ev.select("node_id", "event_id", "observed_at_ns"), samples).select("event_id", "event_time_us")
+
+
+@query(KE + "SELECT entity, min(observed_at_ns) AS first_ns, max(observed_at_ns) AS last_ns, count(*) AS n FROM (SELECT unnest([concat('process/', node_id, '/', pid), concat('cgroup/', cgroup_id), concat('node/', node_id)]) AS entity, observed_at_ns FROM ke) GROUP BY 1")
+def x01_entities(spark, sf_dir):
+    return lineage.entities(kernel_events(spark, sf_dir))
+
+
+@query(STRONG + """SELECT DISTINCT kind, a, b FROM (SELECT 'process_in_cgroup' AS kind, concat(node_id, '/', pid) AS a, CAST(cgroup_id AS VARCHAR) AS b FROM bound
+  UNION ALL SELECT 'container_in_pod', container_id, pod_uid FROM bound WHERE unbound_reason IS NULL UNION ALL SELECT 'pod_on_node', pod_uid, node_id FROM bound WHERE unbound_reason IS NULL)""")
+def x02_edges(spark, sf_dir):
+    return lineage.edges(_bound(spark, sf_dir))
+
+
+@query(KE + """, s AS (SELECT node_id, event_type AS probe_id, observed_at_ns // 60000000000 * 60000000000 AS polled_ns, count(*) * 7 % 50 AS dropped FROM ke GROUP BY 1, 2, 3),
+f AS (SELECT *, CASE WHEN coalesce(polled_ns - lag(polled_ns) OVER w > 60000000000 OR dropped < lag(dropped) OVER w, true) THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY node_id, probe_id ORDER BY polled_ns)),
+g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY node_id, probe_id ORDER BY polled_ns) AS BIGINT) AS span FROM f)
+SELECT node_id, probe_id, span, min(polled_ns) AS from_ns, max(polled_ns) AS to_ns, count(*) AS n FROM g GROUP BY 1, 2, 3""")
+def x03_receipts(spark, sf_dir):
+    return lineage.receipts(_samples(spark, sf_dir), 60_000_000_000)
+
+
+# --- knowledge over the tables -------------------------------------------------------------------------------------
+@query()
+def j07_a13_s07_knowledge_against_events(spark, sf_dir):
+    """Probes of the base with what the tables have of their types, and whether they name only known others."""
+    kb = knowledge.load(spark)
+    seen = more_events(spark, sf_dir).union(kernel_events(spark, sf_dir)).groupBy("event_type").agg(F.count("*").alias("n"))
+    bad = knowledge.dangling(kb).groupBy("function").agg(F.count("*").alias("n_dangling"))
+    return kb.join(seen, "event_type", "left").join(bad, "function", "left").select("layer", "function", "event_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_dangling", F.lit(0)).alias("n_dangling"))
+
+
+@query(KE + "SELECT event_id, observed_at_ns FROM ke WHERE event_type = 'kernel.tcp.retransmit' AND observed_at_ns BETWEEN 60000000000 AND 120000000000")
+def q08_watch(spark, sf_dir):
+    ev = select.event_filter(kernel_events(spark, sf_dir), event_type="kernel.tcp.retransmit")
+    return ev.where("observed_at_ns between 60000000000 and 120000000000").select("event_id", "observed_at_ns")

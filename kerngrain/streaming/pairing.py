@@ -1,0 +1,46 @@
+"""Pairing of enter and exit events as a stream (J3): one value of state for each process, with a time to live."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+#: How long an enter waits for its exit, in event time.
+LIVE_MS = 3_600_000
+PAIRED = "event_id long, node_id string, pid long, path string"
+
+
+def pair_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """An enter overwrites the path that is kept, an exit takes and clears it; an exit without one gives nothing."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    path = state.get[0] if state.exists else None
+    last = 0
+    for pdf in batches:
+        out = []
+        last = max(last, int(pdf["observed_at_ns"].max()) // 1_000_000) if len(pdf) else last
+        for x in pdf.sort_values(["observed_at_ns", "event_id"]).itertuples():
+            if x.kind == "enter":
+                path = x.path
+            else:
+                if path is not None:
+                    out.append((x.event_id, key[0], key[1], path))
+                path = None
+        yield pd.DataFrame(out, columns=["event_id", "node_id", "pid", "path"])
+    if path is None:
+        state.remove()
+    else:
+        state.update((path,))
+        state.setTimeoutTimestamp(max(last + LIVE_MS, state.getCurrentWatermarkMs() + 1))
+
+
+def paired_stream(rows: DataFrame) -> DataFrame:
+    """rows: event_id, node_id, pid, kind (enter or exit), path, observed_at_ns, and event_time for the watermark.
+
+    The time to live is event time: processing time would keep a stream that is read to its end from ending.
+    """
+    return rows.withWatermark("event_time", "5 minutes").groupBy("node_id", "pid").applyInPandasWithState(pair_events, PAIRED, "path string", "append", GroupStateTimeout.EventTimeTimeout)

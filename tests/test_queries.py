@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import kerngrain.plans.stream_queries  # noqa: F401
 from kerngrain.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
