@@ -10,7 +10,7 @@ Steps, each over all documents:
 1. Sets and sub-keys per document; documents with equal sets are one class, which goes on as one node.
 2. Tables: every member of a bucket is paired with the bucket's smallest node and confirmed. That is one pair per
    member, whatever the size of the bucket.
-3. Buckets that still hold several components may hide links between members other than the smallest. Their
+3. Buckets whose members other than the smallest are still of several components may hide links between these. Their
    nodes go through an exact prefix filter: of a set of n shingles ordered by rarity, two sets that meet the threshold
    share one of the first n - ceil(threshold * n) + 1, and at the first they share both must have enough left for sets of
    their two sizes. Tokens whose holders are all in one component are done;
@@ -134,17 +134,19 @@ def _hidden_pairs(sets: DataFrame, open_nodes: DataFrame, limit: Fraction) -> Da
     held = written(tokens.groupBy("token").agg(F.count("*").alias("holders"), (F.min("root") != F.max("root")).alias("mixed")).where("holders > 1"), "tokens")
     shared = tokens.join(held, "token").groupBy("node", "root", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("holders", "token", "mixed"))).alias("by_rarity"))
     # the tokens that only this node holds come first in its order
+    alone = F.col("n_shingles") - F.size("by_rarity")
     need = F.ceil(F.col("n_shingles") * limit.numerator / limit.denominator - F.lit(1e-9)).cast("long")
-    left = (F.col("n_shingles") - need + 1 - (F.col("n_shingles") - F.size("by_rarity"))).cast("int")
-    prefix = shared.where(left > 0).select("node", "root", "n_shingles", (F.col("n_shingles") - F.size("by_rarity")).alias("alone"), F.col("by_rarity.token").alias("tokens"), F.posexplode(F.slice("by_rarity", 1, left)).alias("i", "x"))
+    left = (F.col("n_shingles") - need + 1 - alone).cast("int")
+    ahead = shared.where(left > 0).select("node", "root", "n_shingles", alone.alias("alone"), F.slice("by_rarity", 1, left).alias("ahead"))
+    ahead = written(ahead.where(F.exists("ahead", lambda z: z["mixed"])), "ahead")
     # what is left of the set from this token on, the most that a set may share whose first common token it is
     rest = (F.col("n_shingles") - F.col("alone") - F.col("i")).alias("rest")
-    prefix = prefix.where("x.mixed").select(F.col("x.token").alias("token"), "node", "root", "n_shingles", rest, F.slice("tokens", 1, F.col("i")).alias("earlier"))
-    prefix = written(prefix, "prefixes")
+    prefix = ahead.select("node", "root", "n_shingles", "alone", F.posexplode("ahead").alias("i", "z")).where("z.mixed").select(F.col("z.token").alias("token"), "node", "root", "n_shingles", rest, "i")
     by_root = prefix.groupBy("token", "root").count()
     top = written(by_root.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1").select("token", "top"), "largest")
     flagged = prefix.join(top, "token").withColumn("other", F.col("root") != F.col("top")).drop("top")
-    flagged = written(flagged.join(sets.select("node", "bits"), "node"), "flagged")
+    more = ahead.select("node", F.col("ahead.token").alias("tokens")).join(sets.select("node", "bits"), "node")
+    flagged = written(flagged.join(more, "node").withColumn("earlier", F.slice("tokens", 1, F.col("i"))).drop("tokens", "i"), "flagged")
     x = flagged.where("other").select("token", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n_shingles").alias("n_x"), F.col("rest").alias("rest_x"), F.col("bits").alias("bits_x"), F.col("earlier").alias("earlier_x"))
     y = flagged.select("token", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n_shingles").alias("n_y"), F.col("rest").alias("rest_y"), F.col("bits").alias("bits_y"), F.col("earlier").alias("earlier_y"), "other")
     least = (F.col("n_x") + F.col("n_y")) * limit.numerator  # over numerator + denominator: what two such sets must share
@@ -183,8 +185,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
 
     rooted = nodes.join(met, "node").join(labels, "node", "left").select("node", "n_shingles", "u", "v", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
-    mixed = written(_keys(rooted, m, "root").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"), "mixed")
-    open_nodes = written(_keys(rooted, m, "root", "n_shingles").join(mixed, "key").select("node", "root", "n_shingles").distinct(), "open")
+    # in a bucket all pairs with its smallest node are done; what may hide is between the others, if they are of several components
+    others = _keys(rooted, m, "root", "n_shingles").join(buckets.where("members > 2").select("key", "low"), "key").where("node <> low")
+    mixed = written(others.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key"), "mixed")
+    open_nodes = written(others.join(mixed, "key").select("node", "root", "n_shingles").distinct(), "open")
     hidden = _confirm(_hidden_pairs(sets, open_nodes, limit), sets, limit)
     joined = connected_components(hidden.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
 
