@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,19 +47,29 @@ class Terms:
         self.at = {x: i for i, x in enumerate(terms)}
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str | None) -> Counter:
-        out: Counter = Counter()
-        if not text or not self.at:
-            return out
+    def _of(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
+        """The words that hold terms, with these."""
         if len(self.known) > 400_000:
             self.known.clear()
         known, at = self.known, self.at
-        for w, n in Counter(WORD.findall(text.lower())).items():
+        for w in words:
             x = known.get(w)
             if x is None:
                 x = known[w] = tuple(at[t] for t in word_terms(w) if t in at)
-            for t in x:
-                out[t] += n
+            if x:
+                yield w, x
+
+    def present(self, text: str | None) -> set[int]:
+        return {t for _, x in self._of(set(WORD.findall(text.lower()))) for t in x} if text else set()
+
+    def counts(self, text: str | None) -> Counter:
+        out: Counter = Counter()
+        if text and self.at:
+            words = Counter(WORD.findall(text.lower()))
+            for w, x in self._of(words):
+                n = words[w]
+                for t in x:
+                    out[t] += n
         return out
 
 
@@ -249,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, terms: int = 1
         for pdf in batches:
             n += len(pdf)
             for x in pdf["text"]:
-                df[list(of.counts(x))] += 1
+                df[list(of.present(x))] += 1
         yield pd.DataFrame({"term": np.arange(-1, len(df)), "n": np.concatenate([[n], df])})
 
     counts = {r["term"]: r["n"] for r in text.select("text").mapInPandas(document_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
