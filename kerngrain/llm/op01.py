@@ -14,7 +14,7 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = pages.select(F.col("page_id").cast("long").alias("record_id"), F.col("url").cast("string").alias("target_uri"), F.col("html").cast("string").cast("binary").alias("payload"))
     path = f"{shared_dir(spark)}/warc"
     write_warc(resolve_revisits(records), path)
-    return read_warc(spark, path).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+    return read_warc(spark, path, payloads=False).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
 
 
 #: DuckDB's SHA-1 is hexadecimal; five digits give four base32 letters.

@@ -80,8 +80,10 @@ def write_warc(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z"
     records.select(F.concat(head.cast("binary"), body).cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the gzip archives at the path, as RECORD; payload is null for revisits."""
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """All records of the gzip archives at the path, as RECORD; payload is null for revisits. Without payloads, headers alone."""
+    schema = RECORD if payloads else RECORD.removesuffix(", payload binary")
+    names = [x.split()[0] for x in schema.split(", ")]
     between = (CRLF * 2 + VERSION + CRLF).encode()
     lines = spark.read.option("lineSep", between.decode()).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
 
@@ -102,8 +104,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 pending = b""
                 number = lambda x: int(x) if (x := named.get(x, "").removeprefix("<urn:record:").removesuffix(">")) else None
                 kind = named["WARC-Type"]
-                out.append((number("WARC-Record-ID"), kind, named["WARC-Target-URI"], int(named["X-Payload-Length"]), named["WARC-Payload-Digest"].removeprefix("sha1:"), number("WARC-Refers-To"), body[:size] if kind == "response" else None))
-            columns = dict(zip([x.split()[0] for x in RECORD.split(", ")], zip(*out, strict=True) if out else [()] * 7, strict=True))
+                out.append((number("WARC-Record-ID"), kind, named["WARC-Target-URI"], int(named["X-Payload-Length"]), named["WARC-Payload-Digest"].removeprefix("sha1:"), number("WARC-Refers-To"), *([body[:size] if kind == "response" else None] if payloads else [])))
+            columns = dict(zip(names, zip(*out, strict=True) if out else [()] * len(names), strict=True))
             yield pd.DataFrame(columns | {x: pd.array(columns[x], dtype="Int64") for x in ("record_id", "refers_to")})
 
-    return lines.mapInPandas(records, RECORD)
+    return lines.mapInPandas(records, schema)
