@@ -167,9 +167,10 @@ def fit(training: DataFrame, dims: int = 4096, k: int = 4, sample: int = 1000) -
         least = [0.5 * float(near[kind == i].min()) if (kind == i).sum() >= 20 else -1.0 for i in range(len(LENGTHS) + 1)]
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(c), "least": [least] * len(c)})
 
+    # a row per language: the sample is taken where the rows are, before they are dealt by language
     sizes = rows.groupBy("lang").count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")))
     h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    chosen = rows.withColumn("h", h).join(sizes.select("lang", "rate"), "lang").where(F.col("h") < F.col("rate") * (1 << 30))
+    chosen = rows.withColumn("h", h).join(F.broadcast(sizes.select("lang", "rate")), "lang").where(F.col("h") < F.col("rate") * (1 << 30))
     found = sorted(chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, least array<double>").collect(), key=lambda r: (r["lang"], r["centroid"]))
     c = np.array([r["centroid"] for r in found], dtype=np.float32).reshape(len(found), dims)
     return Model([r["lang"] for r in found], c, np.array([r["least"] for r in found], dtype=float).reshape(len(found), len(LENGTHS) + 1), idf)
