@@ -123,6 +123,37 @@ def test_page_text(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def texts_of(spark, rows):
+    return {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_share_a_vote_and_varying_children_stay(spark):
+    one = "<body><article><h1>One title</h1><p>Its only text, a long line.</p></article></body>"
+    rows = [(i, "http://copies.example/", one.replace("<body>", f"<body><script>visit({i})</script>")) for i in range(12)]
+    rows += [(12, "http://copies.example/b", "<body><article><h1>Other</h1><p>Something else.</p></article></body>")]
+    page = "<body><div><p>By <a>Author{n}</a></p><p>Text of page {n} is here, all its words.</p><section>Update:<p>News {n}.</p></section><p><span>Read our</span> <b>terms</b></p><p>An <b>inline</b> word, {n}</p></div></body>"
+    rows += [(100 + i, "http://parts.example/", page.replace("{n}", f"n{i}")) for i in range(14)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == "One title\nIts only text, a long line." for i in range(12)) and got[12] == "Other\nSomething else."
+    for i in range(14):
+        assert got[100 + i] == f"Authorn{i}\nText of page n{i} is here, all its words.\nNews n{i}.\nAn inline word, n{i}"
+
+
+def test_wrappers_of_few_pages_and_of_two_layouts(spark):
+    page = "<body><p>All prices without tax.</p><div class=text><h2>Title {n}</h2><p>Words of {n} and more.</p><article>Short {n}</article></div></body>"
+    rows = [(i, "http://few.example/", page.replace("{n}", f"n{i}")) for i in range(2)]
+    other = "<body><table class=other><tr><td class=cell>Sold by us alone.<td class=cell>Item {n}, so good a thing.</table></body>"
+    rows += [(10 + i, "http://mixed.example/", page.replace("{n}", f"n{i}")) for i in range(9)]
+    rows += [(30 + i, "http://mixed.example/", other.replace("{n}", f"n{i}")) for i in range(9)]
+    rows += [(50, "http://single.example/", page.replace("{n}", "alone"))]
+    got = texts_of(spark, rows)
+    for i, n in [(0, 0), (1, 1), *((10 + i, i) for i in range(9))]:
+        assert got[i] == f"Title n{n}\nWords of n{n} and more.\nShort n{n}"  # the induced slot stands, though it isn't an article
+    for i in range(9):
+        assert got[30 + i] == f"Item n{i}, so good a thing."
+    assert got[50] == "Short alone"  # tags decide
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("rank", F.lit(1)).withColumn("text_hash", F.lit(2))
     docs = docs.union(spark.createDataFrame([(900, None, "en", "s", 0, 1, 2), (901, "!!", None, None, None, 1, 2), (902, "", "en", None, None, 1, 2)], docs.schema))
