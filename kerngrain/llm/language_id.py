@@ -3,10 +3,12 @@
 Texts become counts of their letters' 1- to 3-grams (lower case, other characters are word ends), hashed to a fixed
 number of dimensions, 1 + log of counts times idf, divided by the length. Every language has up to ``k`` centroids from
 spherical k-means; the nearest centroid by cosine names the language. A text is rejected if it has no letter, or
-if its cosine is far below what the language's training texts of its length have.
+if its cosine is below half of what all but five per cent of the language's training texts of its length have. A length of
+few texts takes in its neighbours, a language of few texts all languages'; fewer than that reject nothing.
 
 Fit: document frequencies over all training rows; centroids on a sample of at most about ``sample`` rows per
-language (chosen by a hash of the id), each language in a group of its own. The model is languages * k * dims floats.
+language (chosen by a hash of the id), each language in a group of its own; limits of rejection from exact counts of
+finely binned cosines over all training rows. The model is languages * k * dims floats.
 
 Edge cases: null text, empty text and text without letters: ``und``, score 0, rejected. Training rows with
 null lang or text are left out. Very long texts are used whole. No training rows: every text is ``und``. Repeated rows count
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LENGTHS = (32, 128, 512)  # letters; rejection is learned for each class of lengths
+BINS = 100  # of cosines from 0 to 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,6 +94,27 @@ def clusters(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def limits(seen: np.ndarray, low: float = 0.05, part: float = 0.5, part_widened: float = 0.3, enough: int = 20) -> np.ndarray:
+    """seen: counts of training texts, languages by length classes by bins of cosine. Cosines below which a text is rejected.
+
+    Short texts have smaller cosines, so that a class which takes in its neighbours has the smaller part.
+    """
+    classes = seen.shape[1]
+
+    def limit(own: np.ndarray, kind: int) -> float | None:
+        for wide in range(classes):
+            counts = own[max(0, kind - wide) : kind + wide + 1].sum(0)
+            if counts.sum() >= enough:
+                # more than the share: of 20 texts an odd one doesn't count
+                at = int(np.searchsorted(np.cumsum(counts), low * counts.sum(), "right"))
+                return (part_widened if wide else part) * at / BINS
+        return None
+
+    every = [limit(seen.sum(0), k) for k in range(classes)]
+    out = [[limit(own, k) for k in range(classes)] for own in seen]
+    return np.array([[next((v for v in (x, e) if v is not None), -1.0) for x, e in zip(own, every, strict=True)] for own in out]).reshape(len(seen), classes)
+
+
 @dataclass
 class Model:
     langs: list[str]  # of each centroid
@@ -153,27 +177,46 @@ def fit(training: DataFrame, dims: int = 4096, k: int = 4, sample: int = 1000) -
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id"]).head(2 * sample)
-        letters, texts, xs, ns = Letters(), pdf["text"].tolist(), [], []
+        letters, texts, xs = Letters(), pdf["text"].tolist(), []
         for part in _parts(texts):
             counts, n = ngram_counts([texts[i] for i in part], dims, letters)
             xs.append(vectors(counts[n > 0], idf))
-            ns.append(n[n > 0])
-        x, n = np.concatenate(xs), np.concatenate(ns)
+        x = np.concatenate(xs)
         if not len(x):
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("lang", "centroid", "least")})
-        c = clusters(x, k)
-        near, kind = (x @ c.T).max(1), np.searchsorted(LENGTHS, n, "right")
-        # few texts of a length say nothing about the farthest
-        least = [0.5 * float(near[kind == i].min()) if (kind == i).sum() >= 20 else -1.0 for i in range(len(LENGTHS) + 1)]
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(c), "least": [least] * len(c)})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in ("lang", "centroid")})
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(clusters(x, k))})
 
     # a row per language: the sample is taken where the rows are, before they are dealt by language
     sizes = rows.groupBy("lang").count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")))
     h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
     chosen = rows.withColumn("h", h).join(F.broadcast(sizes.select("lang", "rate")), "lang").where(F.col("h") < F.col("rate") * (1 << 30))
-    found = sorted(chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>, least array<double>").collect(), key=lambda r: (r["lang"], r["centroid"]))
+    found = sorted(chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>").collect(), key=lambda r: (r["lang"], r["centroid"]))
     c = np.array([r["centroid"] for r in found], dtype=np.float32).reshape(len(found), dims)
-    return Model([r["lang"] for r in found], c, np.array([r["least"] for r in found], dtype=float).reshape(len(found), len(LENGTHS) + 1), idf)
+    langs = [r["lang"] for r in found]
+    names = sorted(set(langs))
+    place = {x: i for i, x in enumerate(names)}
+    model_at = training.sparkSession.sparkContext.broadcast((c, np.array([place[x] for x in langs], dtype=np.int64), idf, place))
+
+    def closeness(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, group, idf, place = model_at.value
+        letters, seen = Letters(), np.zeros((len(place), len(LENGTHS) + 1, BINS + 1), dtype=np.int64)
+        for pdf in batches:
+            pdf = pdf[pdf["lang"].isin(place)]
+            texts, own = pdf["text"].tolist(), pdf["lang"].map(place).to_numpy(dtype=np.int64)
+            for part in _parts(texts):
+                counts, n = ngram_counts([texts[i] for i in part], len(idf), letters)
+                mine, x = own[part][n > 0], vectors(counts[n > 0], idf) @ c.T
+                x = np.where(group == mine[:, None], x, 0.0).max(1, initial=0.0)
+                np.add.at(seen, (mine, np.searchsorted(LENGTHS, n[n > 0], "right"), np.clip(x * BINS, 0, BINS).astype(np.int64)), 1)
+        at = np.nonzero(seen)
+        yield pd.DataFrame({"g": at[0], "kind": at[1], "bin": at[2], "n": seen[at]})
+
+    seen = np.zeros((len(names), len(LENGTHS) + 1, BINS + 1), dtype=np.int64)
+    # languages * lengths * bins rows
+    for r in rows.select("text", "lang").mapInPandas(closeness, "g int, kind int, bin int, n long").groupBy("g", "kind", "bin").agg(F.sum("n").alias("n")).collect():
+        seen[r["g"], r["kind"], r["bin"]] = r["n"]
+    least = limits(seen)
+    return Model(langs, c, least[[place[x] for x in langs]].reshape(len(langs), len(LENGTHS) + 1), idf)
 
 
 def language(model_at, text: Column) -> Column:

@@ -76,6 +76,21 @@ def test_language_of_odd_rows(spark):
     assert identify(docs.limit(0), training).count() == 0
 
 
+def test_noise_and_unlearned_languages_are_rejected(spark):
+    rng = np.random.default_rng(7)
+    noise = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n))
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto "
+    russian = "все люди рождаются свободными и равными в своем достоинстве и правах "
+    texts = [noise(n) for n in (3, 12, 60, 300)] + [finnish, finnish * 8, russian, russian * 20, russian[:20]]
+    training = op05.training(spark.read.parquet(f"{DATA}/documents.parquet")).select("doc_id", "text", "lang")
+    # a mislabelled text doesn't void the limit of its language
+    training = training.union(spark.createDataFrame([(10_000, russian * 20, "en")], training.schema))
+    got = {r.text: r for r in identify(spark.createDataFrame([(x,) for x in texts[:6]], "text string"), training).collect()}
+    assert all(got[x].rejected for x in texts[:6])
+    clean = op05.training(spark.read.parquet(f"{DATA}/documents.parquet"))
+    assert all(r.rejected for r in identify(spark.createDataFrame([(x,) for x in texts], "text string"), clean).collect())
+
+
 def test_ngrams_against_counting():
     text = "Ab c"
     counts, n = ngram_counts([text, "", "é1é"], 256, Letters())
