@@ -5,8 +5,9 @@ token, the share of tokens that are bytes which the vocabulary has no piece for,
 bits, relative to the most that its number of tokens allows, log2(min(tokens, vocabulary)). Each group of texts, by language or
 else by the script of most letters, has a band for each measure: the quartiles of the group's texts that pass the base,
 widened by ``width`` times the distance between them (three: far outliers only) and by a least margin. Texts outside a band
-are not kept. Quartiles come from exact counts of finely binned values over all texts; groups of fewer than ``least_group``
-texts use the bands of all texts.
+are not kept. Quartiles come from exact counts of finely binned values over all texts. A language of fewer than ``least_group``
+texts has, for each of its scripts, the band of that script's texts in all languages; where the script has fewer too, that
+of its own few texts with spread and margins times ``widen``. Texts of other scripts never judge it.
 
 Words are runs of bytes other than ASCII white space. Edge cases: null text has no words and fails the base, as does
 empty text; a text without tokens has null measures. Null language: the script's group. Very long texts are used whole. Repeated
@@ -112,26 +113,34 @@ def measured(path: str, text: Column) -> Column:
     return measure(text.cast("string"))
 
 
-def bands(passed: DataFrame, width: float, least_group: int) -> DataFrame:
-    """passed: band_group and the measures. A row (band_group, low_*, high_*) for each group and one, null, for all."""
-    long = passed.select("band_group", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / step).alias("bin")) for m, step in MEASURES.items()])).alias("x")).select("band_group", "x.*").where("bin is not null")
-    each = long.groupBy("band_group", "measure", "bin").agg(F.count("*").alias("n"))
-    every = each.groupBy("measure", "bin").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("band_group"), "measure", "bin", "n")
-    counts = each.union(every)  # bins, not texts
-    by = Window.partitionBy("band_group", "measure")
-    ranked = counts.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("total", F.sum("n").over(by))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin")))
-    quart = ranked.groupBy("band_group", "measure").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("total").alias("total"))
-    quart = quart.where((F.col("total") >= least_group) | F.col("band_group").isNull())
-    of = lambda m, x: F.max(F.when(F.col("measure") == m, F.col(x)))
-    out = []
-    for m, step in MEASURES.items():
-        spread = F.greatest((of(m, "q3") - of(m, "q1")) * step * width, F.lit(MARGINS[m]))
-        out += [(of(m, "q1") * step - spread).alias(f"low_{m}"), ((of(m, "q3") + 1) * step + spread).alias(f"high_{m}")]
-    return quart.groupBy("band_group").agg(*out)
-
-
-def quality(docs: DataFrame, vocabulary: str | None = None, carry: list[str] | None = None, width: float = 3.0, least_group: int = 100, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
+def bands(passed: DataFrame, width: float, least_group: int, widen: float) -> DataFrame:
+    """passed: band_group, script and the measures. A row (band_group, script, low_*, high_*) for each pair of these."""
+    long = passed.select("band_group", "script", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / step).alias("bin")) for m, step in MEASURES.items()])).alias("x")).select("band_group", "script", "x.*").where("bin is not null")
+    each = written(long.groupBy("band_group", "script", "measure", "bin").agg(F.count("*").alias("n")), "bins")  # bins, not texts
+
+    def edges(by: list[str], width: float, margin: float, name: str) -> DataFrame:
+        within = Window.partitionBy(*by, "measure")
+        counts = each.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
+        ranked = counts.withColumn("upto", F.sum("n").over(within.orderBy("bin"))).withColumn("total", F.sum("n").over(within))
+        at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bin")))
+        quart = ranked.groupBy(*by, "measure").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("total").alias("total"))
+        of = lambda m, x: F.max(F.when(F.col("measure") == m, F.col(x)))
+        out = [F.max("total").alias("texts")]
+        for m, step in MEASURES.items():
+            spread = F.greatest((of(m, "q3") - of(m, "q1")) * step * width, F.lit(MARGINS[m] * margin))
+            out += [(of(m, "q1") * step - spread).alias(f"low_{m}"), ((of(m, "q3") + 1) * step + spread).alias(f"high_{m}")]
+        band = quart.groupBy(*by).agg(*out)
+        return band.select(*by, F.struct(*[c for c in band.columns if c not in by]).alias(name))
+
+    pairs = each.select("band_group", "script").distinct()
+    joined = pairs.join(edges(["band_group"], width, 1.0, "of_group"), "band_group").join(edges(["script"], width, 1.0, "of_script"), "script")
+    joined = joined.join(edges(["band_group", "script"], width * widen, widen, "of_few"), ["band_group", "script"])
+    enough = lambda x: F.col(f"{x}.texts") >= least_group
+    band = F.when(enough("of_group"), F.col("of_group")).when(enough("of_script"), F.col("of_script")).otherwise(F.col("of_few"))
+    return joined.select("band_group", "script", band.alias("band")).select("band_group", "script", "band.*").drop("texts")
+
+
+def quality(docs: DataFrame, vocabulary: str | None = None, carry: list[str] | None = None, width: float = 3.0, least_group: int = 100, widen: float = 2.0, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """docs with text and, if there is one, lang, to the same rows with BASE, base_failed, band_group and kept.
 
     carry: the columns of docs to return, all if not given; they are written once between the two passes.
@@ -146,12 +155,10 @@ def quality(docs: DataFrame, vocabulary: str | None = None, carry: list[str] | N
     kept = [c for c in (docs.columns if carry is None else carry) if c not in (*names, "base_failed", "band_group", "kept")]
     out = docs.withColumns({x: found[x] for x in names}).withColumns({"base_failed": failed, "band_group": group})
     out = written(out.select(*kept, *names, "base_failed", "band_group"), "measured")
-    limits = written(bands(out.where("not base_failed"), width, least_group), "bands")  # a row for each language or script
-    edges = [c for c in limits.columns if c != "band_group"]
-    every = limits.where("band_group is null").select(*[F.col(c).alias(f"all_{c}") for c in edges]).first()
+    limits = written(bands(out.where("not base_failed"), width, least_group, widen), "bands")  # a row for each language and script
+    edges = [c for c in limits.columns if c not in ("band_group", "script")]
     within = F.lit(True)
-    joined = out.join(limits.where("band_group is not null"), "band_group", "left")
-    for m in MEASURES if every else ():
-        low, high = (F.coalesce(F.col(f"{x}_{m}"), F.lit(every[f"all_{x}_{m}"])) for x in ("low", "high"))
-        within = within & F.coalesce(F.col(m).between(low, high), F.lit(False))
+    joined = out.join(limits, ["band_group", "script"], "left")
+    for m in MEASURES:
+        within = within & F.coalesce(F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & within).drop(*edges)

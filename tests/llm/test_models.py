@@ -118,6 +118,16 @@ def test_quality_of_odd_rows(spark):
     assert quality(docs.limit(0)).count() == 0
 
 
+def test_small_groups_of_another_script_are_kept(spark):
+    rng = np.random.default_rng(9)
+    words = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(3, 9))) for _ in range(80))
+    latin, thai, greek = "abcdefghilmnoprstu", "กขคงจชซดตถทนบปพมยรลวสหอ", "αβγδεζηθικλμνοπρστυφω"
+    rows = [(i, words(latin), "en") for i in range(300)] + [(1000 + i, words(thai), "th") for i in range(90)] + [(2000 + i, words(latin), "la") for i in range(5)]
+    rows += [(3000 + i, words(greek), "el") for i in range(120)] + [(4000 + i, words(greek), "grc") for i in range(5)]
+    got = {r.doc_id: r.kept for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got.values()) and len(got) == len(rows)
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((3000, 60))
