@@ -6,7 +6,9 @@ alike become one. Its SHA-256 is looked up among the digests of known texts, mad
 The units looked up are each whole text and each of its lines, so that a notice on a line of its own counts too.
 
 Every known text holds one of MARKERS as a part of one word, which no step can make out of anything else; a unit without
-one is skipped before the regular expressions. The known texts are a fixed table, which is what is broadcast.
+one is skipped before the regular expressions. The known texts are a fixed table, which is what is broadcast: KNOWN, the
+notices that say "or any later version", and the entire licences in ``licence_texts``. A table of other texts may be
+given instead; it is joined as Spark sees fit, and no unit is skipped then. The SQL knows KNOWN alone.
 
 Edge cases: null or empty texts and units without a letter or digit match nothing. Rows that repeat a doc_id get what all of
 them hold, once each; null doc_ids count as one id. Very long texts are used whole. No rows: no rows. Further columns
@@ -15,6 +17,8 @@ are not looked at.
 
 from __future__ import annotations
 
+import importlib.resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +76,33 @@ KNOWN = (
     ("MIT", "Licensed under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
+#: Licences by name and version, and their identifiers; a text alone doesn't say whether later versions may be taken.
+FULL = {
+    "Apache-2.0": "Apache-2.0",
+    "Artistic": "Artistic-1.0-Perl",
+    "CC0-1.0": "CC0-1.0",
+    "GFDL-1.2": "GFDL-1.2",
+    "GFDL-1.3": "GFDL-1.3",
+    "GPL-1": "GPL-1.0",
+    "GPL-2": "GPL-2.0",
+    "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0",
+    "LGPL-2.1": "LGPL-2.1",
+    "LGPL-3": "LGPL-3.0",
+    "MPL-1.1": "MPL-1.1",
+    "MPL-2.0": "MPL-2.0",
+}
+_GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_LATER = (("GPL", "2", "2.0"), ("GPL", "3", "3.0"), ("LGPL", "2.1", "2.1"), ("LGPL", "3", "3.0"), ("AGPL", "3", "3.0"))
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
 #: Spellings that licence texts use alike.
 ALIKE = (
     ("licence", "license"),
@@ -106,22 +137,58 @@ def canonical(text: Column) -> Column:
     return out
 
 
+def later_notices() -> list[tuple[str, str]]:
+    """The notices of the GNU licences that allow later versions: the grant alone, and with what follows it."""
+    out = []
+    for short, version, number in _LATER:
+        name, of = _GNU[short], f"{short}-{number}-or-later"
+        for what in ("program", "library", "file", "software"):
+            for colon in ("", ":"):
+                grant = f"This {what} is free software{colon} you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{colon and ','} either version {version} of the License, or (at your option) any later version."
+                warranty = f"This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+                end = f"You should have received a copy of the {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+                out += [(of, grant), (of, f"{grant}\n\n{warranty}"), (of, f"{grant}\n\n{warranty}\n\n{end}")]
+        out += [(of, f"Licensed under the {name}, version {version} or later."), (of, f"SPDX-License-Identifier: {of}")]
+    return out
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Entire licences; those with an appendix on how to apply them also without it."""
+    out = [("Unlicense", _UNLICENSE)]
+    for name, licence in FULL.items():
+        text = (importlib.resources.files(__package__) / "licence_texts" / f"{name}.txt").read_text("utf-8")
+        out.append((licence, text))
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        if end:
+            out += [(licence, terms), (licence, terms + end)]
+    return out
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, licence): a row for each of KNOWN."""
-    rows = spark.createDataFrame(list(KNOWN), "licence string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "licence").distinct()
+    """(digest, licence): a row for each of KNOWN, the notices of later versions and the entire licences."""
+    return digests_of(spark.createDataFrame([*KNOWN, *later_notices(), *full_texts()], "licence string, text string"))
+
+
+def digests_of(known: DataFrame) -> DataFrame:
+    """known: licence, text."""
+    canon = canonical(F.col("text").cast("string"))
+    return known.select(F.col("licence").cast("string").alias("licence"), canon.alias("canon")).where("canon <> ''").select(F.sha2("canon", 256).alias("digest"), "licence").distinct()
+
 
+def scan_licences(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """docs with doc_id and text to (doc_id, licences, whole_text_licence, n_units), a row for each row.
 
-def scan_licences(docs: DataFrame) -> DataFrame:
-    """docs with doc_id and text to (doc_id, licences, whole_text_licence, n_units), a row for each row."""
-    marked = lambda x: F.contains(x, F.lit(MARKERS[0])) | F.contains(x, F.lit(MARKERS[1])) | F.contains(x, F.lit(MARKERS[2]))
+    known: licence and text of the known texts, instead of the fixed table.
+    """
+    marked = lambda x: F.contains(x, F.lit(MARKERS[0])) | F.contains(x, F.lit(MARKERS[1])) | F.contains(x, F.lit(MARKERS[2])) if known is None else F.isnotnull(x)
     some = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(marked(F.lower("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: marked(F.lower(x)))
     units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))
     digests = some.select("doc_id", F.explode(units).alias("x")).select("doc_id", "x.whole", F.sha2(canonical(F.col("x.unit")), 256).alias("digest"))
-    found = digests.join(F.broadcast(known_digests(docs.sparkSession)), "digest")
+    # the fixed table is small
+    found = digests.join(F.broadcast(known_digests(docs.sparkSession)) if known is None else digests_of(known), "digest")
     each = found.groupBy("doc_id").agg(
-        F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"),  # KNOWN bounds the set
+        F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"),  # the known texts bound the set
         F.max(F.when(F.col("whole"), F.col("licence"))).alias("whole_text_licence"),
         F.count(F.when(~F.col("whole"), 1)).alias("n_lines"),
     )

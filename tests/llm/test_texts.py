@@ -80,6 +80,21 @@ def test_licences(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_entire_licences_and_given_texts(spark):
+    full = dict(licences.full_texts())
+    rows = [(i, "Copyright 2024 Someone\n\n" + " ".join(text.split(" "))) for i, text in enumerate(full.values())]
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    rows += [(100, "code\n# " + gpl), (101, "all mine,  always")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan_licences(docs).collect()}
+    assert [got[i].whole_text_licence for i in range(len(full))] == list(full)
+    assert got[100].licences == "GPL-2.0-or-later" and got[101].licences is None
+    given = spark.createDataFrame([("own", "All mine. Always!"), ("empty", "...")], "licence string, text string")
+    got = {r.doc_id: r.licences for r in licences.scan_licences(docs, given).collect()}
+    assert got.pop(101) == "own" and set(got.values()) == {None}
+    assert all(any(m in x.canon for m in licences.MARKERS) for x in spark.createDataFrame([*licences.later_notices(), *licences.full_texts()], "n string, t string").select(licences.canonical(F.col("t")).alias("canon")).collect())
+
+
 def tree_match(a, b):
     """Simple tree matching by definition."""
     if a.key != b.key:
