@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 from ..operators.records import idempotency_key, normalize
 from ..sources.adapter import kernel_events
 from ..sources.shared import shared_dir
@@ -31,26 +30,26 @@ def _appended(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-_US = F.expr("unix_micros(window.start) * 1000").alias("window_start_ns")
+_START = "unix_micros(window.start) * 1000 as window_start_ns"
 
 
 @query(KE + "SELECT node_id, dst_ip, dst_port, observed_at_ns // 60000000000 * 60000000000 AS window_start_ns, count(*) AS n FROM ke WHERE event_type = 'kernel.tcp.connect' AND ret <> 0 GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2")
 def st02_r06_stream(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
-    return _all_of(streams.failing_backends(rows, least=2), path).select("node_id", "dst_ip", "dst_port", _US, "n")
+    return _all_of(streams.failing_backends(rows, least=2), path).selectExpr("node_id", "dst_ip", "dst_port", _START, "n")
 
 
 @query(KE + f"""SELECT node_id, {TCP_ID} AS conn_id, w * 1000000000 AS window_start_ns, count(*) AS n FROM (SELECT *, unnest(range(observed_at_ns // 1000000000 - 9, observed_at_ns // 1000000000 + 1)) AS w FROM ke
   WHERE event_type = 'kernel.tcp.retransmit' AND tcp_state = 'ESTABLISHED') GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
 def st02_r12_stream(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
-    return _all_of(streams.losses(rows), path).select("node_id", "conn_id", _US, "n")
+    return _all_of(streams.losses(rows), path).selectExpr("node_id", "conn_id", _START, "n")
 
 
 @query(KE + f"SELECT node_id, {TCP_ID} AS conn_id, observed_at_ns // 1000000000 * 1000000000 AS window_start_ns, count(*) AS n FROM ke WHERE event_type = 'kernel.tcp.retransmit' GROUP BY 1, 2, 3")
 def st02_a11_stream(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
-    return _all_of(streams.coalesced(rows), path).select("node_id", "conn_id", _US, "n")
+    return _all_of(streams.coalesced(rows), path).selectExpr("node_id", "conn_id", _START, "n")
 
 
 @query(KE + "SELECT src_ip IS NOT NULL AS tcp, count(*) AS n FROM ke WHERE dst_port = 443 GROUP BY 1")
