@@ -1,15 +1,19 @@
-"""BPE encoding and decoding of whole texts with content-defined chunks, equal to the library's own.
+"""BPE encoding and decoding of whole texts with content-defined chunks shared across documents, equal to the library's own.
 
 A text is cut where a rolling hash of its last ``WINDOW`` characters ends in ``BITS`` zero bits, so that a passage is cut alike
-wherever it occurs. What a chunk holds between its first and its last white space encodes alike in any context, as no token
-of a vocabulary that drops white space reaches across it; that part is encoded once and kept by its content, and every
-document of the same Python worker with that chunk reuses the ids. What is left about a cut, the end of one chunk
-and the beginning of the next, is the join: it is put together and encoded again, over as many chunks as it takes until
-white space on either side makes it agree with the whole text's encoding. Inside a new chunk, words that were met before are
-not encoded again either.
+wherever it occurs. What a chunk holds between its first and its last white space, its inside, encodes alike in any
+context, as no token of a vocabulary that drops white space reaches across it.
 
-One map over the documents, without a shuffle: a copy far away costs its own encoding, not a move of all texts. What is kept
-is emptied at a bounded size (``KEEP``, in characters), which changes no result.
+1. Digests of all insides are counted over all documents; of those that more than one row holds a filter of fixed size
+is made (``filter_words`` words of 64 bits, however large the corpus). 2. Insides that pass it go by digest, each text once,
+to be encoded once: a table of digest and ids. What passes by chance is in that table too, so that the filter only
+decides how much is shared, never a result. 3. Every document encodes what it alone holds, and leaves holes where shared insides
+are. 4. Holes are joined with the table by digest, ids are put in, and the ids decoded. Documents without holes skip this.
+
+What is left about a cut, the end of one chunk and the beginning of the next, is the join: it is encoded by itself and
+again together with the nearest words of both neighbours; where the ids disagree, twice as many words are taken, until
+they agree exactly, and where nothing is left to take the library encodes the document whole. Words that a task has met
+before are not encoded again; what is kept of these is emptied at a bounded size (``KEEP``, in characters), which changes no result.
 
 Only space, tab, newline and carriage return count as white space here; other characters of that kind stay inside words and go to the
 library. The tokenizer must drop white space before it makes words (``whitespace_free`` tests that); any other is refused.
@@ -28,12 +32,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import free_name, written
 from .tokenizing import public_path, tokenizer
 
 WINDOW, BITS, KEEP = 16, 8, 32_000_000
+ROWS = 100  # documents whose new words are encoded together
 STOPS = ".,;:!?"
 _FIRST = re.compile(r"[ \t\n\r]")
 _BASE = 0x9E3779B97F4A7C15
@@ -69,8 +76,48 @@ def whitespace_free(path: str) -> bool:
     return all(ids(sep.join(words)) == [i for w in words for i in ids(w)] for sep in (" ", "\n", "\t \r\n"))
 
 
+def pieces(text: str, cutter: Cutter) -> list[str]:
+    """The text as insides of chunks and the joins between them, in turn; first a join."""
+    out, begin, join = [], 0, ""
+    for end in [*cutter.cuts(text), len(text)]:
+        chunk, begin = text[begin:end], end
+        first = _FIRST.search(chunk)
+        if first is None:
+            join += chunk
+            continue
+        last = max(chunk.rfind(x) for x in " \t\n\r")
+        out += [join + chunk[: first.start()], chunk[first.start() : last + 1]]
+        join = chunk[last + 1 :]
+    return [*out, join]
+
+
+def digest(inside: str) -> bytes:
+    return xxhash.xxh3_128_digest(inside.encode("utf-8", "surrogatepass"))
+
+
+class Filter:
+    """A set of digests, and some others by chance, in a fixed number of bits."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.n = words, len(words)
+
+    def has(self, key: bytes) -> bool:
+        word, bit = place(key, self.n)
+        return bool(int(self.words[word]) >> bit & 1)
+
+
+def place(key: bytes, n: int) -> tuple[int, int]:
+    """The word and the bit of a digest."""
+    x = int.from_bytes(key[:8], "little")
+    return (x >> 6) % n, x & 63
+
+
+def words_of(text: str) -> list[str]:
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 class Encoder:
-    """Texts to ids and decoded texts; keeps chunks and words it has met."""
+    """Texts to ids and decoded texts; keeps words it has met."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.cutter = tokenizer(path), Cutter()
@@ -80,26 +127,14 @@ class Encoder:
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.plain = all(ids(w + x) == ids(w.lower()) + ids(x) for w in ("Word", "ANOTHER", "x") for x in ("", *STOPS, ".,", "?!", "..."))
         self._forget()
-        self.reused = 0
 
     def _forget(self) -> None:
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
+        self.agreed: set[str] = set()
         self.kept = 0
 
-    def _pieces(self, text: str) -> list[str]:
-        """The text as insides of chunks and the joins between them, in turn; first a join."""
-        out, begin, join = [], 0, ""
-        for end in [*self.cutter.cuts(text), len(text)]:
-            chunk, begin = text[begin:end], end
-            first = _FIRST.search(chunk)
-            if first is None:
-                join += chunk
-                continue
-            last = max(chunk.rfind(x) for x in " \t\n\r")
-            out += [join + chunk[: first.start()], chunk[first.start() : last + 1]]
-            join = chunk[last + 1 :]
-        return [*out, join]
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: set[str]) -> None:
         """Ids of words. Letters of ASCII with stops after them go by their small letters and stops, if the tokenizer's do."""
@@ -109,31 +144,61 @@ class Encoder:
             if core.isascii() and core.isalpha() and (len(core) < len(w) or not w.islower()):
                 split[w] = (core.lower(), w[len(core) :])
         unknown = sorted(({x for pair in split.values() for x in pair} | words.difference(split)).difference(self.words))
-        for w, x in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            self.words[w] = array("I", x.ids).tobytes()
+        self.words.update(zip(unknown, self._library(unknown), strict=True))
         for w, (core, stops) in split.items():
             self.words[w] = self.words[core] + self.words[stops]
         self.kept += 40 * (len(unknown) + len(split))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Of each text the ids as little-endian 32-bit integers."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Of each text, such as a chunk's inside or a join, the ids by its words."""
         if self.kept > KEEP:
             self._forget()
-        pieces = [self._pieces(x) if x else [] for x in texts]
-        new: dict[str, list[str]] = {}
-        for p in pieces:
-            for i, x in enumerate(p):
-                if x not in self.chunks and x not in new:
-                    new[x] = x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                elif i % 2:
-                    self.reused += len(x)
-        self._learn(set().union(*new.values()).difference(self.words))
-        self.kept += sum(map(len, new))
-        known = self.words.__getitem__
-        for x, words in new.items():
-            self.chunks[x] = b"".join(map(known, words))
-        of = self.chunks.__getitem__
-        return [b"".join(map(of, p)) for p in pieces]
+        split = [words_of(x) for x in texts]
+        self._learn(set().union(*split).difference(self.words))
+        return [b"".join(map(self.words.__getitem__, x)) for x in split]
+
+    def _disagreeing(self, rows: list[list[str]]) -> list[int]:
+        """The rows whose joins don't agree with the library in any context. A row: joins and insides in turn."""
+        todo, out, n = [(k, i) for k, p in enumerate(rows) for i in range(0, len(p), 2) if p[i]], set(), 1
+        while todo:
+            about = {}
+            for k, i in todo:
+                left, right = (rows[k][i - 1] if i else ""), (rows[k][i + 1] if i + 1 < len(rows[k]) else "")
+                before, after = left.split()[-n:], right.split()[:n]
+                text = " ".join([*before, rows[k][i], *after])
+                if text not in self.agreed:
+                    about[k, i] = (text, n >= max(len(left.split()), len(right.split())))
+            texts = sorted({x for x, _ in about.values()})
+            good = {x for x, by_words, whole in zip(texts, self.ids(texts), self._library(texts), strict=True) if by_words == whole}
+            self.agreed |= good
+            self.kept += sum(map(len, good))
+            bad = [(at, last) for at, (x, last) in about.items() if x not in good]
+            out |= {k for (k, _), last in bad if last}
+            todo, n = [at for at, last in bad if not last], 2 * n
+        return sorted(out)
+
+    def parts(self, texts: list[str | None], shared: Filter | None = None) -> list[list[tuple[bytes | None, bytes | None]]]:
+        """Of each text runs of ids (little-endian 32-bit integers), and digests of shared insides in place of their ids."""
+        rows = [pieces(x, self.cutter) if x else [] for x in texts]
+        keys = [[k if i % 2 and shared is not None and shared.has(k := digest(x)) else None for i, x in enumerate(p)] for p in rows]
+        own = iter(self.ids([x for p, held in zip(rows, keys, strict=True) for x, k in zip(p, held, strict=True) if k is None]))
+        out = []
+        for p, held in zip(rows, keys, strict=True):
+            runs: list[tuple[bytes | None, bytes | None]] = []
+            for k in held:
+                if k is not None:
+                    runs.append((None, k))
+                elif runs and runs[-1][1] is None:
+                    runs[-1] = (runs[-1][0] + next(own), None)
+                else:
+                    runs.append((next(own), None))
+            out.append(runs)
+        for k in self._disagreeing(rows):
+            out[k] = [(self._library([texts[k]])[0], None)]
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return [b"".join(x for x, _ in p) for p in self.parts(texts)]
 
     def decode(self, ids: bytes) -> str:
         x = np.frombuffer(ids, dtype="<u4")
@@ -142,26 +207,116 @@ class Encoder:
         return self.tokenizer.decode(x.tolist(), skip_special_tokens=False)
 
 
-def encoded(path: str, text: Column, digests: bool = False) -> Column:
-    """A struct of ids (little-endian 32-bit integers) and the decoded text; or else of their number and digests."""
+def _result(encoder: Encoder, ids: bytes, digests: bool) -> tuple:
+    text = encoder.decode(ids)
+    if digests:
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+    return ids, text
+
+
+def _slices(n: int) -> Iterator[slice]:
+    return (slice(i, i + ROWS) for i in range(0, n, ROWS))
+
+
+def shared_insides(texts: DataFrame) -> DataFrame:
+    """texts (text) to (low, n): the first eight bytes of the digests that more than one row holds."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cutter = Cutter()
+        for pdf in batches:
+            found: dict[bytes, int] = {}
+            for text in pdf["text"]:
+                for x in {digest(p)[:8] for p in pieces(text, cutter)[1::2]} if text else ():
+                    found[x] = found.get(x, 0) + 1
+            yield pd.DataFrame({"low": np.frombuffer(b"".join(found), dtype="<i8"), "n": list(found.values())})
+
+    counted = texts.mapInPandas(count, "low long, n long").groupBy("low").agg(F.sum("n").alias("n"))
+    return written(counted.where("n > 1"), "shared")
+
+
+def filter_of(shared: DataFrame, words: int) -> Filter:
+    """The filter of shared_insides(): one row for each of its words at most comes to the driver."""
+    word = F.pmod(F.expr("shiftrightunsigned(low, 6)"), F.lit(words))
+    rows = shared.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("bits")).collect()
+    out = np.zeros(words, dtype=np.uint64)
+    for r in rows:
+        out[r["word"]] = r["bits"] & (2**64 - 1)
+    return Filter(out)
+
+
+def table_of(texts: DataFrame, filter_at, path: str) -> DataFrame:
+    """(digest, inside_ids) of all insides that pass the filter, each encoded once."""
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cutter, shared = Cutter(), filter_at.value
+        for pdf in batches:
+            found = {}
+            for text in pdf["text"]:
+                for p in pieces(text, cutter)[1::2] if text else ():
+                    if shared.has(k := digest(p)):
+                        found[k] = p
+            yield pd.DataFrame({"digest": list(found), "inside": list(found.values())})
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(path)
+        for pdf in batches:
+            for at in _slices(len(pdf)):
+                part = pdf.iloc[at]
+                yield pd.DataFrame({"digest": part["digest"].to_numpy(), "inside_ids": encoder.ids(part["inside"].tolist())})
+
+    found = texts.mapInPandas(pick, "digest binary, inside string").groupBy("digest").agg(F.any_value("inside").alias("inside"))
+    return written(found.mapInPandas(encode, "digest binary, inside_ids binary"), "insides")
+
+
+def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = False, carry: list[str] | None = None, filter_words: int = 1 << 18) -> DataFrame:
+    """docs with ids (little-endian 32-bit integers) and decoded, or with their number and digests.
+
+    carry: the columns of docs to return, all if not given. Without a path by the public vocabulary of 49,408 words and parts.
+    """
+    path = path or public_path("word_bpe_49k.json")
     if not whitespace_free(path):
         raise ValueError(f"{path}: this tokenizer does not drop white space")
+    results = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    shared = filter_of(shared_insides(texts), filter_words)
+    filter_at = docs.sparkSession.sparkContext.broadcast(shared)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string")
+    @F.pandas_udf(f"{kind}, parts array<struct<ids:binary,digest:binary>>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path)
         for batch in batches:
-            rows = []
-            for at in range(0, len(batch), 100):
-                for ids in encoder.encode(batch.iloc[at : at + 100].tolist()):
-                    text = encoder.decode(ids)
-                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()) if digests else (ids, text))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"])
+            rows: list[tuple] = []
+            for at in _slices(len(batch)):
+                for parts in encoder.parts(batch.iloc[at].tolist(), filter_at.value):
+                    if any(k is not None for _, k in parts):
+                        rows.append((*[None] * len(results), [{"ids": x, "digest": k} for x, k in parts]))
+                    else:
+                        rows.append((*_result(encoder, b"".join(x for x, _ in parts), digests), None))
+            out = pd.DataFrame(rows, columns=[*results, "parts"])
+            yield out.assign(n_tokens=pd.array(out["n_tokens"], dtype="Int64")) if digests else out
 
-    return encode(text.cast("string"))
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in results]
+    x, row = free_name(docs, "encoded"), free_name(docs, "row")
+    rows = written(docs.select(*kept, encode(F.col("text").cast("string")).alias(x), F.monotonically_increasing_id().alias(row)), "encoded")
+    whole = rows.where(F.col(f"{x}.parts").isNull()).select(*kept, *[F.col(f"{x}.{c}").alias(c) for c in results])
+    if not shared.words.any():
+        return whole
+    insides = table_of(texts, filter_at, path)
+    holes = rows.where(F.col(f"{x}.parts").isNotNull()).select(F.col(row).alias("row"), F.posexplode(f"{x}.parts").alias("at", "part")).where("part.digest is not null")
+    holes = written(holes.select("row", "at", F.col("part.digest").alias("digest")), "holes")
+    ids = holes.join(insides, "digest").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "inside_ids"))).alias("insides"))  # of one document
 
+    @F.pandas_udf(kind)
+    def fill(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder(path)
+        for parts, insides in batches:
+            rows = []
+            for p, found in zip(parts, insides, strict=True):
+                at = {r["at"]: r["inside_ids"] for r in found}
+                rows.append(_result(encoder, b"".join(r["ids"] if r["digest"] is None else at[i] for i, r in enumerate(p)), digests))
+            yield pd.DataFrame(rows, columns=list(results))
 
-def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = False) -> DataFrame:
-    """docs with ids and decoded, or their digests; without a path by the public vocabulary of 49,408 words and parts."""
-    x = encoded(path or public_path("word_bpe_49k.json"), F.col("text"), digests)
-    return docs.withColumns({c: x[c] for c in (("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))})
+    filled = rows.where(F.col(f"{x}.parts").isNotNull()).join(ids.withColumnRenamed("row", row), row)
+    filled = filled.withColumn(x, fill(F.col(f"{x}.parts"), F.col("insides"))).select(*kept, *[F.col(f"{x}.{c}").alias(c) for c in results])
+    return whole.union(filled)

@@ -17,5 +17,5 @@ def training(labels: DataFrame) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = score_toxicity(docs, training(table(spark, sf_dir, "labels")))
+    found = score_toxicity(docs, training(table(spark, sf_dir, "labels")), carry=["doc_id"])
     return found.select("doc_id", (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted", "neighbours", "similarities")

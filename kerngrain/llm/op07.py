@@ -10,4 +10,4 @@ from .chunk_bpe import encode_documents
 
 def op7_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_documents(docs, digests=True).drop("text")
+    return encode_documents(docs, digests=True, carry=["doc_id"])

@@ -1,91 +1,84 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and the 3- and 4-grams of words with their ends marked. Of those that labelled examples hold, the
-``terms`` with the largest weight of evidence for the toxic class span the vectors; weights are (1 + ln tf) * idf with
-document frequencies over all documents, divided by the length. The index has for each term postings in blocks of
-examples with each block's largest weight, so that a block whose bound is below the k-th best cosine so far is skipped:
-the k neighbours are exact. Votes weigh the squared cosine; a pseudo-vote against keeps little evidence little. The vote is
-calibrated by a logistic curve on the examples themselves, each left out of its own neighbours, at the class
-shares of all training labels.
-
-Bounded parts (parameters): ``examples`` labelled rows per class, those with the smallest hash of their id; the terms; k.
-They bound the index, which is broadcast. Document frequencies and class shares cover all rows.
+Terms are words and the 3- and 4-grams of words with their ends marked. The vectors span every term whose share of
+labelled examples differs between the classes beyond chance (a log-likelihood ratio of ``least_evidence``; 15.14 is one in
+ten thousand), however many these are: vectors of all terms find fewer of the toxic texts, see the README. Weights are
+(1 + ln tf) * idf with document frequencies over all documents, divided by the length. The index has for each term
+postings in blocks of examples with each block's largest weight, so that a block whose bound is below the k-th best cosine
+so far is skipped: the k neighbours are exact, ties to the smaller id. Votes weigh the squared cosine; a pseudo-vote against
+keeps little evidence little. The vote is calibrated by a logistic curve on the examples themselves, each left out of
+its own neighbours, at the class shares of all training labels.
+
+Bounded parts (parameters): ``examples`` labelled rows per class, those with the smallest hash of their id; k. The
+examples bound the terms and the index, which is broadcast. Document frequencies and class shares cover all rows.
 
 Edge cases: null or empty texts and texts without any of the terms get the curve's value for no evidence. Labels that
 are null are left out; of several labels of a doc_id the largest counts, of several texts of an example's doc_id the
-greatest. No usable examples, or of one class only: every score is the class share (0 without labels). Very long texts
-are used whole. Further columns stay as they are; result columns replace columns of their own names.
+greatest. No usable examples, or of one class only, or no term beyond chance: every score is the class share (0 without
+labels). Very long texts are used whole. Further columns stay as they are; result columns replace columns of their own names.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import free_name, written
 
 WORD = re.compile(r"[^\W\d_]+")
 RESULT = ("score", "predicted", "neighbours", "similarities", "neighbour_labels")
 
 
-def word_terms(word: str) -> list[str]:
-    marked = f"^{word}$"
-    return [word, *{marked[i : i + n] for n in (3, 4) for i in range(len(marked) - n + 1)}]
+Row = tuple[np.ndarray, np.ndarray]  # a text's terms, ascending, and how often each occurs
+
+
+def marked(text: str | None) -> str:
+    """The words of a text with their ends marked."""
+    words = WORD.findall(text.lower()) if text else []
+    return "^" + "$^".join(words) + "$" if words else ""
+
+
+def word_terms(word: str) -> set[str]:
+    x = f"^{word}$"
+    return {x, *(x[i : i + n] for n in (3, 4) for i in range(len(x) - n + 1))}
 
 
 class Terms:
-    """Texts to counts of the chosen terms. What a word holds is kept, up to a number of words."""
+    """Texts to the terms of a list that they hold: all occurrences in one run over the text."""
 
     def __init__(self, terms: list[str]) -> None:
-        self.at = {x: i for i, x in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _of(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
-        """The words that hold terms, with these."""
-        if len(self.known) > 400_000:
-            self.known.clear()
-        known, at = self.known, self.at
-        for w in words:
-            x = known.get(w)
-            if x is None:
-                x = known[w] = tuple(at[t] for t in word_terms(w) if t in at)
-            if x:
-                yield w, x
-
-    def present(self, text: str | None) -> set[int]:
-        return {t for _, x in self._of(set(WORD.findall(text.lower()))) for t in x} if text else set()
-
-    def counts(self, text: str | None) -> Counter:
-        out: Counter = Counter()
-        if text and self.at:
-            words = Counter(WORD.findall(text.lower()))
-            for w, x in self._of(words):
-                n = words[w]
-                for t in x:
-                    out[t] += n
-        return out
+        self.automaton = ahocorasick.Automaton()
+        for i, x in enumerate(terms):
+            self.automaton.add_word(x, i)
+        if terms:
+            self.automaton.make_automaton()
+
+    def row(self, text: str | None) -> Row:
+        x = marked(text)
+        found = np.fromiter((v for _, v in self.automaton.iter(x)), dtype=np.int64) if x and len(self.automaton) else np.zeros(0, dtype=np.int64)
+        return np.unique(found, return_counts=True)
 
 
 def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All positions of the ranges one after another, and which range each is of."""
     size = stop - start
     which = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size), which
+    return np.arange(len(which)) + np.repeat(start - np.cumsum(size) + size, size), which
 
 
-def _flat(rows: list[Counter], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _flat(rows: list[Row], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, weight) of all rows' unit vectors."""
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    term = np.fromiter((t for x in rows for t in x), dtype=np.int64, count=len(row))
-    tf = np.fromiter((n for x in rows for n in x.values()), dtype=float, count=len(row))
-    w = (1 + np.log(tf)) * idf[term]
+    row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
+    term, tf = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*rows, strict=True))
+    w = (1 + np.log(np.maximum(tf, 1))) * idf[term]
     norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(rows)))
     return row, term, w / np.maximum(norm[row], 1e-12)
 
@@ -97,71 +90,67 @@ class Index:
     ids: np.ndarray
     labels: np.ndarray
     idf: np.ndarray
-    entry: np.ndarray = field(default=None)  # of each term: its first entry; an entry is a term's part in a block
-    block: np.ndarray = field(default=None)
-    top: np.ndarray = field(default=None)
-    begin: np.ndarray = field(default=None)  # of each entry: its first posting
+    top: np.ndarray = field(default=None)  # terms by blocks: the block's largest weight
+    begin: np.ndarray = field(default=None)  # terms by blocks: the first posting, with one column more for the end
     example: np.ndarray = field(default=None)
     weight: np.ndarray = field(default=None)
-    size: int = 64
+    size: int = 256
 
     @classmethod
-    def of(cls, ids: np.ndarray, labels: np.ndarray, rows: list[Counter], idf: np.ndarray) -> Index:
+    def of(cls, ids: np.ndarray, labels: np.ndarray, rows: list[Row], idf: np.ndarray) -> Index:
         out = cls(ids, labels, idf)
         row, term, w = _flat(rows, idf)
         order = np.lexsort((row, term))
         row, term, w = row[order], term[order], w[order]
-        new = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(row // out.size, prepend=-1))
-        out.example, out.weight = row, w
-        out.begin = np.append(new, len(row))
-        out.block = row[new] // out.size
-        out.top = np.maximum.reduceat(w, new) if len(new) else np.zeros(0)
-        out.entry = np.searchsorted(term[new], np.arange(len(idf) + 1))
+        blocks = -(-len(ids) // out.size)
+        cell = term * blocks + row // out.size
+        out.example, out.weight = row.astype(np.int32), w
+        out.begin = np.append(np.searchsorted(cell, np.arange(len(idf) * blocks)), len(row))[np.arange(len(idf))[:, None] * blocks + np.arange(blocks + 1)]
+        out.top = np.zeros(len(idf) * blocks)
+        np.maximum.at(out.top, cell, w)
+        out.top = out.top.reshape(len(idf), blocks)
         return out
 
-    def nearest(self, rows: list[Counter], k: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest cosine for each row, exactly, ties to the smaller position: positions (-1: none) and cosines.
+    def _scores(self, term: np.ndarray, w: np.ndarray, k: int, but: int) -> np.ndarray:
+        """Of all examples that may be among the k nearest the cosine, 0 of others: the blocks of the largest bounds are
+        scored first, and their k-th best is what the bounds of the others must reach."""
+        bound = w @ self.top[term]
+        scores = np.zeros(len(bound) * self.size)
+
+        def add(blocks: np.ndarray) -> None:
+            posting, of = _ranges(self.begin[term[:, None], blocks].ravel(), self.begin[term[:, None], blocks + 1].ravel())
+            nonlocal scores
+            scores = scores + np.bincount(self.example[posting], weights=np.repeat(w, len(blocks))[of] * self.weight[posting], minlength=len(scores))
+            if but >= 0:
+                scores[but] = 0
+
+        order = np.argsort(-bound, kind="stable")
+        lead = -(-k // self.size) + 1
+        add(order[:lead])
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        rest = order[lead:][bound[order[lead:]] > max(least - 1e-9, 0)]
+        if len(rest):
+            add(rest)
+        return scores
+
+    def nearest(self, rows: list[Row], k: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of the largest cosine for each row, exactly, ties to the smaller id: positions (-1: none) and cosines.
 
         but: for each row an example that takes no part.
         """
-        n, blocks = len(rows), -(-len(self.ids) // self.size)
+        near, cosines = np.full((len(rows), k), -1), np.zeros((len(rows), k))
         row, term, w = _flat(rows, self.idf)
-        entries, which = _ranges(self.entry[term], self.entry[term + 1])
-        r, q = row[which], w[which]
-        b = self.block[entries]
-        bound = np.bincount(r * blocks + b, weights=q * self.top[entries], minlength=n * blocks).reshape(n, blocks)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        scores = np.zeros((n, blocks * self.size))
-        least, done, step = np.zeros(n), 0, 2
-        live = np.arange(n)
-        while done < blocks and len(live):
-            turn = np.zeros((n, blocks), dtype=bool)
-            take = order[live, done : done + step]
-            turn[live[:, None], take] = bound[live[:, None], take] > np.maximum(least[live, None] - 1e-9, 0)
-            now = turn[r, b]
-            if now.any():
-                posting, of = _ranges(self.begin[entries[now]], self.begin[entries[now] + 1])
-                np.add.at(scores.ravel(), r[now][of] * scores.shape[1] + self.example[posting], q[now][of] * self.weight[posting])
-            if but is not None:
-                scores[np.arange(n), but] = 0
-            done += step
-            step *= 2
-            if scores.shape[1] >= k and done < blocks:
-                least[live] = np.partition(scores[live], -k, axis=1)[:, -k]
-                live = live[bound[live, order[live, done]] > np.maximum(least[live] - 1e-9, 0)]
-        near = np.argsort(-scores, axis=1, kind="stable")[:, :k] if scores.shape[1] <= 4 * k else self._best(scores, k)
-        cosines = np.take_along_axis(scores, near, axis=1)
-        return np.where(cosines > 0, near, -1), np.minimum(cosines, 1.0)
-
-    @staticmethod
-    def _best(scores: np.ndarray, k: int) -> np.ndarray:
-        """Positions of each row's k largest, largest first, ties to the smaller position."""
-        kth = np.partition(scores, -k, axis=1)[:, -k]
-        out = np.zeros((len(scores), k), dtype=np.int64)
-        for i, (x, least) in enumerate(zip(scores, kth, strict=True)):
-            at = np.flatnonzero(x >= least) if least > 0 else np.append(np.flatnonzero(x > 0), np.flatnonzero(x == 0)[:k])
-            out[i] = at[np.argsort(-x[at], kind="stable")[:k]]
-        return out
+        ends = np.searchsorted(row, np.arange(len(rows) + 1))
+        for i in range(len(rows)):
+            a, b = ends[i], ends[i + 1]
+            if a == b:
+                continue
+            x = self._scores(term[a:b], w[a:b], k, -1 if but is None else int(but[i]))
+            least = np.partition(x, -k)[-k] if len(x) > k else 0.0
+            some = np.flatnonzero(x >= least) if least > 0 else np.flatnonzero(x > 0)
+            some = some[np.lexsort((self.ids[some], -x[some]))[:k]]
+            near[i, : len(some)], cosines[i, : len(some)] = some, np.minimum(x[some], 1.0)
+        return near, cosines
 
 
 def votes(labels: np.ndarray, near: np.ndarray, cosines: np.ndarray, doubt: float) -> np.ndarray:
@@ -186,7 +175,6 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 @dataclass
 class Model:
-    terms: list[str]
     index: Index | None
     k: int
     doubt: float
@@ -194,111 +182,116 @@ class Model:
     intercept: float
     share: float
 
-    def score(self, texts: list[str | None], terms: Terms) -> pd.DataFrame:
-        n = len(texts)
-        score = np.full(n, self.share)
-        near_ids: list = [[] for _ in range(n)]
-        cosines_of: list = [[] for _ in range(n)]
-        labels_of: list = [[] for _ in range(n)]
+    def score(self, rows: list[Row]) -> pd.DataFrame:
+        n, blank = len(rows), np.zeros(0, dtype=np.int64)
+        score, near = np.full(n, self.share), np.full((n, self.k), -1)
+        ids, cosines, labels = [blank] * n, [blank.astype(float)] * n, [blank] * n
         if self.index is not None:
-            vote = np.zeros(n)
-            for at in range(0, n, 64):
-                rows = [terms.counts(x) for x in texts[at : at + 64]]
-                some = [i for i, x in enumerate(rows) if x]
-                if some:
-                    near, cosines = self.index.nearest([rows[i] for i in some], self.k)
-                    vote[at + np.array(some)] = votes(self.index.labels, near, cosines, self.doubt)
-                    for i, x, c in zip(some, near, cosines, strict=True):
-                        own = x[x >= 0]
-                        near_ids[at + i], cosines_of[at + i], labels_of[at + i] = self.index.ids[own], c[x >= 0], self.index.labels[own]
-            score = 1 / (1 + np.exp(-(self.slope * vote + self.intercept)))
-        score = np.clip(score, 0.0, 1.0)
-        return pd.DataFrame({"score": score, "predicted": (score >= 0.5).astype(np.int32), "neighbours": near_ids, "similarities": cosines_of, "neighbour_labels": labels_of})
-
-
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, terms: int = 1024, k: int = 15, doubt: float = 0.25, least_docs: int = 3) -> Model:
-    """docs: doc_id, text. labels: doc_id, toxic; only rows to learn from."""
+            near, found = self.index.nearest(rows, self.k)
+            score = np.clip(1 / (1 + np.exp(-(self.slope * votes(self.index.labels, near, found, self.doubt) + self.intercept))), 0.0, 1.0)
+            for i, (x, c) in enumerate(zip(near, found, strict=True)):
+                own = x[x >= 0]
+                ids[i], cosines[i], labels[i] = self.index.ids[own], c[x >= 0], self.index.labels[own]
+        return pd.DataFrame({"score": score, "predicted": (score >= 0.5).astype(np.int32), "neighbours": ids, "similarities": cosines, "neighbour_labels": labels})
+
+
+def _examples(docs: DataFrame, labels: DataFrame, examples: int) -> tuple[DataFrame | None, float]:
+    """(doc_id, toxic, text) of the examples, None without both classes, and the toxic share of all labels."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = written(known, "labels")
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    nothing = Model([], None, k, doubt, 0.0, 0.0, share)
     if len(sizes) < 2:
-        return nothing
+        return None, share
     order = [F.xxhash64(F.lit("example"), "doc_id"), F.col("doc_id")]
     chosen = known.where("toxic = 1").orderBy(*order).limit(examples).union(known.where("toxic = 0").orderBy(*order).limit(examples))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # 2 * examples rows of ids and labels
     chosen = text.join(F.broadcast(written(chosen, "chosen")), "doc_id").where("text is not null").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    chosen = written(chosen.repartition(64), "examples")
+    return written(chosen.repartition(64), "examples"), share
+
+
+def _terms(chosen: DataFrame | None, least_docs: int, least_evidence: float) -> list[str]:
+    """Terms of the examples whose shares of the classes differ beyond chance."""
+    sized = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()} if chosen is not None else {}
+    if len(sized) < 2:
+        return []
 
     def term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: tuple[Counter, Counter] = (Counter(), Counter())
+        of: dict[str, set[str]] = {}
         for pdf in batches:
             for x, y in zip(pdf["text"], pdf["toxic"], strict=True):
-                found[y].update({t for w in set(WORD.findall(x.lower())) for t in word_terms(w)})
-        yield pd.DataFrame([(t, n, found[0].get(t, 0)) for t, n in found[1].items()], columns=["term", "toxic", "clean"])
-        # a term that no toxic example holds is never chosen, but it must count against one that another task holds
-        yield pd.DataFrame([(t, 0, n) for t, n in found[0].items() if t not in found[1]], columns=["term", "toxic", "clean"])
+                words = set(WORD.findall(x.lower()))
+                of.update((w, word_terms(w)) for w in words.difference(of))
+                found[y].update(set().union(*map(of.__getitem__, words)))
+        names = sorted(found[0].keys() | found[1].keys())
+        yield pd.DataFrame({"term": names, "toxic": [found[1][x] for x in names], "clean": [found[0][x] for x in names]})
+
+    counted = chosen.select("text", "toxic").mapInPandas(term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    counted = counted.where(f"a + b >= {int(least_docs)}").where(_evidence(F.col("a"), F.col("b"), sized[1], sized[0]) >= least_evidence)
+    return sorted(r["term"] for r in counted.select("term").collect())  # these are bounded by the examples
+
+
+def _model(chosen: DataFrame | None, share: float, terms: list[str], rows: DataFrame, column: str, k: int, doubt: float) -> Model:
+    """rows: all documents with their terms in the column."""
+    if not terms:
+        return Model(None, k, doubt, 0.0, 0.0, share)
+    counts = {r["term"]: r["n"] for r in rows.select(F.explode(f"{column}.at").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    idf = np.log((1 + rows.count()) / (1 + np.array([counts.get(i, 0) for i in range(len(terms))]))) + 1
+    held = chosen.withColumn("x", term_rows(chosen.sparkSession.sparkContext.broadcast(terms), F.col("text"))).select("doc_id", "toxic", "x.at", "x.tf").collect()  # 2 * examples rows
+    held.sort(key=lambda r: (r["toxic"], min(r["at"], key=lambda t: (-idf[t], t), default=-1), r["doc_id"]))  # alike examples share blocks
+    vectors = [(np.array(r["at"], dtype=np.int64), np.array(r["tf"], dtype=np.int64)) for r in held]
+    y = np.array([r["toxic"] for r in held], dtype=float)
+    index = Index.of(np.array([r["doc_id"] for r in held], dtype=np.int64), y.astype(np.int32), vectors, idf)
+    near, cosines = index.nearest(vectors, k, but=np.arange(len(held)))
+    weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
+    slope, intercept = logistic(votes(index.labels, near, cosines, doubt), y, weight)
+    return Model(index, k, doubt, slope, intercept, share)
 
-    sized = {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
-    if len(sized) < 2:
-        return nothing
-    counted = chosen.select("text", "toxic").mapInPandas(term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    p, q = F.col("toxic") / sized[1], F.col("clean") / sized[0]
-    evidence = p * F.log((p + 0.5 / sized[1]) / (q + 0.5 / sized[0]))
-    best = counted.where((F.col("toxic") >= least_docs) & (p > 2 * q)).orderBy(evidence.desc(), "term").limit(terms).collect()
-    chosen_terms = sorted(r["term"] for r in best)
-    if not chosen_terms:
-        return nothing
-
-    terms_at = docs.sparkSession.sparkContext.broadcast(chosen_terms)
-
-    def document_counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        of, df, n = Terms(terms_at.value), np.zeros(len(terms_at.value), dtype=np.int64), 0
-        for pdf in batches:
-            n += len(pdf)
-            for x in pdf["text"]:
-                df[list(of.present(x))] += 1
-        yield pd.DataFrame({"term": np.arange(-1, len(df)), "n": np.concatenate([[n], df])})
 
-    counts = {r["term"]: r["n"] for r in text.select("text").mapInPandas(document_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + counts.get(-1, 0)) / (1 + np.array([counts.get(i, 0) for i in range(len(chosen_terms))]))) + 1
+def _evidence(a: Column, b: Column, toxic: int, clean: int) -> Column:
+    """The log-likelihood ratio of a term in a of the toxic and b of the clean examples against one share in both."""
+    part = lambda n, of, row: F.when(n > 0, n * F.log(n * (toxic + clean) / (row * of))).otherwise(0.0)
+    without = F.lit(toxic + clean) - a - b
+    return 2 * (part(a, toxic, a + b) + part(b, clean, a + b) + part(toxic - a, toxic, without) + part(clean - b, clean, without))
 
-    def example_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Terms(terms_at.value)
-        for pdf in batches:
-            rows = [of.counts(x) for x in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "at": [np.fromiter(x, dtype=np.int32) for x in rows], "tf": [np.fromiter(x.values(), dtype=np.int32) for x in rows]})
-
-    rows = chosen.mapInPandas(example_terms, "doc_id long, toxic int, at array<int>, tf array<int>").collect()  # 2 * examples rows
-    rows.sort(key=lambda r: (r["toxic"], min(r["at"], key=lambda t: (-idf[t], t), default=-1), r["doc_id"]))  # alike examples share blocks
-    vectors = [Counter(dict(zip(r["at"], r["tf"], strict=True))) for r in rows]
-    y = np.array([r["toxic"] for r in rows], dtype=float)
-    index = Index.of(np.array([r["doc_id"] for r in rows], dtype=np.int64), y.astype(np.int32), vectors, idf)
-    own = np.zeros(len(rows))
-    for at in range(0, len(rows), 64):
-        near, cosines = index.nearest(vectors[at : at + 64], k, but=np.arange(at, min(at + 64, len(rows))))
-        own[at : at + 64] = votes(index.labels, near, cosines, doubt)
-    weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    slope, intercept = logistic(own, y, weight)
-    return Model(chosen_terms, index, k, doubt, slope, intercept, share)
+
+def term_rows(terms_at, text: Column) -> Column:
+    """A struct of at and tf, the terms of each text by their place in the list, and their counts; terms_at: the broadcast list."""
+
+    @F.pandas_udf("at array<int>, tf array<int>")
+    def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        terms = Terms(terms_at.value)
+        for x in batches:
+            at, tf = zip(*map(terms.row, x), strict=True) if len(x) else ((), ())
+            yield pd.DataFrame({"at": at, "tf": tf})
+
+    return rows(text.cast("string"))
 
 
-def toxicity(model_at, text: Column) -> Column:
-    """A struct of RESULT; model_at: the broadcast model."""
+def with_toxicity(docs: DataFrame, labels: DataFrame, name: str, examples: int = 4000, k: int = 15, doubt: float = 0.25, least_docs: int = 3, least_evidence: float = 15.14, carry: list[str] | None = None) -> DataFrame:
+    """docs with a struct of RESULT as the column ``name``. labels: doc_id, toxic; only rows to learn from.
+
+    carry: the columns of docs to return, all if not given.
+
+    Texts are read once for their terms, and docs with these are written: frequencies and scores come from that table.
+    """
+    sc = docs.sparkSession.sparkContext
+    chosen, share = _examples(docs, labels, examples)
+    terms = _terms(chosen, least_docs, least_evidence)
+    of = free_name(docs, "terms")
+    rows = written(docs.select(*(docs.columns if carry is None else carry), term_rows(sc.broadcast(terms), F.col("text")).alias(of)), "rows")
+    model_at = sc.broadcast(_model(chosen, share, terms, rows, of, k, doubt))
 
     @F.pandas_udf("score double, predicted int, neighbours array<long>, similarities array<double>, neighbour_labels array<int>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        terms = Terms(model_at.value.terms)
-        for x in batches:
-            yield model_at.value.score(x.tolist(), terms)
+    def score(at: pd.Series, tf: pd.Series) -> pd.DataFrame:
+        return model_at.value.score([(np.asarray(x, dtype=np.int64), np.asarray(n)) for x, n in zip(at, tf, strict=True)])
 
-    return score(text.cast("string"))
+    return rows.withColumn(name, score(F.col(f"{of}.at"), F.col(f"{of}.tf"))).drop(of)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, **parameters: float) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, **parameters: object) -> DataFrame:
     """docs with the columns RESULT; neighbours and their cosines are the evidence."""
-    model_at = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **parameters))
-    found = toxicity(model_at, F.col("text"))
-    return docs.withColumns({x: found[x] for x in RESULT})
+    found = free_name(docs, "found")
+    return with_toxicity(docs, labels, found, **parameters).withColumns({x: F.col(f"{found}.{x}") for x in RESULT}).drop(found)
