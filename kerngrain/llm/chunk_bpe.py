@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import free_name, written
+from ._shared import discard, free_name, written
 from .tokenizing import public_path, tokenizer
 
 WINDOW, BITS, KEEP = 16, 8, 32_000_000
@@ -228,7 +228,8 @@ def shared_insides(texts: DataFrame) -> DataFrame:
             for text in pdf["text"]:
                 for x in {digest(p)[:8] for p in pieces(text, cutter)[1::2]} if text else ():
                     found[x] = found.get(x, 0) + 1
-            yield pd.DataFrame({"low": np.frombuffer(b"".join(found), dtype="<i8"), "n": list(found.values())})
+            if found:
+                yield pd.DataFrame({"low": np.frombuffer(b"".join(found), dtype="<i8"), "n": list(found.values())})
 
     counted = texts.mapInPandas(count, "low long, n long").groupBy("low").agg(F.sum("n").alias("n"))
     return written(counted.where("n > 1"), "shared")
@@ -255,7 +256,8 @@ def table_of(texts: DataFrame, filter_at, path: str) -> DataFrame:
                 for p in pieces(text, cutter)[1::2] if text else ():
                     if shared.has(k := digest(p)):
                         found[k] = p
-            yield pd.DataFrame({"digest": list(found), "inside": list(found.values())})
+            if found:
+                yield pd.DataFrame({"digest": list(found), "inside": list(found.values())})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path)
@@ -279,7 +281,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = F
     results = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    shared = filter_of(shared_insides(texts), filter_words)
+    counted = shared_insides(texts)
+    shared = filter_of(counted, filter_words)
+    discard(counted)
     filter_at = docs.sparkSession.sparkContext.broadcast(shared)
 
     @F.pandas_udf(f"{kind}, parts array<struct<ids:binary,digest:binary>>")

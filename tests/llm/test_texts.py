@@ -1,6 +1,7 @@
 """BPE by chunks, licences, page text and the pipeline: exact agreement, brute force, and odd rows."""
 
 import hashlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -9,10 +10,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kerngrain.llm import dom, licences, wrappers
-from kerngrain.llm.chunk_bpe import Encoder, encode_documents, encoded, whitespace_free
-from kerngrain.llm.near_duplicates import near_duplicates
+from kerngrain.llm import dom, licences, op07, wrappers
+from kerngrain.llm.chunk_bpe import Cutter, Encoder, Filter, digest, encode_documents, filter_of, pieces, place, shared_insides, table_of, whitespace_free
 from kerngrain.llm.tokenizing import public_path, tokenizer
+from tests.llm.test_dedup_pack import brute
 
 PATH = public_path("word_bpe_49k.json")
 DATA = "/root/testdata/sf0.001"
@@ -42,19 +43,57 @@ def test_long_and_repeated_texts_as_the_library(encoder):
     texts = ["a" * 20000, passage, "x" + passage, passage[7:] + "\n" + passage, "<|startoftext|> It's 123!" * 50, "word " * 9000, "", None, " ", "日本" * 3000]
     for text, ids in zip(texts, encoder.encode(texts), strict=True):
         assert (ids, encoder.decode(ids)) == library(text or "")
-    before = encoder.reused
-    encoder.encode([passage])
-    assert encoder.reused - before > 0.8 * len(passage)  # shared chunks aren't encoded again
+
+
+def test_joins_that_disagree_go_to_the_library(encoder):
+    passage = " ".join(f"Word{i}, " for i in range(3000))
+    rows = [pieces(passage, encoder.cutter)]
+    assert len(rows[0]) > 20 and "".join(rows[0]) == passage and encoder._disagreeing(rows) == []
+    other = Encoder(PATH)
+    word = rows[0][2].split()[0].lower() if rows[0][2].split() else "x"
+    other.ids([word])
+    other.plain, other.words[rows[0][2]] = False, b"\0\0\0\0"  # a join whose ids are wrong in every context
+    assert other._disagreeing(rows) == [0] and other.encode([passage])[0] == library(passage)[0]
+
+
+def test_shared_chunks_are_encoded_once(spark):
+    rng = np.random.default_rng(1)
+    passage = " ".join(f"shared{i}" for i in rng.integers(0, 9999, 2000))
+    texts = [f"own{i} " * 5 + passage + f" end{i}" for i in range(6)] + ["alone " + " ".join(f"w{i}" for i in rng.integers(0, 9999, 500)), None, ""]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(4)
+    counted = shared_insides(docs.select("text"))
+    assert counted.agg(F.min("n"), F.max("n")).first() == (6, 6)
+    held = filter_of(counted, 1 << 12)
+    insides = {digest(x) for x in pieces(passage, Cutter())[3:-3:2]}
+    assert insides and all(held.has(x) for x in insides)
+    one = np.zeros(8, dtype=np.uint64)
+    word, bit = place(b"abcdefghijklmnop", 8)
+    one[word] = np.uint64(1 << bit)
+    assert Filter(one).has(b"abcdefghijklmnop") and not Filter(np.zeros(8, dtype=np.uint64)).has(b"abcdefghijklmnop")
+    table = table_of(docs.select("text"), spark.sparkContext.broadcast(held), PATH)
+    assert insides <= {bytes(r.digest) for r in table.collect()} and table.count() < len(insides) + 20
+    for words in (1 << 18, 1):  # a filter that lets all pass gives the same
+        got = {r.doc_id: (bytes(r.ids), r.decoded) for r in encode_documents(docs, filter_words=words).collect()}
+        assert got == {i: library(x or "") for i, x in enumerate(texts)}
+
+
+def test_encoding_query_against_the_library(spark):
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op07.op7_chunked_bpe(spark, DATA).collect()}
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        ids, text = library(r.text or "")
+        assert got[r.doc_id] == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
 def test_encoding_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, "One two"), (1, None), (1, None), (2, "")], "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
-    rows = encode_documents(docs, digests=True).collect()
+    rows = sorted(encode_documents(docs, digests=True).collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
     assert [r.n_tokens for r in rows] == [2, 0, 0, 0] and rows[1].ids_sha256 == hashlib.sha256(b"").hexdigest()
-    assert encode_documents(docs).first().decoded == "one</w> two</w>" and encode_documents(docs.limit(0)).count() == 0
+    assert {r.decoded for r in encode_documents(docs).collect()} == {"one</w> two</w>", ""} and encode_documents(docs.limit(0)).count() == 0
     assert not whitespace_free(public_path("byte_bpe_50k.json"))
     with pytest.raises(ValueError):
-        encoded(public_path("byte_bpe_50k.json"), F.col("text"))
+        encode_documents(docs, public_path("byte_bpe_50k.json"))
 
 
 def test_licences(spark):
@@ -178,7 +217,8 @@ def test_pipeline_stages(spark, tmp_path):
         before, docs = docs, spark.read.parquet(f"file://{tmp_path}/{i}")
         kept[name] = docs.count()
         if name == "near_duplicates":
-            want = {r.doc_id for r in near_duplicates(before).where("kept").collect()}
+            rows = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
+            want = {i for i, (_, _, stays) in brute(rows, 5, Fraction(4, 5)).items() if stays}
             assert {r.doc_id for r in docs.select("doc_id").collect()} == want
         assert (docs.columns == columns) == (name != "packing")
     assert kept["language_id"] == 200 and 150 < kept["toxicity"] < 200 and kept["near_duplicates"] < kept["toxicity"]
@@ -186,6 +226,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() == kept["packing"]
 
 
+def test_pipeline_keeps_one_of_each_group_whatever_the_ids(spark):
+    rows = [(None, "a b c d e f"), (1, "a b c d e f"), (5, "a b c d e f"), (5, "g h i j k l"), (5, "g h i j k l"), (None, "m n o p q r"), (7, None), (None, "m n o p q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit("x"), "group": F.lit(1)})
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    assert got == sorted([("1", "a b c d e f"), ("5", "g h i j k l"), ("None", "m n o p q r"), ("7", "None")])
+
+
 def test_pipeline_of_no_rows(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
