@@ -3,30 +3,39 @@
 A unit vector v is rotated by a random orthogonal matrix R; its code is the signs of Rv, packed in bits, and its
 correction scalar is <x, Rv>, where x is the code as a unit vector of +-1/sqrt(d). For a unit query q the inner product
 is estimated as <x, Rq> / <x, Rv>, and with high probability it is off by at most
-epsilon * sqrt((1 - <x, Rv>^2) / <x, Rv>^2) / sqrt(d - 1). <x, Rq> comes from the bits of a block's codes, unpacked as
-signs, in one product with all queries of the block.
+epsilon * sqrt((1 - <x, Rv>^2) / <x, Rv>^2) / sqrt(d - 1). <x, Rq> comes from the bits, unpacked as signs, in one product
+with many queries.
 
-Search: queries and candidates are dealt to blocks; every pair of a query block and a candidate block is a group. In
-it, the candidates of the largest estimates are reranked by the exact cosine in double precision, and their k-th cosine is
-the mark: every other candidate whose upper bound reaches it is reranked too. The k best of each group meet in a window per query. A query is
-compared with all candidates but in codes; groups have a bounded size (``query_block``, ``block``), and nothing grows
-in the driver. No candidate is capped: bounds alone decide.
+1. All vectors are encoded once, into a table of bits, scalars and vectors. 2. Queries are dealt to blocks of about ``query_block``;
+each block, whose size is therefore bounded, is broadcast, and every task compares it with the codes of its own part of the
+table: candidates are never shuffled or copied. A task keeps the k best of each query so far; the candidates of the
+largest estimates are reranked by the exact cosine in double precision, and then every other one whose upper bound
+reaches the k-th best. 3. The tasks' k best of each query meet in a window. Every query is compared with all codes;
+no candidate is capped: bounds alone decide.
 
-The exact cosine sums products in the order of the components, so that equal vectors get equal scores.
+The exact cosine sums products in the order of the components, so that equal vectors get equal scores; vectors are first
+scaled by a power of two, which changes no digit but keeps the squares of very small and very large components finite.
 
 Edge cases: vectors null, empty, zero, or with null or non-finite components take no part, as query or candidate; vectors of
 different lengths are not compared. Fewer candidates than k: all. Ties go to the smaller id. Rows that repeat an id: each is a
-candidate, but not of a query with the same id. Null ids take no part. No rows: no rows. Further columns are not looked at.
+candidate, but not of a query with the same id; as queries, each has its ranks among those of the id. Null ids take no part.
+No rows: no rows. Further columns are not looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._shared import written
+
+ENCODED = "vec_id long, q boolean, d int, v array<double>, bits binary, correction double"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -66,7 +75,13 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two, so that the largest component is about one."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if len(x) else x
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = scaled(a), scaled(b)
     return dots(a, b) / (np.sqrt(dots(a, a)) * np.sqrt(dots(b, b)))
 
 
@@ -76,52 +91,113 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 5, epsilon: float = 4.0, block: int = 8192, query_block: int = 1024) -> DataFrame:
+def encoded(rows: DataFrame) -> DataFrame:
+    """(vec_id, q, d, v) with bits and correction."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for d, part in pdf.groupby("d"):
+                x = scaled(np.stack(part["v"].to_numpy()))
+                bits, correction = encode(x / np.sqrt((x * x).sum(1, keepdims=True)), rotation(int(d)))
+                yield part.assign(bits=[b.tobytes() for b in bits], correction=correction)
+
+    return rows.mapInPandas(run, ENCODED)
+
+
+@dataclass
+class Queries:
+    """A block of queries of one length, as broadcast."""
+
+    ids: np.ndarray
+    vectors: np.ndarray  # scaled
+
+
+class Search:
+    """The k nearest so far of a block of queries, in one task."""
+
+    def __init__(self, queries: Queries, k: int, epsilon: float) -> None:
+        self.q, self.k, self.epsilon = queries, k, epsilon
+        self.rotate = rotation(queries.vectors.shape[1])
+        self.length = np.sqrt(dots(queries.vectors, queries.vectors))
+        self.unit = queries.vectors / self.length[:, None]
+        n = len(queries.ids)
+        self.scores, self.near = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def _merge(self, rows: np.ndarray, x: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Candidates (row, id, score) of some rows into these rows' k best."""
+        x = np.concatenate([x, np.repeat(np.arange(len(rows)), self.k)])
+        ids = np.concatenate([ids, self.near[rows].ravel()])
+        score = np.concatenate([score, self.scores[rows].ravel()])
+        order = np.lexsort((ids, -score, x))
+        x, ids, score = x[order], ids[order], score[order]
+        rank = np.arange(len(x)) - np.searchsorted(x, x)
+        best = rank < self.k
+        self.scores[rows] = score[best].reshape(len(rows), self.k)
+        self.near[rows] = ids[best].reshape(len(rows), self.k)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray, correction: np.ndarray, step: int = 256) -> None:
+        d, c = len(self.rotate), scaled(vectors)
+        length = np.sqrt(dots(c, c))
+        upper = margin(correction, d, self.epsilon).astype(np.float32) + np.float32(1e-5)
+        signs = signs_of(bits, d).T / (np.sqrt(d) * correction).astype(np.float32)
+        turned = (self.unit @ self.rotate.T).astype(np.float32)
+
+        def exact(rows: np.ndarray, b: np.ndarray) -> np.ndarray:
+            parts = [dots(self.q.vectors[rows[i : i + 100_000]], c[b[i : i + 100_000]]) for i in range(0, len(rows), 100_000)]
+            return np.concatenate([np.zeros(0), *parts]) / (self.length[rows] * length[b])
+
+        probes = min(8 * self.k, len(ids))
+        for at in range(0, len(self.q.ids), step):
+            rows = np.arange(at, min(at + step, len(self.q.ids)))
+            g = turned[rows] @ signs
+            g[self.q.ids[rows][:, None] == ids[None, :]] = -np.inf
+            best = np.argpartition(-g, probes - 1, axis=1)[:, :probes]
+            x, b = np.repeat(np.arange(len(rows)), probes), best.ravel()
+            fine = np.isfinite(g[x, b])
+            x, b = x[fine], b[fine]
+            self._merge(rows, x, ids[b], exact(rows[x], b))
+            g[x, b] = -np.inf
+            # what else may reach the k-th best so far
+            x, b = np.nonzero((g + upper >= self.scores[rows, -1][:, None].astype(np.float32) - np.float32(1e-6)) & np.isfinite(g))
+            self._merge(rows, x, ids[b], exact(rows[x], b))
+
+    def found(self) -> pd.DataFrame:
+        x, j = np.nonzero(np.isfinite(self.scores))
+        return pd.DataFrame({"query_id": self.q.ids[x], "vec_id": self.near[x, j], "score": self.scores[x, j]})
+
+
+def _search(codes: DataFrame, block_at, k: int, epsilon: float) -> DataFrame:
+    """block_at: a broadcast dict of Queries by their length. (query, query_id, vec_id, score): the k best of each task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        searches = {d: Search(q, k, epsilon) for d, q in block_at.value.items()}
+        for pdf in batches:
+            for d, part in pdf.groupby("d"):
+                if d in searches:
+                    bits = np.frombuffer(b"".join(part["bits"]), dtype=np.uint8).reshape(len(part), -1)
+                    searches[d].add(part["vec_id"].to_numpy(), np.stack(part["v"].to_numpy()), bits, part["correction"].to_numpy())
+        for s in searches.values():
+            yield s.found()
+
+    return codes.select("vec_id", "d", "v", "bits", "correction").mapInPandas(run, FOUND)
+
+
+def nearest(vectors: DataFrame, query: Column, k: int = 5, epsilon: float = 4.0, query_block: int = 16384) -> DataFrame:
     """vectors (vec_id, embedding) and which of them are queries, to (query_id, rank, vec_id, score)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("q"))
-    rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("v"))).withColumn("d", F.size("v"))
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
-    n_blocks, n_query_blocks = -(-max(1, sizes["n"]) // block), -(-max(1, sizes["q"]) // query_block)
-    h = F.xxhash64("vec_id", "v")  # equal rows may share a block, but no block gets more than its share of others
-    deal = lambda n: F.pmod(h, F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
-    candidates = rows.withColumn("block", salt).select("vec_id", "v", "d", "block", every(n_query_blocks).alias("query_block"))
-    queries = rows.where("q").withColumn("query_block", deal(n_query_blocks)).select("vec_id", "v", "d", "query_block", every(n_blocks).alias("block"))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = [pd.DataFrame({"query_id": np.zeros(0, dtype=np.int64), "vec_id": np.zeros(0, dtype=np.int64), "score": np.zeros(0)})]
-        if len(left) and len(right):
-            ids, qids = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
-            d = int(left["d"].iloc[0])
-            c, q = np.stack(right["v"].to_numpy()), np.stack(left["v"].to_numpy())
-            unit = lambda x: (y := x / np.abs(x).max(1, keepdims=True)) / np.sqrt((y * y).sum(1, keepdims=True))  # noqa: E731  keeps squares finite
-            rotate = rotation(d)
-            codes, correction = encode(unit(c), rotate)
-            guess = estimates(codes, correction, unit(q), rotate)
-            upper = margin(correction, d, epsilon).astype(np.float32) + np.float32(1e-5)
-            length, q_length = np.sqrt(dots(c, c)), np.sqrt(dots(q, q))
-
-            def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                parts = [dots(q[a[i : i + 100_000]], c[b[i : i + 100_000]]) for i in range(0, len(a), 100_000)]
-                return np.concatenate([np.zeros(0), *parts]) / (q_length[a] * length[b])
-
-            for at in range(0, len(q), 128):
-                rows = np.arange(at, min(at + 128, len(q)))
-                g = guess[rows]
-                g[qids[rows][:, None] == ids[None, :]] = -np.inf
-                # the best by estimate set the mark that others' upper bounds must reach
-                probes = min(8 * k, len(ids))
-                best = np.argpartition(-g, probes - 1, axis=1)[:, :probes]
-                a, b = np.repeat(rows, probes), best.ravel()
-                score = np.where(np.isfinite(np.take_along_axis(g, best, axis=1)), exact(a, b).reshape(best.shape), -np.inf)
-                least = np.partition(score, -k, axis=1)[:, -k] if probes > k else np.full(len(rows), -np.inf)
-                x, b = np.nonzero((g + upper >= least[:, None].astype(np.float32) - np.float32(1e-6)) & np.isfinite(g))
-                near = pd.DataFrame({"query_id": qids[rows[x]], "vec_id": ids[b], "score": exact(rows[x], b)})
-                found.append(near.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k))
-        return pd.concat(found)
-
-    keys = ["d", "query_block", "block"]
-    found = queries.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(search, FOUND)
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(query, F.lit(False)).alias("q"), F.size("embedding").alias("d"), F.col("embedding").cast("array<double>").alias("v"))
+    codes = written(encoded(rows.where(F.col("vec_id").isNotNull() & usable(F.col("v")))), "codes")
+    # rows that repeat a query would each find the same
+    queries = written(codes.where("q").select("vec_id", "d", "v").distinct(), "queries")
+    blocks = max(1, -(-queries.count() // query_block))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    parts = []
+    for i in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toPandas()  # query_block rows, about
+        block = {int(d): Queries(x["vec_id"].to_numpy(), scaled(np.stack(x["v"].to_numpy()))) for d, x in own.groupby("d")}
+        found = _search(codes, spark.sparkContext.broadcast(block), k, epsilon).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        parts.append(found.select("query_id", "rank", "vec_id", "score") if blocks == 1 else written(found.select("query_id", "rank", "vec_id", "score"), "found"))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out
