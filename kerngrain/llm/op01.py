@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir, table
-from .warc import read_warc, resolve_revisits, write_warc
+from ._shared import shared_dir, table, written
+from .warc import checked_revisits, read_warc, resolve_revisits, write_warc
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,7 +14,8 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = pages.select(F.col("page_id").cast("long").alias("record_id"), F.col("url").cast("string").alias("target_uri"), F.col("html").cast("string").cast("binary").alias("payload"))
     path = f"{shared_dir(spark)}/warc"
     write_warc(resolve_revisits(records), path)
-    return read_warc(spark, path, payloads=False).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+    headers = written(read_warc(spark, path, payloads=False), "headers")
+    return checked_revisits(headers).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
 
 
 #: DuckDB's SHA-1 is hexadecimal; five digits give four base32 letters.

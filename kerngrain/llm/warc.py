@@ -8,18 +8,27 @@ read from its beginning by one task and no more than a record is in memory.
 Resolution shuffles headers only to find, for each payload digest that occurs more than once, the record with the smallest
 id; that table, usually small, is joined to the records on the digest. The copies of a payload may be a large
 part of all records: the aggregation combines before the shuffle, and the join's other side is a written table,
-so that Spark broadcasts it or AQE splits a hot digest.
+so that Spark broadcasts it, or, beyond the threshold, shuffles records by digest and AQE splits a hot one.
+
+Reading measures and hashes every payload that it reads; what differs from its header, and a record that ends before its
+length, is an error, and so is a revisit that disagrees with the record it names.
+
+Edge cases: no records give no files and none back; a null payload is empty, a null id an empty URN, a null URI the empty
+text; repeated records are each written; very long payloads are read whole, one at a time. Further columns stay as they are,
+also with names that are used here; result columns replace columns of their own names.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import free_name, written
 
 CRLF = "\r\n"
 VERSION = "WARC/1.1"
@@ -50,10 +59,11 @@ def resolve_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     rows = records.withColumns({"payload": payload, "payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": base32_sha1(payload)})
     headers = rows.select("record_id", "payload_bytes", "payload_digest").where(F.col("payload_bytes") >= min_bytes)
     originals = headers.groupBy("payload_digest").agg(F.min("record_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null")
-    originals = written(originals.select("payload_digest", "original"), "originals")
+    original = free_name(records, "original")
+    originals = written(originals.select("payload_digest", F.col("original").alias(original)), "originals")
     joined = rows.join(originals, "payload_digest", "left")
-    revisit = F.col("original").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("original").eqNullSafe(F.col("record_id"))
-    return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("original"))}).drop("original")
+    revisit = F.col(original).isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col(original).eqNullSafe(F.col("record_id"))
+    return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col(original))}).drop(original)
 
 
 def write_warc(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
@@ -81,19 +91,29 @@ def write_warc(records: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z"
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """All records of the gzip archives at the path, as RECORD; payload is null for revisits. Without payloads, headers alone."""
+    """All records of the gzip archives at the path, as RECORD; payload is null for revisits. Without payloads they are
+    read and checked, but not returned."""
     schema = RECORD if payloads else RECORD.removesuffix(", payload binary")
     names = [x.split()[0] for x in schema.split(", ")]
     between = (CRLF * 2 + VERSION + CRLF).encode()
     lines = spark.read.option("lineSep", between.decode()).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"))
 
+    def record(named: dict[str, str], body: bytes) -> tuple:
+        number = lambda x: int(x) if (x := named.get(x, "").removeprefix("<urn:record:").removesuffix(">")) else None
+        kind, size, digest = named["WARC-Type"], int(named["X-Payload-Length"]), named["WARC-Payload-Digest"].removeprefix("sha1:")
+        if kind == "response" and (size, digest) != (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode()):
+            raise ValueError(f"record {named['WARC-Record-ID']}: the payload is not what its header says")
+        return (number("WARC-Record-ID"), kind, named["WARC-Target-URI"], size, digest, number("WARC-Refers-To"), *([body if kind == "response" else None] if payloads else []))
+
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, pending = None, b""
         for pdf in batches:
             out = []
             for file, value in zip(pdf["file"], pdf["value"], strict=True):
                 if file != at:
-                    at, pending = file, b""
+                    if pending:
+                        raise ValueError(f"{at} ends within a record")
+                    at = file
                     value = value.removeprefix((VERSION + CRLF).encode())
                 pending = pending + between + value if pending else value
                 head, found, body = pending.partition(CRLF.encode() * 2)
@@ -102,10 +122,19 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if size < 0 or len(body) < size:
                     continue  # this record's payload holds what looks like a record's end
                 pending = b""
-                number = lambda x: int(x) if (x := named.get(x, "").removeprefix("<urn:record:").removesuffix(">")) else None
-                kind = named["WARC-Type"]
-                out.append((number("WARC-Record-ID"), kind, named["WARC-Target-URI"], int(named["X-Payload-Length"]), named["WARC-Payload-Digest"].removeprefix("sha1:"), number("WARC-Refers-To"), *([body[:size] if kind == "response" else None] if payloads else [])))
+                out.append(record(named, body[:size]))
             columns = dict(zip(names, zip(*out, strict=True) if out else [()] * len(names), strict=True))
             yield pd.DataFrame(columns | {x: pd.array(columns[x], dtype="Int64") for x in ("record_id", "refers_to")})
+        if pending:
+            raise ValueError(f"{at} ends within a record")
 
     return lines.mapInPandas(records, schema)
+
+
+def checked_revisits(records: DataFrame) -> DataFrame:
+    """Records as read, of which a revisit that disagrees with the response it names, or has none, is an error."""
+    key = [F.col("payload_digest"), F.col("payload_bytes")]
+    answers = records.where("record_type = 'response' and record_id is not null").select(F.col("record_id").alias("refers_to"), *key, F.lit(True).alias("found_")).distinct()
+    revisits = records.where("record_type = 'revisit'").join(answers, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    fine = F.when(F.col("found_"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("no response with the payload of the revisit of record "), F.coalesce(F.col("refers_to").cast("string"), F.lit("?")))))
+    return records.where("record_type = 'response'").union(revisits.withColumn("payload_digest", fine).select(*records.columns))
