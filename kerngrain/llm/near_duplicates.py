@@ -7,8 +7,10 @@ t = 2, 0.99993 at s = 0.8.
 
 Steps, each over all documents:
 
-1. Sets and sub-keys per document; documents with equal sets are one class, which goes on as one node.
-2. Tables: every member of a bucket is paired with the bucket's smallest node and confirmed. That is one pair per
+1. Sets and sub-keys per document; documents with equal sets are one class, which goes on as one node. Equal means a digest
+   of 128 bits and the size: the node is 64 of the bits, and two sets that differ in the rest are an error, not a link.
+2. Tables: keys are counted, and those of more than one node are joined with their nodes again: a table of members, small
+   beside all keys. Every member of a bucket is paired with the bucket's smallest node and confirmed. That is one pair per
    member, whatever the size of the bucket.
 3. Buckets whose members other than the smallest are still of several components may hide links between these. Their
    nodes go through an exact prefix filter: of a set of n shingles ordered by rarity, two sets that meet the threshold
@@ -35,13 +37,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import discard, written
 from .components import connected_components
 from .shingles import Powers, hash_family, minhashes, mix, parts, shingle_sets
 
 #: Of the parities that rule pairs out before their sets are compared.
 BITS = 1024
-SIGNATURE = "doc_id string, text_hash long, n_shingles long, node long, u array<long>, v array<long>"
+SIGNATURE = "doc_id string, text_hash long, n_shingles long, node long, more_digest long, u array<long>, v array<long>"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -49,8 +51,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _node(codes: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(codes.tobytes()) - 2**63
+def _digest(codes: np.ndarray) -> tuple[int, int]:
+    """The node of a set, and 64 bits more."""
+    x = xxhash.xxh3_128_intdigest(codes.tobytes())
+    return (x >> 64) - 2**63, x % 2**64 - 2**63
 
 
 def signatures(docs: DataFrame, size: int, m: int, t: int) -> DataFrame:
@@ -64,7 +68,7 @@ def signatures(docs: DataFrame, size: int, m: int, t: int) -> DataFrame:
                 pdf = whole.iloc[part]
                 sets = shingle_sets(pdf["text"].tolist(), size, powers)
                 some = [i for i, x in enumerate(sets) if len(x)]
-                rows: list[tuple] = [(0, None, None, None)] * len(sets)
+                rows: list[tuple] = [(0, None, None, None, None)] * len(sets)
                 if some:
                     low = minhashes([sets[i] for i in some], a, b).reshape(len(some), 2 * m, t)
                     sub = np.zeros((len(some), 2 * m), dtype=np.uint64)
@@ -72,10 +76,10 @@ def signatures(docs: DataFrame, size: int, m: int, t: int) -> DataFrame:
                         sub = mix(sub + low[:, :, k])
                     sub = sub.view(np.int64)
                     for i, x in zip(some, sub, strict=True):
-                        rows[i] = (len(sets[i]), _node(sets[i]), x[:m], x[m:])
-                n, node, u, v = zip(*rows, strict=True)
+                        rows[i] = (len(sets[i]), *_digest(sets[i]), x[:m], x[m:])
+                n, node, more, u, v = zip(*rows, strict=True)
                 # pandas would make doubles of integers with nulls among them: hence Int64 here, and ids as text
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "text_hash": pdf["text_hash"].to_numpy(), "n_shingles": n, "node": pd.array(node, dtype="Int64"), "u": u, "v": v})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "text_hash": pdf["text_hash"].to_numpy(), "n_shingles": n, "node": pd.array(node, dtype="Int64"), "more_digest": pd.array(more, dtype="Int64"), "u": u, "v": v})
 
     rows = _texts(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
     return rows.mapInPandas(run, SIGNATURE).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -90,7 +94,7 @@ def full_sets(wanted: DataFrame, size: int) -> DataFrame:
             for part in parts(whole["text"]):
                 pdf = whole.iloc[part]
                 sets = shingle_sets(pdf["text"].tolist(), size, powers)
-                good = [i for i, (x, n) in enumerate(zip(sets, pdf["node"], strict=True)) if len(x) and _node(x) == n]
+                good = [i for i, (x, n) in enumerate(zip(sets, pdf["node"], strict=True)) if len(x) and _digest(x)[0] == n]
                 yield pd.DataFrame({"node": pdf["node"].to_numpy()[good], "codes": [sets[i].view(np.int64) for i in good], "bits": [parities(sets[i]) for i in good]})
 
     return wanted.select("node", "text").mapInPandas(run, "node long, codes array<long>, bits array<long>")
@@ -163,14 +167,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
     limit = Fraction(threshold)
     sig = written(signatures(docs, size, m, t), "signatures")
     first = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("at"), "text_hash")
-    nodes = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "u", "v"), first).alias("s"))
-    nodes = written(nodes.select("node", "first_id", "s.*"), "nodes")
-
-    buckets = _keys(nodes, m).groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("low"), F.max("node").alias("high"))
-    buckets = written(buckets.where("members > 1"), "buckets")
-    twos = buckets.where("members = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    more = _keys(nodes, m).join(buckets.where("members > 2").select("key", "low"), "key").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    pairs = written(twos.union(more).distinct(), "stars")
+    nodes = sig.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("first_id"), F.min_by(F.struct("doc_id", "text_hash", "n_shingles", "u", "v"), first).alias("s"),
+        (F.min("more_digest") == F.max("more_digest")).alias("same"), (F.min("n_shingles") == F.max("n_shingles")).alias("same_size"),
+    )
+    node = F.when(F.col("same") & F.col("same_size"), F.col("node")).otherwise(F.raise_error(F.lit("two sets of one node")))
+    nodes = written(nodes.select(node.alias("node"), "first_id", "s.*"), "nodes")
+
+    held = written(_keys(nodes, m).groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "held")
+    members = written(_keys(nodes, m).join(held, "key"), "members")
+    lowest = members.groupBy("key").agg(F.min("node").alias("low"))
+    starred = written(members.join(lowest, "key").where("node <> low"), "starred")
+    discard(members, held)
+    pairs = written(starred.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     met = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")  # every node of a bucket with others
     stands = nodes.join(met, "node").select("node", F.coalesce("doc_id", F.lit(-(2**63))).alias("at"), "text_hash")
     texts = _texts(docs).withColumn("at", F.coalesce("doc_id", F.lit(-(2**63)))).drop("doc_id")
@@ -183,10 +192,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
     links = written(_confirm(likely, sets, limit), "links")
     labels = connected_components(links)
 
-    rooted = nodes.join(met, "node").join(labels, "node", "left").select("node", "n_shingles", "u", "v", F.coalesce("root", "node").alias("root"))
+    rooted = nodes.join(met, "node").join(labels, "node", "left").select("node", "n_shingles", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
     # in a bucket all pairs with its smallest node are done; what may hide is between the others, if they are of several components
-    others = _keys(rooted, m, "root", "n_shingles").join(buckets.where("members > 2").select("key", "low"), "key").where("node <> low")
+    others = written(starred.where("members > 2").select("key", "node").join(rooted, "node"), "others")
     mixed = written(others.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("two")).where("one <> two").select("key"), "mixed")
     open_nodes = written(others.join(mixed, "key").select("node", "root", "n_shingles").distinct(), "open")
     hidden = _confirm(_hidden_pairs(sets, open_nodes, limit), sets, limit)
@@ -196,7 +205,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
     final = written(nodes.select("node", "first_id").join(final, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "final")
     ids = written(final.groupBy("root").agg(F.min("first_id").alias("component_id")), "ids")
     of_node = written(final.join(ids, "root").select("node", "component_id"), "of_node")
-    out = sig.join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    discard(nodes, starred, pairs, met, sets, brief, links, rooted, others, mixed, open_nodes, final, ids)
+    # rows without a set, which may be many, take no part in the join
+    found = sig.where("node is not null").join(of_node, "node").select("doc_id", "n_shingles", "component_id")
+    out = found.union(sig.where("node is null").select("doc_id", "n_shingles", "doc_id"))
+    component = F.col("component_id")
     kept = F.when(component.isNull(), F.lit(True)).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))

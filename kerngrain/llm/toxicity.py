@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import free_name, written
+from ._shared import discard, free_name, written
 
 WORD = re.compile(r"[^\W\d_]+")
 RESULT = ("score", "predicted", "neighbours", "similarities", "neighbour_labels")
@@ -97,8 +97,8 @@ class Index:
     size: int = 256
 
     @classmethod
-    def of(cls, ids: np.ndarray, labels: np.ndarray, rows: list[Row], idf: np.ndarray) -> Index:
-        out = cls(ids, labels, idf)
+    def of(cls, ids: np.ndarray, labels: np.ndarray, rows: list[Row], idf: np.ndarray, size: int = 256) -> Index:
+        out = cls(ids, labels, idf, size=size)
         row, term, w = _flat(rows, idf)
         order = np.lexsort((row, term))
         row, term, w = row[order], term[order], w[order]
@@ -198,7 +198,7 @@ class Model:
 def _examples(docs: DataFrame, labels: DataFrame, examples: int) -> tuple[DataFrame | None, float]:
     """(doc_id, toxic, text) of the examples, None without both classes, and the toxic share of all labels."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = written(known, "labels")
+    known = written(known, "labels")  # a row per label
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if len(sizes) < 2:
@@ -226,7 +226,8 @@ def _terms(chosen: DataFrame | None, least_docs: int, least_evidence: float) ->
                 of.update((w, word_terms(w)) for w in words.difference(of))
                 found[y].update(set().union(*map(of.__getitem__, words)))
         names = sorted(found[0].keys() | found[1].keys())
-        yield pd.DataFrame({"term": names, "toxic": [found[1][x] for x in names], "clean": [found[0][x] for x in names]})
+        if names:
+            yield pd.DataFrame({"term": names, "toxic": [found[1][x] for x in names], "clean": [found[0][x] for x in names]})
 
     counted = chosen.select("text", "toxic").mapInPandas(term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     counted = counted.where(f"a + b >= {int(least_docs)}").where(_evidence(F.col("a"), F.col("b"), sized[1], sized[0]) >= least_evidence)
@@ -283,6 +284,8 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, name: str, examples: int =
     of = free_name(docs, "terms")
     rows = written(docs.select(*(docs.columns if carry is None else carry), term_rows(sc.broadcast(terms), F.col("text")).alias(of)), "rows")
     model_at = sc.broadcast(_model(chosen, share, terms, rows, of, k, doubt))
+    if chosen is not None:
+        discard(chosen)
 
     @F.pandas_udf("score double, predicted int, neighbours array<long>, similarities array<double>, neighbour_labels array<int>")
     def score(at: pd.Series, tf: pd.Series) -> pd.DataFrame:

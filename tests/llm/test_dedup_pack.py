@@ -1,16 +1,18 @@
 """Near-duplicates, packing and WARC against brute force, and on odd rows."""
 
+import gzip
 import struct
 import zlib
 from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kerngrain.llm.near_duplicates import near_duplicates
 from kerngrain.llm.packing import Block, pack
 from kerngrain.llm.tokenizing import public_path, tokenizer
-from kerngrain.llm.warc import read_warc, resolve_revisits, write_warc
+from kerngrain.llm.warc import checked_revisits, read_warc, resolve_revisits, write_warc
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -63,7 +65,7 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("have", [[5000, 1, 300], [2048], [1], [0, 7], [100_000, 50_000, 3, 3, 3]])
+@pytest.mark.parametrize("have", [[5000, 1, 300], [2048], [1], [7], [100_000, 50_000, 3, 3, 3]])
 def test_round_robin_gives_every_token_one_place(have):
     block, places = Block(np.array(have), 2048), {}
     for q, n in enumerate(have):
@@ -94,8 +96,18 @@ def test_packing_round_trip(spark):
         assert list(g.offset) == [0, *g.length.cumsum()[:-1]] and g.length.sum() == g.sequence_length.iloc[0]
         assert g.length.sum() & (g.length.sum() - 1) == 0
     assert pack(spark.createDataFrame([], DOCS)).count() == 0
-    many = spark.range(40).selectExpr("id as doc_id", "'x y' as text", "cast(id as string) as source")
-    assert pack(many, max_queues=8).toPandas().length.sum() == 40 * 3
+
+
+def test_packing_of_many_sources(spark):
+    many = spark.range(3000).selectExpr("id as doc_id", "case when id < 1500 then repeat('x y ', 40) else 'x y' end as text", "case when id < 1500 then concat('large', id % 3) else cast(id as string) end as source")
+    for share in (2.0**-20, 0.01):  # every source its own queue, and small ones together
+        found = pack(many, least_share=share, rest_queues=4, block_tokens=1 << 15).toPandas()
+        first = pack(many.where("id < 1500"), least_share=share).toPandas()
+        assert found.length.sum() == found.groupby("doc_id").doc_tokens.first().sum() and len(found.doc_id.unique()) == 3000
+        full = found[found.sequence_length == 2048]
+        part = full[full.doc_id < 1500].assign(source=full.doc_id % 3).groupby(["sequence_id", "source"]).length.sum()
+        want = first.length.sum() / 3 / found.length.sum() * 2048
+        assert (part - want).abs().max() <= 4  # every window holds the mixture
 
 
 def test_archives_round_trip(spark, tmp_path):
@@ -108,6 +120,17 @@ def test_archives_round_trip(spark, tmp_path):
     got = sorted((str(r.record_id), r.record_type, r.payload_bytes, str(r.refers_to), bytes(r.payload) if r.payload is not None else None) for r in back)
     n = len(nasty)
     assert got == sorted([("3", "response", n, "None", nasty), ("3", "response", n, "None", nasty), ("5", "revisit", n, "3", None), ("4", "response", 0, "None", b""), ("6", "revisit", 0, "4", None), ("7", "response", 4, "None", b"only"), ("None", "revisit", 4, "7", None)])
+    with pytest.raises(Exception, match="no response with the payload"):
+        checked_revisits(read_warc(spark, path).where("record_id <> 3 or record_id is null")).collect()
+    file = next((tmp_path / "warc").glob("*.gz"))
+    plain = gzip.decompress(file.read_bytes())
+    for name, damaged in (("other", plain.replace(b"only", b"0nly", 1)), ("short", plain[: plain.rindex(b"only") + 2])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc.gz").write_bytes(gzip.compress(damaged))
+        with pytest.raises(Exception, match="the payload is not|ends within a record"):
+            read_warc(spark, f"file://{tmp_path}/{name}", payloads=False).collect()
+    clash = spark.createDataFrame(rows, "record_id long, target_uri string, payload binary").withColumn("original", F.lit(1))
+    assert resolve_revisits(clash).where("original = 1").count() == len(rows)
     small = resolve_revisits(spark.createDataFrame(rows, "record_id long, target_uri string, payload binary"), min_bytes=5).collect()
     assert sorted(str(r.record_id) for r in small if r.record_type == "revisit") == ["5"]
     assert resolve_revisits(spark.createDataFrame([], "record_id long, target_uri string, payload binary")).count() == 0

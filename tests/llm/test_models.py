@@ -1,5 +1,7 @@
 """Language ID, toxicity, quality rules and neighbours: against brute force, on held-out folds, and on odd rows."""
 
+import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -12,14 +14,19 @@ from kerngrain.llm.binary_codes import cosines, encode, estimates, margin, neare
 from kerngrain.llm.fertility import base_counts, main_script, quality, repeated_words
 from kerngrain.llm.language_id import Letters, identify, ngram_counts
 from kerngrain.llm.queries import ORACLE_SQL, QUERIES
-from kerngrain.llm.toxicity import Index, _flat, score_toxicity
+from kerngrain.llm.toxicity import Index, _flat, logistic, score_toxicity
 
 DATA = "/root/testdata/sf0.001"
 
 
 def test_index_finds_the_exact_neighbours():
     rng = np.random.default_rng(0)
-    rows = [Counter({int(t): int(rng.integers(1, 4)) for t in rng.choice(60, rng.integers(0, 12), replace=False)}) for _ in range(700)]
+
+    def row():
+        at = np.sort(rng.choice(60, rng.integers(0, 12), replace=False))
+        return at, rng.integers(1, 4, len(at))
+
+    rows = [row() for _ in range(700)]
     rows[10] = rows[5]
     idf = rng.random(60) + 0.5
 
@@ -29,16 +36,71 @@ def test_index_finds_the_exact_neighbours():
         out[r, t] = w
         return out
 
-    index = Index.of(np.arange(len(rows)), np.zeros(len(rows), dtype=int), rows, idf)
-    queries = rows[:90]
-    near, cos = index.nearest(queries, 9)
-    exact = dense(queries) @ dense(rows).T
-    for i in range(len(queries)):
-        want = sorted(np.round(exact[i][exact[i] > 0], 9), reverse=True)[:9]
-        assert np.round(cos[i][near[i] >= 0], 9).tolist() == want
-        assert np.allclose(exact[i][near[i][near[i] >= 0]], want)
-    but, _ = index.nearest(queries, 9, but=np.arange(90))
-    assert all(i not in but[i] for i in range(90))
+    exact = dense(rows[:90]) @ dense(rows).T
+    for size in (16, 256):
+        index = Index.of(np.arange(700)[::-1], np.zeros(700, dtype=int), rows, idf, size)
+        near, cos = index.nearest(rows[:90], 9)
+        for i in range(90):
+            want = sorted(((-round(exact[i][j], 9), 699 - j, j) for j in range(700) if exact[i][j] > 0))[:9]
+            assert np.allclose(cos[i][near[i] >= 0], [-x for x, _, _ in want])
+            assert [(-round(c, 9), 699 - j) for c, j in zip(cos[i], near[i], strict=True) if j >= 0] == [x[:2] for x in want]  # ties to the smaller id
+        but, _ = index.nearest(rows[:90], 9, but=np.arange(90))
+        assert all(i not in but[i] for i in range(90))
+
+
+def log_likelihood(a, b, n1, n0):
+    cells = [(a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n1 + n0 - a - b), (n0 - b, n0, n1 + n0 - a - b)]
+    return 2 * sum(n * np.log(n * (n1 + n0) / (row * of)) for n, of, row in cells if n)
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """Terms, frequencies, cosines, neighbours, votes and curve from plain dictionaries."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    label = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+
+    def counts(text):
+        out = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            x = f"^{w}$"
+            out.update([x] + [y for y in (x[i : i + n] for n in (3, 4) for i in range(len(x) - n + 1)) if y != x])
+        return out
+
+    bags = {i: counts(t) for i, t in rows}
+    train = [i for i, _ in rows if i in label and label[i] is not None and zlib.crc32(str(i).encode()) % 5]
+    n1, n0 = sum(label[i] for i in train), sum(1 - label[i] for i in train)
+    seen = {1: Counter(), 0: Counter()}
+    for i in train:
+        seen[label[i]].update(bags[i].keys())
+    terms = {x for x in seen[0] | seen[1] if seen[1][x] + seen[0][x] >= 3 and log_likelihood(seen[1][x], seen[0][x], n1, n0) >= 15.14}
+    df = Counter(x for b in bags.values() for x in b if x in terms)
+    idf = {x: np.log((1 + len(rows)) / (1 + df[x])) + 1 for x in terms}
+
+    def unit(bag):
+        w = {x: (1 + np.log(n)) * idf[x] for x, n in bag.items() if x in terms}
+        size = np.sqrt(sum(v * v for v in w.values()))
+        return {x: v / size for x, v in w.items()}
+
+    units = {i: unit(b) for i, b in bags.items()}
+
+    def nearest_to(i, but=None):
+        found = [(sum(v * units[j].get(x, 0.0) for x, v in units[i].items()), j) for j in train if j != but]
+        return sorted((-round(c, 12), j) for c, j in found if c > 0)[:15]
+
+    def vote(near):
+        w = [(c * c, label[j]) for c, j in near]
+        return sum(a * y for a, y in w) / (sum(a for a, _ in w) + 0.25)
+
+    y = np.array([label[i] for i in train], dtype=float)
+    own = np.array([vote(nearest_to(i, i)) for i in train])
+    share = y.mean()
+    slope, intercept = logistic(own, y, np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y))
+    got = {r.doc_id: r for r in op02.op2_toxicity(spark, DATA).collect()}
+    assert len(terms) > 5 and len(got) == len(rows)
+    for i, _ in rows:
+        near = nearest_to(i)
+        assert np.allclose(got[i].similarities, [-c for c, _ in near]) and got[i].neighbours == [j for _, j in near]
+        assert abs(got[i].score - 1 / (1 + np.exp(-(slope * vote(near) + intercept)))) < 1e-6
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i].predicted == (got[i].score >= 0.5)
 
 
 def test_toxicity_on_the_held_out_fold(spark):
@@ -51,8 +113,10 @@ def test_toxicity_on_the_held_out_fold(spark):
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, "bad word here", 0.5), (2, None, 1.0), (3, "", 1.0), (None, "good " * 20000, 1.0), (4, "you bad thing", 1.0), (4, "you bad thing", 1.0), (5, "fine good", 1.0), (6, "bad bad", 1.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (4, 1), (5, 0), (6, 1), (2, None), (None, 1), (5, 0)], "doc_id long, toxic int")
-    got = score_toxicity(docs, labels, least_docs=2).collect()
+    got = score_toxicity(docs, labels, least_docs=2, least_evidence=2.0).collect()
     assert len(got) == 8 and all(0 <= r.score <= 1 for r in got)
+    assert {r.doc_id: r.predicted for r in got}[6] == 1 and len({r.score for r in got if r.doc_id == 4}) == 1
+    assert {r.score for r in score_toxicity(docs, labels).collect()} == {0.75}  # no term is beyond chance
     none = score_toxicity(docs, labels.limit(0)).collect()
     assert [r.score for r in none] == [0.0] * 8 and not any(r.predicted for r in none)
     assert score_toxicity(docs, labels.where("toxic = 1")).first().score == 1.0
@@ -141,16 +205,18 @@ def test_error_bounds_hold():
 def test_neighbours_of_odd_rows(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(10).tolist()) for i in range(300)]
-    rows += [(300, None), (301, []), (302, [0.0] * 10), (303, [float("nan")] + [1.0] * 9), (304, [None] + [1.0] * 9), (305, [1.0, 2.0]), (None, [1.0] * 10), (306, rows[0][1]), (307, [2 * v for v in rows[0][1]])]
+    rows += [(300, None), (301, []), (302, [0.0] * 10), (303, [float("nan")] + [1.0] * 9), (304, [None] + [1.0] * 9), (305, [1.0, 2.0]), (None, [1.0] * 10), (306, rows[0][1]), (307, [2 * v for v in rows[0][1]]), (350, [1e-200, 0.0]), (351, [3e-200, 1e-200]), (352, [1e200, 1e200]), (352, [1e200, 1e200]), (353, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("query_id", F.lit(1))
-    got = nearest(df, F.col("vec_id") % 50 == 0, block=64, query_block=3).toPandas()
+    got = nearest(df, F.col("vec_id") % 50 == 0, query_block=3).toPandas()
     use = {i: np.array(v) for i, v in rows[:300]} | {306: np.array(rows[0][1]), 307: 2 * np.array(rows[0][1])}
     for q in (0, 50, 250):
         others = [i for i in use if i != q]
         score = cosines(np.stack([use[q]] * len(others)), np.stack([use[i] for i in others]))
         want = sorted(zip(-score, others, strict=True))[:5]
         assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == [i for _, i in want]
-    assert set(got.query_id) == {0, 50, 100, 150, 200, 250}  # 300 is null
+    assert set(got.query_id) == {0, 50, 100, 150, 200, 250, 350}  # 300 is null
+    small = got[got.query_id == 350].sort_values("rank")
+    assert small.vec_id.tolist() == [351, 352, 352, 305, 353] and np.allclose(small.score, [3 / 10**0.5, 0.5**0.5, 0.5**0.5, 1 / 5**0.5, -1])
     assert nearest(df.limit(0), F.lit(True)).count() == 0
 
 
