@@ -21,8 +21,7 @@ from kerngrain.llm.language_id import fit as fit_language
 from kerngrain.llm.language_id import language
 from kerngrain.llm.near_duplicates import near_duplicates
 from kerngrain.llm.packing import pack
-from kerngrain.llm.toxicity import fit as fit_toxicity
-from kerngrain.llm.toxicity import toxicity
+from kerngrain.llm.toxicity import with_toxicity
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,21 +32,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that score below 0.5; learns from the labels that op2 learns from."""
-    model_at = spark.sparkContext.broadcast(fit_toxicity(docs, op02.training(table(spark, sf_dir, "labels"))))
-    return docs.where(toxicity(model_at, F.col("text"))["predicted"] == 0)
+    found = free_name(docs, "found")
+    return with_toxicity(docs, op02.training(table(spark, sf_dir, "labels")), found).where(F.col(found)["predicted"] == 0).drop(found)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: shingles of five words, a similarity of 0.8 or more."""
-    found = near_duplicates(docs)
-    keep = written(found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    own = F.col("doc_id").cast("long")
-    text_hash = free_name(docs, "text_hash")
-    kept = docs.join(keep, own.eqNullSafe(F.col("kept_id")), "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    # ids that repeat: of equal texts of an id one row stays
-    return kept.withColumn(text_hash, F.xxhash64("text")).dropDuplicates(["doc_id", text_hash]).drop(text_hash)
+    row = free_name(docs, "row")
+    # of the written table, so that rows keep their numbers; ids and numbers go through the operator, texts don't come back
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("component_id").alias("group"))
+    best = F.min_by(row, F.struct(F.col("doc_id").cast("long").isNull(), F.col("doc_id").cast("long"), F.col(row)))
+    keep = written(found.join(rows.select(row, "doc_id"), row).groupBy("group").agg(best.alias(row)).select(row), "kept")
+    return rows.join(keep, row, "left_semi").drop(row)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
