@@ -130,7 +130,7 @@ def rfc3339(at: Column) -> Column:
 
 def record_id(observed_at_ns: Column, *parts: Column) -> Column:
     """Sortable by time and the same at each replay: milliseconds, then a digest of what identifies the record."""
-    ms = F.lpad((observed_at_ns / 1_000_000).cast("long").cast("string"), 15, "0")
+    ms = F.lpad(F.call_function("div", observed_at_ns, F.lit(1_000_000)).cast("string"), 15, "0")
     return F.concat(ms, F.lit("-"), F.substring(F.sha2(F.concat_ws("~", *parts), 256), 1, 16))
 
 

@@ -30,20 +30,24 @@ def resynced(known: DataFrame, seen: DataFrame) -> DataFrame:
 def bind(events: DataFrame, cgroups: DataFrame, pods: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """Events with container_id, pod_uid, namespace, provenance and unbound_reason.
 
-    live (node_id, pid, path) is looked at first and is observed; the inventory of cgroups is derived. Inventories are joined
-    as they are: Spark broadcasts one whose size is below the threshold, and shuffles by key beyond it.
+    cgroups: cluster, node_id, cgroup_id, path, as numbers of cgroups repeat between nodes. live (cluster, node_id, pid, path) is
+    looked at first and is observed; the inventory of cgroups is derived. Inventories are joined as they are: Spark
+    broadcasts one whose size is below the threshold, and shuffles by key beyond it. Events without a cgroup or container,
+    of which there are many, are dealt evenly under keys that no inventory has.
     """
-    listed = cgroups.groupBy("cgroup_id").agg(F.max("path").alias("listed"))
-    rows = events.join(listed, "cgroup_id", "left")
+    node = ["cluster", "node_id"]
+    spread = F.pmod(F.xxhash64("event_id"), F.lit(1 << 20))
+    listed = cgroups.groupBy(*node, F.col("cgroup_id").alias("key_")).agg(F.max("path").alias("listed"))
+    rows = events.withColumn("key_", F.when(F.col("cgroup_id") != 0, F.col("cgroup_id")).otherwise(-1 - spread)).join(listed, [*node, "key_"], "left").drop("key_")
     if live is not None:
-        rows = rows.join(live.groupBy("node_id", "pid").agg(F.max("path").alias("live")), ["node_id", "pid"], "left")
+        rows = rows.join(live.groupBy(*node, "pid").agg(F.max("path").alias("live")), [*node, "pid"], "left")
     else:
         rows = rows.withColumn("live", F.lit(None).cast("string"))
     own = container_of_path(F.col("live"))
     rows = rows.withColumn("box", F.coalesce(own, container_of_path(F.col("listed"))))
     rows = rows.withColumns({"container_id": F.when(F.col("cgroup_id") != 0, F.col("box.id")), "provenance": F.when(own.isNotNull(), "observed").when(F.col("box").isNotNull(), "derived")})
-    known = pods.select(F.lower("container_id").alias("container_id"), "pod_uid", "namespace").dropDuplicates(["container_id"])
-    rows = rows.join(known, "container_id", "left")
+    known = pods.select(F.lower("container_id").alias("key_"), "pod_uid", "namespace").dropDuplicates(["key_"])
+    rows = rows.withColumn("key_", F.coalesce("container_id", F.concat(F.lit("none "), spread))).join(known, "key_", "left").drop("key_")
     path = F.coalesce("live", "listed")
     reason = F.when(F.col("cgroup_id") == 0, "no_cgroup").when(path.isNull(), "cache_miss").when(F.col("container_id").isNull(), "host_process").when(F.col("pod_uid").isNull(), "cache_miss")
     out = rows.withColumn("unbound_reason", reason)

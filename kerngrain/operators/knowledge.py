@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .rules import RULES
+from .rules import ACTIONS, RULES
 
 LAYERS = ("tcp", "memory", "fs", "process", "sched")
 KB = "version string, layer string, description string, probes array<struct<function:string,attachment:string,event_type:string,layer:string,answers:array<string>,keywords:array<string>,combine_with:array<string>,fields:array<struct<name:string,important:boolean>>>>"
-RANK = {"critical": 3, "error": 2, "warning": 1, "info": 0}
 
 
 def load(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -64,20 +63,64 @@ def explain(events: DataFrame) -> DataFrame:
     return events.withColumns({"rule_id": pick("id"), "rule_severity": pick("severity"), "conclusion": pick("conclusion")})
 
 
-def ask(questions: DataFrame, kb: DataFrame, events: DataFrame, last_ns: int | None = None, k: int = 3) -> DataFrame:
-    """Q5: a row for each question: the worst and then newest event that the best k probes' events can explain.
+def explain_all(events: DataFrame) -> DataFrame:
+    """A row for each rule that an event meets, ``place`` 1 for the first."""
+    rows = events.select("*", F.posexplode(matching(F.col("event_type"), F.col("ret"), F.col("tcp_state"))).alias("place", "at"))
+    pick = lambda name: F.get(F.array(*[F.lit(getattr(r, name)) for r in RULES]), F.col("at"))
+    return rows.withColumns({"place": F.col("place") + 1, "rule_id": pick("id"), "rule_severity": pick("severity"), "conclusion": pick("conclusion")}).drop("at")
 
-    Events are reduced to one for each type before they meet the questions, so that neither number multiplies the other.
-    Without a match, an event or a rule the answer says so.
+
+def action(rule_id: Column) -> Column:
+    """What to do about what a rule says."""
+    return F.coalesce(*[F.when(rule_id == k, v) for k, v in ACTIONS.items()])
+
+
+def explain_value(kb: DataFrame, asked: DataFrame) -> DataFrame:
+    """Q2: asked (function, ret, tcp_state) with the first rule that the function's event would meet; without one the probe's
+    own description, and of a function that the base doesn't have an error."""
+    rows = asked.join(kb.select("function", "event_type", "attachment", "answers"), "function", "left")
+    out = explain(rows)
+    info = F.concat(F.col("attachment"), F.lit(" of "), F.col("event_type"), F.lit(": "), F.array_join("answers", "; "))
+    return out.select("function", "ret", "tcp_state", "rule_id", "rule_severity", action(F.col("rule_id")).alias("action"),
+                      F.when(F.col("event_type").isNull(), "unknown function").when(F.col("rule_id").isNull(), info).otherwise(F.col("conclusion")).alias("answer"))
+
+
+NO_PROBE, NO_EVENT, NO_RULE = "no probe answers this", "no event tells", "no event has an interpretation"
+
+
+def ask(questions: DataFrame, kb: DataFrame, events: DataFrame, since_ns: int | None = None, max_events: int = 100, k: int = 3) -> DataFrame:
+    """Q5: a row for each question: what the newest event tells that has an interpretation, of the newest ``max_events`` events of
+    the best k probes since a time; with its severity, what to do, the events looked at and the probes used.
+
+    kb_only says that no event was there, so that all that is known is which probes would tell. Without a match, an event or an
+    interpretation the answer says so; nothing fails. Events are reduced to the newest max_events of each type before they
+    meet the questions.
     """
-    rows = explain(events if last_ns is None else events.where(F.col("observed_at_ns") >= last_ns)).where("rule_id is not null")
-    worst = F.coalesce(*[F.when(F.col("rule_severity") == s, n) for s, n in RANK.items()])
-    top = rows.groupBy("event_type").agg(F.max(F.struct(worst.alias("rank"), "observed_at_ns", "event_id", "rule_id", "rule_severity", "conclusion")).alias("top"))
-    found = find(questions, kb, k).select("question_id", "event_type", F.col("rank").alias("probe_rank"))
-    best = found.join(top, "event_type", "left").groupBy("question_id").agg(F.count("*").alias("n_probes"), F.max(F.struct("top.rank", "top.observed_at_ns", "top.event_id", "top.rule_id", "top.rule_severity", "top.conclusion")).alias("b"))
-    out = questions.join(best, "question_id", "left")
-    answer = F.when(F.col("n_probes").isNull(), "no probe answers this").when(F.col("b.rule_id").isNull(), "no event tells").otherwise(F.col("b.conclusion"))
-    return out.select("question_id", answer.alias("answer"), F.col("b.rule_severity").alias("severity"), F.col("b.event_id").alias("event_id"), F.coalesce("n_probes", F.lit(0)).alias("n_probes"))
+    rows = events if since_ns is None else events.where(F.col("observed_at_ns") >= since_ns)
+    newest = [F.desc("observed_at_ns"), F.desc("event_id")]
+    by_type = explain(rows).withColumn("rn", F.row_number().over(Window.partitionBy("event_type").orderBy(*newest))).where(F.col("rn") <= max_events)
+    few = by_type.select("event_type", "observed_at_ns", "event_id", "rule_id", "rule_severity", "conclusion")
+    found = find(questions, kb, k).select("question_id", "function", "event_type", F.col("rank").alias("probe_rank"))
+    probes = found.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("probe_rank", "function"))), lambda x: x["function"]), ",").alias("probes_used"))
+    ranked = found.join(few, "event_type").withColumn("rn", F.row_number().over(Window.partitionBy("question_id").orderBy(*newest))).where(F.col("rn") <= max_events)
+    told = F.struct("rn", "event_id", "rule_id", "rule_severity", "conclusion")
+    seen = ranked.groupBy("question_id").agg(F.min(F.when(F.col("rule_id").isNotNull(), told)).alias("b"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "event_id"))), lambda x: x["event_id"]), ",").alias("events"))
+    out = questions.join(probes, "question_id", "left").join(seen, "question_id", "left")
+    answer = F.when(F.col("probes_used").isNull(), NO_PROBE).when(F.col("events").isNull(), NO_EVENT).when(F.col("b.rule_id").isNull(), NO_RULE).otherwise(F.col("b.conclusion"))
+    return out.select("question_id", answer.alias("answer"), F.col("b.rule_severity").alias("severity"), action(F.col("b.rule_id")).alias("action"), F.col("b.event_id").alias("event_id"),
+                      F.coalesce("events", F.lit("")).alias("events"), F.coalesce("probes_used", F.lit("")).alias("probes_used"), F.col("events").isNull().alias("kb_only"))
+
+
+def listed(kb: DataFrame, layer: str | None = None) -> DataFrame:
+    """Q6: the base's probes, of one layer or all, in their order."""
+    rows = kb if layer is None else kb.where(F.col("layer") == layer)
+    return rows.select("position", "layer", "function", "attachment", "event_type", F.array_join("answers", "; ").alias("answers"))
+
+
+def repeated(kb: DataFrame) -> DataFrame:
+    """Functions and event types that the base has more than once."""
+    names = kb.select(F.explode(F.array(F.concat(F.lit("function "), "function"), F.concat(F.lit("type "), "event_type"))).alias("name"))
+    return names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def dangling(kb: DataFrame) -> DataFrame:

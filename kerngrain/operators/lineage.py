@@ -7,15 +7,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], bucket: int | None = None) -> DataFrame:
     """Left rows with the values of the latest right row at or before them: one window over both sides, no range join.
 
-    A row of the right side at the same time counts as before. Without one the values are null.
+    A row of the right side at the same time counts as before. Without one the values are null. With a bucket, a span of time,
+    windows are over keys and spans, and each span begins with the last row of those before: for keys of many rows.
     """
     mine = [c for c in left.columns if c not in keys]
     l = left.select(*keys, F.col(left_time).alias("at_"), F.lit(1).alias("side_"), F.struct(*mine).alias("row_"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("value_"))  # noqa: E741
     r = right.select(*keys, F.col(right_time).alias("at_"), F.lit(0).alias("side_"), F.lit(None).cast(l.schema["row_"].dataType).alias("row_"), F.struct(*values).alias("value_"))
-    before = Window.partitionBy(*keys).orderBy("at_", "side_").rowsBetween(Window.unboundedPreceding, 0)
+    by = list(keys)
+    if bucket is not None:
+        by.append("span_")
+        span = F.floor(F.col("at_") / bucket).alias("span_")
+        l, r = l.withColumn("span_", span), r.withColumn("span_", span)
+        last = l.select(*by).distinct().join(r.groupBy(*by).agg(F.max_by("value_", "at_").alias("last_")), by, "full")
+        before = Window.partitionBy(*keys).orderBy("span_").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.withColumn("value_", F.last("last_", ignorenulls=True).over(before)).where("value_ is not null")
+        at = F.col("span_") * F.lit(bucket) - 1
+        r = r.unionByName(carried.select(*keys, at.cast("long").alias("at_"), F.lit(0).alias("side_"), F.lit(None).cast(l.schema["row_"].dataType).alias("row_"), "value_", "span_"))
+    before = Window.partitionBy(*by).orderBy("at_", "side_").rowsBetween(Window.unboundedPreceding, 0)
     both = l.unionByName(r).withColumn("found_", F.last("value_", ignorenulls=True).over(before)).where("side_ = 1")
     return both.select(*keys, *[F.col(f"row_.{c}").alias(c) for c in mine], *[F.col(f"found_.{v}").alias(v) for v in values])
 
@@ -27,14 +38,15 @@ def placements(moves: DataFrame, *keys: str) -> DataFrame:
 
 def parents(execs: DataFrame) -> DataFrame:
     """Executions with their parent's command: the last execution of that pid on the node at or before."""
-    other = execs.select("node_id", F.col("pid").alias("parent"), F.col("observed_at_ns").alias("since"), F.col("comm").alias("parent_comm"), F.col("event_id").alias("parent_event"))
-    mine = execs.select("node_id", F.col("ppid").alias("parent"), "event_id", "pid", "observed_at_ns", "comm").where("parent is not null")
-    return as_of(mine, other, ["node_id", "parent"], "observed_at_ns", "since", ["parent_comm", "parent_event"])
+    node = ["cluster", "node_id", "boot_id"]
+    other = execs.select(*node, F.col("pid").alias("parent"), F.col("observed_at_ns").alias("since"), F.col("comm").alias("parent_comm"), F.col("event_id").alias("parent_event"))
+    mine = execs.select(*node, F.col("ppid").alias("parent"), "event_id", "pid", "observed_at_ns", "comm").where("parent is not null")
+    return as_of(mine, other, [*node, "parent"], "observed_at_ns", "since", ["parent_comm", "parent_event"])
 
 
 def wall_clock(events: DataFrame, samples: DataFrame) -> DataFrame:
-    """event_time by the last clock sample (node_id, boot_ns, wall_us) of the node."""
-    found = as_of(events, samples, ["node_id"], "observed_at_ns", "boot_ns", ["boot_ns", "wall_us"])
+    """event_time by the last clock sample (cluster, node_id, boot_id, boot_ns, wall_us) of the node, minute by minute."""
+    found = as_of(events, samples, ["cluster", "node_id", "boot_id"], "observed_at_ns", "boot_ns", ["boot_ns", "wall_us"], 60_000_000_000)
     return found.withColumn("event_time_us", F.col("wall_us") + F.expr("(observed_at_ns - boot_ns) div 1000"))
 
 
@@ -49,7 +61,8 @@ def edges(bound: DataFrame) -> DataFrame:
     pod = F.when(F.col("pod_uid").isNotNull(), F.struct(F.lit("container_in_pod").alias("kind"), F.col("container_id").alias("a"), F.col("pod_uid").alias("b")))
     on = F.when(F.col("pod_uid").isNotNull(), F.struct(F.lit("pod_on_node").alias("kind"), F.col("pod_uid").alias("a"), F.col("node_id").alias("b")))
     cgroup = F.struct(F.lit("process_in_cgroup").alias("kind"), F.concat(F.col("node_id"), F.lit("/"), F.col("pid")).alias("a"), F.col("cgroup_id").cast("string").alias("b"))
-    return bound.select(F.explode(F.array_compact(F.array(cgroup, pod, on))).alias("x")).select("x.*").distinct()
+    box = F.when(F.col("pod_uid").isNotNull(), F.struct(F.lit("process_in_container").alias("kind"), F.concat(F.col("node_id"), F.lit("/"), F.col("pid")).alias("a"), F.col("container_id").alias("b")))
+    return bound.select(F.explode(F.array_compact(F.array(cgroup, box, pod, on))).alias("x")).select("x.*").distinct()
 
 
 def receipts(samples: DataFrame, most_ns: int) -> DataFrame:

@@ -101,18 +101,37 @@ def gate(events: DataFrame, files: bool = False) -> DataFrame:
 
 def deliver(batch: DataFrame, delivered: DataFrame) -> DataFrame:
     """K5: items with idempotency_key and status: ACCEPTED once, DUPLICATE if delivered before or earlier in the batch, REJECTED without cluster or node."""
-    first = Window.partitionBy("idempotency_key").orderBy("observed_at_ns", "id")
-    rows = batch.withColumn("rn", F.row_number().over(first)).join(delivered.select("idempotency_key", F.lit(True).alias("before")).distinct(), "idempotency_key", "left")
     blank = (F.coalesce(F.trim("cluster"), F.lit("")) == "") | (F.coalesce(F.trim("node_id"), F.lit("")) == "")
-    return rows.withColumn("status", F.when(blank, "REJECTED").when((F.col("rn") > 1) | F.col("before"), "DUPLICATE").otherwise("ACCEPTED")).drop("rn", "before")
+    first = Window.partitionBy("idempotency_key", "blank_").orderBy("observed_at_ns", "id")  # what is rejected precedes nothing
+    rows = batch.withColumn("blank_", blank).withColumn("rn", F.row_number().over(first)).join(delivered.select("idempotency_key", F.lit(True).alias("before")).distinct(), "idempotency_key", "left")
+    return rows.withColumn("status", F.when(F.col("blank_"), "REJECTED").when((F.col("rn") > 1) | F.col("before"), "DUPLICATE").otherwise("ACCEPTED")).drop("rn", "before", "blank_")
 
 
 def delivery_results(items: DataFrame, *keys: str) -> DataFrame:
-    """Accepted (duplicates too) and rejected items of each batch."""
-    return items.groupBy(*keys).agg(F.count_if(F.col("status").isin("ACCEPTED", "DUPLICATE")).alias("accepted"), F.count_if(F.col("status") == "REJECTED").alias("rejected"))
+    """Accepted (duplicates too) and rejected items of each batch, what was rejected for which reason, and whether trying again can help.
+
+    A rejected item says why in ``reason``, where there is such a column; only one that is ``retryable`` makes its batch so.
+    """
+    reason = F.col("reason") if "reason" in items.columns else F.lit("blank cluster or node")
+    again = F.coalesce(F.col("retryable"), F.lit(False)) if "retryable" in items.columns else F.lit(False)
+    bad = F.col("status") == "REJECTED"
+    counts = items.groupBy(*keys, F.when(bad, reason).alias("reason_")).agg(F.count_if(F.col("status").isin("ACCEPTED", "DUPLICATE")).alias("good"), F.count_if(bad).alias("bad"), F.max(bad & again).alias("again"))
+    said = F.when(F.col("bad") > 0, F.concat("reason_", F.lit(": "), F.col("bad")))
+    return counts.groupBy(*keys).agg(F.sum("good").alias("accepted"), F.sum("bad").alias("rejected"), F.array_join(F.array_sort(F.collect_list(said)), "; ").alias("reasons"), F.max("again").alias("retryable"))
 
 
 def backlog_gauges(backlog: DataFrame, now_ms: int, stalled_ms: int = 60_000) -> DataFrame:
     """A10: queued batches, records and bytes, the oldest one's age, and whether a node is stalled."""
     oldest = F.lit(now_ms) - F.min("enqueued_ms")
     return backlog.groupBy("cluster", "node_id").agg(F.count("*").alias("batches"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"), oldest.alias("oldest_ms"), (oldest > stalled_ms).alias("stalled"))
+
+
+def with_gap(lost: DataFrame, cause: str) -> DataFrame:
+    """A12, ST6: the gap records of events that a limit (rate_limit) or an age (retry_buffer_expired) took."""
+    return gap_records(gaps(lost, cause, "cluster", "node_id"))
+
+
+def append_result(bound: DataFrame, *keys: str) -> DataFrame:
+    """K4: of a batch for the neutral pipeline what went on, what was unbound, and the status of the whole."""
+    out = bound.groupBy(*keys).agg(F.count_if(F.col("unbound_reason").isNull()).alias("accepted"), F.count_if(F.col("unbound_reason").isNotNull()).alias("rejected"))
+    return out.withColumn("status", F.when(F.col("rejected") == 0, "ok").when(F.col("accepted") == 0, "failure").otherwise("partial_failure"))

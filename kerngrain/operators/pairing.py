@@ -12,6 +12,6 @@ def paired(events: DataFrame) -> DataFrame:
 
     An enter overwrites the one before and an exit clears it, so a path is at hand only if the row before is an enter.
     """
-    by = Window.partitionBy("node_id", "pid").orderBy("observed_at_ns", "event_id")
+    by = Window.partitionBy("cluster", "node_id", "boot_id", "pid").orderBy("observed_at_ns", "event_id")
     rows = events.withColumns({"before_": F.lag("kind").over(by), "path_": F.lag("path").over(by)})
     return rows.where("kind = 'exit' and before_ = 'enter'").withColumn("path", F.col("path_")).drop("before_", "path_")

@@ -155,6 +155,12 @@ def compact(records: DataFrame) -> DataFrame:
     )
 
 
+def lines(records: DataFrame) -> DataFrame:
+    """K1: records as lines of JSON, without nulls, for standard output or a text sink."""
+    inner = [c for c in records.columns if c != "event_id"]
+    return records.select("event_id", F.to_json(F.struct(*inner)).alias("line"))
+
+
 def violations(records: DataFrame) -> DataFrame:
     """Records with the rules that they break, none for most."""
     blank = lambda c: F.when(F.coalesce(F.trim(c), F.lit("")) == "", f"{c} is blank")

@@ -2,7 +2,7 @@
 
 filter: every event for which the predicate holds. window: keys and a tumbling window of ``seconds``; the measure must
 meet the threshold. sequence: an event within ``seconds`` after another with the same keys. A node's monotonic clock orders
-its own events only, so every rule has the node among its keys. Measures are counts, sums and distinct counts, which
+its own events of one boot only, so every rule has the cluster, the node and the boot among its keys. Measures are counts, sums and distinct counts, which
 combine before the shuffle; a busy key costs one row for each task and window. Evidence is the first and last event's id.
 Predicates are SQL that Spark and other engines read alike.
 """
@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BACKEND = ("node_id", "dst_ip", "dst_port")
-CONNECTION = ("node_id", "src_ip", "src_port", "dst_ip", "dst_port")
-PROCESS = ("node_id", "pid")
+#: What a monotonic clock belongs to.
+NODE = ("cluster", "node_id", "boot_id")
+BACKEND = (*NODE, "dst_ip", "dst_port")
+CONNECTION = (*NODE, "src_ip", "src_port", "dst_ip", "dst_port")
+PROCESS = (*NODE, "pid")
 
 
 @dataclass(frozen=True)
@@ -49,27 +51,27 @@ RULES = (
     Rule("R09", "kernel.tcp.retransmit", "error", "handshakes are lost: remote down or filtered", "tcp_state = 'SYN_SENT'"),
     Rule("R10", "kernel.tcp.retransmit", "warning", "the network loses packets of a live connection", "tcp_state = 'ESTABLISHED'"),
     Rule("R11", "kernel.tcp.retransmit", "warning", "the local application has not closed a connection that the remote closed", "tcp_state = 'CLOSE_WAIT'"),
-    _w("R13", "kernel.tcp.retransmit", "error", "all connections to one host lose packets", ("node_id", "dst_ip"), "n >= 2", measure="count(distinct concat(src_ip, ':', src_port, ':', dst_port))"),
-    _w("R14", "kernel.tcp.retransmit", "critical", "the node loses packets to many hosts", ("node_id",), "n >= 2", measure="count(distinct dst_ip)"),
-    _w("R17", "kernel.tcp.accept", "error", "the accept backlog is full", ("node_id", "dst_port", "pid"), "n >= 2", "ret = -11"),
+    _w("R13", "kernel.tcp.retransmit", "error", "all connections to one host lose packets", (*NODE, "dst_ip"), "n >= 2", measure="count(distinct concat(src_ip, ':', src_port, ':', dst_port))"),
+    _w("R14", "kernel.tcp.retransmit", "critical", "the node loses packets to many hosts", NODE, "n >= 2", measure="count(distinct dst_ip)"),
+    _w("R17", "kernel.tcp.accept", "error", "the accept backlog is full", (*NODE, "dst_port", "pid"), "n >= 2", "ret = -11"),
     _w("R19", "kernel.tcp.recv", "info", "data flows", CONNECTION, "n = 0", measure="sum(case when ret > 0 then 0 else 1 end)"),
     _w("R20", "kernel.tcp.recv", "info", "the peer has closed the connection", CONNECTION, "n >= 2", "ret = 0"),
-    _w("R21", "kernel.tcp.syn_recv", "critical", "the SYN backlog is full", ("node_id", "dst_port"), "n >= 2", "ret = 0"),
-    _w("R22", "kernel.tcp.syn_recv", "info", "SYNs are handled", ("node_id", "dst_port"), "n = 0", measure="sum(case when ret <> 0 then 0 else 1 end)"),
-    _w("R23", "kernel.tcp.reset", "warning", "a server turns one client away", ("node_id", "src_ip", "dst_ip"), "n >= 2"),
-    _w("R24", "kernel.tcp.reset", "error", "connections to one port are reset widely", ("node_id", "dst_port"), "n >= 2", measure="count(distinct concat(src_ip, ':', src_port, ':', dst_ip))"),
-    _w("R25", "kernel.memory.oom_kill", "critical", "a container's memory limit is too low or it leaks", ("node_id", "cgroup_id"), "n >= 2", "cgroup_id <> 0", seconds=3600),
-    _w("R26", "kernel.memory.oom_kill", "critical", "the node is out of memory", ("node_id",), "n >= 2", measure="count(distinct comm)"),
+    _w("R21", "kernel.tcp.syn_recv", "critical", "the SYN backlog is full", (*NODE, "dst_port"), "n >= 2", "ret = 0"),
+    _w("R22", "kernel.tcp.syn_recv", "info", "SYNs are handled", (*NODE, "dst_port"), "n = 0", measure="sum(case when ret <> 0 then 0 else 1 end)"),
+    _w("R23", "kernel.tcp.reset", "warning", "a server turns one client away", (*NODE, "src_ip", "dst_ip"), "n >= 2"),
+    _w("R24", "kernel.tcp.reset", "error", "connections to one port are reset widely", (*NODE, "dst_port"), "n >= 2", measure="count(distinct concat(src_ip, ':', src_port, ':', dst_ip))"),
+    _w("R25", "kernel.memory.oom_kill", "critical", "a container's memory limit is too low or it leaks", (*NODE, "cgroup_id"), "n >= 2", "cgroup_id <> 0", seconds=3600),
+    _w("R26", "kernel.memory.oom_kill", "critical", "the node is out of memory", NODE, "n >= 2", measure="count(distinct comm)"),
     Rule("R27", "kernel.memory.page_alloc", "critical", "a page could not be allocated", "ret = 0"),
-    _w("R28", "kernel.memory.page_alloc", "info", "memory is available", ("node_id",), "n = 0", measure="sum(case when ret <> 0 then 0 else 1 end)"),
-    _w("R29", "kernel.memory.cgroup_charge", "error", "a cgroup is at its memory limit", ("node_id", "cgroup_id"), "n >= 2", "ret <> 0", seconds=600),
+    _w("R28", "kernel.memory.page_alloc", "info", "memory is available", NODE, "n = 0", measure="sum(case when ret <> 0 then 0 else 1 end)"),
+    _w("R29", "kernel.memory.cgroup_charge", "error", "a cgroup is at its memory limit", (*NODE, "cgroup_id"), "n >= 2", "ret <> 0", seconds=600),
     Rule("R31", "kernel.file.open", "warning", "a watched path was denied", "ret = -13"),
     _w("R32", "kernel.fs.write", "info", "a heavy writer", PROCESS, "n >= 5000", "ret > 0", "sum(ret)"),
     _w("R33", "kernel.fs.read", "info", "a heavy reader", PROCESS, "n >= 5000", "ret > 0", "sum(ret)"),
     Rule("R34", "kernel.fs.read", "warning", "a read failed", "ret < 0"),
     _w("R37", "kernel.sched.wakeup", "info", "a process sleeps and wakes often", PROCESS, "n >= 2"),
     Rule("R40", "kernel.process.exit", "warning", "killed by SIGKILL", "ret = 137"),
-    _w("R41", "kernel.process.exit", "error", "a command keeps crashing", ("node_id", "comm"), "n >= 3", "ret <> 0"),
+    _w("R41", "kernel.process.exit", "error", "a command keeps crashing", (*NODE, "comm"), "n >= 3", "ret <> 0"),
     Rule("R42", "kernel.process.clone", "error", "no new process can be made", "ret < 0"),
     _w("R43", "kernel.process.clone", "warning", "a process forks quickly", PROCESS, "n >= 2"),
 )
@@ -104,16 +106,21 @@ def losses(events: DataFrame, seconds: int = 10, least: int = 3) -> DataFrame:
     return rows.withColumn("n", F.count("*").over(recent)).where(F.col("n") >= least).select("event_id", *CONNECTION, "observed_at_ns", "n")
 
 
-def followed(events: DataFrame, first: str, then: str, keys: tuple[str, ...], seconds: float) -> DataFrame:
-    """Events of one kind whose next of another kind with the same keys comes within the time.
+def _next(events: DataFrame, first: str, then: str, keys: tuple[str, ...]) -> DataFrame:
+    """Events of one kind with ``nxt``, the first later event of the other kind with the same keys.
 
-    One window over the keys (an as-of join without a join): the first later event of the other kind.
+    From the end to the beginning: the last event of the other kind so far, which costs one step for each row.
     """
-    rows = events.where(F.col("event_type").isin(first, then))
-    ahead = Window.partitionBy(*keys).orderBy("observed_at_ns", "event_id").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(F.col("event_type") == then, F.struct("observed_at_ns", "event_id")), ignorenulls=True).over(ahead)
-    rows = rows.withColumn("nxt", nxt).where((F.col("event_type") == first) & ((F.col("nxt.observed_at_ns") - F.col("observed_at_ns")) <= int(seconds * 1e9)))
-    return rows.select("event_id", *keys, "observed_at_ns", F.col("nxt.event_id").alias("next_id"), (F.col("nxt.observed_at_ns") - F.col("observed_at_ns")).alias("after_ns"))
+    back = Window.partitionBy(*keys).orderBy(F.desc("observed_at_ns"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.last(F.when(F.col("event_type") == then, F.struct("observed_at_ns", "event_id")), ignorenulls=True).over(back)
+    return events.where(F.col("event_type").isin(first, then)).withColumn("nxt", nxt).where(F.col("event_type") == first)
+
+
+def followed(events: DataFrame, first: str, then: str, keys: tuple[str, ...], seconds: float) -> DataFrame:
+    """Events of one kind whose next of another kind with the same keys comes within the time."""
+    after = F.col("nxt.observed_at_ns") - F.col("observed_at_ns")
+    rows = _next(events, first, then, keys).where(after <= int(seconds * 1e9))
+    return rows.select("event_id", *keys, "observed_at_ns", F.col("nxt.event_id").alias("next_id"), after.alias("after_ns"))
 
 
 def rates(events: DataFrame, kinds: tuple[str, str], keys: tuple[str, ...], seconds: int = 60) -> DataFrame:
@@ -134,10 +141,18 @@ def drops(events: DataFrame, kind: str, keys: tuple[str, ...], ratio: float, sec
 
 def unanswered(events: DataFrame, first: str, then: str, keys: tuple[str, ...], seconds: float) -> DataFrame:
     """Events of one kind that no event of the other kind follows in time."""
-    hits = followed(events, first, then, keys, seconds).select("event_id")
-    return events.where(F.col("event_type") == first).join(hits, "event_id", "left_anti").select("event_id", *keys, "observed_at_ns")
+    late = F.coalesce(F.col("nxt.observed_at_ns") - F.col("observed_at_ns") > int(seconds * 1e9), F.lit(True))
+    return _next(events, first, then, keys).where(late).select("event_id", *keys, "observed_at_ns")
 
 
 def unexpected_binaries(events: DataFrame, allowed: DataFrame) -> DataFrame:
     """Executions of files that the allow-list (comm, filename) doesn't name."""
     return events.where("event_type = 'kernel.process.exec'").join(allowed.distinct(), ["comm", "filename"], "left_anti").select("event_id", "node_id", "comm", "filename")
+
+
+#: What to do about what single events tell.
+ACTIONS = {
+    "R01": "nothing", "R02": "start the service on that port, or correct the port", "R03": "look for a filter or a dead host on the way", "R04": "look at routes to the host", "R05": "look at the node's network and its default route",
+    "R09": "see whether the remote host is up and not filtered", "R10": "look at the network between the two hosts", "R11": "make the application close its connections",
+    "R27": "free memory on the node, or move work away", "R31": "see whether the process should read the path", "R34": "look at the disk and the file system", "R40": "see who sent the signal; look at memory limits", "R42": "look at the limits on processes",
+}

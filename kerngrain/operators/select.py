@@ -47,6 +47,15 @@ def every_nth(events: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("place", place).join(counts, [*keys, "bucket"]).where((F.col("place") + F.col("before")) % n == 0).select(*events.columns)
 
 
+def probe_filters(events: DataFrame, filters: DataFrame) -> DataFrame:
+    """filters (event_type, dst_port, src_ip, pid, comm), nulls for no condition; of a type that has filters the events stay
+    that meet all conditions of one. The filters are gathered to a row per type, so that no event is multiplied."""
+    given = ("dst_port", "src_ip", "pid", "comm")
+    per_type = filters.groupBy("event_type").agg(F.collect_list(F.struct(*given)).alias("filters_"))  # as many as an operator writes
+    meets = lambda f: reduce(Column.__and__, [F.coalesce(F.col(c) == f[c], f[c].isNull()) for c in given])
+    return events.join(per_type, "event_type", "left").where(F.col("filters_").isNull() | F.exists("filters_", meets)).select(*events.columns)
+
+
 def sampled(events: DataFrame, n: int) -> DataFrame:
     """F6 for streams: the same rate without state."""
     return events.where(F.pmod(F.xxhash64("event_id"), F.lit(n)) == 0)

@@ -6,25 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.records import idempotency_key, normalize
-from ..sources.adapter import kernel_events
+from ..operators.rules import NODE
+from ..schemas import EVENTS
+from ..sources.adapter import MORE_SQL, kernel_events, more_events
 from ..sources.shared import shared_dir
 from ..streaming import streams
 from ..streaming.pairing import paired_stream
 from .queries import KE, TCP_ID, query
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+def _stream(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """Events as a stream of files, at last one event an hour after all others, so that every window is closed."""
     path = shared_dir(spark)
-    kernel_events(spark, sf_dir).write.parquet(f"{path}/events")
+    rows = kernel_events(spark, sf_dir) if rows is None else rows
+    rows.write.parquet(f"{path}/events")
+    last = spark.read.parquet(f"{path}/events").groupBy().agg(F.max("observed_at_ns").alias("last"))
+    names = {c: F.lit(None).cast(t) for c, t in (x.split() for x in EVENTS.split(", "))}
+    tick = last.select(*[x.alias(c) for c, x in (names | {"event_id": F.lit(-1).cast("long"), "event_type": F.lit("agent.tick"), "observed_at_ns": F.col("last") + 3_600_000_000_000}).items()])
+    tick.coalesce(1).write.mode("append").parquet(f"{path}/events")
     return streams.event_stream(spark, f"{path}/events"), path
 
 
-def _all_of(stream: DataFrame, path: str) -> DataFrame:
-    """The whole result of a complete-mode stream, each batch in place of the one before."""
-    streams.run_once(stream, "", f"{path}/state", "complete", lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/out"))
-    return stream.sparkSession.read.parquet(f"{path}/out")
-
-
 def _appended(stream: DataFrame, path: str) -> DataFrame:
     streams.run_once(stream, f"{path}/out", f"{path}/state")
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
@@ -33,23 +35,23 @@ def _appended(stream: DataFrame, path: str) -> DataFrame:
 _START = "unix_micros(window.start) * 1000 as window_start_ns"
 
 
-@query(KE + "SELECT node_id, dst_ip, dst_port, observed_at_ns // 60000000000 * 60000000000 AS window_start_ns, count(*) AS n FROM ke WHERE event_type = 'kernel.tcp.connect' AND ret <> 0 GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2")
+@query(KE + "SELECT cluster, node_id, boot_id, dst_ip, dst_port, observed_at_ns // 60000000000 * 60000000000 AS window_start_ns, count(*) AS n FROM ke WHERE event_type = 'kernel.tcp.connect' AND ret <> 0 GROUP BY ALL HAVING count(*) >= 2")
 def st02_r06_stream(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
-    return _all_of(streams.failing_backends(rows, least=2), path).selectExpr("node_id", "dst_ip", "dst_port", _START, "n")
+    return _appended(streams.failing_backends(rows, least=2), path).selectExpr(*NODE, "dst_ip", "dst_port", _START, "n")
 
 
-@query(KE + f"""SELECT node_id, {TCP_ID} AS conn_id, w * 1000000000 AS window_start_ns, count(*) AS n FROM (SELECT *, unnest(range(observed_at_ns // 1000000000 - 9, observed_at_ns // 1000000000 + 1)) AS w FROM ke
-  WHERE event_type = 'kernel.tcp.retransmit' AND tcp_state = 'ESTABLISHED') GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
+@query(KE + f"""SELECT cluster, node_id, boot_id, {TCP_ID} AS conn_id, w * 1000000000 AS window_start_ns, count(*) AS n FROM (SELECT *, unnest(range(observed_at_ns // 1000000000 - 9, observed_at_ns // 1000000000 + 1)) AS w FROM ke
+  WHERE event_type = 'kernel.tcp.retransmit' AND tcp_state = 'ESTABLISHED') GROUP BY ALL HAVING count(*) >= 3""")
 def st02_r12_stream(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
-    return _all_of(streams.losses(rows), path).selectExpr("node_id", "conn_id", _START, "n")
+    return _appended(streams.losses(rows), path).selectExpr(*NODE, "conn_id", _START, "n")
 
 
-@query(KE + f"SELECT node_id, {TCP_ID} AS conn_id, observed_at_ns // 1000000000 * 1000000000 AS window_start_ns, count(*) AS n FROM ke WHERE event_type = 'kernel.tcp.retransmit' GROUP BY 1, 2, 3")
+@query(KE + f"SELECT cluster, node_id, boot_id, {TCP_ID} AS conn_id, observed_at_ns // 1000000000 * 1000000000 AS window_start_ns, count(*) AS n FROM ke WHERE event_type = 'kernel.tcp.retransmit' GROUP BY ALL")
 def st02_a11_stream(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
-    return _all_of(streams.coalesced(rows), path).selectExpr("node_id", "conn_id", _START, "n")
+    return _appended(streams.coalesced(rows), path).selectExpr(*NODE, "conn_id", _START, "n")
 
 
 @query(KE + "SELECT src_ip IS NOT NULL AS tcp, count(*) AS n FROM ke WHERE dst_port = 443 GROUP BY 1")
@@ -61,17 +63,17 @@ def q04_subscribe_stream(spark, sf_dir):
 @query(KE + "SELECT count(DISTINCT event_id // 2) AS n FROM ke")
 def st05_once_stream(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
-    rec = normalize(rows).withColumn("event_time", F.timestamp_micros(F.expr("observed_at_ns div 1000")))
+    rec = normalize(rows.where("event_id >= 0")).withColumn("event_time", F.timestamp_micros(F.expr("observed_at_ns div 1000")))
     keyed = idempotency_key(rec).withColumn("idempotency_key", F.expr("cast(event_id div 2 as string)")).select("idempotency_key", "event_time")
     return _appended(streams.once(keyed), path).agg(F.count("*").alias("n"))
 
 
-@query(KE + """, e AS (SELECT event_id, node_id, pid, event_type, lag(event_type) OVER w AS before, lag(path) OVER w AS path0 FROM (SELECT * FROM ke WHERE event_type IN ('kernel.file.open', 'kernel.process.exec')) WINDOW w AS (PARTITION BY node_id, pid ORDER BY observed_at_ns, event_id))
+@query(KE + """, e AS (SELECT event_id, node_id, pid, event_type, lag(event_type) OVER w AS before, lag(path) OVER w AS path0 FROM (SELECT * FROM ke WHERE event_type IN ('kernel.file.open', 'kernel.process.exec')) WINDOW w AS (PARTITION BY cluster, node_id, boot_id, pid ORDER BY observed_at_ns, event_id))
 SELECT event_id, node_id, pid, path0 AS path FROM e WHERE event_type = 'kernel.process.exec' AND before = 'kernel.file.open'""")
 def j03_pairing_stream(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
     kind = F.when(F.col("event_type") == "kernel.file.open", "enter").when(F.col("event_type") == "kernel.process.exec", "exit")
-    return _appended(paired_stream(rows.select("event_id", "node_id", "pid", kind.alias("kind"), "path", "observed_at_ns", "event_time").where("kind is not null")), path)
+    return _appended(paired_stream(rows.select("event_id", *NODE, "pid", kind.alias("kind"), "path", "observed_at_ns", "event_time").where("kind is not null")), path).select("event_id", "node_id", "pid", "path")
 
 
 @query(KE + f"SELECT {TCP_ID} AS conn_id, count(*) AS n FROM ke WHERE event_type = 'kernel.tcp.connect' AND ret = 0 GROUP BY 1")
@@ -82,3 +84,48 @@ def k02_s03_json_round_trip(spark, sf_dir):
     write_records(normalize(kernel_events(spark, sf_dir)), f"{path}/records")
     back = read_records(spark, f"{path}/records").where("type = 'kernel.tcp.connect' and outcome = 'success'")
     return back.groupBy(F.get("correlation_keys", 0).alias("conn_id")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {MORE_SQL}, " + """x AS (SELECT cluster, node_id, boot_id, comm, observed_at_ns, CASE WHEN observed_at_ns // 1000 - lag(observed_at_ns // 1000) OVER w < 30000000 THEN 0 ELSE 1 END AS new
+  FROM me WHERE event_type = 'kernel.process.exit' AND ret <> 0 WINDOW w AS (PARTITION BY cluster, node_id, boot_id, comm ORDER BY observed_at_ns)),
+y AS (SELECT *, sum(new) OVER (PARTITION BY cluster, node_id, boot_id, comm ORDER BY observed_at_ns) AS burst FROM x)
+SELECT cluster, node_id, boot_id, comm, min(observed_at_ns) // 1000 * 1000 AS window_start_ns, count(*) AS n FROM y GROUP BY cluster, node_id, boot_id, comm, burst""")
+def st02_r41_sessions_stream(spark, sf_dir):
+    rows, path = _stream(spark, sf_dir, more_events(spark, sf_dir))
+    found = streams.crash_bursts(rows).withColumnRenamed("session_window", "window")
+    return _appended(found, path).selectExpr(*NODE, "comm", _START, "n")
+
+
+@query(KE + """, m AS (SELECT event_id % 4 AS part, max(observed_at_ns) AS last FROM ke GROUP BY 1),
+w AS (SELECT a.part, max(b.last) - 300000000000 AS mark FROM m a JOIN m b ON b.part < a.part GROUP BY 1)
+SELECT ke.node_id, w.part AS epoch, count(*) AS dropped_records, min(observed_at_ns) AS gap_start_ns, max(observed_at_ns) AS gap_end_ns, 'late_data' AS cause FROM ke JOIN w ON ke.event_id % 4 = w.part WHERE observed_at_ns < w.mark GROUP BY 1, 2""")
+def st03_late_gaps_stream(spark, sf_dir):
+    """Files of all times, one after the other: what is older than the watermark of the files before is late."""
+    path = shared_dir(spark)
+    for part in range(4):
+        kernel_events(spark, sf_dir).where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(f"{path}/events")
+    rows = streams.event_stream(spark, f"{path}/events", files_per_trigger=1)
+    streams.run_once(rows, "", f"{path}/state", each=streams.late_gaps(path))
+    found = spark.read.parquet(f"{path}/gaps")
+    return found.select("node_id", F.col("epoch").cast("long").alias("epoch"), "dropped_records", "gap_start_ns", "gap_end_ns", "cause")
+
+
+@query(KE + "SELECT 'written' AS what, count(*) AS n FROM ke WHERE ret < 0 UNION ALL SELECT 'warnings', 1")
+def k03_fan_out_stream(spark, sf_dir):
+    """The primary sink writes all failures; of two others one fails, which is a warning."""
+    path = shared_dir(spark)
+    kernel_events(spark, sf_dir).coalesce(1).write.parquet(f"{path}/events")
+    rows = streams.event_stream(spark, f"{path}/events").where("ret < 0")
+
+    def primary(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/primary/epoch={epoch}")
+
+    def failing(batch: DataFrame, epoch: int) -> None:
+        raise OSError("the sink is away")
+
+    def warn(epoch: int, text: str) -> None:
+        spark.range(1).select(F.lit(epoch).cast("long").alias("at_epoch"), F.lit(text).alias("warning")).write.mode("append").parquet(f"{path}/warnings")
+
+    streams.run_once(rows, "", f"{path}/state", each=streams.fan_out(primary, [failing, lambda batch, epoch: None], warn))
+    written, warnings = spark.read.parquet(f"{path}/primary"), spark.read.parquet(f"{path}/warnings")
+    return written.groupBy().agg(F.lit("written").alias("what"), F.count("*").alias("n")).union(warnings.groupBy().agg(F.lit("warnings").alias("what"), F.count("*").alias("n")))

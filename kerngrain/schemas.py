@@ -7,7 +7,7 @@ PRODUCER, PRODUCER_VERSION = "kerngrain", "0.1"
 CLUSTER = "c1"
 
 EVENTS = (
-    "event_id long, cluster string, node_id string, observed_at_ns long, event_type string, pid long, cgroup_id long, comm string, "
+    "event_id long, cluster string, node_id string, boot_id string, observed_at_ns long, event_type string, pid long, cgroup_id long, comm string, "
     "src_ip string, src_port int, dst_ip string, dst_port int, ret int, tcp_state string, bytes_sent long, bytes_received long, "
     "duration_ns long, filename string, path string, uid int, ppid long, flags int"
 )

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TYPE = "case event_type when 'click' then 'kernel.tcp.connect' when 'view' then 'kernel.tcp.close' when 'error' then 'kernel.tcp.retransmit' when 'signup' then 'kernel.process.exec' when 'purchase' then 'kernel.file.open' end"
+#: How many times faster than in the table time goes, and for rules that need many events in a window.
+SPEED, FAST = 3600, 36000
 #: Families that the five types don't cover, by event_id modulo their number.
 MORE_TYPES = ("kernel.tcp.send", "kernel.tcp.accept", "kernel.tcp.recv", "kernel.tcp.syn_recv", "kernel.tcp.reset", "kernel.memory.oom_kill", "kernel.memory.page_alloc", "kernel.memory.cgroup_charge", "kernel.fs.write", "kernel.fs.read", "kernel.fs.close", "kernel.process.exit", "kernel.process.clone", "kernel.sched.switch", "kernel.sched.wakeup")
 
@@ -18,6 +20,7 @@ COLUMNS = {
     "event_id": "event_id",
     "cluster": "'c1'",
     "node_id": "concat('node-', cast(user_id % 5 as {text}))",
+    "boot_id": "case when ns < 360000000000 then 'boot-1' else 'boot-2' end",
     "observed_at_ns": "ns",
     "event_type": "t",
     "pid": "1000 + user_id",
@@ -49,37 +52,39 @@ def _columns(text: str) -> list[str]:
     return [f"{x.format(text=text)} as {c}" for c, x in COLUMNS.items()]
 
 
-def _events(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, kind: str, speed: int) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
         "event_id", "user_id", "value", "cast(get_json_object(props, '$.k') as int) as k",
-        "(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', cast(ts as timestamp_ntz)) div 3600) * 1000 as ns", f"{kind} as t")
+        f"(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', cast(ts as timestamp_ntz)) div {speed}) * 1000 as ns", f"{kind} as t")
     return rows.selectExpr(*_columns("string"))
 
 
-def kernel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kernel_events(spark: SparkSession, sf_dir: str, speed: int = SPEED) -> DataFrame:
     """events as the five captured families."""
-    return _events(spark, sf_dir, _TYPE)
+    return _events(spark, sf_dir, _TYPE, speed)
 
 
-def more_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def more_events(spark: SparkSession, sf_dir: str, speed: int = SPEED) -> DataFrame:
     """The same rows dealt over the families of MORE_TYPES."""
     names = ", ".join(f"'{x}'" for x in MORE_TYPES)
-    return _events(spark, sf_dir, f"element_at(array({names}), cast(event_id % {len(MORE_TYPES)} + 1 as int))")
+    return _events(spark, sf_dir, f"element_at(array({names}), cast(event_id % {len(MORE_TYPES)} + 1 as int))", speed)
 
 
-def _sql(kind: str) -> str:
-    base = f"SELECT event_id, user_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k, ((epoch_us(ts) - 1704067200000000) // 3600) * 1000 AS ns, {kind} AS t FROM events"
+def _sql(kind: str, speed: int = SPEED) -> str:
+    base = f"SELECT event_id, user_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k, ((epoch_us(ts) - 1704067200000000) // {speed}) * 1000 AS ns, {kind} AS t FROM events"
     return f"SELECT {', '.join(_columns('varchar'))} FROM ({base})"
 
 
 #: WITH clauses for DuckDB.
 EVENTS_SQL = f"ke AS ({_sql(_TYPE)})"
-MORE_SQL = "me AS ({})".format(_sql("list_extract([{}], CAST(event_id % {} + 1 AS INT))".format(", ".join(f"'{x}'" for x in MORE_TYPES), len(MORE_TYPES))))
+_MORE = "list_extract([{}], CAST(event_id % {} + 1 AS INT))".format(", ".join(f"'{x}'" for x in MORE_TYPES), len(MORE_TYPES))
+MORE_SQL = f"me AS ({_sql(_MORE)})"
+FAST_EVENTS_SQL, FAST_MORE_SQL = f"ke AS ({_sql(_TYPE, FAST)})", f"me AS ({_sql(_MORE, FAST)})"
 
 
 def cgroup_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inventory of cgroups: cgroup_id and path, one per supplier."""
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("90000 + s_suppkey as cgroup_id", f"{_PATH.format(id=_ID_SPARK)} as path")
+    """Inventory of cgroups: cluster, node_id, cgroup_id and path, one per supplier; every seventh is another node's."""
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("'c1' as cluster", f"{_NODE.format(text='string')} as node_id", "90000 + s_suppkey as cgroup_id", f"{_PATH.format(id=_ID_SPARK)} as path")
 
 
 def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +94,10 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr(f"{_ID_SPARK} as container_id", "concat('pod-', cast(s_suppkey as string)) as pod_uid", "n_name as namespace")
 
 
+_NODE = "concat('node-', cast((case when s_suppkey % 7 = 0 then s_suppkey + 1 else s_suppkey end) % 5 as {text}))"
 _ID_SPARK = "sha2(concat('container:', cast(s_suppkey as string)), 256)"
 _PATH = """case when s_suppkey % 10 = 9 then '/system.slice/sshd.service' when s_suppkey % 3 = 0 then concat('/kubepods.slice/cri-containerd-', {id}, '.scope')
   when s_suppkey % 3 = 1 then concat('/kubepods.slice/crio-', {id}, '.scope') else concat('/docker/', {id}) end"""
 _ID_SQL = "sha256(concat('container:', cast(s_suppkey as varchar)))"
-CGROUPS_SQL = f"cgroups AS (SELECT 90000 + s_suppkey AS cgroup_id, {_PATH.format(id=_ID_SQL)} AS path FROM supplier)"
+CGROUPS_SQL = f"cgroups AS (SELECT 'c1' AS cluster, {_NODE.format(text='varchar')} AS node_id, 90000 + s_suppkey AS cgroup_id, {_PATH.format(id=_ID_SQL)} AS path FROM supplier)"
 PODS_SQL = f"pods AS (SELECT {_ID_SQL} AS container_id, concat('pod-', cast(s_suppkey as varchar)) AS pod_uid, n_name AS namespace FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 3)"

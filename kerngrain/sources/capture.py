@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import OCCURRENCE
@@ -20,7 +20,17 @@ from ..schemas import OCCURRENCE
 #: The layout of a connection's capture, 96 bytes.
 TCP_CONNECT = (("observed_at_ns", 0, "<u8"), ("pid", 8, "<u4"), ("tid", 12, "<u4"), ("src_port", 16, "<u2"), ("dst_port", 18, ">u2"), ("family", 20, "<u2"), ("ret", 24, "<i4"), ("src_ip", 28, "ip"), ("dst_ip", 44, "ip"), ("cgroup_id", 64, "<u8"), ("comm", 72, "s16"))
 SIZE = 96
-DECODED = "event_id long, observed_at_ns long, pid long, tid long, src_port int, dst_port int, family int, ret int, src_ip string, dst_ip string, cgroup_id long, comm string, decode_error string"
+_HEAD = (("observed_at_ns", 0, "<u8"), ("pid", 8, "<u4"), ("tid", 12, "<u4"))
+_SOCKET = (("src_port", 16, "<u2"), ("dst_port", 18, ">u2"), ("family", 20, "<u2"), ("src_ip", 28, "ip"), ("dst_ip", 44, "ip"), ("cgroup_id", 64, "<u8"), ("comm", 72, "s16"))
+#: All layouts, with their sizes.
+LAYOUTS = {
+    "kernel.tcp.connect": (TCP_CONNECT, SIZE),
+    "kernel.tcp.close": ((*_HEAD, *_SOCKET, ("bytes_sent", 88, "<u8"), ("bytes_received", 96, "<u8"), ("duration_ns", 104, "<u8")), 112),
+    "kernel.tcp.retransmit": ((*_HEAD, *_SOCKET, ("state", 24, "<u4")), 96),
+    "kernel.process.exec": ((*_HEAD, ("ppid", 16, "<u4"), ("uid", 20, "<u4"), ("ret", 24, "<i4"), ("cgroup_id", 32, "<u8"), ("comm", 40, "s16"), ("filename", 56, "s256")), 312),
+    "kernel.file.open": ((*_HEAD, ("flags", 16, "<u4"), ("uid", 20, "<u4"), ("ret", 24, "<i4"), ("cgroup_id", 32, "<u8"), ("comm", 40, "s16"), ("path", 56, "s256")), 312),
+}
+LAYOUTS["kernel.file.open_attempt"] = LAYOUTS["kernel.file.open"]
 
 
 def address(raw: bytes, family: int) -> str:
@@ -36,21 +46,28 @@ def text(raw: bytes) -> str:
         return ""
 
 
+def schema_of(layout: tuple) -> dict[str, pa.DataType]:
+    """Names and types of a layout's fields, between event_id and decode_error: text and addresses are strings, numbers of
+    at most two bytes and signed ones of four are int, all others long."""
+    kind = lambda k: pa.string() if k == "ip" or k[0] == "s" else pa.int32() if k[1:] in ("u2", "u1", "i2", "i4") else pa.int64()
+    return {"event_id": pa.int64()} | {n: kind(k) for n, _, k in layout} | {"decode_error": pa.string()}
+
+
 def decode(captures: DataFrame, layout: tuple = TCP_CONNECT, size: int = SIZE) -> DataFrame:
-    """captures (event_id, raw) to DECODED. Longer rows are fine; shorter ones have a decode_error and nulls."""
+    """captures (event_id, raw) to the layout's fields. Longer rows are fine; shorter ones have a decode_error and nulls."""
     width = {"ip": 16}
     fields = [(n, o, f"V{width.get(k) or int(k[1:])}" if k == "ip" or k[0] == "s" else k) for n, o, k in layout]
     kinds = {n: k for n, _, k in layout}
     dtype = np.dtype({"names": [n for n, _, _ in fields], "formats": [k for _, _, k in fields], "offsets": [o for _, o, _ in fields], "itemsize": size})
-    names = [x.split()[0] for x in DECODED.split(", ")]
-    types = dict(zip(names, ({"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in DECODED.split(", ")), strict=True))
+    types = schema_of(layout)
+    names = list(types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             whole = [x[:size] if x is not None and len(x) >= size else None for x in raw]
             view = np.frombuffer(b"".join(x or bytes(size) for x in whole), dtype=dtype)
-            bad = np.array([x is None for x in whole])
+            bad = np.array([x is None for x in whole], dtype=bool)
             out = {"event_id": pa.array(ids, pa.int64()), "decode_error": pa.array(["too short" if x else None for x in bad], pa.string())}
             for n in dtype.names:
                 if kinds[n] == "ip":
@@ -62,19 +79,39 @@ def decode(captures: DataFrame, layout: tuple = TCP_CONNECT, size: int = SIZE) -
                 out[n] = pa.array(values, types[n], mask=bad if kinds[n] != "ip" and kinds[n][0] != "s" else None)
             yield pa.RecordBatch.from_arrays([out[n] for n in names], names=names)
 
-    return captures.select("event_id", "raw").mapInArrow(run, DECODED)
+    ddl = ", ".join(f"{n} {'string' if t == pa.string() else 'int' if t == pa.int32() else 'long'}" for n, t in types.items())
+    return captures.select("event_id", "raw").mapInArrow(run, ddl)
+
+
+def encode(events: DataFrame, layout: tuple, size: int) -> DataFrame:
+    """Events as raw captures (event_id, raw), by column functions; the inverse of decode. Addresses are IPv4."""
+
+    def field(name: str, kind: str) -> Column:
+        if kind == "ip":
+            return F.unhex(F.rpad(F.concat(*[F.lpad(F.hex(F.split(name, r"\.")[i].cast("long")), 2, "0") for i in range(4)]), 32, "0"))
+        if kind[0] == "s":
+            return F.unhex(F.rpad(F.hex(F.encode(name, "utf-8")), 2 * int(kind[1:]), "0"))
+        digits = F.lpad(F.hex(F.coalesce(F.col(name).cast("long"), F.lit(0))), 16, "0")
+        n = int(kind[2:])
+        if kind[0] == ">":
+            return F.unhex(F.substring(digits, 17 - 2 * n, 2 * n))
+        return F.unhex(F.substring(F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)]), 1, 2 * n))
+
+    parts, at = [], 0
+    for name, offset, kind in sorted(layout, key=lambda x: x[1]):
+        if offset > at:
+            parts.append(F.unhex(F.lit("00" * (offset - at))))
+        parts.append(field(name, kind))
+        at = offset + (16 if kind == "ip" else int(kind[1:]) if kind[0] == "s" else int(kind[2:]))
+    if at < size:
+        parts.append(F.unhex(F.lit("00" * (size - at))))
+    return events.select("event_id", F.concat(*parts).alias("raw"))
 
 
 def encode_connects(events: DataFrame) -> DataFrame:
-    """Connections as raw captures, by column functions; the inverse of decode."""
-    swap = lambda h: F.concat(*[F.substring(h, i, 2) for i in range(15, 0, -2)])
-    number = lambda c, n: F.unhex(F.substring(swap(F.lpad(F.hex(F.col(c).cast("long")), 16, "0")), 1, 2 * n))
-    big = lambda c: F.unhex(F.lpad(F.hex(F.col(c).cast("long")), 4, "0"))
-    ip = lambda c: F.unhex(F.rpad(F.concat(*[F.lpad(F.hex(F.split(c, r"\.")[i].cast("long")), 2, "0") for i in range(4)]), 32, "0"))
-    comm = F.unhex(F.rpad(F.hex(F.encode("comm", "utf-8")), 32, "0"))
-    zero = lambda n: F.unhex(F.lit("00" * n))
-    raw = F.concat(number("observed_at_ns", 8), number("pid", 4), number("pid", 4), number("src_port", 2), big("dst_port"), F.unhex(F.lit("0200")), zero(2), number("ret", 4), ip("src_ip"), ip("dst_ip"), zero(4), number("cgroup_id", 8), comm, zero(8))
-    return events.where("event_type = 'kernel.tcp.connect'").select("event_id", raw.alias("raw"))
+    """Connections as raw captures."""
+    rows = events.where("event_type = 'kernel.tcp.connect'").withColumns({"tid": F.col("pid"), "family": F.lit(2)})
+    return encode(rows, TCP_CONNECT, SIZE)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

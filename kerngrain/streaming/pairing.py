@@ -10,7 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: How long an enter waits for its exit, in event time.
 LIVE_MS = 3_600_000
-PAIRED = "event_id long, node_id string, pid long, path string"
+PAIRED = "event_id long, cluster string, node_id string, boot_id string, pid long, path string"
 
 
 def pair_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -21,16 +21,16 @@ def pair_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     path = state.get[0] if state.exists else None
     last = 0
     for pdf in batches:
-        out = []
-        last = max(last, int(pdf["observed_at_ns"].max()) // 1_000_000) if len(pdf) else last
-        for x in pdf.sort_values(["observed_at_ns", "event_id"]).itertuples():
-            if x.kind == "enter":
-                path = x.path
-            else:
-                if path is not None:
-                    out.append((x.event_id, key[0], key[1], path))
-                path = None
-        yield pd.DataFrame(out, columns=["event_id", "node_id", "pid", "path"])
+        if not len(pdf):
+            continue
+        last = max(last, int(pdf["observed_at_ns"].max()) // 1_000_000)
+        rows = pdf.sort_values(["observed_at_ns", "event_id"])
+        kept = rows["path"].where(rows["kind"] == "enter")  # null after an exit, which clears it
+        before = kept.shift(1)
+        before.iloc[0] = path
+        pairs = rows["event_id"][(rows["kind"] == "exit") & before.notna()]
+        path = kept.iloc[-1] if pd.notna(kept.iloc[-1]) else None
+        yield pd.DataFrame({"event_id": pairs, **dict(zip(("cluster", "node_id", "boot_id", "pid"), key, strict=True)), "path": before[pairs.index]})
     if path is None:
         state.remove()
     else:
@@ -39,8 +39,8 @@ def pair_events(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
 
 
 def paired_stream(rows: DataFrame) -> DataFrame:
-    """rows: event_id, node_id, pid, kind (enter or exit), path, observed_at_ns, and event_time for the watermark.
+    """rows: event_id, cluster, node_id, boot_id, pid, kind (enter or exit), path, observed_at_ns, and event_time for the watermark.
 
     The time to live is event time: processing time would keep a stream that is read to its end from ending.
     """
-    return rows.withWatermark("event_time", "5 minutes").groupBy("node_id", "pid").applyInPandasWithState(pair_events, PAIRED, "path string", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.withWatermark("event_time", "5 minutes").groupBy("cluster", "node_id", "boot_id", "pid").applyInPandasWithState(pair_events, PAIRED, "path string", "append", GroupStateTimeout.EventTimeTimeout)

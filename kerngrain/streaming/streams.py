@@ -1,7 +1,8 @@
 """Streams of events (S8, Q4, ST1-ST6, K3, K4): the batch operators under a watermark.
 
-Event time is wall time. Rows later than the watermark are not lost without a trace: late_gaps turns the listener's or the
-batch's count of them into gap reports. Sources are bounded per trigger by files or offsets.
+Event time is wall time. The watermark is taken from all events, before any filter, so that it moves on where a type is rare.
+Windows are emitted in append mode, when they are closed. Rows later than the watermark are not lost without a trace:
+late_gaps writes a report of them. Sources are bounded per trigger by files or offsets.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import connection_id
+from ..operators.loss import gaps
 from ..operators.records import compact, normalize
+from ..operators.rules import NODE
 from ..schemas import EVENTS
 
 WATERMARK = "5 minutes"
@@ -28,29 +31,35 @@ def with_event_time(rows: DataFrame) -> DataFrame:
     return rows.withColumn("event_time", F.timestamp_micros(F.expr("observed_at_ns div 1000")))
 
 
+def _of(rows: DataFrame, condition: str) -> DataFrame:
+    """Rows that meet the condition, under a watermark of all rows: Spark moves a filter below the watermark, unless it is one on
+    the time, as here (no time is before the first)."""
+    return rows.withWatermark("event_time", WATERMARK).where(F.col("event_time") >= F.expr(f"case when {condition} then timestamp_micros(-62135596800000000) end"))
+
+
 def losses(rows: DataFrame, seconds: int = 10, least: int = 3) -> DataFrame:
     """R12 by sliding windows: connections with at least so many retransmits of a live connection in a window."""
-    hits = rows.where("event_type = 'kernel.tcp.retransmit' and tcp_state = 'ESTABLISHED'").withWatermark("event_time", WATERMARK)
-    windows = hits.groupBy(F.window("event_time", f"{seconds} seconds", "1 second"), "node_id", connection_id().alias("conn_id"))
+    hits = _of(rows, "event_type = 'kernel.tcp.retransmit' and tcp_state = 'ESTABLISHED'")
+    windows = hits.groupBy(F.window("event_time", f"{seconds} seconds", "1 second"), *NODE, connection_id().alias("conn_id"))
     return windows.agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")).where(F.col("n") >= least)
 
 
 def failing_backends(rows: DataFrame, seconds: int = 60, least: int = 5) -> DataFrame:
     """R06 by tumbling windows."""
-    hits = rows.where("event_type = 'kernel.tcp.connect' and ret <> 0").withWatermark("event_time", WATERMARK)
-    return hits.groupBy(F.window("event_time", f"{seconds} seconds"), "node_id", "dst_ip", "dst_port").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    hits = _of(rows, "event_type = 'kernel.tcp.connect' and ret <> 0")
+    return hits.groupBy(F.window("event_time", f"{seconds} seconds"), *NODE, "dst_ip", "dst_port").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def coalesced(rows: DataFrame) -> DataFrame:
     """Retransmits of a connection within a second as one row."""
-    hits = rows.where("event_type = 'kernel.tcp.retransmit'").withWatermark("event_time", WATERMARK)
-    return hits.groupBy(F.window("event_time", "1 second"), "node_id", connection_id().alias("conn_id")).agg(F.count("*").alias("n"))
+    hits = _of(rows, "event_type = 'kernel.tcp.retransmit'")
+    return hits.groupBy(F.window("event_time", "1 second"), *NODE, connection_id().alias("conn_id")).agg(F.count("*").alias("n"))
 
 
 def crash_bursts(rows: DataFrame, gap: str = "30 seconds") -> DataFrame:
     """R41 by sessions: a command's failing exits without a longer pause between them."""
-    hits = rows.where("event_type = 'kernel.process.exit' and ret <> 0").withWatermark("event_time", WATERMARK)
-    return hits.groupBy(F.session_window("event_time", gap), "node_id", "comm").agg(F.count("*").alias("n"))
+    hits = _of(rows, "event_type = 'kernel.process.exit' and ret <> 0")
+    return hits.groupBy(F.session_window("event_time", gap), *NODE, "comm").agg(F.count("*").alias("n"))
 
 
 def once(records: DataFrame) -> DataFrame:
@@ -66,10 +75,28 @@ def subscribe(rows: DataFrame, **equal: object) -> DataFrame:
 
 
 def late(rows: DataFrame, watermark_ns: int) -> DataFrame:
-    """ST3: of a batch the rows behind a watermark; with loss.gaps and the cause late_data they become a report."""
+    """ST3: of a batch the rows behind a watermark."""
     return rows.where(F.col("observed_at_ns") < watermark_ns)
 
 
+def late_gaps(path: str, delay_ns: int = 300_000_000_000) -> Callable[[DataFrame, int], None]:
+    """ST3 for foreachBatch: per node a gap report with the cause late_data of the rows behind the watermark of the batches before.
+
+    Reports are below path/gaps and the batches' largest times below path/marks, by epoch: a batch that is tried again
+    replaces its own.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        spark.range(0).selectExpr("0L as mark_ns", "0L as at_epoch").write.mode("append").parquet(f"{path}/marks")
+        before = spark.read.parquet(f"{path}/marks").where(F.col("at_epoch") < epoch).agg(F.max("mark_ns")).first()[0]
+        found = gaps(late(batch, before - delay_ns) if before is not None else batch.limit(0), "late_data", "cluster", "node_id")
+        found.write.mode("overwrite").parquet(f"{path}/gaps/epoch={epoch}")
+        batch.agg(F.coalesce(F.max("observed_at_ns"), F.lit(0)).alias("mark_ns")).withColumn("at_epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(f"{path}/marks")
+
+    return write
+
+
 def fan_out(primary: Callable[[DataFrame, int], None], secondary: list[Callable[[DataFrame, int], None]], warn: Callable[[int, str], None]) -> Callable[[DataFrame, int], None]:
     """K3 for foreachBatch: the primary must succeed, or nothing else is written; what others raise is a warning."""
 

@@ -114,8 +114,8 @@ def test_delivery_is_idempotent(spark):
 
 def test_binding_prefers_the_live_path(spark):
     ev = frame(spark, dict(event_type="kernel.tcp.close"), dict(event_id=2, cgroup_id=0), dict(event_id=3, cgroup_id=8), dict(event_id=4, pid=8, cgroup_id=11))
-    cg = spark.createDataFrame([(9, f"/docker/{'0' * 64}"), (11, "/init")], "cgroup_id long, path string")
-    live = spark.createDataFrame([("n", 7, f"/docker/{ID}")], "node_id string, pid long, path string")
+    cg = spark.createDataFrame([("c", "n", 9, f"/docker/{'0' * 64}"), ("c", "n", 11, "/init"), ("c", "other", 8, f"/docker/{ID}")], "cluster string, node_id string, cgroup_id long, path string")
+    live = spark.createDataFrame([("c", "n", 7, f"/docker/{ID}")], "cluster string, node_id string, pid long, path string")
     pods = spark.createDataFrame([(ID.upper(), "u", "ns")], "container_id string, pod_uid string, namespace string")
     got = {r.event_id: (r.pod_uid, r.provenance, r.unbound_reason) for r in binding.bind(ev, cg, pods, live).collect()}
     assert got == {1: ("u", "observed", None), 2: (None, None, "no_cgroup"), 3: ("u", "observed", None), 4: (None, None, "host_process")}
@@ -136,7 +136,9 @@ def test_questions_find_their_probes(spark):
     assert knowledge.dangling(kb).count() == 0 and kb.count() == 20
     assert {r.layer: (r.n_probes, r.n_broken) for r in knowledge.statistics(kb).collect()} == {"tcp": (8, 0), "memory": (3, 0), "fs": (4, 0), "process": (3, 0), "sched": (2, 0)}
     ev = frame(spark, dict(event_type="kernel.tcp.connect", ret=-111, **TCP))
-    answers = {r.question_id: (r.answer, r.severity) for r in knowledge.ask(q, kb, ev).collect()}
+    full = {r.question_id: r for r in knowledge.ask(q, kb, ev).collect()}
+    assert full["3"].events == "1" and full["3"].action == rules.ACTIONS["R02"] and not full["3"].kb_only and full["4"].kb_only and "tcp_connect" in full["3"].probes_used
+    answers = {k: (r.answer, r.severity) for k, r in full.items()}
     assert answers["3"] == (rules.BY_ID["R02"].conclusion, "error") and answers["5"][0] == "no probe answers this" and answers["4"][0] == "no event tells"
 
 
@@ -148,3 +150,44 @@ def test_every_nth_counts_over_buckets(spark):
 def test_validation(spark):
     rec = records.normalize(frame(spark, dict(event_type="kernel.tcp.close", cluster=" ", **TCP)))
     assert records.violations(rec).first().violations == ["cluster is blank"]
+
+
+def test_a_number_of_a_cgroup_is_of_its_node(spark):
+    ev = frame(spark, dict(event_type="kernel.tcp.close"), dict(event_id=2, node_id="m", event_type="kernel.tcp.close"))
+    cg = spark.createDataFrame([("c", "n", 9, f"/docker/{ID}"), ("c", "m", 9, "/init")], "cluster string, node_id string, cgroup_id long, path string")
+    pods = spark.createDataFrame([(ID, "u", "ns")], "container_id string, pod_uid string, namespace string")
+    assert {r.node_id: (r.pod_uid, r.unbound_reason) for r in binding.bind(ev, cg, pods).collect()} == {"n": ("u", None), "m": (None, "host_process")}
+
+
+def test_what_is_rejected_makes_no_duplicate(spark):
+    rows = [("k", "", 1), ("k", "c", 2), ("k", "c", 3)]
+    batch = spark.createDataFrame([(k, c, "n", t, str(t)) for k, c, t in rows], "idempotency_key string, cluster string, node_id string, observed_at_ns long, id string")
+    assert [r.status for r in loss.deliver(batch, batch.limit(0)).orderBy("observed_at_ns").collect()] == ["REJECTED", "ACCEPTED", "DUPLICATE"]
+    r = loss.delivery_results(loss.deliver(batch, batch.limit(0)), "node_id").first()
+    assert (r.accepted, r.rejected, r.reasons, r.retryable) == (2, 1, "blank cluster or node: 1", False)
+
+
+def test_sequences_stay_within_a_boot_and_are_linear(spark):
+    ev = frame(spark, *[dict(event_id=i, boot_id=b, event_type=t, observed_at_ns=ns, **TCP) for i, b, t, ns in [(1, "x", "kernel.tcp.connect", 5), (2, "x", "kernel.tcp.connect", 6), (3, "x", "kernel.tcp.close", 9), (4, "y", "kernel.tcp.connect", 7), (5, "x", "kernel.tcp.connect", 10)]])
+    got = {r.event_id: (r.next_id, r.after_ns) for r in rules.followed(ev, "kernel.tcp.connect", "kernel.tcp.close", rules.CONNECTION, 1).collect()}
+    assert got == {1: (3, 4), 2: (3, 3)}
+    left = {r.event_id for r in rules.unanswered(ev, "kernel.tcp.connect", "kernel.tcp.close", rules.CONNECTION, 1).collect()}
+    assert left == {4, 5}
+    many = spark.range(200_000).selectExpr("id as event_id", "'c' as cluster", "'n' as node_id", "'b' as boot_id", "1L as pid", "case when id % 1000 = 999 then 'z' else 'a' end as event_type", "id as observed_at_ns")
+    assert rules.followed(many, "a", "z", rules.PROCESS, 1).count() == 199_800  # one key, one step for each row
+
+
+def test_metrics_while_reading(spark):
+    from pyspark.sql import Observation
+
+    from kerngrain.operators.metrics import observed
+
+    seen = Observation("batch")
+    assert observed(frame(spark, dict(event_type="t", ret=-1, observed_at_ns=4), dict(event_type="t", ret=0)), seen).count() == 2
+    assert seen.get == {"events": 2, "failures": 1, "last_ns": 4}
+
+
+def test_filters_of_probes(spark):
+    ev = frame(spark, dict(event_type="a", dst_port=1), dict(event_id=2, event_type="a", dst_port=2), dict(event_id=3, event_type="a"), dict(event_id=4, event_type="b"))
+    filters = spark.createDataFrame([("a", 1, None, None, None), ("a", None, None, 9, None)], "event_type string, dst_port int, src_ip string, pid long, comm string")
+    assert sorted(r.event_id for r in select.probe_filters(ev, filters).collect()) == [1, 4]

@@ -51,3 +51,19 @@ def test_fan_out_needs_the_primary_alone(spark):
     except ZeroDivisionError:
         pass
     assert seen == [3, 7]
+
+
+def test_as_of_by_spans_is_the_same(spark):
+    left = spark.range(300).selectExpr("concat('n', id % 2) as node_id", "id as e", "id * 37 % 1000 as t")
+    right = spark.range(9).selectExpr("concat('n', id % 2) as node_id", "id * 111 as s", "id as v")
+    rows = lambda df: sorted((r.e, r.v) for r in df.collect() if r.v is not None)
+    plain = rows(lineage.as_of(left, right, ["node_id"], "t", "s", ["v"]))
+    assert plain and all(rows(lineage.as_of(left, right, ["node_id"], "t", "s", ["v"], n)) == plain for n in (7, 100, 5000))
+
+
+def test_layouts_round_trip(spark):
+    layout, size = capture.LAYOUTS["kernel.process.exec"]
+    rows = spark.createDataFrame([(1, 5, 7, 8, 2, 0, -2, 99, "sh", "/bin/sh")], "event_id long, observed_at_ns long, pid long, tid long, ppid long, uid int, ret int, cgroup_id long, comm string, filename string")
+    raw = capture.encode(rows, layout, size)
+    assert len(raw.first().raw) == size
+    assert capture.decode(raw, layout, size).drop("decode_error").select(*rows.columns).first() == rows.first()
