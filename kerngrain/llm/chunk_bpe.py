@@ -12,7 +12,7 @@ are. 4. Holes are joined with the table by digest, ids are put in, and the ids d
 
 What is left about a cut, the end of one chunk and the beginning of the next, is the join: it is encoded by itself and
 again together with the nearest words of both neighbours; where the ids disagree, twice as many words are taken, until
-they agree exactly, and where nothing is left to take the library encodes the document whole. Words that a task has met
+they agree exactly, and where nothing is left to take the library encodes the document whole. Words that a worker has met
 before are not encoded again; what is kept of these is emptied at a bounded size (``KEEP``, in characters), which changes no result.
 
 Only space, tab, newline and carriage return count as white space here; other characters of that kind stay inside words and go to the
@@ -25,6 +25,7 @@ Further columns stay as they are; result columns replace columns of their own na
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from array import array
@@ -126,15 +127,20 @@ class Encoder:
             self.strings = np.array([self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())], dtype=object)
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.plain = all(ids(w + x) == ids(w.lower()) + ids(x) for w in ("Word", "ANOTHER", "x") for x in ("", *STOPS, ".,", "?!", "..."))
+        self.small = self.tokenizer.get_vocab_size() <= 1 << 16  # ids are then kept and moved as 16 bits each
         self._forget()
 
     def _forget(self) -> None:
         self.words: dict[str, bytes] = {"": b""}
-        self.agreed: set[str] = set()
         self.kept = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "H" if self.small else "I"
+        return [array(kind, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def wide(self, ids: bytes) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        return np.frombuffer(ids, dtype="<u2" if self.small else "<u4").astype("<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
         """Ids of words. Letters of ASCII with stops after them go by their small letters and stops, if the tokenizer's do."""
@@ -158,27 +164,33 @@ class Encoder:
         return [b"".join(map(self.words.__getitem__, x)) for x in split]
 
     def _disagreeing(self, rows: list[list[str]]) -> list[int]:
-        """The rows whose joins don't agree with the library in any context. A row: joins and insides in turn."""
-        todo, out, n = [(k, i) for k, p in enumerate(rows) for i in range(0, len(p), 2) if p[i]], set(), 1
+        """The rows whose joins don't agree with the library in any context. A row: joins and insides in turn.
+
+        First all joins with a word on either side are encoded as one text; only where that differs, each by itself.
+        """
+        todo = [(k, i) for k, p in enumerate(rows) for i in range(0, len(p), 2) if p[i]]
+        about = []
+        for k, i in todo:
+            p = rows[k]
+            before, after = (p[i - 1].rsplit(None, 1)[-1:] if i else []), (p[i + 1].split(None, 1)[:1] if i + 1 < len(p) else [])
+            about += [*before, p[i], *after]
+        text = " ".join(about)
+        if not text or self.ids([text]) == self._library([text]):
+            return []
+        out, n = set(), 1
         while todo:
-            about = {}
+            texts, last = [], []
             for k, i in todo:
-                left, right = (rows[k][i - 1] if i else ""), (rows[k][i + 1] if i + 1 < len(rows[k]) else "")
-                before, after = left.split()[-n:], right.split()[:n]
-                text = " ".join([*before, rows[k][i], *after])
-                if text not in self.agreed:
-                    about[k, i] = (text, n >= max(len(left.split()), len(right.split())))
-            texts = sorted({x for x, _ in about.values()})
-            good = {x for x, by_words, whole in zip(texts, self.ids(texts), self._library(texts), strict=True) if by_words == whole}
-            self.agreed |= good
-            self.kept += sum(map(len, good))
-            bad = [(at, last) for at, (x, last) in about.items() if x not in good]
-            out |= {k for (k, _), last in bad if last}
-            todo, n = [at for at, last in bad if not last], 2 * n
+                left, right = (rows[k][i - 1] if i else "").split(), (rows[k][i + 1] if i + 1 < len(rows[k]) else "").split()
+                texts.append(" ".join([*left[-n:], rows[k][i], *right[:n]]))
+                last.append(n >= max(len(left), len(right)))
+            bad = [x != y for x, y in zip(self.ids(texts), self._library(texts), strict=True)]
+            out |= {k for (k, _), b, end in zip(todo, bad, last, strict=True) if b and end}
+            todo, n = [at for at, b, end in zip(todo, bad, last, strict=True) if b and not end], 2 * n
         return sorted(out)
 
     def parts(self, texts: list[str | None], shared: Filter | None = None) -> list[list[tuple[bytes | None, bytes | None]]]:
-        """Of each text runs of ids (little-endian 32-bit integers), and digests of shared insides in place of their ids."""
+        """Of each text runs of ids, and digests of shared insides in place of their ids."""
         rows = [pieces(x, self.cutter) if x else [] for x in texts]
         keys = [[k if i % 2 and shared is not None and shared.has(k := digest(x)) else None for i, x in enumerate(p)] for p in rows]
         own = iter(self.ids([x for p, held in zip(rows, keys, strict=True) for x, k in zip(p, held, strict=True) if k is None]))
@@ -198,16 +210,25 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [b"".join(x for x, _ in p) for p in self.parts(texts)]
+        """Of each text the ids as little-endian 32-bit integers."""
+        return [self.wide(b"".join(x for x, _ in p)) for p in self.parts(texts)]
 
     def decode(self, ids: bytes) -> str:
+        """ids: little-endian 32-bit integers."""
         x = np.frombuffer(ids, dtype="<u4")
         if self.strings is not None:
             return " ".join(self.strings[x].tolist())
         return self.tokenizer.decode(x.tolist(), skip_special_tokens=False)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One for each Python worker, so that words which a task has met are known to the next."""
+    return Encoder(path)
+
+
 def _result(encoder: Encoder, ids: bytes, digests: bool) -> tuple:
+    ids = encoder.wide(ids)
     text = encoder.decode(ids)
     if digests:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
@@ -260,7 +281,7 @@ def table_of(texts: DataFrame, filter_at, path: str) -> DataFrame:
                 yield pd.DataFrame({"digest": list(found), "inside": list(found.values())})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for pdf in batches:
             for at in _slices(len(pdf)):
                 part = pdf.iloc[at]
@@ -288,7 +309,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = F
 
     @F.pandas_udf(f"{kind}, parts array<struct<ids:binary,digest:binary>>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
             rows: list[tuple] = []
             for at in _slices(len(batch)):
@@ -313,7 +334,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = F
 
     @F.pandas_udf(kind)
     def fill(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for parts, insides in batches:
             rows = []
             for p, found in zip(parts, insides, strict=True):

@@ -52,7 +52,7 @@ def test_joins_that_disagree_go_to_the_library(encoder):
     other = Encoder(PATH)
     word = rows[0][2].split()[0].lower() if rows[0][2].split() else "x"
     other.ids([word])
-    other.plain, other.words[rows[0][2]] = False, b"\0\0\0\0"  # a join whose ids are wrong in every context
+    other.plain, other.words[rows[0][2]] = False, b"\0\0"  # a join whose ids are wrong in every context
     assert other._disagreeing(rows) == [0] and other.encode([passage])[0] == library(passage)[0]
 
 
