@@ -7,8 +7,8 @@ context, as no token of a vocabulary that drops white space reaches across it.
 1. Digests of all insides are counted over all documents; of those that more than one row holds a filter of fixed size
 is made (``filter_words`` words of 64 bits, however large the corpus). 2. Insides that pass it go by digest, each text once,
 to be encoded once: a table of digest and ids. What passes by chance is in that table too, so that the filter only
-decides how much is shared, never a result. 3. Every document encodes what it alone holds, and leaves holes where shared insides
-are. 4. Holes are joined with the table by digest, ids are put in, and the ids decoded. Documents without holes skip this.
+decides how much is shared, never a result. 3. Every document of which shared insides are a good part (``least_shared``) encodes what else it holds,
+and leaves holes where these are; others encode all, as moving their ids would cost more than it saves. 4. Holes are joined with the table by digest, ids are put in, and the ids decoded. Documents without holes skip this.
 
 What is left about a cut, the end of one chunk and the beginning of the next, is the join: it is encoded by itself and
 again together with the nearest words of both neighbours; where the ids disagree, twice as many words are taken, until
@@ -113,6 +113,15 @@ def place(key: bytes, n: int) -> tuple[int, int]:
     return (x >> 6) % n, x & 63
 
 
+def shared_keys(row: list[str], shared: Filter | None, least: float) -> list[bytes | None]:
+    """Of a document's joins and insides the digests of the insides to take from the table, if these hold its ``least`` share."""
+    none: list[bytes | None] = [None] * len(row)
+    if shared is None:
+        return none
+    keys = [k if i % 2 and shared.has(k := digest(x)) else None for i, x in enumerate(row)]
+    return keys if sum(len(x) for x, k in zip(row, keys, strict=True) if k) >= least * sum(map(len, row)) else none
+
+
 def words_of(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
@@ -189,10 +198,10 @@ class Encoder:
             todo, n = [at for at, b, end in zip(todo, bad, last, strict=True) if b and not end], 2 * n
         return sorted(out)
 
-    def parts(self, texts: list[str | None], shared: Filter | None = None) -> list[list[tuple[bytes | None, bytes | None]]]:
+    def parts(self, texts: list[str | None], shared: Filter | None = None, least: float = 0.0) -> list[list[tuple[bytes | None, bytes | None]]]:
         """Of each text runs of ids, and digests of shared insides in place of their ids."""
         rows = [pieces(x, self.cutter) if x else [] for x in texts]
-        keys = [[k if i % 2 and shared is not None and shared.has(k := digest(x)) else None for i, x in enumerate(p)] for p in rows]
+        keys = [shared_keys(p, shared, least) for p in rows]
         own = iter(self.ids([x for p, held in zip(rows, keys, strict=True) for x, k in zip(p, held, strict=True) if k is None]))
         out = []
         for p, held in zip(rows, keys, strict=True):
@@ -266,17 +275,16 @@ def filter_of(shared: DataFrame, words: int) -> Filter:
     return Filter(out)
 
 
-def table_of(texts: DataFrame, filter_at, path: str) -> DataFrame:
-    """(digest, inside_ids) of all insides that pass the filter, each encoded once."""
+def table_of(texts: DataFrame, filter_at, path: str, least: float = 0.0) -> DataFrame:
+    """(digest, inside_ids) of all insides that documents take from it, each encoded once."""
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cutter, shared = Cutter(), filter_at.value
         for pdf in batches:
             found = {}
             for text in pdf["text"]:
-                for p in pieces(text, cutter)[1::2] if text else ():
-                    if shared.has(k := digest(p)):
-                        found[k] = p
+                row = pieces(text, cutter) if text else []
+                found.update((k, x) for x, k in zip(row, shared_keys(row, shared, least), strict=True) if k)
             if found:
                 yield pd.DataFrame({"digest": list(found), "inside": list(found.values())})
 
@@ -291,7 +299,7 @@ def table_of(texts: DataFrame, filter_at, path: str) -> DataFrame:
     return written(found.mapInPandas(encode, "digest binary, inside_ids binary"), "insides")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = False, carry: list[str] | None = None, filter_words: int = 1 << 18) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = False, carry: list[str] | None = None, filter_words: int = 1 << 18, least_shared: float = 0.5) -> DataFrame:
     """docs with ids (little-endian 32-bit integers) and decoded, or with their number and digests.
 
     carry: the columns of docs to return, all if not given. Without a path by the public vocabulary of 49,408 words and parts.
@@ -313,7 +321,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = F
         for batch in batches:
             rows: list[tuple] = []
             for at in _slices(len(batch)):
-                for parts in encoder.parts(batch.iloc[at].tolist(), filter_at.value):
+                for parts in encoder.parts(batch.iloc[at].tolist(), filter_at.value, least_shared):
                     if any(k is not None for _, k in parts):
                         rows.append((*[None] * len(results), [{"ids": x, "digest": k} for x, k in parts]))
                     else:
@@ -327,7 +335,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = F
     whole = rows.where(F.col(f"{x}.parts").isNull()).select(*kept, *[F.col(f"{x}.{c}").alias(c) for c in results])
     if not shared.words.any():
         return whole
-    insides = table_of(texts, filter_at, path)
+    insides = table_of(texts, filter_at, path, least_shared)
     holes = rows.where(F.col(f"{x}.parts").isNotNull()).select(F.col(row).alias("row"), F.posexplode(f"{x}.parts").alias("at", "part")).where("part.digest is not null")
     holes = written(holes.select("row", "at", F.col("part.digest").alias("digest")), "holes")
     ids = holes.join(insides, "digest").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "inside_ids"))).alias("insides"))  # of one document

@@ -72,8 +72,8 @@ def test_shared_chunks_are_encoded_once(spark):
     assert Filter(one).has(b"abcdefghijklmnop") and not Filter(np.zeros(8, dtype=np.uint64)).has(b"abcdefghijklmnop")
     table = table_of(docs.select("text"), spark.sparkContext.broadcast(held), PATH)
     assert insides <= {bytes(r.digest) for r in table.collect()} and table.count() < len(insides) + 20
-    for words in (1 << 18, 1):  # a filter that lets all pass gives the same
-        got = {r.doc_id: (bytes(r.ids), r.decoded) for r in encode_documents(docs, filter_words=words).collect()}
+    for words, least in ((1 << 18, 0.5), (1 << 18, 0.0), (1, 0.0), (1, 1.1)):  # all or no documents with holes give the same
+        got = {r.doc_id: (bytes(r.ids), r.decoded) for r in encode_documents(docs, filter_words=words, least_shared=least).collect()}
         assert got == {i: library(x or "") for i, x in enumerate(texts)}
 
 
