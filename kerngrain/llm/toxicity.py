@@ -129,7 +129,13 @@ class Index:
         add(order[:lead])
         least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
         rest = order[lead:][bound[order[lead:]] > max(least - 1e-9, 0)]
-        if len(rest):
+        if 4 * len(rest) > len(order):  # nearly all: whole lists, one after another
+            first, stop = self.begin[term, 0].tolist(), self.begin[term, -1].tolist()
+            weights = np.concatenate([self.weight[a:b] * q for a, b, q in zip(first, stop, w.tolist(), strict=True)])
+            scores = np.bincount(np.concatenate([self.example[a:b] for a, b in zip(first, stop, strict=True)]), weights=weights, minlength=len(scores))
+            if but >= 0:
+                scores[but] = 0
+        elif len(rest):
             add(rest)
         return scores
 
