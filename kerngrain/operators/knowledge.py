@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from .rules import ACTIONS, RULES
 
+#: Fixed values beside the code: keywords, functions, event types and combine_with in ../knowledge/*.json, which scores depend on.
 LAYERS = ("tcp", "memory", "fs", "process", "sched")
 KB = "version string, layer string, description string, probes array<struct<function:string,attachment:string,event_type:string,layer:string,answers:array<string>,keywords:array<string>,combine_with:array<string>,fields:array<struct<name:string,important:boolean>>>>"
 

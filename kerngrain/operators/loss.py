@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import evidence_class
 
-#: Types that the receiver takes (K6); those of the file family only with a flag.
+#: Types that the receiver takes (K6); those of the file family only with a flag.
 SUPPORTED = ("kernel.tcp.connect", "kernel.tcp.close", "kernel.tcp.retransmit", "kernel.process.exec", "kernel.file.open", "kernel.file.open_attempt", "agent.gap")
 GATED = ("kernel.file.open", "kernel.file.open_attempt")
 

@@ -12,6 +12,7 @@ EVENTS = (
     "duration_ns long, filename string, path string, uid int, ppid long, flags int"
 )
 
+#: Field names of the record format.
 OCCURRENCE = (
     "id string, timestamp timestamp, source string, type string, severity string, outcome string, correlation_keys array<string>, "
     "error struct<code:string,message:string,possible_causes:array<string>>, entity_ids array<string>, cluster string, namespace string, "
