@@ -37,15 +37,10 @@ RECORD = "record_id long, record_type string, target_uri string, payload_bytes l
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: 20 bits at a time, each five hexadecimal digits and four base32 letters."""
-    digits = F.sha1(payload)
-
-    def letters(i: Column) -> Column:
-        bits = F.conv(F.substring(digits, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.concat(*[F.substring(F.lit(_BASE32), F.shiftright(bits, shift).bitwiseAND(31) + 1, F.lit(1)) for shift in (15, 10, 5, 0)])
-
-    return F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(7)), letters))
+def base32(digits: Column) -> Column:
+    """Bare upper-case base32 of 40 hexadecimal digits, ten at a time: eight digits to base 32, in the alphabet of base32."""
+    parts = [F.lpad(F.conv(F.substring(digits, i, 10), 16, 32), 8, "0") for i in range(1, 40, 10)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _BASE32)
 
 
 def resolve_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -56,12 +51,12 @@ def resolve_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     record is. A null record_id comes after all others; records without any id are all response.
     """
     payload = F.coalesce("payload", F.lit(b""))
-    rows = records.withColumns({"payload": payload, "payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": base32_sha1(payload)})
-    headers = rows.select("record_id", "payload_bytes", "payload_digest").where(F.col("payload_bytes") >= min_bytes)
-    originals = headers.groupBy("payload_digest").agg(F.min("record_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null")
-    original = free_name(records, "original")
-    originals = written(originals.select("payload_digest", F.col("original").alias(original)), "originals")
-    joined = rows.join(originals, "payload_digest", "left")
+    original, digits = free_name(records, "original"), free_name(records, "digits")
+    rows = records.withColumns({"payload": payload, "payload_bytes": F.octet_length(payload).cast("long"), digits: F.sha1(payload)})
+    headers = rows.select("record_id", "payload_bytes", digits).where(F.col("payload_bytes") >= min_bytes)
+    originals = headers.groupBy(digits).agg(F.min("record_id").alias("original"), F.count("*").alias("n")).where("n > 1 and original is not null")
+    originals = written(originals.select(digits, F.col("original").alias(original)), "originals")
+    joined = rows.join(originals, digits, "left").withColumn("payload_digest", base32(F.col(digits))).drop(digits)
     revisit = F.col(original).isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col(original).eqNullSafe(F.col("record_id"))
     return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col(original))}).drop(original)
 
