@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import container_of_path, container_of_uri
+from ..functions.columns import container_of_path, container_of_uri, controlling_owner
 
 
 def latest_pods(changes: DataFrame) -> DataFrame:
@@ -15,11 +15,24 @@ def latest_pods(changes: DataFrame) -> DataFrame:
     return last.where("last.op <> 'delete'").select("pod_uid", "last.*")
 
 
+#: What a binding tells of a pod beside its number and namespace, where the inventory has it.
+OF_POD = ("pod_name", "service_account", "owner_kind", "owner_name", "owner_uid")
+
+
 def flatten_pods(pods: DataFrame) -> DataFrame:
-    """Pods with arrays of container URIs, by kind of status, to a row (container_id, pod_uid, namespace) for each container."""
+    """Pods with arrays of container URIs, by kind of status, to a row for each container: container_id, pod_uid, namespace, and of OF_POD and seq what there is.
+
+    ``owners`` (controller, kind, name, uid) gives the controlling owner, if all its parts are filled. Pods without uid, name or namespace are skipped.
+    """
     kinds = [F.coalesce(c, F.array().cast("array<string>")) for c in ("containers", "init_containers", "ephemeral_containers") if c in pods.columns]
-    rows = pods.where("pod_uid is not null and namespace is not null").select("pod_uid", "namespace", F.explode(F.concat(*kinds)).alias("uri"))
-    return rows.select(container_of_uri(F.col("uri"))["id"].alias("container_id"), "pod_uid", "namespace").where("container_id is not null")
+    whole = " and ".join(f"{c} is not null" for c in ("pod_uid", "pod_name", "namespace") if c in pods.columns)
+    rows = pods.where(whole)
+    if "owners" in pods.columns:
+        owner = controlling_owner(F.col("owners"))
+        rows = rows.withColumns({f"owner_{x}": owner[x] for x in ("kind", "name", "uid")})
+    more = [c for c in (*OF_POD, "seq") if c in rows.columns]
+    rows = rows.select("pod_uid", "namespace", *more, F.explode(F.concat(*kinds)).alias("uri"))
+    return rows.select(container_of_uri(F.col("uri"))["id"].alias("container_id"), "pod_uid", "namespace", *more).where("container_id is not null")
 
 
 def resynced(known: DataFrame, seen: DataFrame) -> DataFrame:
@@ -46,12 +59,14 @@ def bind(events: DataFrame, cgroups: DataFrame, pods: DataFrame, live: DataFrame
     own = container_of_path(F.col("live"))
     rows = rows.withColumn("box", F.coalesce(own, container_of_path(F.col("listed"))))
     rows = rows.withColumns({"container_id": F.when(F.col("cgroup_id") != 0, F.col("box.id")), "provenance": F.when(own.isNotNull(), "observed").when(F.col("box").isNotNull(), "derived")})
-    known = pods.select(F.lower("container_id").alias("key_"), "pod_uid", "namespace").dropDuplicates(["key_"])
+    of_pod = ["pod_uid", "namespace", *[c for c in OF_POD if c in pods.columns]]
+    newest = F.struct(*[F.col(c) for c in ("seq", "pod_uid") if c in pods.columns])  # of two pods that claim a container
+    known = pods.groupBy(F.lower("container_id").alias("key_")).agg(F.max_by(F.struct(*of_pod), newest).alias("pod_")).select("key_", "pod_.*")
     rows = rows.withColumn("key_", F.coalesce("container_id", F.concat(F.lit("none "), spread))).join(known, "key_", "left").drop("key_")
     path = F.coalesce("live", "listed")
     reason = F.when(F.col("cgroup_id") == 0, "no_cgroup").when(path.isNull(), "cache_miss").when(F.col("container_id").isNull(), "host_process").when(F.col("pod_uid").isNull(), "cache_miss")
     out = rows.withColumn("unbound_reason", reason)
-    return out.withColumns({c: F.when(F.col("unbound_reason").isNull(), F.col(c)) for c in ("container_id", "pod_uid", "namespace", "provenance")}).drop("box", "live", "listed")
+    return out.withColumns({c: F.when(F.col("unbound_reason").isNull(), F.col(c)) for c in ("container_id", *of_pod, "provenance")}).drop("box", "live", "listed")
 
 
 def coverage(bound: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import evidence_class
+from ..functions.columns import evidence_class, record_id
+from ..schemas import PRODUCER
 
 #: Types that the receiver takes (K6); those of the file family only with a flag.
 SUPPORTED = ("kernel.tcp.connect", "kernel.tcp.close", "kernel.tcp.retransmit", "kernel.process.exec", "kernel.file.open", "kernel.file.open_attempt", "agent.gap")
@@ -50,6 +51,18 @@ def gap_records(reports: DataFrame) -> DataFrame:
     return reports.select("*", F.lit("agent.gap").alias("type"), F.lit("warning").alias("severity"), F.col("gap_end_ns").alias("observed_at_ns"), labels.alias("labels"))
 
 
+def as_records(reports: DataFrame) -> DataFrame:
+    """A5 for the wire form: gap reports (cluster, node_id and what gaps gives) as whole records, whose labels also list the affected probes as JSON."""
+    rows = gap_records(reports)
+    more = F.create_map(F.lit("affected_probes"), F.to_json(F.split("affected_types", ",")), F.lit("observed_at_ns"), F.col("gap_end_ns").cast("string"), F.lit("node_id"), F.col("node_id"), F.lit("cluster_id"), F.col("cluster"))
+    none = lambda t: F.lit(None).cast(t)
+    return rows.select(
+        record_id(F.col("gap_end_ns"), F.col("node_id"), F.col("type"), F.col("gap_start_ns")).alias("id"), "cluster", "node_id", F.lit(f"{PRODUCER}/agent").alias("source"), "type", "severity", none("string").alias("outcome"), "observed_at_ns",
+        F.map_concat("labels", more).alias("labels"),
+        none("struct<src_ip:string,src_port:int,dst_ip:string,dst_port:int,protocol:string>").alias("network_data"), none("struct<pid:long,ppid:long,command:string,uid:long>").alias("process_data"),
+    )
+
+
 def counter_deltas(samples: DataFrame) -> DataFrame:
     """What a counter grew by since the poll before; a counter that went back counts from zero."""
     by = Window.partitionBy("node_id", "probe_id").orderBy("polled_ns")

@@ -6,13 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import connection_id, endpoint, errno_name, evidence_class, outcome_code, record_id, severity_code, tcp_state_code
-from ..schemas import AGENT_TYPES, PRODUCER, PRODUCER_VERSION, SCHEMA_VERSION, TCP, TYPES
+from ..schemas import AGENT_TYPES, IDENTITY_METHOD, PRODUCER, PRODUCER_VERSION, SCHEMA_VERSION, TCP, TYPES
 
 CAUSES = ("destination host unreachable", "nothing listens on the port", "a firewall blocks the connection")
 SOURCES = dict(zip(TYPES, ("tcp_connect", "tcp_close", "tcp_retransmit", "process_exec", "file_open", "file_open_attempt"), strict=True))
-#: Labels that P5 copies to keys of the wire form, and those that are numbers there.
-WIRE = {"node_id": "node", "cluster_id": "cluster", "probe_id": "probe", "kernel_release": "kernel_release", "observed_at_ns": "observed_at_ns", "cgroup_id": "cgroup_id", "container_id": "container_id", "pod_uid": "pod_uid", "schema_version": "schema_version", "tcp_state": "tcp_state", "gid": "gid", "flags": "open_flags"}
-WIRE_NUMBERS = ("observed_at_ns", "cgroup_id", "gid", "flags")
+#: Keys of the wire form by the labels that they are copied from (P5), those that are numbers there, and the columns of a binding
+#: with the labels that they become (P2); of these the keyed ones also relate records.
+WIRE = {
+    "node_id": "node_id", "k8s_pod_uid": "pod_uid", "k8s_pod_name": "pod_name", "k8s_container_id": "container_id", "k8s_namespace": "k8s_namespace", "k8s_service_account": "service_account",
+    "k8s_owner_kind": "owner_kind", "k8s_owner_name": "owner_name", "k8s_owner_uid": "owner_uid", "cgroup_id": "cgroup_id", "argv_hash": "argv_hash", "tcp_state": "tcp_state", "cluster_id": "cluster_id",
+    "kernel_release": "kernel_release", "runtime_subject_id": "runtime_subject_id", "node_identity": "node_identity", "boot_id": "boot_id", "runtime_identity_method": "runtime_identity_method",
+    "evidence_level": "evidence_level", "cause": "cause", "requested_path": "requested_path", "path_resolution": "path_resolution", "coverage": "coverage", "flags": "flags",
+}
+WIRE_NUMBERS = {
+    "observed_at_ns": "kernel_time_ns", "dropped_records": "dropped_records", "dropped_reliability": "dropped_reliability", "dropped_attribution": "dropped_attribution", "gap_start_ns": "gap_start_ns",
+    "gap_end_ns": "gap_end_ns", "host_tgid": "host_tgid", "host_tid": "host_tid", "leader_start_boottime_ns": "leader_start_boottime_ns", "runtime_canonicalization_version": "runtime_canonicalization_version", "gid": "gid",
+}
+BINDING = {"container_id": "k8s_container_id", "pod_uid": "k8s_pod_uid", "pod_name": "k8s_pod_name", "namespace": "k8s_namespace", "service_account": "k8s_service_account", "owner_kind": "k8s_owner_kind", "owner_name": "k8s_owner_name", "owner_uid": "k8s_owner_uid"}
+KEYED = ("container_id", "pod_uid", "namespace", "owner_uid")
+CANONICAL_VERSION = 1
 
 
 def labels_of(pairs: dict[str, Column]) -> Column:
@@ -33,6 +45,8 @@ def normalize(events: DataFrame) -> DataFrame:
         F.array(*map(F.lit, CAUSES)).alias("possible_causes"),
     )
     process = F.concat(F.lit("process:"), F.col("pid"))
+    known = lambda c, t: F.col(c) if c in events.columns else F.lit(None).cast(t)
+    start = known("start_boottime_ns", "long")
     denied = opened & (ret != 0)
     labels = labels_of({
         "cgroup_id": F.col("cgroup_id"),
@@ -46,6 +60,13 @@ def normalize(events: DataFrame) -> DataFrame:
         "resource_ref_id": F.when(opened, F.col("path")).when(exec_, F.col("filename")),
         "requested_path": F.when(attempt, F.col("path")),
         "path_resolution": F.when(attempt, "unresolved"),
+        "path_truncated": F.when((opened | attempt) & known("path_truncated", "boolean"), "true"),
+        "gid": F.when(exec_, known("gid", "long")),
+        "host_tgid": F.when(exec_, F.col("pid")),
+        "host_tid": F.when(exec_, known("tid", "long")),
+        "leader_start_boottime_ns": F.when(exec_ & (start != 0), start),
+        "runtime_identity_method": F.when(exec_ & (start != 0), known("identity_method", "string")),
+        "argv_hash": F.when(exec_, F.concat(F.lit("sha256:"), known("argv_hash", "string"))),
     })
     network = F.when(tcp, F.struct("src_ip", "src_port", "dst_ip", "dst_port", F.lit("tcp").alias("protocol"), F.lit("egress").alias("direction"), "bytes_sent", "bytes_received"))
     proc = F.struct("pid", F.when(F.col("ppid") != 0, F.col("ppid")).alias("ppid"), F.col("comm").alias("command"), F.when(exec_, F.col("filename")).alias("executable"), F.when(~tcp, F.col("uid")).alias("uid"), F.when(exec_ & (ret != 0), ret).alias("exit_code"))
@@ -69,14 +90,22 @@ def normalize(events: DataFrame) -> DataFrame:
 
 
 def normalize_generic(events: DataFrame) -> DataFrame:
-    """Any probe's events. An absent ret has no outcome; network data only with an address."""
-    ret = F.col("ret")
+    """Any probe's events as records. An absent ret has no outcome, any but 0 is a failure; network data and its key only with an address;
+    fields without a place are entities, if the source gives ``entity_ids``."""
+    ret, c = F.col("ret"), F.col
+    net = c("src_ip").isNotNull() | c("dst_ip").isNotNull()
+    text = lambda x: F.coalesce(c(x), F.lit(""))
+    port = lambda x: F.coalesce(c(x), F.lit(0))
+    network = F.struct(text("src_ip").alias("src_ip"), port("src_port").alias("src_port"), text("dst_ip").alias("dst_ip"), port("dst_port").alias("dst_port"), F.lit("tcp").alias("protocol"), F.lit("egress").alias("direction"))
+    key = F.concat(text("src_ip"), F.lit(":"), port("src_port"), F.lit("->"), text("dst_ip"), F.lit(":"), port("dst_port"))
+    entities = c("entity_ids") if "entity_ids" in events.columns else F.array(F.concat(F.lit("process:"), "pid"))
     return events.select(
-        "event_id", "node_id", F.col("event_type").alias("type"),
+        "event_id", "node_id", c("event_type").alias("type"),
         F.concat(F.lit(f"{PRODUCER}/"), F.split_part("event_type", F.lit("."), F.lit(-1))).alias("source"),
-        F.when(ret < 0, "failure").when(ret.isNotNull(), "success").alias("outcome"),
-        F.when(ret < 0, "warning").otherwise("info").alias("severity"),
-        endpoint(F.col("src_ip"), F.col("src_port")).alias("src"), endpoint(F.col("dst_ip"), F.col("dst_port")).alias("dst"),
+        F.when(ret == 0, "success").when(ret.isNotNull(), "failure").alias("outcome"),
+        F.when(ret != 0, "warning").otherwise("info").alias("severity"),
+        entities.alias("entity_ids"), F.array_compact(F.array(F.when(net, key))).alias("correlation_keys"), F.when(net, network).alias("network_data"),
+        F.when(c("comm").isNotNull(), F.struct("pid", c("comm").alias("command"))).alias("process_data"),
     )
 
 
@@ -94,11 +123,29 @@ def with_metadata(records: DataFrame, kernel_release: str = "6.8.0") -> DataFram
 
 
 def with_binding_labels(bound: DataFrame) -> DataFrame:
-    """Labels, namespace and correlation keys of a binding; unbound rows say why."""
+    """Labels and correlation keys of a binding, each once and none that is empty; the owner's uid is a key, as it outlives the pod. Unbound rows say why."""
     filled = lambda c: F.when(F.col(c) != "", F.col(c))
-    more = labels_of({"container_id": filled("container_id"), "pod_uid": filled("pod_uid"), "evidence_level": F.col("provenance"), "binding": F.when(F.col("unbound_reason").isNotNull(), "unbound"), "unbound_reason": F.col("unbound_reason")})
-    keys = F.array_distinct(F.array_compact(F.concat("correlation_keys", F.array(filled("container_id"), filled("pod_uid"), filled("namespace")))))
-    return bound.withColumns({"labels": F.map_concat(F.map_filter("labels", lambda k, v: ~F.array_contains(F.map_keys(more), k)), more), "correlation_keys": keys})
+    have = [c for c in BINDING if c in bound.columns]
+    unbound = F.col("unbound_reason").isNotNull()
+    more = {**{BINDING[c]: filled(c) for c in have}, "evidence_level": F.col("provenance"), "runtime_binding": F.when(unbound, "unbound"), "unbound_reason": F.col("unbound_reason")}
+    keys = F.array_distinct(F.array_compact(F.concat("correlation_keys", F.array(*[F.concat(F.lit(f"{BINDING[c]}:"), filled(c)) for c in have if c in KEYED]))))
+    return bound.withColumns({"labels": overlaid("labels", more), "correlation_keys": keys})
+
+
+def overlaid(labels: str, more: dict[str, Column]) -> Column:
+    """Labels with others in place of those of the same names; null values are left out."""
+    return F.map_concat(F.map_filter(labels, lambda k, v: ~k.isin(*more)), labels_of(more))
+
+
+def with_runtime_subject(records: DataFrame, node_identity: Column, boot: Column, domain: str = "kerngrain.runtime-subject.v1") -> DataFrame:
+    """P3 on records: four labels for a process that is told apart for good, where its labels name the method, its number and its
+    start, and node and boot are valid; else none of them."""
+    label = lambda k: F.col("labels")[k]
+    subject = runtime_subject(node_identity, boot, label("host_tgid").try_cast("long"), label("leader_start_boottime_ns").try_cast("long"), domain)
+    rows = records.withColumn("subject_", F.when(label("runtime_identity_method") == IDENTITY_METHOD, subject))
+    known = F.col("subject_").isNotNull()
+    more = {"runtime_subject_id": F.col("subject_"), "node_identity": F.when(known, node_identity), "boot_id": F.when(known, F.lower(boot)), "runtime_canonicalization_version": F.when(known, F.lit(CANONICAL_VERSION))}
+    return rows.withColumn("labels", F.when(known, overlaid("labels", more)).otherwise(F.col("labels"))).drop("subject_")
 
 
 def runtime_subject(node_identity: Column, boot: Column, tgid: Column, start_ns: Column, domain: str = "kerngrain.runtime-subject.v1") -> Column:
@@ -108,7 +155,7 @@ def runtime_subject(node_identity: Column, boot: Column, tgid: Column, start_ns:
     """
     size = lambda x: F.unhex(F.lpad(F.hex(F.octet_length(x)), 16, "0"))
     number = lambda x, digits: F.unhex(F.lpad(F.hex(x), digits, "0"))
-    fields = [F.encode(node_identity, "utf-8"), F.encode(F.lower(boot), "utf-8"), number(tgid, 8), number(start_ns, 16), number(F.lit(1), 4)]
+    fields = [F.encode(node_identity, "utf-8"), F.encode(F.lower(boot), "utf-8"), number(tgid, 8), number(start_ns, 16), number(F.lit(CANONICAL_VERSION), 4)]
     digest = F.sha2(F.concat(F.encode(F.lit(domain), "utf-8"), *[part for f in fields for part in (size(f), f)]), 256)
     valid = (node_identity != "") & (F.trim(node_identity) == node_identity) & boot.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$") & (tgid > 0) & (start_ns > 0)
     return F.when(valid, F.concat(F.lit("sha256:"), digest))
@@ -129,16 +176,20 @@ def neutral(bound: DataFrame) -> DataFrame:
 
 
 def wire(records: DataFrame) -> DataFrame:
-    """P5: one flat row of the wire form: renamed labels, numbers as numbers, a positive errno for negative ones."""
-    copies = [(F.col("labels")[k].try_cast("long") if k in WIRE_NUMBERS else F.col("labels")[k]).alias(v) for k, v in WIRE.items()]
-    number = F.col("labels")["errno_num"].try_cast("int")
+    """P5: one flat row of the wire form: renamed labels, numbers as numbers (those that aren't are left out), a list of the probes that a gap
+    concerns, files only where their identity is known, a positive errno for negative results."""
+    c, p, n = F.col("labels"), F.col("process_data"), F.col("network_data")
+    number = c["errno_num"].try_cast("long")
+    named = lambda kind: F.when(c["resource_ref_kind"] == kind, c["resource_ref_id"])
+    at = F.timestamp_micros(F.expr("try_cast(labels['observed_at_ns'] as bigint) div 1000")) if "timestamp" not in records.columns else F.col("timestamp")
     return records.select(
-        "id", "type", *copies, F.when(number < 0, -number).alias("errno"),
-        F.when(F.col("labels")["resource_ref_kind"] == "executable", F.col("labels")["resource_ref_id"]).alias("exe"),
-        F.when(F.col("labels")["resource_ref_kind"] == "file", F.col("labels")["resource_ref_id"]).alias("file_path"),
-        F.col("process_data.pid").alias("pid"), F.col("process_data.ppid").alias("ppid"), F.col("process_data.command").alias("comm"), F.col("process_data.uid").alias("uid"),
-        F.col("network_data.src_ip").alias("saddr"), F.col("network_data.src_port").alias("sport"), F.col("network_data.dst_ip").alias("daddr"), F.col("network_data.dst_port").alias("dport"),
-        F.when(F.col("outcome") == "success", "ok").when(F.col("outcome") == "failure", "failed").otherwise("unknown").alias("state"),
+        F.col("type").alias("occurrence_type"), F.col("id").alias("event_id"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("observed_at"),
+        *[c[k].alias(v) for k, v in WIRE.items()], *[c[k].try_cast("long").alias(v) for k, v in WIRE_NUMBERS.items()],
+        F.from_json(c["affected_probes"], "array<string>").alias("affected_probes"),
+        named("executable").alias("exe"), named("file").alias("path"), F.when(c["path_truncated"] == "true", True).alias("path_truncated"), F.when(number < 0, -number).alias("errno"),
+        p["pid"].alias("pid"), p["ppid"].alias("ppid"), p["command"].alias("comm"), p["uid"].alias("uid"),
+        n["protocol"].alias("protocol"), n["src_ip"].alias("source_ip"), n["src_port"].alias("source_port"), n["dst_ip"].alias("destination_ip"), n["dst_port"].alias("destination_port"),
+        F.col("outcome").alias("state"),
     )
 
 

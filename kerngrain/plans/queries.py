@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as E
 from ..operators import binding, knowledge, lineage, loss, metrics, records, rules, select
 from ..sources import capture, probes
+from .captures import captures, decoded_sql
 from ..sources.adapter import CGROUPS_SQL, EVENTS_SQL, FAST, FAST_EVENTS_SQL, FAST_MORE_SQL, MORE_SQL, PODS_SQL, cgroup_paths, kernel_events, more_events, pods
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +23,7 @@ TCP_ID = "concat(src_ip, ':', src_port, '->', dst_ip, ':', dst_port)"
 STRONG = f"""WITH {EVENTS_SQL}, {CGROUPS_SQL}, {PODS_SQL},
 box AS (SELECT cluster, node_id, cgroup_id, path, lower(regexp_extract(path, '([0-9a-fA-F]{{64}})(\\.scope)?$', 1)) AS cid FROM cgroups),
 bound AS (SELECT ke.*, CASE WHEN ke.cgroup_id = 0 THEN 'no_cgroup' WHEN box.path IS NULL THEN 'cache_miss' WHEN box.cid = '' THEN 'host_process' WHEN pods.pod_uid IS NULL THEN 'cache_miss' END AS unbound_reason,
-  CASE WHEN ke.cgroup_id <> 0 THEN pods.pod_uid END AS pod_uid, pods.namespace, pods.container_id FROM ke LEFT JOIN box ON ke.cgroup_id = box.cgroup_id AND ke.node_id = box.node_id AND ke.cluster = box.cluster LEFT JOIN pods ON pods.container_id = box.cid) """
+  CASE WHEN ke.cgroup_id <> 0 THEN pods.pod_uid END AS pod_uid, pods.namespace, pods.container_id, pods.pod_name, pods.service_account, pods.owner_kind, pods.owner_name, pods.owner_uid FROM ke LEFT JOIN box ON ke.cgroup_id = box.cgroup_id AND ke.node_id = box.node_id AND ke.cluster = box.cluster LEFT JOIN pods ON pods.container_id = box.cid) """
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -84,10 +85,12 @@ def n03_file_open_attempt(spark, sf_dir):
     return records.normalize(tries).select("event_id", label("requested_path"), "outcome", label("path_resolution"), label("resource_ref_id"))
 
 
-@query(ME + """SELECT event_id, node_id, event_type AS type, concat('kerngrain/', split_part(event_type, '.', 3)) AS source, CASE WHEN ret < 0 THEN 'failure' WHEN ret IS NOT NULL THEN 'success' END AS outcome,
-  CASE WHEN ret < 0 THEN 'warning' ELSE 'info' END AS severity, CASE WHEN src_ip IS NOT NULL THEN concat(src_ip, ':', src_port) END AS src, CASE WHEN dst_ip IS NOT NULL THEN concat(dst_ip, ':', dst_port) END AS dst FROM me""")
+@query(ME + f"""SELECT event_id, node_id, event_type AS type, concat('kerngrain/', split_part(event_type, '.', 3)) AS source, CASE WHEN ret = 0 THEN 'success' WHEN ret IS NOT NULL THEN 'failure' END AS outcome,
+  CASE WHEN ret <> 0 THEN 'warning' ELSE 'info' END AS severity, concat('process:', pid) AS entities, CASE WHEN src_ip IS NOT NULL THEN {TCP_ID} END AS key, src_ip, src_port, dst_ip, dst_port, comm AS command FROM me""")
 def n07_generic_probe(spark, sf_dir):
-    return records.normalize_generic(more_events(spark, sf_dir))
+    found = records.normalize_generic(more_events(spark, sf_dir))
+    net = F.col("network_data")
+    return found.select("event_id", "node_id", "type", "source", "outcome", "severity", F.array_join("entity_ids", "|").alias("entities"), F.get("correlation_keys", 0).alias("key"), net["src_ip"].alias("src_ip"), net["src_port"].alias("src_port"), net["dst_ip"].alias("dst_ip"), net["dst_port"].alias("dst_port"), F.col("process_data.command").alias("command"))
 
 
 # --- projections ---------------------------------------------------------------------------------------------------
@@ -98,18 +101,34 @@ def p01_metadata(spark, sf_dir):
     return records.with_metadata(records.normalize(kernel_events(spark, sf_dir))).select("event_id", label("producer"), label("node_id", "node"), label("observed_at_ns", "observed"), label("probe_family"), label("hook_kind"), label("schema_version"))
 
 
-@query(STRONG + f"""SELECT event_id, CASE WHEN unbound_reason IS NULL THEN container_id END AS container_id, CASE WHEN unbound_reason IS NULL THEN 'derived' END AS evidence_level, unbound_reason,
-  concat_ws('|', CASE WHEN event_type LIKE 'kernel.tcp.%' THEN {TCP_ID} ELSE concat('process:', pid) END, CASE WHEN unbound_reason IS NULL THEN container_id END, CASE WHEN unbound_reason IS NULL THEN pod_uid END, CASE WHEN unbound_reason IS NULL THEN namespace END) AS keys FROM bound""")
+_OF_POD = ("container_id", "pod_uid", "pod_name", "namespace", "service_account", "owner_kind", "owner_name", "owner_uid")
+
+
+@query(STRONG + f"""SELECT event_id, {', '.join(f"CASE WHEN unbound_reason IS NULL THEN nullif({c}, '') END AS k8s_{c}" for c in _OF_POD)}, CASE WHEN unbound_reason IS NULL THEN 'derived' END AS evidence_level, CASE WHEN unbound_reason IS NOT NULL THEN 'unbound' END AS runtime_binding, unbound_reason,
+  concat_ws('|', CASE WHEN event_type LIKE 'kernel.tcp.%' THEN {TCP_ID} ELSE concat('process:', pid) END, CASE WHEN unbound_reason IS NULL THEN concat_ws('|', concat('k8s_container_id:', container_id), concat('k8s_pod_uid:', pod_uid), concat('k8s_namespace:', namespace), 'k8s_owner_uid:' || owner_uid) END) AS keys FROM bound""")
 def p02_binding_labels(spark, sf_dir):
     label = lambda k: F.col("labels")[k].alias(k)
-    return records.with_binding_labels(_bound_records(spark, sf_dir)).select("event_id", label("container_id"), label("evidence_level"), label("unbound_reason"), F.array_join("correlation_keys", "|").alias("keys"))
+    return records.with_binding_labels(_bound_records(spark, sf_dir)).select("event_id", *[label(f"k8s_{c}") for c in _OF_POD], label("evidence_level"), label("runtime_binding"), label("unbound_reason"), F.array_join("correlation_keys", "|").alias("keys"))
+
+
+_BOOT = "550e8400-e29b-41d4-a716-446655440000"
+_SUBJECT = f"""concat('sha256:', sha256(unhex(concat(hex('kerngrain.runtime-subject.v1'), lpad(to_hex(octet_length(encode(node_id))), 16, '0'), hex(node_id), lpad(to_hex(36), 16, '0'), hex('{_BOOT}'),
+  lpad(to_hex(4), 16, '0'), lpad(to_hex(pid), 8, '0'), lpad(to_hex(8), 16, '0'), lpad(to_hex(start_boottime_ns), 16, '0'), lpad(to_hex(2), 16, '0'), '0001'))))"""
+_HAS_SUBJECT = "start_boottime_ns <> 0 AND event_id % 7 <> 0"
 
 
-@query(KE + """SELECT event_id, concat('sha256:', sha256(unhex(concat(hex('kerngrain.runtime-subject.v1'), lpad(to_hex(octet_length(encode(node_id))), 16, '0'), hex(node_id), lpad(to_hex(36), 16, '0'), hex('550e8400-e29b-41d4-a716-446655440000'),
-  lpad(to_hex(4), 16, '0'), lpad(to_hex(pid), 8, '0'), lpad(to_hex(8), 16, '0'), lpad(to_hex(observed_at_ns + 1), 16, '0'), lpad(to_hex(2), 16, '0'), '0001')))) AS runtime_subject_id FROM ke WHERE event_type = 'kernel.process.exec'""")
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of executions, from captures to the digests of their processes; every seventh comes from a node whose boot isn't known."""
+    decoded = capture.to_events(capture.decode(captures(kernel_events(spark, sf_dir).where("event_type = 'kernel.process.exec'"))))
+    return records.with_runtime_subject(records.normalize(decoded), F.col("node_id"), F.when(F.col("event_id") % 7 == 0, "unknown").otherwise(_BOOT.upper()))
+
+
+@query(KE + f"""SELECT event_id, CASE WHEN {_HAS_SUBJECT} THEN {_SUBJECT} END AS runtime_subject_id, CASE WHEN {_HAS_SUBJECT} THEN node_id END AS node_identity, CASE WHEN {_HAS_SUBJECT} THEN '{_BOOT}' END AS boot_id, CASE WHEN {_HAS_SUBJECT} THEN '1' END AS runtime_canonicalization_version,
+  CAST(gid AS VARCHAR) AS gid, CAST(pid AS VARCHAR) AS host_tgid, CAST(tid AS VARCHAR) AS host_tid, CASE WHEN start_boottime_ns <> 0 THEN CAST(start_boottime_ns AS VARCHAR) END AS leader_start_boottime_ns, identity_method AS runtime_identity_method, concat('sha256:', argv_hash) AS argv_hash
+  FROM ke WHERE event_type = 'kernel.process.exec' AND event_id % 17 <> 0""")
 def p03_runtime_subject(spark, sf_dir):
-    ex = kernel_events(spark, sf_dir).where("event_type = 'kernel.process.exec'")
-    return ex.select("event_id", records.runtime_subject(F.col("node_id"), F.lit("550E8400-E29B-41D4-A716-446655440000"), F.col("pid"), F.col("observed_at_ns") + 1).alias("runtime_subject_id"))
+    label = lambda k: F.col("labels")[k].alias(k)
+    return _subjects(spark, sf_dir).select("event_id", *map(label, ("runtime_subject_id", "node_identity", "boot_id", "runtime_canonicalization_version", "gid", "host_tgid", "host_tid", "leader_start_boottime_ns", "runtime_identity_method", "argv_hash")))
 
 
 @query(STRONG + """SELECT event_id, 'info' AS severity, CASE WHEN event_type LIKE 'kernel.tcp.%' THEN 'network_endpoint' WHEN event_type = 'kernel.file.open' THEN 'file' ELSE 'executable' END AS ref_kind,
@@ -118,10 +137,29 @@ def p04_neutral(spark, sf_dir):
     return records.neutral(_bound_records(spark, sf_dir)).select("event_id", "severity", F.col("labels")["resource_ref_kind"].alias("ref_kind"), F.col("labels")["resource_ref_id"].alias("ref_id"), "pod_uid")
 
 
-@query(KE + """SELECT event_type AS type, observed_at_ns, cgroup_id, pid, comm, src_ip AS saddr, src_port AS sport, dst_ip AS daddr, dst_port AS dport, CASE WHEN event_type IN ('kernel.tcp.connect', 'kernel.file.open') AND ret < 0 THEN -ret END AS errno,
-  filename AS exe, path AS file_path, CASE WHEN event_type = 'kernel.tcp.retransmit' OR (event_type IN ('kernel.tcp.connect', 'kernel.file.open') AND ret <> 0) THEN 'failed' ELSE 'ok' END AS state FROM ke""")
+_BOUND = "unbound_reason IS NULL"
+_EXEC = "event_type = 'kernel.process.exec'"
+
+
+@query(STRONG + f""", w AS (SELECT *, {_EXEC} AND coalesce({_HAS_SUBJECT}, false) AS known FROM bound) SELECT event_type AS occurrence_type, observed_at_ns AS kernel_time_ns, node_id, {', '.join(f"CASE WHEN {_BOUND} THEN nullif({c}, '') END AS {c.replace('namespace', 'k8s_namespace')}" for c in _OF_POD)}, CAST(cgroup_id AS VARCHAR) AS cgroup_id,
+  'sha256:' || argv_hash AS argv_hash, tcp_state, cluster AS cluster_id, '6.8.0' AS kernel_release, CASE WHEN known THEN {_SUBJECT} END AS runtime_subject_id, CASE WHEN known THEN node_id END AS node_identity, CASE WHEN known THEN '{_BOOT}' END AS boot_id, identity_method AS runtime_identity_method,
+  CASE WHEN {_BOUND} THEN 'derived' END AS evidence_level, CASE WHEN event_type = 'kernel.file.open' THEN 'lsm_gated' END AS coverage, CAST(flags AS VARCHAR) AS flags, CASE WHEN {_EXEC} THEN pid END AS host_tgid, CASE WHEN {_EXEC} THEN tid END AS host_tid, nullif(start_boottime_ns, 0) AS leader_start_boottime_ns,
+  CASE WHEN known THEN 1::BIGINT END AS runtime_canonicalization_version, gid, CASE WHEN event_type IN ('kernel.tcp.connect', 'kernel.file.open') AND ret < 0 THEN -ret::BIGINT END AS errno, filename AS exe, path, CASE WHEN path_truncated THEN true END AS path_truncated, pid, nullif(ppid, 0) AS ppid, comm, uid,
+  CASE WHEN src_ip IS NOT NULL THEN 'tcp' END AS protocol, src_ip AS source_ip, src_port AS source_port, dst_ip AS destination_ip, dst_port AS destination_port,
+  CASE WHEN event_type = 'kernel.tcp.retransmit' OR (event_type IN ('kernel.tcp.connect', 'kernel.file.open') AND ret <> 0) THEN 'failure' ELSE 'success' END AS state, strftime(make_timestamp(observed_at_ns // 1000), '%Y-%m-%dT%H:%M:%S.%fZ') AS observed_at FROM w""")
 def p05_wire(spark, sf_dir):
-    return records.wire(records.with_metadata(records.normalize(kernel_events(spark, sf_dir)))).select("type", "observed_at_ns", "cgroup_id", "pid", "comm", "saddr", "sport", "daddr", "dport", "errno", "exe", "file_path", "state")
+    rec = records.with_binding_labels(records.with_metadata(_bound_records(spark, sf_dir)))
+    rec = records.with_runtime_subject(rec, F.col("node_id"), F.when(F.col("event_id") % 7 == 0, "unknown").otherwise(_BOOT))
+    return records.wire(rec).drop("event_id", "cause", "requested_path", "path_resolution", "affected_probes", "dropped_records", "dropped_reliability", "dropped_attribution", "gap_start_ns", "gap_end_ns")
+
+
+@query(STRONG + """, g AS (SELECT node_id, min(observed_at_ns) AS gap_start_ns, max(observed_at_ns) AS gap_end_ns, count(*) AS dropped_records, count(*) FILTER (WHERE event_type IN ('kernel.tcp.close', 'kernel.tcp.retransmit')) AS dropped_reliability,
+  count(*) FILTER (WHERE event_type NOT IN ('kernel.tcp.close', 'kernel.tcp.retransmit')) AS dropped_attribution, array_to_string(list_sort(list(DISTINCT event_type)), '|') AS affected_probes, CASE WHEN min(unbound_reason) <> max(unbound_reason) THEN 'multiple' ELSE min(unbound_reason) END AS cause FROM bound WHERE unbound_reason IS NOT NULL GROUP BY node_id)
+SELECT node_id, 'agent.gap' AS occurrence_type, cause, gap_start_ns, gap_end_ns, dropped_records, dropped_reliability, dropped_attribution, affected_probes, gap_end_ns AS kernel_time_ns FROM g""")
+def p05_wire_of_gaps(spark, sf_dir):
+    dropped = _bound(spark, sf_dir).where("unbound_reason is not null")
+    found = records.wire(loss.as_records(loss.gaps(dropped, F.col("unbound_reason"), "cluster", "node_id")))
+    return found.select("node_id", "occurrence_type", "cause", "gap_start_ns", "gap_end_ns", "dropped_records", "dropped_reliability", "dropped_attribution", F.array_join("affected_probes", "|").alias("affected_probes"), "kernel_time_ns")
 
 
 @query(KE + """SELECT CAST(CASE event_type WHEN 'kernel.tcp.connect' THEN 0 WHEN 'kernel.tcp.close' THEN 1 WHEN 'kernel.tcp.retransmit' THEN 2 WHEN 'kernel.process.exec' THEN 3 ELSE 4 END AS INT) AS probe_idx, observed_at_ns AS ts_ns,
@@ -595,11 +633,26 @@ def e08_s06_container_of_path(spark, sf_dir):
 
 
 # --- sources -------------------------------------------------------------------------------------------------------
-@query(KE + "SELECT event_id, observed_at_ns, pid, src_port, dst_port, ret, src_ip, dst_ip, cgroup_id, comm, CAST(NULL AS VARCHAR) AS decode_error FROM ke WHERE event_type = 'kernel.tcp.connect' AND event_id % 17 <> 0 UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'too short' FROM ke WHERE event_type = 'kernel.tcp.connect' AND event_id % 17 = 0")
+@query(KE + decoded_sql())
 def s01_s02_decode(spark, sf_dir):
-    raw = capture.encode_connects(kernel_events(spark, sf_dir))
-    cut = raw.withColumn("raw", F.when(F.col("event_id") % 17 == 0, F.expr("substring(raw, 1, 40)")).otherwise(F.col("raw")))
-    return capture.decode(cut).select("event_id", "observed_at_ns", "pid", "src_port", "dst_port", "ret", "src_ip", "dst_ip", "cgroup_id", "comm", "decode_error")
+    """Captures of all six families in one table, decoded in one pass."""
+    return capture.decode(captures(kernel_events(spark, sf_dir))).drop("cluster", "boot_id")
+
+
+_HOOKS = (("net.connect", "sk_common_skc_daddr", 32, "u32"), ("net.connect", "sk_common_skc_rcv_saddr", 16, "u32"), ("net.connect", "sk_common_skc_num", 48, "u16"), ("net.connect", "sk_common_skc_dport", 50, "u16"), ("net.connect", "comm", 72, "u64"),
+          ("net.connect", "ret", 56, "i32"), ("net.connect", "netns", 88, "u32"), ("net.connect", "ret_wide", 56, "u64"), ("exec", "uid", 16, "u32"), ("exec", "pid", 8, "u32"), ("exec", "low", 344, "u8"), ("exec", "start", 344, "i64"))
+
+
+@query(KE + """SELECT event_id, CASE WHEN event_type = 'kernel.tcp.connect' THEN 'net.connect' ELSE 'exec' END AS event_type, observed_at_ns, pid, CASE WHEN event_type = 'kernel.tcp.connect' THEN tid ELSE ppid END AS tid, src_ip, dst_ip, src_port, dst_port,
+  CASE WHEN event_type = 'kernel.tcp.connect' THEN ret END AS ret, CASE WHEN event_type = 'kernel.tcp.connect' THEN comm END AS comm,
+  CASE WHEN event_type = 'kernel.tcp.connect' THEN concat_ws('|', concat('process:', pid), concat('netns:', 4026531840 + event_id % 3), concat('ret_wide:', CASE WHEN ret < 0 THEN 4294967296 + ret ELSE ret END))
+    ELSE concat_ws('|', concat('process:', pid), concat('uid:', uid), concat('low:', start_boottime_ns % 256), concat('start:', start_boottime_ns)) END AS entities FROM ke WHERE event_type IN ('kernel.tcp.connect', 'kernel.process.exec') AND event_id % 17 <> 0 AND event_id % 5 <> 0""")
+def s02_declared_layouts(spark, sf_dir):
+    """Captures by layouts that are declared as rows: names tell addresses, ports, comm and ret, all else becomes entities."""
+    rows = captures(kernel_events(spark, sf_dir).where("event_type in ('kernel.tcp.connect', 'kernel.process.exec') and event_id % 17 <> 0 and event_id % 5 <> 0"))
+    rows = rows.withColumn("event_type", F.when(F.col("event_type") == "kernel.tcp.connect", "net.connect").otherwise("exec"))
+    found = capture.to_declared(rows, capture.declared(_HOOKS, {"net.connect": 96, "exec": 352}))
+    return found.select("event_id", "event_type", "observed_at_ns", "pid", "tid", "src_ip", "dst_ip", "src_port", "dst_port", "ret", "comm", F.array_join("entity_ids", "|").alias("entities"))
 
 
 @query(KE + """, n AS (SELECT concat(event_id, ':', CASE WHEN event_id % 3 = 0 THEN 'x' END) AS d FROM ke)
@@ -724,20 +777,13 @@ _M = {
     "events": "SELECT event_type AS label, count(*) AS value FROM ke GROUP BY 1",
     "drops": "SELECT probe_id AS label, CAST(sum(delta) AS BIGINT) AS value FROM d GROUP BY 1",
     "delivery_errors": f"SELECT {_SOURCE} AS label, count(*) FILTER (WHERE event_id % 13 = 0) AS value FROM ke GROUP BY 1",
-    "parse_errors": "SELECT event_type AS label, count(*) FILTER (WHERE event_id % 17 = 0) AS value FROM ke WHERE event_type IN ('kernel.tcp.connect', 'kernel.tcp.close') GROUP BY 1",
+    "parse_errors": "SELECT event_type AS label, count(*) FILTER (WHERE event_id % 17 = 0 OR event_type = 'kernel.tcp.close' AND event_id % 23 = 0) AS value FROM ke WHERE event_type IN ('kernel.tcp.connect', 'kernel.tcp.close') GROUP BY 1",
 }
 
 
-def _decoded(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """Events of one kind as captures, of which every seventeenth is cut short, decoded."""
-    layout, size = capture.LAYOUTS[kind]
-    ev = kernel_events(spark, sf_dir).where(F.col("event_type") == ("kernel.file.open" if kind == "kernel.file.open_attempt" else kind))
-    if kind == "kernel.file.open_attempt":
-        ev = ev.where("ret < 0")
-    state = F.coalesce(*[F.when(F.col("tcp_state") == v, k) for k, v in E.TCP_STATES.items()])
-    raw = capture.encode(ev.withColumns({"tid": F.col("pid"), "family": F.lit(2), "state": state}), layout, size)
-    cut = raw.withColumn("raw", F.when(F.col("event_id") % 17 == 0, F.expr("substring(raw, 1, 40)")).otherwise(F.col("raw")))
-    return capture.decode(cut, layout, size)
+def _decoded(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """Captures of these types decoded."""
+    return capture.decode(captures(kernel_events(spark, sf_dir)).where(F.col("event_type").isin(*kinds)))
 
 
 @query(KE + f", {_DROPS} " + _M["drops"])
@@ -751,8 +797,7 @@ def m03_delivery_errors(spark, sf_dir):
 
 
 def _parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = [_decoded(spark, sf_dir, k).select(F.lit(k).alias("event_type"), "decode_error") for k in ("kernel.tcp.connect", "kernel.tcp.close")]
-    return metrics.parse_errors(kinds[0].union(kinds[1]))
+    return metrics.parse_errors(_decoded(spark, sf_dir, "kernel.tcp.connect", "kernel.tcp.close"))
 
 
 @query(KE + _M["parse_errors"])
@@ -766,20 +811,16 @@ def k07_metrics(spark, sf_dir):
     return metrics.exported(**tables)
 
 
-_STATE = "CASE tcp_state " + " ".join(f"WHEN '{v}' THEN {k}" for k, v in E.TCP_STATES.items()) + " END"
 _DECODED = {
-    "kernel.tcp.close": {"src_port": "src_port", "dst_port": "dst_port", "src_ip": "src_ip", "dst_ip": "dst_ip", "bytes_sent": "bytes_sent", "bytes_received": "bytes_received", "duration_ns": "duration_ns"},
-    "kernel.tcp.retransmit": {"src_port": "src_port", "dst_port": "dst_port", "src_ip": "src_ip", "dst_ip": "dst_ip", "state": f"CAST({_STATE} AS BIGINT)"},
-    "kernel.process.exec": {"ppid": "ppid", "uid": "CAST(uid AS BIGINT)", "ret": "ret", "filename": "filename"},
-    "kernel.file.open": {"flags": "CAST(flags AS BIGINT)", "uid": "CAST(uid AS BIGINT)", "ret": "ret", "path": "path"},
-    "kernel.file.open_attempt": {"flags": "CAST(flags AS BIGINT)", "ret": "ret", "path": "path"},
+    "kernel.tcp.close": ["observed_at_ns", "pid", "tid", "cgroup_id", "comm", "src_ip", "src_port", "dst_ip", "dst_port", "bytes_sent", "bytes_received", "duration_ns", "netns"],
+    "kernel.tcp.retransmit": ["observed_at_ns", "pid", "tid", "cgroup_id", "comm", "src_ip", "src_port", "dst_ip", "dst_port", "state", "netns"],
+    "kernel.process.exec": ["observed_at_ns", "pid", "tid", "cgroup_id", "comm", "ppid", "uid", "gid", "ret", "filename", "argv_hash", "start_boottime_ns"],
+    "kernel.file.open": ["observed_at_ns", "pid", "cgroup_id", "comm", "flags", "uid", "ret", "path", "path_truncated"],
+    "kernel.file.open_attempt": ["observed_at_ns", "pid", "cgroup_id", "comm", "flags", "uid", "ret", "path", "path_truncated"],
 }
 for _kind, _columns in _DECODED.items():
-    _common = {"observed_at_ns": "observed_at_ns", "pid": "pid", "cgroup_id": "cgroup_id", "comm": "comm"} | _columns
-    _from = "event_type = 'kernel.file.open' AND ret < 0" if _kind == "kernel.file.open_attempt" else f"event_type = '{_kind}'"
-    _cells = ", ".join(f"CASE WHEN event_id % 17 <> 0 THEN {x} END AS {c}" for c, x in _common.items())
-    query(KE + f"SELECT event_id, {_cells}, CASE WHEN event_id % 17 = 0 THEN 'too short' END AS decode_error FROM ke WHERE {_from}", "s01_" + _kind.split(".", 1)[1].replace(".", "_"))(
-        lambda spark, sf_dir, kind=_kind, columns=tuple(_common): _decoded(spark, sf_dir, kind).select("event_id", *columns, "decode_error")
+    query(KE + f"SELECT * FROM ({decoded_sql(_columns)}) WHERE event_type = '{_kind}'", "s01_" + _kind.split(".", 1)[1].replace(".", "_"))(
+        lambda spark, sf_dir, kind=_kind, columns=tuple(_columns): _decoded(spark, sf_dir, kind).select("event_id", "node_id", "event_type", *columns, "decode_error")
     )
 
 
@@ -803,12 +844,13 @@ def f09_probe_filters(spark, sf_dir):
     return select.probe_filters(kernel_events(spark, sf_dir), filters).select("event_id")
 
 
-@query(KE + f"""SELECT event_id, node_id, 'kernel.tcp.close' AS type, 'kerngrain/close' AS source, CAST(NULL AS VARCHAR) AS outcome, 'info' AS severity, concat(src_ip, ':', src_port) AS src, concat(dst_ip, ':', dst_port) AS dst FROM ke WHERE event_type = 'kernel.tcp.close'""")
+@query(KE + f"""SELECT event_id, node_id, event_type AS type, 'kerngrain/close' AS source, CAST(NULL AS VARCHAR) AS outcome, 'info' AS severity, concat('process:', pid) AS entities, concat(src_ip, ':', src_port, '->', dst_ip, ':', dst_port) AS key, comm AS command
+  FROM ({decoded_sql(["pid", "src_ip", "src_port", "dst_ip", "dst_port", "comm"])}) WHERE event_type = 'kernel.tcp.close' AND decode_error IS NULL""")
 def ud01_probe(spark, sf_dir):
+    raw = captures(kernel_events(spark, sf_dir).where("event_type = 'kernel.tcp.close'")).select("event_id", "node_id", "raw")
     layout, size = capture.LAYOUTS["kernel.tcp.close"]
-    ev = kernel_events(spark, sf_dir).where("event_type = 'kernel.tcp.close'").withColumns({"tid": F.col("pid"), "family": F.lit(2)})
-    raw = capture.encode(ev, layout, size).join(ev.select("event_id", "node_id"), "event_id")
-    return probes.Probe("kernel.tcp.close", layout, size).records(raw)
+    found = probes.Probe("kernel.tcp.close", layout, size).records(raw)
+    return found.select("event_id", "node_id", "type", "source", "outcome", "severity", F.array_join("entity_ids", "|").alias("entities"), F.get("correlation_keys", 0).alias("key"), F.col("process_data.command").alias("command"))
 
 
 @query(KE + f""", {_kb_sql()}, d AS (SELECT DISTINCT k.function, CASE WHEN length(k.function) % 2 = 0 THEN 'fentry' ELSE 'fexit' END AS attachment, ke.event_type FROM ke JOIN kb k ON k.event_type = ke.event_type

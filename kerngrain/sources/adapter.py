@@ -42,14 +42,21 @@ COLUMNS = {
     "duration_ns": "case when t = 'kernel.tcp.close' then cast(k as bigint) * 1000 end",
     "filename": "case when t = 'kernel.process.exec' then (case k % 3 when 0 then '/bin/sh' when 1 then '/usr/bin/curl' else '/app/server' end) end",
     "path": "case when t = 'kernel.file.open' then (case k % 6 when 0 then '/etc/shadow' when 1 then concat('/home/u', cast(user_id as {text}), '/.ssh/id_rsa') when 2 then '/var/run/secrets/token' when 3 then '/tmp/x' when 4 then '/proc/1/environ' else '/etc/kubernetes/admin.conf' end) end",
-    "uid": "cast(case when t in ('kernel.process.exec', 'kernel.file.open') then 1000 end as int)",
+    "uid": "cast(case when t in ('kernel.process.exec', 'kernel.file.open') then 1000 end as bigint)",
     "ppid": "case when t = 'kernel.process.exec' then user_id % 2 end",
-    "flags": "cast(case when t = 'kernel.file.open' then k % 4 end as int)",
+    "flags": "cast(case when t = 'kernel.file.open' then k % 4 end as bigint)",
+    "tid": "1000 + user_id + k % 3",
+    "gid": "cast(case when t = 'kernel.process.exec' then 100 + k % 3 end as bigint)",
+    "start_boottime_ns": "case when t = 'kernel.process.exec' then (case when k % 9 = 0 then 0 else ns // 7 + user_id end) end",
+    "identity_method": "case when t = 'kernel.process.exec' and k % 9 <> 0 then 'task_start_boottime_btf_v1' end",
+    "argv_hash": "case when t = 'kernel.process.exec' then {sha} end",
+    "path_truncated": "case when t = 'kernel.file.open' then k % 6 = 0 and k % 7 = 0 end",
 }
 
 
 def _columns(text: str) -> list[str]:
-    return [f"{x.format(text=text)} as {c}" for c, x in COLUMNS.items()]
+    sha = "sha2(cast(event_id as string), 256)" if text == "string" else "sha256(cast(event_id as varchar))"
+    return [f"{x.format(text=text, sha=sha)} as {c}".replace("//", "div" if text == "string" else "//") for c, x in COLUMNS.items()]
 
 
 def _events(spark: SparkSession, sf_dir: str, kind: str, speed: int) -> DataFrame:
@@ -91,13 +98,18 @@ def pods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory of containers and their pods: suppliers whose number isn't 3 modulo 4."""
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name")
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey % 4 <> 3").join(nation, F.expr("s_nationkey = n_nationkey"))
-    return rows.selectExpr(f"{_ID_SPARK} as container_id", "concat('pod-', cast(s_suppkey as string)) as pod_uid", "n_name as namespace")
+    return rows.selectExpr(f"{_ID_SPARK} as container_id", "concat('pod-', cast(s_suppkey as string)) as pod_uid", "n_name as namespace", *[f"{x.format(text='string')} as {c}" for c, x in OF_POD.items()])
 
 
+#: What pods tell beside their number, by supplier.
+OF_POD = {
+    "pod_name": "concat('app-', cast(s_suppkey as {text}))", "service_account": "case when s_suppkey % 3 = 0 then '' else concat('sa-', cast(s_suppkey % 5 as {text})) end",
+    "owner_kind": "case when s_suppkey % 2 = 0 then 'ReplicaSet' end", "owner_name": "case when s_suppkey % 2 = 0 then concat('rs-', cast(s_suppkey % 8 as {text})) end", "owner_uid": "case when s_suppkey % 2 = 0 then concat('owner-', cast(s_suppkey % 8 as {text})) end",
+}
 _NODE = "concat('node-', cast((case when s_suppkey % 7 = 0 then s_suppkey + 1 else s_suppkey end) % 5 as {text}))"
 _ID_SPARK = "sha2(concat('container:', cast(s_suppkey as string)), 256)"
 _PATH = """case when s_suppkey % 10 = 9 then '/system.slice/sshd.service' when s_suppkey % 3 = 0 then concat('/kubepods.slice/cri-containerd-', {id}, '.scope')
   when s_suppkey % 3 = 1 then concat('/kubepods.slice/crio-', {id}, '.scope') else concat('/docker/', {id}) end"""
 _ID_SQL = "sha256(concat('container:', cast(s_suppkey as varchar)))"
 CGROUPS_SQL = f"cgroups AS (SELECT 'c1' AS cluster, {_NODE.format(text='varchar')} AS node_id, 90000 + s_suppkey AS cgroup_id, {_PATH.format(id=_ID_SQL)} AS path FROM supplier)"
-PODS_SQL = f"pods AS (SELECT {_ID_SQL} AS container_id, concat('pod-', cast(s_suppkey as varchar)) AS pod_uid, n_name AS namespace FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 3)"
+PODS_SQL = f"pods AS (SELECT {_ID_SQL} AS container_id, concat('pod-', cast(s_suppkey as varchar)) AS pod_uid, n_name AS namespace, {', '.join(f"{x.format(text='varchar')} AS {c}" for c, x in OF_POD.items())} FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 4 <> 3)"

@@ -24,10 +24,9 @@ class Probe:
     sample_rate: int = 1
 
     def events(self, captures: DataFrame) -> DataFrame:
-        """captures (event_id, node_id, raw) decoded; what can't be is left to decode's own output."""
-        decoded = decode(captures, self.layout, self.size).where("decode_error is null").drop("decode_error")
-        rows = decoded.join(captures.select("event_id", "node_id"), "event_id").withColumn("event_type", F.lit(self.event_type))
-        missing = {c: F.lit(None).cast(t) for c, t in (("ret", "int"), ("src_ip", "string"), ("src_port", "int"), ("dst_ip", "string"), ("dst_port", "int")) if c not in rows.columns}
+        """captures (event_id, node_id, raw and anything else) decoded; what can't be is left to decode's own output."""
+        rows = decode(captures.withColumn("event_type", F.lit(self.event_type)), {self.event_type: (self.layout, self.size)}).where("decode_error is null").drop("decode_error")
+        missing = {c: F.lit(None).cast(t) for c, t in (("ret", "int"), ("src_ip", "string"), ("src_port", "int"), ("dst_ip", "string"), ("dst_port", "int"), ("comm", "string")) if c not in rows.columns}
         rows = rows.withColumns(missing)
         return sampled(rows, self.sample_rate) if self.sample_rate > 1 else rows
 
