@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.binding import watch_changes
 from ..operators.records import idempotency_key, normalize
 from ..operators.rules import NODE
 from ..schemas import EVENTS
 from ..sources.adapter import MORE_SQL, kernel_events, more_events
 from ..sources.shared import shared_dir
-from ..streaming import streams
-from ..streaming.pairing import paired_stream
-from .queries import KE, TCP_ID, query
+from ..streaming import state, streams
+from .queries import _DROPS, KE, TCP_ID, _samples, query
 
 
 def _stream(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> tuple[DataFrame, str]:
@@ -32,6 +32,67 @@ def _appended(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def _wall(ns: str) -> Column:
+    """A wall time for a monotonic one: no row is at the first instant of all, which a watermark counts as late."""
+    return F.timestamp_micros(F.lit(1704067200000000) + F.expr(f"{ns} div 1000"))
+
+
+def _shuffled(spark: SparkSession, rows: DataFrame, last: dict[str, str], files: int = 6) -> tuple[DataFrame, str]:
+    """Rows with event_time as a stream of files, dealt by chance, and one row a day later that closes what waits."""
+    path = shared_dir(spark)
+    rows.repartition(files, F.xxhash64(*rows.columns)).write.parquet(f"{path}/rows")
+    tick = spark.range(1).select(*[(F.expr(last[f.name]) if f.name in last else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    tick.coalesce(1).write.mode("append").parquet(f"{path}/rows")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/rows"), path
+
+
+_TICK = {"event_time": "timestamp '2034-01-01 00:00:00'", "cluster": "'tick'"}
+
+
+@query(KE + f", {_DROPS.replace('node_id, probe_id', 'node_id, probe_id, m').replace('SELECT probe_id, CASE', 'SELECT node_id, probe_id, m, coalesce(lag(m) OVER w, 0) * 60000000000 AS from_ns, CASE').replace('PARTITION BY node_id, probe_id, m ORDER', 'PARTITION BY node_id, probe_id ORDER')} SELECT node_id, probe_id, m * 60000000000 AS polled_ns, delta, from_ns FROM d")
+def st04_counter_deltas_stream(spark, sf_dir):
+    """W3 as a stream over polls that come in any order: deltas wait for the watermark, and are those of the batch form."""
+    samples = _samples(spark, sf_dir).withColumns({"cluster": F.lit("c1"), "event_time": _wall("polled_ns")})
+    rows, path = _shuffled(spark, samples, {**_TICK, "node_id": "''", "probe_id": "''", "polled_ns": "0", "dropped": "0", "tracking_start_ns": "0"})
+    with state.stateful(spark):
+        found = _appended(state.counter_deltas(rows, "2 hours"), path)
+    return found.where("cluster = 'c1'").select("node_id", "probe_id", "polled_ns", "delta", "from_ns")
+
+
+_WATCH = """w AS (SELECT concat('c', CAST(o_orderkey // 97 % 2 AS VARCHAR)) AS cluster, o_orderkey AS seq, CASE WHEN o_orderkey % 97 = 0 THEN 'init' WHEN o_orderkey % 97 = 40 AND o_orderkey // 97 % 3 <> 0 THEN 'init_done' WHEN o_orderkey % 97 < 40 THEN 'init_apply' WHEN o_orderkey % 6 = 0 THEN 'delete' ELSE 'apply' END AS op,
+  concat('pod-', CAST(o_custkey % 60 AS VARCHAR)) AS pod_uid, concat('ns-', CAST(o_orderkey % 7 AS VARCHAR)) AS pod FROM orders)"""
+
+
+def _watch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as two clusters' watches: blocks of 97 numbers, each with a listing, of which one in three is broken off."""
+    n = "o_orderkey div 97"
+    op = f"case when o_orderkey % 97 = 0 then 'init' when o_orderkey % 97 = 40 and {n} % 3 <> 0 then 'init_done' when o_orderkey % 97 < 40 then 'init_apply' when o_orderkey % 6 = 0 then 'delete' else 'apply' end as op"
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(f"concat('c', cast({n} % 2 as string)) as cluster", "o_orderkey as seq", op, "concat('pod-', cast(o_custkey % 60 as string)) as pod_uid", "concat('ns-', cast(o_orderkey % 7 as string)) as pod")
+    return rows.withColumn("event_time", _wall("seq * 1000000"))
+
+
+_WATCHED = f"""WITH {_WATCH}, l AS (SELECT cluster, seq AS init_seq, lead(seq) OVER o AS done_seq, lead(op) OVER o AS last, op FROM w WHERE op IN ('init', 'init_done') WINDOW o AS (PARTITION BY cluster ORDER BY seq)),
+t AS (SELECT *, lead(seq) OVER (PARTITION BY cluster, pod_uid ORDER BY seq) AS next FROM w WHERE op IN ('apply', 'init_apply', 'delete')),
+g AS (SELECT t.cluster, t.seq, t.op, t.pod_uid, t.pod, t.next, (SELECT min(done_seq) FROM l WHERE l.cluster = t.cluster AND l.op = 'init' AND l.last = 'init_done' AND l.init_seq > t.seq AND t.op <> 'delete') AS gone FROM t),
+h AS (SELECT *, gone IS NOT NULL AND (next IS NULL OR gone < next) AS listed_out FROM g),
+k AS (SELECT *, lag(op <> 'delete' AND NOT listed_out) OVER (PARTITION BY cluster, pod_uid ORDER BY seq) AS was FROM h)
+SELECT cluster, seq, CASE WHEN op = 'delete' THEN 'delete' ELSE 'apply' END AS op, pod_uid, CASE WHEN op <> 'delete' THEN pod END AS pod FROM k WHERE op <> 'delete' OR was UNION ALL SELECT cluster, gone, 'delete', pod_uid, NULL FROM k WHERE listed_out"""
+
+
+@query(_WATCHED)
+def s04_watch(spark, sf_dir):
+    """What a watch with listings, whole and broken off, amounts to."""
+    return watch_changes(_watch(spark, sf_dir).drop("event_time"))
+
+
+@query(_WATCHED)
+def s04_watch_stream(spark, sf_dir):
+    """The same as a stream of rows in any order."""
+    rows, path = _shuffled(spark, _watch(spark, sf_dir), {**_TICK, "seq": "0", "op": "'tick'", "pod_uid": "''"})
+    with state.stateful(spark):
+        return _appended(state.pod_changes(rows, "30 days"), path)
+
+
 _START = "unix_micros(window.start) * 1000 as window_start_ns"
 
 
@@ -73,7 +134,9 @@ SELECT event_id, node_id, pid, path0 AS path FROM e WHERE event_type = 'kernel.p
 def j03_pairing_stream(spark, sf_dir):
     rows, path = _stream(spark, sf_dir)
     kind = F.when(F.col("event_type") == "kernel.file.open", "enter").when(F.col("event_type") == "kernel.process.exec", "exit")
-    return _appended(paired_stream(rows.select("event_id", *NODE, "pid", kind.alias("kind"), "path", "observed_at_ns", "event_time").where("kind is not null")), path).select("event_id", "node_id", "pid", "path")
+    rows = rows.withColumn("event_time", _wall("observed_at_ns")).select("event_id", *NODE, "pid", F.when(F.col("event_id") < 0, "tick").otherwise(kind).alias("kind"), "path", "observed_at_ns", "event_time")
+    with state.stateful(spark):
+        return _appended(state.paired(rows.where("kind is not null").fillna("", [*NODE]).fillna(0, ["pid"])), path).select("event_id", "node_id", "pid", "path")
 
 
 @query(KE + f"SELECT {TCP_ID} AS conn_id, count(*) AS n FROM ke WHERE event_type = 'kernel.tcp.connect' AND ret = 0 GROUP BY 1")
