@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .intervals import points_in
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], bucket: int | None = None) -> DataFrame:
     """Left rows with the values of the latest right row at or before them: one window over both sides, no range join.
@@ -36,6 +38,12 @@ def placements(moves: DataFrame, *keys: str) -> DataFrame:
     return moves.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("valid_from")))
 
 
+def placed(events: DataFrame, moves: DataFrame, *keys: str) -> DataFrame:
+    """Events with the value of the placement that held at their time: from the move on, until before the next one. Moves of one time last no time but the last."""
+    spans = placements(moves, *keys).withColumn("last_ns", F.col("valid_to") - 1)
+    return points_in(events, spans, list(keys), "observed_at_ns", "valid_from", "last_ns").drop("last_ns")
+
+
 def parents(execs: DataFrame) -> DataFrame:
     """Executions with their parent's command: the last execution of that pid on the node at or before."""
     node = ["cluster", "node_id", "boot_id"]

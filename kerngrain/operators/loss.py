@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import evidence_class, record_id
 from ..schemas import PRODUCER
+from .intervals import points_in
 
 #: Types that the receiver takes (K6); those of the file family only with a flag.
 SUPPORTED = ("kernel.tcp.connect", "kernel.tcp.close", "kernel.tcp.retransmit", "kernel.process.exec", "kernel.file.open", "kernel.file.open_attempt", "agent.gap")
@@ -98,11 +99,10 @@ def uncovered(nodes: DataFrame, expected: list[str], seen: DataFrame) -> DataFra
     return wanted.join(seen.select("node_id", "event_type").distinct(), ["node_id", "event_type"], "left_anti")
 
 
-def during_gaps(events: DataFrame, reports: DataFrame, bucket_ns: int = 60_000_000_000) -> DataFrame:
-    """Events and the gaps of their node that they fall into, joined on the node and the minutes that a gap touches."""
-    minutes = reports.withColumn("minute", F.explode(F.sequence(F.expr(f"gap_start_ns div {bucket_ns}"), F.expr(f"gap_end_ns div {bucket_ns}"))))
-    rows = events.withColumn("minute", F.expr(f"observed_at_ns div {bucket_ns}"))
-    return rows.join(minutes, ["node_id", "minute"]).where("observed_at_ns between gap_start_ns and gap_end_ns").drop("minute")
+def during_gaps(events: DataFrame, reports: DataFrame) -> DataFrame:
+    """Events and the gaps of their node that they fall into, gaps of any length. Cluster and boot count where both sides have them."""
+    keys = [c for c in ("cluster", "node_id", "boot_id") if c in events.columns and c in reports.columns]
+    return points_in(events, reports, keys, "observed_at_ns", "gap_start_ns", "gap_end_ns")
 
 
 def gate(events: DataFrame, files: bool = False) -> DataFrame:

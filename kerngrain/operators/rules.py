@@ -123,6 +123,38 @@ def followed(events: DataFrame, first: str, then: str, keys: tuple[str, ...], se
     return rows.select("event_id", *keys, "observed_at_ns", F.col("nxt.event_id").alias("next_id"), after.alias("after_ns"))
 
 
+def lifetimes(events: DataFrame) -> DataFrame:
+    """A row for each connect and close of a connection: begin, end, lifetime, bytes and retransmits between them, and whether it failed, is still open, was
+    superseded by another connect without a close, or was closed without a connect in sight.
+
+    A session of a connection begins with each connect and with the first row after a close; counts within it combine before
+    nothing but the connection's own window, which holds that connection's rows of a boot.
+    """
+    kinds = {"kernel.tcp.connect": "connect", "kernel.tcp.close": "close", "kernel.tcp.retransmit": "retransmit"}
+    rows = events.where(F.col("event_type").isin(*kinds)).withColumn("close_", F.col("event_type") == "kernel.tcp.close")
+    by = Window.partitionBy(*CONNECTION).orderBy("observed_at_ns", "event_id")
+    new = (F.col("event_type") == "kernel.tcp.connect") | F.coalesce(F.lag("close_").over(by), F.lit(True))
+    rows = rows.withColumn("session_", F.sum(new.cast("int")).over(by))
+    of = lambda kind, value: F.max(F.when(F.col("event_type") == kind, F.col(value)))
+    found = rows.groupBy(*CONNECTION, "session_").agg(
+        of("kernel.tcp.connect", "event_id").alias("connect_id"), of("kernel.tcp.connect", "observed_at_ns").alias("begin_ns"), of("kernel.tcp.connect", "ret").alias("ret"),
+        of("kernel.tcp.close", "event_id").alias("close_id"), of("kernel.tcp.close", "observed_at_ns").alias("end_ns"), of("kernel.tcp.close", "bytes_sent").alias("bytes_sent"), of("kernel.tcp.close", "bytes_received").alias("bytes_received"),
+        F.count_if(F.col("event_type") == "kernel.tcp.retransmit").alias("losses"),
+    )
+    later = F.max("session_").over(Window.partitionBy(*CONNECTION)) > F.col("session_")
+    state = F.when(F.col("ret") != 0, "failed").when(F.col("connect_id").isNull() & F.col("close_id").isNull(), "unseen").when(F.col("connect_id").isNull(), "closed_unseen")
+    state = state.when(F.col("close_id").isNotNull(), "closed").when(later, "superseded").otherwise("open")
+    return found.withColumns({"lifetime_ns": F.col("end_ns") - F.col("begin_ns"), "state": state}).drop("session_")
+
+
+def backends(lives: DataFrame) -> DataFrame:
+    """Connections of a backend by how they ended, with failures, losses and the mean lifetime."""
+    return lives.groupBy(*BACKEND).agg(
+        F.count("connect_id").alias("connections"), *[F.count_if(F.col("state") == x).alias(x) for x in ("failed", "open", "closed", "superseded")],
+        F.sum("losses").alias("losses"), F.count_if(F.col("losses") > 0).alias("lossy"), F.sum("bytes_sent").alias("bytes_sent"), (F.sum("lifetime_ns") / F.count("lifetime_ns")).cast("long").alias("mean_lifetime_ns"),
+    )
+
+
 def rates(events: DataFrame, kinds: tuple[str, str], keys: tuple[str, ...], seconds: int = 60) -> DataFrame:
     """Per keys and window the counts of two kinds and the bytes of the first, in one aggregation."""
     ns = seconds * 1_000_000_000

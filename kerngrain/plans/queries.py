@@ -289,6 +289,26 @@ def r07_j04_quick_close(spark, sf_dir):
     return rules.followed(kernel_events(spark, sf_dir), "kernel.tcp.connect", "kernel.tcp.close", rules.CONNECTION, 1)
 
 
+_LIVES = """, t AS (SELECT *, CASE WHEN event_type = 'kernel.tcp.connect' OR coalesce(lag(event_type = 'kernel.tcp.close') OVER w, true) THEN 1 ELSE 0 END AS new FROM ke WHERE event_type LIKE 'kernel.tcp.%'
+  WINDOW w AS (PARTITION BY cluster, node_id, boot_id, src_ip, src_port, dst_ip, dst_port ORDER BY observed_at_ns, event_id)),
+u AS (SELECT *, sum(new) OVER (PARTITION BY cluster, node_id, boot_id, src_ip, src_port, dst_ip, dst_port ORDER BY observed_at_ns, event_id) AS n FROM t),
+v AS (SELECT cluster, node_id, boot_id, src_ip, src_port, dst_ip, dst_port, n, max(CASE WHEN event_type = 'kernel.tcp.connect' THEN event_id END) AS connect_id, max(CASE WHEN event_type = 'kernel.tcp.connect' THEN observed_at_ns END) AS begin_ns, max(CASE WHEN event_type = 'kernel.tcp.connect' THEN ret END)::BIGINT AS ret,
+  max(CASE WHEN event_type = 'kernel.tcp.close' THEN event_id END) AS close_id, max(CASE WHEN event_type = 'kernel.tcp.close' THEN observed_at_ns END) AS end_ns, max(bytes_sent) AS bytes_sent, max(bytes_received) AS bytes_received, count(*) FILTER (WHERE event_type = 'kernel.tcp.retransmit') AS losses FROM u GROUP BY ALL),
+v2 AS (SELECT *, lead(n) OVER (PARTITION BY cluster, node_id, boot_id, src_ip, src_port, dst_ip, dst_port ORDER BY n) AS later FROM v),
+lives AS (SELECT * EXCLUDE (n, later), end_ns - begin_ns AS lifetime_ns, CASE WHEN ret <> 0 THEN 'failed' WHEN connect_id IS NULL AND close_id IS NULL THEN 'unseen' WHEN connect_id IS NULL THEN 'closed_unseen' WHEN close_id IS NOT NULL THEN 'closed' WHEN later IS NOT NULL THEN 'superseded' ELSE 'open' END AS state FROM v2) """
+
+
+@query(KE + _LIVES + "SELECT * FROM lives")
+def j04_lifetimes(spark, sf_dir):
+    return rules.lifetimes(kernel_events(spark, sf_dir)).withColumn("ret", F.col("ret").cast("long"))
+
+
+@query(KE + _LIVES + """SELECT cluster, node_id, boot_id, dst_ip, dst_port, count(connect_id) AS connections, count(*) FILTER (WHERE state = 'failed') AS failed, count(*) FILTER (WHERE state = 'open') AS open, count(*) FILTER (WHERE state = 'closed') AS closed,
+  count(*) FILTER (WHERE state = 'superseded') AS superseded, sum(losses)::BIGINT AS losses, count(*) FILTER (WHERE losses > 0) AS lossy, sum(bytes_sent)::BIGINT AS bytes_sent, CAST(trunc(sum(lifetime_ns)::DOUBLE / count(lifetime_ns)) AS BIGINT) AS mean_lifetime_ns FROM lives GROUP BY ALL""")
+def j04_backends(spark, sf_dir):
+    return rules.backends(rules.lifetimes(kernel_events(spark, sf_dir)))
+
+
 @query(ME + _NEXT.format(table="(SELECT * FROM me WHERE event_type <> 'kernel.memory.cgroup_charge' OR ret <> 0)", first="kernel.memory.cgroup_charge", then="kernel.memory.oom_kill", keys=f"{NODE}, cgroup_id", ns=60 * 10**9))
 def r30_charge_then_oom(spark, sf_dir):
     return rules.followed(more_events(spark, sf_dir).where("event_type <> 'kernel.memory.cgroup_charge' or ret <> 0"), "kernel.memory.cgroup_charge", "kernel.memory.oom_kill", (*rules.NODE, "cgroup_id"), 60)
@@ -514,6 +534,20 @@ def j09_during_gaps(spark, sf_dir):
     return loss.during_gaps(kernel_events(spark, sf_dir), reports).select("event_id", "node_id")
 
 
+_SPANS = """g AS (SELECT 'c1' AS cluster, concat('node-', o_custkey % 5) AS node_id, o_orderkey AS gap, (o_orderkey * 7919 % 720000) * 1000000 AS gap_start_ns,
+  CASE WHEN o_orderkey % 1000 = 7 THEN 31536000000000000 WHEN o_orderkey % 50 = 3 THEN 10000000000 WHEN o_orderkey % 3 = 0 THEN 1000000 WHEN o_orderkey % 3 = 1 THEN 100000000 ELSE 1000000000 END AS length FROM orders)"""
+
+
+@query(KE + ", " + _SPANS + " SELECT event_id, count(*) AS n, min(gap) AS first_gap, max(gap_end_ns - gap_start_ns) AS longest_ns FROM ke JOIN (SELECT *, gap_start_ns + length AS gap_end_ns FROM g) g USING (cluster, node_id) WHERE observed_at_ns BETWEEN gap_start_ns AND gap_end_ns GROUP BY event_id")
+def j09_gaps_of_any_length(spark, sf_dir):
+    """Events in gaps from a millisecond to a year."""
+    length = "case when o_orderkey % 1000 = 7 then 31536000000000000 when o_orderkey % 50 = 3 then 10000000000 when o_orderkey % 3 = 0 then 1000000 when o_orderkey % 3 = 1 then 100000000 else 1000000000 end"
+    start = "(o_orderkey * 7919 % 720000) * 1000000"
+    spans = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("'c1' as cluster", "concat('node-', o_custkey % 5) as node_id", "o_orderkey as gap", f"{start} as gap_start_ns", f"{start} + {length} as gap_end_ns")
+    found = loss.during_gaps(kernel_events(spark, sf_dir), spans)
+    return found.groupBy("event_id").agg(F.count("*").alias("n"), F.min("gap").alias("first_gap"), F.max(F.col("gap_end_ns") - F.col("gap_start_ns")).alias("longest_ns"))
+
+
 @query(f"WITH {EVENTS_SQL}, {MORE_SQL}, u AS (SELECT * FROM ke UNION ALL SELECT * FROM me) SELECT CASE WHEN event_type NOT IN ({', '.join(repr(t) for t in loss.SUPPORTED)}) THEN 'unsupported' WHEN event_type LIKE 'kernel.file.%' THEN 'gated' ELSE 'deliver' END AS delivery_status, event_type, count(*) AS n FROM u GROUP BY 1, 2")
 def k06_gate(spark, sf_dir):
     return loss.gate(kernel_events(spark, sf_dir).union(more_events(spark, sf_dir))).groupBy("delivery_status", "event_type").agg(F.count("*").alias("n"))
@@ -722,9 +756,8 @@ def j10_parents(spark, sf_dir):
 SELECT k.event_id, min(m.place) AS place FROM ke k JOIN m ON k.node_id = m.node_id AND k.pid = m.pid AND k.observed_at_ns >= m.valid_from AND (m.valid_to IS NULL OR k.observed_at_ns < m.valid_to) WHERE k.event_type = 'kernel.file.open' GROUP BY 1""")
 def j08_placement(spark, sf_dir):
     ev = kernel_events(spark, sf_dir)
-    moves = ev.where("event_type = 'kernel.process.exec'").selectExpr("node_id", "pid", "observed_at_ns as since", "cgroup_id % 3 as place")
-    found = lineage.as_of(ev.where("event_type = 'kernel.file.open'").select("node_id", "pid", "event_id", "observed_at_ns"), moves, ["node_id", "pid"], "observed_at_ns", "since", ["place"])
-    return found.where("place is not null").select("event_id", "place")
+    moves = ev.where("event_type = 'kernel.process.exec'").selectExpr("node_id", "pid", "observed_at_ns as valid_from", "event_id as move_id", "cgroup_id % 3 as place")
+    return lineage.placed(ev.where("event_type = 'kernel.file.open'").select("node_id", "pid", "event_id", "observed_at_ns"), moves, "node_id", "pid").select("event_id", "place")
 
 
 @query(KE + """, s AS (SELECT node_id, boot_id, observed_at_ns // 150000000000 * 150000000000 AS boot_ns FROM ke GROUP BY ALL)

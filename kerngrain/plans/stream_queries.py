@@ -12,7 +12,7 @@ from ..schemas import EVENTS
 from ..sources.adapter import MORE_SQL, kernel_events, more_events
 from ..sources.shared import shared_dir
 from ..streaming import state, streams
-from .queries import _DROPS, KE, TCP_ID, _samples, query
+from .queries import _DROPS, _LIVES, KE, TCP_ID, _samples, query
 
 
 def _stream(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> tuple[DataFrame, str]:
@@ -59,6 +59,17 @@ def st04_counter_deltas_stream(spark, sf_dir):
     return found.where("cluster = 'c1'").select("node_id", "probe_id", "polled_ns", "delta", "from_ns")
 
 
+@query(KE + _LIVES + "SELECT * FROM lives")
+def j04_lifetimes_stream(spark, sf_dir):
+    """J4 as a stream of files in any order: connections are given when they end, are superseded, or have been quiet for an hour."""
+    columns = ["cluster", "node_id", "boot_id", "src_ip", "src_port", "dst_ip", "dst_port", "event_id", "observed_at_ns", "event_type", "ret", "bytes_sent", "bytes_received"]
+    ev = kernel_events(spark, sf_dir).where("event_type like 'kernel.tcp.%'").select(*columns).withColumn("event_time", _wall("observed_at_ns"))
+    rows, path = _shuffled(spark, ev, {**_TICK, "node_id": "''", "boot_id": "''", "src_ip": "''", "src_port": "0", "dst_ip": "''", "dst_port": "0", "event_id": "-1", "observed_at_ns": "0", "event_type": "'agent.tick'"})
+    with state.stateful(spark):
+        found = _appended(state.lifetimes(rows, "2 hours"), path)
+    return found.withColumns({c: F.col(c).cast("int") for c in ("src_port", "dst_port")})
+
+
 _WATCH = """w AS (SELECT concat('c', CAST(o_orderkey // 97 % 2 AS VARCHAR)) AS cluster, o_orderkey AS seq, CASE WHEN o_orderkey % 97 = 0 THEN 'init' WHEN o_orderkey % 97 = 40 AND o_orderkey // 97 % 3 <> 0 THEN 'init_done' WHEN o_orderkey % 97 < 40 THEN 'init_apply' WHEN o_orderkey % 6 = 0 THEN 'delete' ELSE 'apply' END AS op,
   concat('pod-', CAST(o_custkey % 60 AS VARCHAR)) AS pod_uid, concat('ns-', CAST(o_orderkey % 7 AS VARCHAR)) AS pod FROM orders)"""
 

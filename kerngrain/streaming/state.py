@@ -48,12 +48,15 @@ class InOrder(StatefulProcessor):
 
     row: str
     out: str
+    quiet_ms: int | None = None  # after so long without a row, in event time, a key is finished
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", columns("order long, tie long"), columns("at_ms long, " + self.row))
-        self.names = ["at_ms", *[x.split()[0] for x in self.row.split(", ")]]
+        self.kinds = dict(x.split() for x in ("at_ms long, " + self.row).split(", "))
+        self.names = list(self.kinds)
         self.wake = handle.getValueState("wake", columns("at_ms long"))
+        self.latest = handle.getValueState("latest", columns("at_ms long"))
         self.opened(handle)
 
     def opened(self, handle: StatefulProcessorHandle) -> None:
@@ -62,11 +65,16 @@ class InOrder(StatefulProcessor):
     def take(self, key: tuple, order: int, row: dict[str, Any]) -> list[tuple]:
         raise NotImplementedError
 
+    def finish(self, key: tuple) -> list[tuple]:
+        """What a quiet key leaves."""
+        return []
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         first = None
         for pdf in rows:
-            columns = [pdf[c].astype(object).where(pdf[c].notna(), None) for c in self.names]
-            for order, tie, *values in zip(pdf["order"], pdf["tie"], *columns, strict=True):
+            # longs with nulls come as floating-point numbers
+            cells = [[None if pd.isna(x) else int(x) if t == "long" else x for x in pdf[c]] for c, t in self.kinds.items()]
+            for order, tie, *values in zip(pdf["order"], pdf["tie"], *cells, strict=True):
                 at = int(values[0])
                 if not self.waiting.containsKey((int(order), int(tie))):
                     self.waiting.updateValue((int(order), int(tie)), (at, *values[1:]))
@@ -97,9 +105,18 @@ class InOrder(StatefulProcessor):
                 continue
             made += self.take(tuple(key), k[0], dict(zip(self.names, v, strict=True)))
             self.waiting.removeKey(k)
+            if self.quiet_ms is not None:
+                self.latest.update((v[0],))
         self.wake.clear()
         if left is not None:
             self._wake_at(max(left, until + 1))
+        elif self.quiet_ms is not None and self.latest.exists():
+            due = self.latest.get()[0] + self.quiet_ms
+            if due <= until:
+                made += self.finish(tuple(key))
+                self.latest.clear()
+            else:
+                self._wake_at(due)
         yield pd.DataFrame(made, columns=[x.split()[0] for x in self.out.split(", ")])
 
     def close(self) -> None:
@@ -173,6 +190,54 @@ class Pairing(InOrder):
         return [(*key, row["event_id"], kept[0])] if kept is not None and kept[0] is not None else []
 
 
+class Connections(InOrder):
+    """A connection from connect to close with its retransmits; one that is quiet for so long is given as open."""
+
+    row = "event_id long, observed_at_ns long, event_type string, ret long, bytes_sent long, bytes_received long"
+    out = (
+        "cluster string, node_id string, boot_id string, src_ip string, src_port long, dst_ip string, dst_port long, connect_id long, begin_ns long, ret long, "
+        "close_id long, end_ns long, bytes_sent long, bytes_received long, losses long, lifetime_ns long, state string"
+    )
+    _none = (None, None, None, 0)
+
+    def __init__(self, quiet_ms: int) -> None:
+        self.quiet_ms = quiet_ms
+
+    def opened(self, handle: StatefulProcessorHandle) -> None:
+        self.now = handle.getValueState("now", columns("connect_id long, begin_ns long, ret long, losses long"))
+
+    @staticmethod
+    def _row(key: tuple, now: tuple, close: dict[str, Any] | None, state: str) -> tuple:
+        connect_id, begin, ret, losses = now
+        end = close["observed_at_ns"] if close else None
+        state = "failed" if ret else state
+        return (*key, connect_id, begin, ret, close["event_id"] if close else None, end, close["bytes_sent"] if close else None, close["bytes_received"] if close else None, losses, end - begin if close and begin is not None else None, state)
+
+    def take(self, key: tuple, order: int, row: dict[str, Any]) -> list[tuple]:
+        known = self.now.get()
+        now = tuple(known) if known is not None else None
+        kind = row["event_type"]
+        if kind not in ("kernel.tcp.connect", "kernel.tcp.close", "kernel.tcp.retransmit"):
+            return []
+        if kind == "kernel.tcp.retransmit":
+            now = now or self._none
+            self.now.update((*now[:3], now[3] + 1))
+            return []
+        if kind == "kernel.tcp.close":
+            self.now.clear()
+            now = now or self._none
+            return [self._row(key, now, row, "closed" if now[0] is not None else "closed_unseen")]
+        out = [self._row(key, now, None, "superseded" if now[0] is not None else "unseen")] if now else []
+        if kind == "kernel.tcp.connect":
+            self.now.update((row["event_id"], row["observed_at_ns"], row["ret"], 0))
+        return out
+
+    def finish(self, key: tuple) -> list[tuple]:
+        known = self.now.get()
+        self.now.clear()
+        return [self._row(key, tuple(known), None, "open" if known[0] is not None else "unseen")] if known is not None else []
+
+
 def run_in_order(rows: DataFrame, processor: InOrder, keys: list[str], order: str, tie: str, delay: str) -> DataFrame:
     """Rows with event_time through a processor, by keys."""
     timed = rows.withWatermark("event_time", delay).withColumns({"order": F.col(order).cast("long"), "tie": F.col(tie).cast("long"), "at_ms": F.unix_millis("event_time")})
@@ -193,3 +258,9 @@ def pod_changes(watch: DataFrame, delay: str = "5 minutes") -> DataFrame:
 def paired(rows: DataFrame, delay: str = "5 minutes") -> DataFrame:
     """J3 as a stream: rows (cluster, node_id, boot_id, pid, event_id, observed_at_ns, kind, path, event_time)."""
     return run_in_order(rows, Pairing(), ["cluster", "node_id", "boot_id", "pid"], "observed_at_ns", "event_id", delay)
+
+
+def lifetimes(rows: DataFrame, delay: str = "5 minutes", quiet_ms: int = 3_600_000) -> DataFrame:
+    """J4 as a stream: connects, closes and retransmits of schemas.EVENTS with event_time, in order of time; a connection
+    without a row for ``quiet_ms`` is given as open and forgotten. Other rows move the watermark alone."""
+    return run_in_order(rows, Connections(quiet_ms), ["cluster", "node_id", "boot_id", "src_ip", "src_port", "dst_ip", "dst_port"], "observed_at_ns", "event_id", delay)
