@@ -7,12 +7,12 @@ if its cosine is below half of what all but five per cent of the language's trai
 few texts takes in its neighbours, a language of few texts all languages'; fewer than that reject nothing.
 
 Fit: document frequencies over all training rows; centroids on a sample of at most about ``sample`` rows per
-language (chosen by a hash of the id), each language in a group of its own; limits of rejection from exact counts of
+language (chosen by a hash of id and text), each language in a group of its own; limits of rejection from exact counts of
 finely binned cosines over all training rows. The model is languages * k * dims floats.
 
 Edge cases: null text, empty text and text without letters: ``und``, score 0, rejected. Training rows with
 null lang or text are left out. Very long texts are used whole. No training rows: every text is ``und``. Repeated rows count
-each. Further columns of any name stay as they are; result columns replace columns of their own names.
+each in frequencies and limits, and once in the sample. Rows without an id, or with one id among them, are rows like others. Further columns of any name stay as they are; result columns replace columns of their own names.
 """
 
 from __future__ import annotations
@@ -176,7 +176,7 @@ def fit(training: DataFrame, dims: int = 4096, k: int = 4, sample: int = 1000) -
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id"]).head(2 * sample)
+        pdf = pdf.sort_values("h").head(2 * sample)
         letters, texts, xs = Letters(), pdf["text"].tolist(), []
         for part in _parts(texts):
             counts, n = ngram_counts([texts[i] for i in part], dims, letters)
@@ -186,10 +186,13 @@ def fit(training: DataFrame, dims: int = 4096, k: int = 4, sample: int = 1000) -
             return pd.DataFrame({c: pd.Series(dtype=object) for c in ("lang", "centroid")})
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(clusters(x, k))})
 
-    # a row per language: the sample is taken where the rows are, before they are dealt by language
-    sizes = rows.groupBy("lang").count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count")))
-    h = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    chosen = rows.withColumn("h", h).join(F.broadcast(sizes.select("lang", "rate")), "lang").where(F.col("h") < F.col("rate") * (1 << 30))
+    # the sample is taken where the rows are, before they are dealt by language: by a hash of id and text, so that rows without an id or with one
+    # id among them are drawn apart, and of rows that are alike in both one, so that neither copies nor ids decide whether a language is learnt
+    h = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    hashed = rows.withColumn("h", h)
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.greatest("n", F.lit(1))).alias("rate"))
+    drawn = hashed.join(F.broadcast(sizes), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    chosen = drawn.groupBy("lang", "h").agg(F.first("text").alias("text"))
     found = sorted(chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroid array<float>").collect(), key=lambda r: (r["lang"], r["centroid"]))
     c = np.array([r["centroid"] for r in found], dtype=np.float32).reshape(len(found), dims)
     langs = [r["lang"] for r in found]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kerngrain.llm import op02, op05
 from kerngrain.llm.binary_codes import cosines, encode, estimates, margin, nearest, rotation
 from kerngrain.llm.fertility import base_counts, main_script, quality, repeated_words
-from kerngrain.llm.language_id import Letters, identify, ngram_counts
+from kerngrain.llm.language_id import fit, identify, language
 from kerngrain.llm.queries import ORACLE_SQL, QUERIES
 from kerngrain.llm.toxicity import Index, _flat, logistic, score_toxicity
 
@@ -140,6 +140,21 @@ def test_language_of_odd_rows(spark):
     assert identify(docs.limit(0), training).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "copies"])
+def test_no_language_is_lost_by_its_ids_or_copies(spark, ids):
+    rng = np.random.default_rng(3)
+    some = lambda words, n: [" ".join(rng.choice(words, 6)) for _ in range(n)]
+    en, de = some(["the", "cat", "and", "dog", "house", "with", "they", "over"], 3000), some(["der", "hund", "und", "die", "katze", "haus", "mit", "ueber"], 1500)
+    if ids == "copies":
+        en = en[:200] + ["the cat and the dog over there"] * 20000
+    rows = [(None if ids == "null" else 5 if ids == "one" else i, t, "en") for i, t in enumerate(en)] + [(10**6 + i, t, "de") for i, t in enumerate(de)]
+    docs = spark.createDataFrame([("the cat and the dog",), ("der hund und die katze",)], "text string")
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), sample=100)
+    assert sorted(set(model.langs)) == ["de", "en"]
+    at = spark.sparkContext.broadcast(model)
+    assert {r.text[:3]: r.x.lang_pred for r in docs.select("text", language(at, F.col("text")).alias("x")).collect()} == {"the": "en", "der": "de"}
+
+
 def test_noise_and_unlearned_languages_are_rejected(spark):
     rng = np.random.default_rng(7)
     noise = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n))

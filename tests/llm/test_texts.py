@@ -1,6 +1,7 @@
 """BPE by chunks, licences, page text and the pipeline: exact agreement, brute force, and odd rows."""
 
 import hashlib
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -159,6 +160,73 @@ def test_matching_is_largest():
         assert len(pairs) == tree_match(a, b) and all(x.key == y.key for x, y in pairs)
 
 
+@pytest.mark.parametrize("cells", [1 << 22, 100])
+def test_matching_of_long_lists_is_largest(monkeypatch, cells):
+    monkeypatch.setattr(dom, "CELLS", cells)
+    rng = np.random.default_rng(8)
+    kinds = ["<p>x</p>", "<div><b>a</b><i>b</i></div>", "<div><b>a</b></div>", "<ul><li>1<li>2<li>3</ul>", "<div><i>b</i><b>a</b><i>c</i></div>", "<h2>t</h2>"]
+    for n, m in ((70, 60), (130, 90), (3, 1000), (90, 91)):
+        a, b = (dom.parse("<body>" + "".join(kinds[i] for i in rng.integers(0, len(kinds), k)) + "</body>") for k in (n, m))
+        pairs = dom.match(a, b)
+        assert len(pairs) == tree_match(a, b) and all(x.key == y.key for x, y in pairs)
+        assert len({x.at for x, _ in pairs}) == len({y.at for _, y in pairs}) == len(pairs)
+
+
+def test_markup_that_never_ends_is_read_in_time():
+    began = time.time()
+    for n in (30, 10_000):
+        attributes = ' '.join(f'x{i}="1"' for i in range(n))
+        for end in (" < ", "", " <b", ' x="', " <!-- ", " </", " <p>text</p>"):
+            dom.parse(f"<div><a {attributes}{end}")
+    assert dom.blocks(dom.parse(f"<p>before</p><a {attributes} < after"), dom.Node.apart)[0] == "before"
+    dom.parse("<a b='" * 20000), dom.parse("<" * 50000), dom.parse("</a" * 50000), dom.parse("<a x=\"1\" " * 20000 + "<p>")
+    assert dom.blocks(dom.parse('<p title="a>b">one</p><p title="x>two</p><!-- <p>no</p>'), dom.Node.apart) == ["one", "two"]
+    assert time.time() - began < 20
+
+
+def test_tables_of_thousands_of_rows_are_matched_in_time():
+    began = time.time()
+    row = "<tr><td>a</td><td>b</td><td>c</td></tr>"
+    odd = "<tr><td>a</td><td>b<i>!</i></td></tr>"
+    a = dom.parse("<table>" + row * 5000 + "</table>")
+    assert len(dom.match(a, dom.parse("<table>" + row * 2000 + odd + row * 3000 + "</table>"))) == 2 + 4 * 5000
+    # no end alike, and no run of equal rows
+    rng = np.random.default_rng(2)
+    some = lambda: "".join((row, odd)[i] for i in rng.integers(0, 2, 5000))
+    x, y = dom.parse("<table>" + odd + some() + row + "</table>"), dom.parse("<table>" + row + some() + odd + "</table>")
+    pairs = dom.match(x, y)
+    assert len(pairs) > 4 * 4000 and [p.at for p, _ in pairs if p.tag == "td"] != []
+    assert time.time() - began < 30
+
+
+def site(rng, host, pages):
+    """Pages of one layout without article, main or telling names: constant lines about and inside the part that varies."""
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    fixed = [" ".join(word() for _ in range(6)) for _ in range(5)]
+    out = []
+    for i in range(pages):
+        paragraphs = [" ".join(word() for _ in range(20)) for _ in range(rng.integers(2, 6))]
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        html = f"<html><body><div class='c1'><ul><li>{fixed[0]}</li><li>{fixed[1]}</li></ul></div><div class='c2'><div class='c3'><div class='t'>{fixed[2]}</div><h2>{paragraphs[0][:30]}</h2>{body}</div><div class='c4'>{fixed[3]}</div></div><div class='c5'>{fixed[4]}</div></body></html>"
+        out.append((f"http://{host}/{i}", html, [paragraphs[0][:30].strip(), *paragraphs], fixed))
+    return out
+
+
+def test_wrappers_of_sites_without_telling_names(spark):
+    """What is constant over a site's pages goes, what varies stays, by a wrapper that can only come from the pages themselves."""
+    rng = np.random.default_rng(6)
+    pages = [x for h in range(4) for x in site(rng, f"h{h}.example", 6 + h)]
+    rows = [(i, url, html) for i, (url, html, _, _) in enumerate(pages)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # brute force: of a page's blocks those that not every page of the host has
+    for i, (url, html, lines, fixed) in enumerate(pages):
+        host = url.split("/")[2]
+        blocks = dom.blocks(dom.parse(html), lambda x: False)
+        others = [set(dom.blocks(dom.parse(h), lambda x: False)) for u, h, _, _ in pages if u.split("/")[2] == host]
+        want = [b for b in blocks if not all(b in o for o in others)]
+        assert want == lines and got[i] == "\n".join(want) and not any(f in got[i] for f in fixed)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class="ad">Buy {n}</div><div id="content"><h2>Title {n} &amp; more</h2><p>First <b>bold</b>&nbsp;words {n}.<p>Second<br>line {n}
 <form>Search</form><p class="read">Read our other pages</p></div><aside>Related</aside><div class="comments"><p>Nice!</p></div><footer>&copy; us</footer></body></html>"""
