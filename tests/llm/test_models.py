@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kerngrain.llm import op02, op05
 from kerngrain.llm.binary_codes import cosines, encode, estimates, margin, nearest, rotation
 from kerngrain.llm.fertility import base_counts, main_script, quality, repeated_words
-from kerngrain.llm.language_id import fit, identify, language
+from kerngrain.llm.language_id import Letters, fit, identify, language, ngram_counts
 from kerngrain.llm.queries import ORACLE_SQL, QUERIES
 from kerngrain.llm.toxicity import Index, _flat, logistic, score_toxicity
 
