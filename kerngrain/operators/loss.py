@@ -66,7 +66,7 @@ def as_records(reports: DataFrame) -> DataFrame:
 
 def counter_deltas(samples: DataFrame) -> DataFrame:
     """What a counter grew by since the poll before; a counter that went back counts from zero."""
-    by = Window.partitionBy("node_id", "probe_id").orderBy("polled_ns")
+    by = Window.partitionBy(*[c for c in ("cluster", "node_id", "probe_id") if c in samples.columns]).orderBy("polled_ns")
     before, at = F.lag("dropped", 1, 0).over(by), F.coalesce(F.lag("polled_ns").over(by), F.col("tracking_start_ns"))
     return samples.withColumns({"delta": F.when(F.col("dropped") < before, F.col("dropped")).otherwise(F.col("dropped") - before), "from_ns": at})
 
@@ -86,17 +86,28 @@ def expired(backlog: DataFrame, now_ms: int, most_ms: int = 300_000) -> DataFram
     return backlog.where(F.col("enqueued_ms") < now_ms - most_ms)
 
 
+def expired_gaps(backlog: DataFrame, now_ms: int, most_ms: int = 300_000) -> DataFrame:
+    """ST6: per node a gap report with the cause retry_buffer_expired of the batches past their age; classes sum to the records."""
+    of = lambda x: F.coalesce(F.sum(F.when(F.col("class") == x, F.col("records"))), F.lit(0))
+    return expired(backlog, now_ms, most_ms).groupBy("cluster", "node_id").agg(
+        F.lit("retry_buffer_expired").alias("cause"), F.array_join(F.array_sort(F.collect_set("class")), ",").alias("affected_classes"), F.sum("records").alias("dropped_records"),
+        of("reliability").alias("dropped_reliability"), of("attribution").alias("dropped_attribution"),
+        (F.min("enqueued_ms") * 1_000_000).alias("gap_start_ns"), (F.max("enqueued_ms") * 1_000_000).alias("gap_end_ns"),
+    )
+
+
 def over_rate(events: DataFrame, most: int) -> DataFrame:
     """Events beyond ``most`` per node, type and second, in order of time."""
     second = F.expr("observed_at_ns div 1000000000")
-    by = Window.partitionBy("node_id", "event_type", second).orderBy("observed_at_ns", "event_id")
+    by = Window.partitionBy("cluster", "node_id", "event_type", second).orderBy("observed_at_ns", "event_id")
     return events.withColumn("rn", F.row_number().over(by)).where(F.col("rn") > most).drop("rn")
 
 
 def uncovered(nodes: DataFrame, expected: list[str], seen: DataFrame) -> DataFrame:
     """(node_id, event_type) that a node should have but doesn't: no coverage, which isn't the same as no events."""
-    wanted = nodes.select("node_id", F.explode(F.array(*map(F.lit, expected))).alias("event_type"))
-    return wanted.join(seen.select("node_id", "event_type").distinct(), ["node_id", "event_type"], "left_anti")
+    key = [c for c in ("cluster", "node_id") if c in nodes.columns]
+    wanted = nodes.select(*key, F.explode(F.array(*map(F.lit, expected))).alias("event_type"))
+    return wanted.join(seen.select(*key, "event_type").distinct(), [*key, "event_type"], "left_anti")
 
 
 def during_gaps(events: DataFrame, reports: DataFrame) -> DataFrame:
@@ -120,6 +131,23 @@ def deliver(batch: DataFrame, delivered: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("blank_"), "REJECTED").when((F.col("rn") > 1) | F.col("before"), "DUPLICATE").otherwise("ACCEPTED")).drop("rn", "before", "blank_")
 
 
+def ingest(items: DataFrame, delivered: DataFrame, files: bool = False) -> DataFrame:
+    """K5 with K6 and P12: items (batch_id, idempotency_key, cluster, node_id, event_type, observed_at_ns, event_id) with status, reason and retryable.
+
+    A batch with an item without cluster or node is refused whole; of the others unsupported and gated items are dropped and counted, the
+    first of a key is ACCEPTED, and what was delivered before or repeats in the batch is a DUPLICATE, which is a success. Nothing of that
+    can be helped by trying again.
+    """
+    blank = (F.coalesce(F.trim("cluster"), F.lit("")) == "") | (F.coalesce(F.trim("node_id"), F.lit("")) == "")
+    refused = items.groupBy("batch_id").agg(F.max(blank).alias("refused_"))  # combines before the shuffle: a batch of any size is one row
+    rows = gate(items, files).join(refused, "batch_id").withColumn("open_", ~F.col("refused_") & (F.col("delivery_status") == "deliver"))
+    first = Window.partitionBy("idempotency_key", "open_").orderBy("observed_at_ns", "event_id")
+    rows = rows.withColumn("rn_", F.row_number().over(first)).join(delivered.select("idempotency_key", F.lit(True).alias("before_")).distinct(), "idempotency_key", "left")
+    status = F.when(F.col("refused_"), "REJECTED").when(~F.col("open_"), F.upper("delivery_status")).when((F.col("rn_") > 1) | F.col("before_"), "DUPLICATE").otherwise("ACCEPTED")
+    rows = rows.withColumns({"status": status, "reason": F.when(F.col("refused_"), "blank cluster or node in the batch"), "retryable": F.lit(False)})
+    return rows.drop("refused_", "open_", "rn_", "before_", "delivery_status")
+
+
 def delivery_results(items: DataFrame, *keys: str) -> DataFrame:
     """Accepted (duplicates too) and rejected items of each batch, what was rejected for which reason, and whether trying again can help.
 

@@ -511,6 +511,12 @@ def st06_expired(spark, sf_dir):
     return loss.expired(_backlog(spark, sf_dir), 720_000).select("node_id", "batch_id", "class", "records")
 
 
+@query(KE + f""", {_BACKLOG} SELECT cluster, node_id, 'retry_buffer_expired' AS cause, array_to_string(list_sort(list(DISTINCT class)), ',') AS affected_classes, sum(records)::BIGINT AS dropped_records, coalesce(sum(CASE WHEN class = 'reliability' THEN records END), 0)::BIGINT AS dropped_reliability,
+  coalesce(sum(CASE WHEN class = 'attribution' THEN records END), 0)::BIGINT AS dropped_attribution, min(enqueued_ms) * 1000000 AS gap_start_ns, max(enqueued_ms) * 1000000 AS gap_end_ns FROM b WHERE enqueued_ms < 720000 - 300000 GROUP BY 1, 2""")
+def st06_expired_gaps(spark, sf_dir):
+    return loss.expired_gaps(_backlog(spark, sf_dir), 720_000)
+
+
 @query(KE + f"SELECT node_id, {TCP_ID} AS conn_id, observed_at_ns // 1000000000 AS second, count(*) AS n FROM ke WHERE event_type = 'kernel.tcp.retransmit' GROUP BY 1, 2, 3")
 def a11_coalesced(spark, sf_dir):
     return kernel_events(spark, sf_dir).where("event_type = 'kernel.tcp.retransmit'").groupBy("node_id", E.connection_id().alias("conn_id"), F.expr("observed_at_ns div 1000000000").alias("second")).agg(F.count("*").alias("n"))
@@ -768,13 +774,47 @@ def p15_wall_clock(spark, sf_dir):
     return lineage.wall_clock(ev.select(*rules.NODE, "event_id", "observed_at_ns"), samples).select("event_id", "event_time_us")
 
 
-@query(KE + "SELECT entity, min(observed_at_ns) AS first_ns, max(observed_at_ns) AS last_ns, count(*) AS n FROM (SELECT unnest([concat('process/', node_id, '/', pid), concat('cgroup/', cgroup_id), concat('node/', node_id)]) AS entity, observed_at_ns FROM ke) GROUP BY 1")
+@query(KE + "SELECT entity, min(observed_at_ns) AS first_ns, max(observed_at_ns) AS last_ns, count(*) AS n FROM (SELECT unnest([concat_ws('/', 'process', cluster, node_id, boot_id, pid), concat_ws('/', 'cgroup', cluster, node_id, cgroup_id), concat_ws('/', 'node', cluster, node_id)]) AS entity, observed_at_ns FROM ke) GROUP BY 1")
 def x01_entities(spark, sf_dir):
     return lineage.entities(kernel_events(spark, sf_dir))
 
 
-@query(STRONG + """SELECT DISTINCT kind, a, b FROM (SELECT 'process_in_cgroup' AS kind, concat(node_id, '/', pid) AS a, CAST(cgroup_id AS VARCHAR) AS b FROM bound
-  UNION ALL SELECT 'process_in_container', concat(node_id, '/', pid), container_id FROM bound WHERE unbound_reason IS NULL UNION ALL SELECT 'container_in_pod', container_id, pod_uid FROM bound WHERE unbound_reason IS NULL UNION ALL SELECT 'pod_on_node', pod_uid, node_id FROM bound WHERE unbound_reason IS NULL)""")
+_LIVES_OF = """, x AS (SELECT cluster, node_id, boot_id, pid, observed_at_ns, start_boottime_ns, event_id * 7919 % 1000 AS ingested, event_id, comm FROM ke WHERE event_type = 'kernel.process.exec' UNION ALL
+  SELECT cluster, node_id, boot_id, pid, observed_at_ns, start_boottime_ns, event_id * 7919 % 1000 + 5000, event_id, concat('amended ', comm) FROM ke WHERE event_type = 'kernel.process.exec' AND event_id % 3 = 0),
+y AS (SELECT *, CASE WHEN start_boottime_ns > 0 THEN start_boottime_ns ELSE observed_at_ns END AS start_ns FROM x),
+b AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY cluster, node_id, boot_id, pid, start_ns ORDER BY ingested DESC, event_id DESC) = 1),
+v AS (SELECT node_id, boot_id, pid, concat_ws('/', 'process', cluster, node_id, pid, start_ns) AS entity, comm, event_id, observed_at_ns AS valid_from, lead(observed_at_ns) OVER (PARTITION BY cluster, node_id, boot_id, pid ORDER BY observed_at_ns, start_ns) AS next_from FROM b),
+e AS (SELECT node_id, boot_id, 1000 + event_id % 500 AS pid, observed_at_ns AS exit_ns FROM ke WHERE event_type = 'kernel.tcp.close') """
+
+
+def _execs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executions, and of every third another row that came later and amends it."""
+    ev = kernel_events(spark, sf_dir).where("event_type = 'kernel.process.exec'").withColumn("ingested", F.expr("event_id * 7919 % 1000"))
+    more = ev.where("event_id % 3 = 0").withColumns({"ingested": F.col("ingested") + 5000, "comm": F.concat(F.lit("amended "), "comm")})
+    return ev.unionByName(more).select("cluster", "node_id", "boot_id", "pid", "observed_at_ns", "start_boottime_ns", "ingested", "event_id", "comm")
+
+
+@query(KE + _LIVES_OF + "SELECT node_id, boot_id, pid, entity, comm, valid_from, coalesce((SELECT min(exit_ns) FROM e WHERE e.node_id = v.node_id AND e.boot_id = v.boot_id AND e.pid = v.pid AND exit_ns >= valid_from AND (next_from IS NULL OR exit_ns < next_from)), next_from) AS valid_to FROM v")
+def x01_process_lives(spark, sf_dir):
+    """Processes of pids that are used again, with their ends."""
+    exits = kernel_events(spark, sf_dir).where("event_type = 'kernel.tcp.close'").withColumn("pid", F.expr("1000 + event_id % 500"))
+    return lineage.process_lives(_execs(spark, sf_dir), exits).select("node_id", "boot_id", "pid", "entity", "comm", "valid_from", "valid_to")
+
+
+@query(KE + _LIVES_OF + "SELECT node_id, boot_id, pid, entity, comm, valid_from, next_from AS valid_to FROM v")
+def x01_amended_lives(spark, sf_dir):
+    """The same without ends, in two steps: a quarter of the rows comes late and amends what was known."""
+    rows = _execs(spark, sf_dir)
+    early, late = rows.where("event_id % 4 <> 0"), rows.where("event_id % 4 = 0")
+    return lineage.amended(lineage.process_lives(early), late).select("node_id", "boot_id", "pid", "entity", "comm", "valid_from", "valid_to")
+
+
+@query(STRONG + """, x AS (SELECT 'process_in_cgroup' AS kind, concat_ws('/', cluster, node_id, boot_id, pid) AS a, concat_ws('/', cluster, node_id, boot_id, cgroup_id) AS b, observed_at_ns FROM bound
+  UNION ALL SELECT 'process_in_container', concat_ws('/', cluster, node_id, boot_id, pid), concat_ws('/', cluster, container_id), observed_at_ns FROM bound WHERE unbound_reason IS NULL UNION ALL SELECT 'container_in_pod', concat_ws('/', cluster, container_id), concat_ws('/', cluster, pod_uid), observed_at_ns FROM bound WHERE unbound_reason IS NULL
+  UNION ALL SELECT 'pod_on_node', concat_ws('/', cluster, pod_uid), concat_ws('/', cluster, node_id, boot_id), observed_at_ns FROM bound WHERE unbound_reason IS NULL),
+m AS (SELECT kind, a, b, observed_at_ns // 60000000000 AS minute, min(observed_at_ns) AS first_ns, max(observed_at_ns) AS last_ns, count(*) AS n FROM x GROUP BY ALL),
+l AS (SELECT *, CASE WHEN coalesce(lag(b) OVER (PARTITION BY kind, a ORDER BY first_ns, b) <> b, true) THEN 1 ELSE 0 END AS new FROM m), k AS (SELECT *, sum(new) OVER (PARTITION BY kind, a ORDER BY first_ns, b) AS life FROM l),
+g AS (SELECT kind, a, b, life, min(first_ns) AS valid_from, max(last_ns) AS last_ns, sum(n)::BIGINT AS n FROM k GROUP BY ALL) SELECT kind, a, b, valid_from, last_ns, n, lead(valid_from) OVER (PARTITION BY kind, a ORDER BY life) AS valid_to FROM g""")
 def x02_edges(spark, sf_dir):
     return lineage.edges(_bound(spark, sf_dir))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..schemas import EVENTS
 from ..sources.adapter import MORE_SQL, kernel_events, more_events
 from ..sources.shared import shared_dir
 from ..streaming import state, streams
+from ..streaming.readiness import Progress, readiness
 from .queries import _DROPS, _LIVES, KE, TCP_ID, _samples, query
 
 
@@ -170,18 +173,77 @@ def st02_r41_sessions_stream(spark, sf_dir):
     return _appended(found, path).selectExpr(*NODE, "comm", _START, "n")
 
 
-@query(KE + """, m AS (SELECT event_id % 4 AS part, max(observed_at_ns) AS last FROM ke GROUP BY 1),
-w AS (SELECT a.part, max(b.last) - 300000000000 AS mark FROM m a JOIN m b ON b.part < a.part GROUP BY 1)
-SELECT ke.node_id, w.part AS epoch, count(*) AS dropped_records, min(observed_at_ns) AS gap_start_ns, max(observed_at_ns) AS gap_end_ns, 'late_data' AS cause FROM ke JOIN w ON ke.event_id % 4 = w.part WHERE observed_at_ns < w.mark GROUP BY 1, 2""")
+@query(KE + """, m AS (SELECT node_id, event_id % 4 AS part, max(observed_at_ns) AS last FROM ke GROUP BY ALL), w AS (SELECT a.node_id, a.part, max(b.last) - 300000000000 AS mark FROM m a JOIN m b ON a.node_id = b.node_id AND b.part < a.part GROUP BY ALL),
+x AS (SELECT ke.*, event_id % 4 AS epoch, coalesce(observed_at_ns < mark, false) AS late FROM ke LEFT JOIN w ON ke.node_id = w.node_id AND event_id % 4 = w.part)
+SELECT node_id, epoch, count(*) FILTER (WHERE late) AS dropped_records, min(CASE WHEN late THEN observed_at_ns END) AS gap_start_ns, max(CASE WHEN late THEN observed_at_ns END) AS gap_end_ns, CASE WHEN count(*) FILTER (WHERE late) > 0 THEN 'late_data' END AS cause, count(*) FILTER (WHERE NOT late) AS on_time FROM x GROUP BY ALL""")
 def st03_late_gaps_stream(spark, sf_dir):
-    """Files of all times, one after the other: what is older than the watermark of the files before is late."""
+    """Files of all times, one after the other: what is older than the node's newest of the files before, by more than five minutes, is late; all else goes on."""
     path = shared_dir(spark)
     for part in range(4):
         kernel_events(spark, sf_dir).where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(f"{path}/events")
     rows = streams.event_stream(spark, f"{path}/events", files_per_trigger=1)
-    streams.run_once(rows, "", f"{path}/state", each=streams.late_gaps(path))
-    found = spark.read.parquet(f"{path}/gaps")
-    return found.select("node_id", F.col("epoch").cast("long").alias("epoch"), "dropped_records", "gap_start_ns", "gap_end_ns", "cause")
+    with state.stateful(spark):
+        streams.run_once(state.with_lateness(rows), "", f"{path}/state", each=streams.late_gaps(f"{path}/out"))
+    epoch = F.col("epoch").cast("long").alias("epoch")
+    good = spark.read.parquet(f"{path}/out/events").groupBy("node_id", epoch).agg(F.count("*").alias("on_time"))
+    found = spark.read.parquet(f"{path}/out/gaps").select("node_id", epoch, "dropped_records", "gap_start_ns", "gap_end_ns", "cause")
+    return good.join(found, ["node_id", "epoch"], "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("on_time", "dropped_records")})
+
+
+_ARRIVALS = f"""a AS (SELECT *, event_id % 4 AS f FROM ke UNION ALL SELECT *, (event_id + 1) % 4 AS f FROM ke WHERE event_id % 3 = 0),
+i AS (SELECT *, CASE WHEN event_id % 4000 = 5 THEN '' ELSE cluster END AS named, concat(node_id, '/', f) AS batch_id FROM a),
+r AS (SELECT *, max(named = '') OVER (PARTITION BY batch_id) AS refused, event_type NOT LIKE 'kernel.file.%' AS open FROM i),
+s AS (SELECT *, CASE WHEN refused THEN 'REJECTED' WHEN NOT open THEN 'GATED' WHEN row_number() OVER (PARTITION BY event_id, named, refused OR NOT open ORDER BY f, observed_at_ns, event_id) > 1 THEN 'DUPLICATE' ELSE 'ACCEPTED' END AS status FROM r)"""
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items in four files: every third comes again in the next one; a few have no cluster."""
+    rec = normalize(kernel_events(spark, sf_dir)).withColumn("cluster", F.when(F.col("event_id") % 4000 == 5, "").otherwise(F.col("cluster")))
+    items = idempotency_key(rec).select("event_id", "id", "cluster", "node_id", F.col("type").alias("event_type"), "observed_at_ns", "idempotency_key")
+    again = items.where("event_id % 3 = 0").withColumn("part", F.expr("(event_id + 1) % 4"))
+    return items.withColumn("part", F.expr("event_id % 4")).unionByName(again).withColumn("batch_id", F.concat_ws("/", "node_id", "part"))
+
+
+@query(KE + f", {_ARRIVALS} SELECT event_id, batch_id, status FROM s")
+def k05_ingress_stream(spark, sf_dir):
+    """Idempotent ingress over micro-batches: items with their status, keys looked up by the hour of their ids."""
+    path = shared_dir(spark)
+    items = arrivals(spark, sf_dir)
+    for part in range(4):
+        items.where(F.col("part") == part).coalesce(1).write.mode("append").parquet(f"{path}/items")
+    rows = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/items")
+    streams.run_once(rows, "", f"{path}/state", each=streams.ingress(f"{path}/out"))
+    return spark.read.parquet(f"{path}/out/items").select("event_id", "batch_id", "status")
+
+
+@query(KE + f", {_ARRIVALS} SELECT batch_id, count(*) FILTER (WHERE status IN ('ACCEPTED', 'DUPLICATE')) AS accepted, count(*) FILTER (WHERE status = 'REJECTED') AS rejected, CASE WHEN max(refused) THEN concat('blank cluster or node in the batch: ', count(*)) ELSE '' END AS reasons, false AS retryable FROM s GROUP BY batch_id")
+def k05_ingress_results(spark, sf_dir):
+    """The same in one batch, by producer batches: what the four files amount to. Of a key's items the first by file counts."""
+    from ..operators.loss import delivery_results, ingest
+
+    items = arrivals(spark, sf_dir)
+    return delivery_results(ingest(items, items.select("idempotency_key").limit(0)), "batch_id")
+
+
+@query(KE + "SELECT count(*) AS rows, 0::BIGINT AS behind_files, false AS live, false AS stalled, 4::BIGINT AS epochs FROM ke")
+def st07_progress_stream(spark, sf_dir):
+    """What a stream reports of itself, as a table: all rows in four epochs, nothing left behind, and at its end neither live nor stalled."""
+    path = shared_dir(spark)
+    for part in range(4):
+        kernel_events(spark, sf_dir).where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(f"{path}/events")
+    progress = Progress()
+    spark.streams.addListener(progress)
+    try:
+        query = streams.event_stream(spark, f"{path}/events", files_per_trigger=1).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        until = time.time() + 20
+        while not any(r[0] == query.id and r[2] == "terminated" for r in list(progress.reports)) and time.time() < until:
+            time.sleep(0.1)
+        reports = progress.table(spark).where(F.col("query") == query.id)
+    finally:
+        spark.streams.removeListener(progress)
+    epochs = reports.where("kind = 'progress' and rows > 0").select("query", "epoch").distinct().groupBy("query").agg(F.count("*").alias("epochs"))
+    return readiness(reports, int(time.time() * 1000)).join(epochs, "query").select("rows", "behind_files", "live", "stalled", "epochs")
 
 
 @query(KE + "SELECT 'written' AS what, count(*) AS n FROM ke WHERE ret < 0 UNION ALL SELECT 'warnings', 1")

@@ -238,6 +238,41 @@ class Connections(InOrder):
         return [self._row(key, tuple(known), None, "open" if known[0] is not None else "unseen")] if known is not None else []
 
 
+class Lateness(StatefulProcessor):
+    """ST3: rows with whether they are late: older by more than ``delay_ns`` than the newest row of their node in the batches before. One number is kept for each node."""
+
+    def __init__(self, delay_ns: int) -> None:
+        self.delay_ns = delay_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", columns("ns long"))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        before = self.newest.get()
+        mark = None if before is None else before[0]
+        newest = mark
+        for pdf in rows:
+            last = int(pdf["observed_at_ns"].max())
+            newest = last if newest is None else max(newest, last)
+            yield pdf[["row"]].assign(late=False if mark is None else pdf["observed_at_ns"] < mark - self.delay_ns)
+        if newest is not None:
+            self.newest.update((newest,))
+
+    def close(self) -> None:
+        pass
+
+
+def with_lateness(rows: DataFrame, delay_ns: int = 300_000_000_000) -> DataFrame:
+    """ST3: rows (cluster, node_id, observed_at_ns and anything else) with ``late``; none is dropped, as no watermark is involved.
+
+    The row itself passes as JSON, as pandas would make doubles of longs with nulls among them.
+    """
+    exact = {"timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    thin = rows.select("cluster", "node_id", "observed_at_ns", F.to_json(F.struct(*rows.columns), exact).alias("row"))
+    flagged = thin.groupBy("cluster", "node_id").transformWithStateInPandas(Lateness(delay_ns), columns("row string, late boolean"), "Append", "None")
+    return flagged.select(F.from_json("row", rows.schema.simpleString(), exact).alias("row"), "late").select("row.*", "late")
+
+
 def run_in_order(rows: DataFrame, processor: InOrder, keys: list[str], order: str, tie: str, delay: str) -> DataFrame:
     """Rows with event_time through a processor, by keys."""
     timed = rows.withWatermark("event_time", delay).withColumns({"order": F.col(order).cast("long"), "tie": F.col(tie).cast("long"), "at_ms": F.unix_millis("event_time")})

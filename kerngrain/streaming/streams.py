@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import connection_id
-from ..operators.loss import gaps
+from ..operators.loss import delivery_results, gaps, ingest
 from ..operators.records import compact, normalize
 from ..operators.rules import NODE
 from ..schemas import EVENTS
@@ -74,25 +74,45 @@ def subscribe(rows: DataFrame, **equal: object) -> DataFrame:
     return compact(normalize(rows))
 
 
-def late(rows: DataFrame, watermark_ns: int) -> DataFrame:
-    """ST3: of a batch the rows behind a watermark."""
-    return rows.where(F.col("observed_at_ns") < watermark_ns)
+def late_gaps(path: str) -> Callable[[DataFrame, int], None]:
+    """ST3 for foreachBatch, of rows with ``late``: on-time rows below path/events, and per node a gap report with the cause late_data of the others
+    below path/gaps, by epoch: a batch that is tried again replaces its own. Both together are the input."""
 
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        try:
+            batch.where("not late").drop("late").write.mode("overwrite").parquet(f"{path}/events/epoch={epoch}")
+            gaps(batch.where("late"), "late_data", "cluster", "node_id").write.mode("overwrite").parquet(f"{path}/gaps/epoch={epoch}")
+        finally:
+            batch.unpersist()
 
-def late_gaps(path: str, delay_ns: int = 300_000_000_000) -> Callable[[DataFrame, int], None]:
-    """ST3 for foreachBatch: per node a gap report with the cause late_data of the rows behind the watermark of the batches before.
+    return write
+
+
+def ingress(path: str, files: bool = False) -> Callable[[DataFrame, int], None]:
+    """K5 for foreachBatch: items (idempotency_key, id, batch_id and the columns of loss.ingest) with their status, once over all micro-batches.
 
-    Reports are below path/gaps and the batches' largest times below path/marks, by epoch: a batch that is tried again
-    replaces its own.
+    Keys of accepted items are below path/keys by the hour that their id begins with, and by epoch. A micro-batch reads the hours of its own
+    items alone, of epochs before its own, so that the table of keys is never scanned whole and a batch that is tried again decides as
+    before and replaces its own keys, items (path/items) and counts (path/results).
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        spark.range(0).selectExpr("0L as mark_ns", "0L as at_epoch").write.mode("append").parquet(f"{path}/marks")
-        before = spark.read.parquet(f"{path}/marks").where(F.col("at_epoch") < epoch).agg(F.max("mark_ns")).first()[0]
-        found = gaps(late(batch, before - delay_ns) if before is not None else batch.limit(0), "late_data", "cluster", "node_id")
-        found.write.mode("overwrite").parquet(f"{path}/gaps/epoch={epoch}")
-        batch.agg(F.coalesce(F.max("observed_at_ns"), F.lit(0)).alias("mark_ns")).withColumn("at_epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(f"{path}/marks")
+        items = batch.withColumn("hour", F.expr("try_cast(split_part(id, '-', 1) as bigint) div 3600000")).persist()
+        try:
+            hours = [r[0] for r in items.select("hour").distinct().collect()]
+            spark.range(0).selectExpr("'' as idempotency_key", "0L as hour", "0 as epoch").write.mode("append").partitionBy("hour", "epoch").parquet(f"{path}/keys")
+            keys = spark.read.schema("idempotency_key string, hour long, epoch int").parquet(f"{path}/keys")
+            before = keys.where(F.col("hour").isin(*[h for h in hours if h is not None]) & (F.col("epoch") < epoch))
+            done = ingest(items, before, files=files).persist()
+            done.write.mode("overwrite").parquet(f"{path}/items/epoch={epoch}")
+            delivery_results(done, "batch_id").write.mode("overwrite").parquet(f"{path}/results/epoch={epoch}")
+            accepted = done.where("status = 'ACCEPTED'").select("idempotency_key", "hour", F.lit(epoch).alias("epoch"))
+            accepted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "epoch").parquet(f"{path}/keys")
+            done.unpersist()
+        finally:
+            items.unpersist()
 
     return write
 
