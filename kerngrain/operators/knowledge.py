@@ -13,7 +13,7 @@ from .rules import ACTIONS, RULES
 
 #: Fixed values beside the code: keywords, functions, event types and combine_with in ../knowledge/*.json, which scores depend on.
 LAYERS = ("tcp", "memory", "fs", "process", "sched")
-KB = "version string, layer string, description string, probes array<struct<function:string,attachment:string,event_type:string,layer:string,answers:array<string>,keywords:array<string>,combine_with:array<string>,fields:array<struct<name:string,important:boolean>>>>"
+KB = "version string, layer string, description string, probes array<struct<function:string,attachment:string,event_type:string,layer:string,answers:array<string>,keywords:array<string>,combine_with:array<string>,fields:array<struct<name:string,meaning:string,important:boolean>>,use_when:string>>"
 
 
 def load(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -51,6 +51,12 @@ def find(questions: DataFrame, kb: DataFrame, k: int = 5) -> DataFrame:
     return scores(questions, kb).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def with_reasons(found: DataFrame) -> DataFrame:
+    """Q1: what find gives, with why a probe helps, its important fields and what they mean, and the probes it goes together with."""
+    important = F.transform(F.filter("fields", lambda x: x["important"]), lambda x: F.concat_ws(": ", x["name"], x["meaning"]))
+    return found.select("question_id", "rank", "score", "function", "attachment", "event_type", F.col("use_when").alias("why"), important.alias("important_fields"), "combine_with")
+
+
 def matching(event_type: Column, ret: Column, state: Column) -> Column:
     """The places of all single-event rules that an event meets, in their order; no join, one pass."""
     hits = [F.when((event_type == r.event_type) & F.expr(r.predicate), i) for i, r in enumerate(RULES) if r.shape == "filter"]
@@ -120,8 +126,8 @@ def listed(kb: DataFrame, layer: str | None = None) -> DataFrame:
 
 def repeated(kb: DataFrame) -> DataFrame:
     """Functions and event types that the base has more than once."""
-    names = kb.select(F.explode(F.array(F.concat(F.lit("function "), "function"), F.concat(F.lit("type "), "event_type"))).alias("name"))
-    return names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    names = kb.select(F.explode(F.array(F.struct(F.lit("function").alias("what"), F.col("function").alias("name")), F.struct(F.lit("event type").alias("what"), F.col("event_type").alias("name")))).alias("x"))
+    return names.groupBy("x.what", "x.name").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def dangling(kb: DataFrame) -> DataFrame:
@@ -130,7 +136,27 @@ def dangling(kb: DataFrame) -> DataFrame:
     return named.join(kb.select(F.col("function").alias("other")), "other", "left_anti")
 
 
+def violations(kb: DataFrame) -> DataFrame:
+    """(layer, function, problem) of a base of any size, a row for each rule that a probe breaks.
+
+    Answers, keywords, fields and use_when are required, keywords are in lower case, probes attach in a known way, severities of interpretations
+    (if the base has them) are known, combine_with names probes of the base, and functions and event types are there once.
+    """
+    blank = lambda c: F.when(F.coalesce(F.trim(c), F.lit("")) == "", f"no {c}")
+    none = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) <= 0, f"no {c}")
+    rules = [blank(c) for c in ("function", "event_type", "use_when")] + [none(c) for c in ("answers", "keywords", "fields")]
+    rules.append(F.when(F.exists("keywords", lambda k: k != F.lower(k)), "a keyword is not in lower case"))
+    rules.append(F.when(~F.coalesce(F.col("attachment").isin("fentry", "fexit"), F.lit(False)), "attaches in no known way"))
+    if "severities" in kb.columns:
+        rules.append(F.when(F.exists("severities", lambda x: ~x.isin("info", "warning", "error", "critical")), "a severity is unknown"))
+    own = kb.select("layer", "function", F.explode(F.array_compact(F.array(*rules))).alias("problem"))
+    others = dangling(kb).join(kb.select("function", "layer"), "function").select("layer", "function", F.concat(F.lit("goes together with nothing: "), "other").alias("problem"))
+    twice = repeated(kb)
+    names = lambda what, c: kb.join(twice.where(F.col("what") == what).select(F.col("name").alias(c)), c, "left_semi").select("layer", "function", F.lit(f"its {what} is there more than once").alias("problem"))
+    return own.unionByName(others).unionByName(names("function", "function")).unionByName(names("event type", "event_type"))
+
+
 def statistics(kb: DataFrame) -> DataFrame:
-    """Probes by layer, and those that break a rule of the base."""
-    broken = (F.size("answers") == 0) | (F.size("keywords") == 0) | F.exists("keywords", lambda k: k != F.lower(k)) | ~F.col("attachment").isin("fentry", "fexit")
-    return kb.groupBy("layer").agg(F.count("*").alias("n_probes"), F.countDistinct("function").alias("n_functions"), F.count_if(broken).alias("n_broken"))
+    """Probes by layer, distinct functions, and how many break a rule of the base."""
+    broken = violations(kb).groupBy("layer").agg(F.countDistinct("function").alias("n_broken"), F.count("*").alias("n_violations"))
+    return kb.groupBy("layer").agg(F.count("*").alias("n_probes"), F.countDistinct("function").alias("n_functions")).join(broken, "layer", "left").fillna(0, ["n_broken", "n_violations"])

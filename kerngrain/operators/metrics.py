@@ -18,6 +18,19 @@ def events_per_probe(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("event_type").alias("label")).agg(F.count("*").alias("value"))
 
 
+def status(events: DataFrame, samples: DataFrame, rates: DataFrame) -> DataFrame:
+    """A row for each probe of a node: its events, since when, what its counters say was dropped, and of how many events it keeps one.
+
+    samples (cluster, node_id, event_type, probe_id, polled_ns, dropped, tracking_start_ns) are polls of counters; rates (event_type, sample_rate) name the probes that are sampled.
+    """
+    key = ["cluster", "node_id", "event_type"]
+    drops = counter_deltas(samples).groupBy(*key).agg(F.sum("delta").alias("drops"))
+    seen = events.groupBy(*key).agg(F.count("*").alias("events_total"), F.min("observed_at_ns").alias("attached_since"))
+    rows = seen.join(drops, key, "left").join(rates, "event_type", "left")
+    probe = F.regexp_replace(F.regexp_replace("event_type", r"^kernel\.", ""), r"\.", "_").alias("probe_id")
+    return rows.select("cluster", "node_id", probe, "event_type", "events_total", "attached_since", F.coalesce("drops", F.lit(0)).alias("drops"), F.coalesce("sample_rate", F.lit(1)).alias("sample_rate"))
+
+
 def drops_per_probe(samples: DataFrame) -> DataFrame:
     """M2: what the probes' ring buffers dropped, from polls of their counters."""
     return counter_deltas(samples).groupBy(F.col("probe_id").alias("label")).agg(F.sum("delta").alias("value"))

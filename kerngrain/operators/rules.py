@@ -89,16 +89,6 @@ def evaluate(events: DataFrame, rule: Rule) -> DataFrame:
     return found.where(rule.having).withColumn("rule_id", F.lit(rule.id))
 
 
-def rule_sql(rule: Rule, table: str) -> str:
-    """The same for an engine with // as integer division."""
-    where = f"event_type = '{rule.event_type}' AND ({rule.predicate})"
-    if rule.shape == "filter":
-        return f"SELECT '{rule.id}' AS rule_id, event_id, node_id, observed_at_ns FROM {table} WHERE {where}"
-    ns, keys = rule.seconds * 1_000_000_000, ", ".join(rule.keys)
-    return f"""SELECT * FROM (SELECT {keys}, observed_at_ns // {ns} * {ns} AS window_start_ns, CAST({rule.measure} AS BIGINT) AS n, min(event_id) AS first_id, max(event_id) AS last_id,
-  '{rule.id}' AS rule_id FROM {table} WHERE {where} GROUP BY {keys}, observed_at_ns // {ns} * {ns}) WHERE {rule.having}"""
-
-
 def losses(events: DataFrame, seconds: int = 10, least: int = 3) -> DataFrame:
     """Retransmits of a live connection with ``least`` of them in the last ``seconds``, itself included."""
     rows = events.where("event_type = 'kernel.tcp.retransmit' and tcp_state = 'ESTABLISHED'")

@@ -223,8 +223,8 @@ def p13_approximate_bytes(spark, sf_dir):
 @query(KE + "SELECT event_id, observed_at_ns, src_ip, dst_port FROM ke WHERE observed_at_ns >= (SELECT max(observed_at_ns) FROM ke) - 300000000000 AND dst_port = 443 AND dst_ip = '10.42.1.3'")
 def f01_event_filter(spark, sf_dir):
     ev = kernel_events(spark, sf_dir)
-    now = ev.agg(F.max("observed_at_ns").alias("now_ns"))
-    return select.event_filter(ev.join(now), F.col("now_ns"), 300, dst_port=443, dst_ip="10.42.1.3").select("event_id", "observed_at_ns", "src_ip", "dst_port")
+    now = ev.agg(F.max("observed_at_ns").alias("now_ns")).scalar()  # a scalar subquery, so that the bound reaches the scan
+    return select.event_filter(ev, now, 300, dst_port=443, dst_ip="10.42.1.3").select("event_id", "observed_at_ns", "src_ip", "dst_port")
 
 
 @query(KE + "SELECT event_id, path FROM ke WHERE event_type = 'kernel.file.open' AND (" + " OR ".join(f"regexp_full_match(path, '{E.path_pattern(p)[5:-1]}', 's')" for p in E.SENSITIVE_PATHS) + ")")
@@ -347,11 +347,40 @@ _SINGLE = {
 }
 
 
+_PAIR = "src_ip, src_port, dst_ip, dst_port"
+#: Of windowed rules: keys beside cluster, node and boot, what is counted of which rows, when it tells, and the window in seconds; written for DuckDB by themselves.
+_WINDOWED = {
+    "R06": ("dst_ip, dst_port", "count(*) FILTER (WHERE ret <> 0)", "event_type = 'kernel.tcp.connect'", ">= 5", 60),
+    "R08": ("dst_ip, dst_port", "count(*)", "event_type = 'kernel.tcp.close'", ">= 20", 60),
+    "R13": ("dst_ip", "count(DISTINCT (src_ip, src_port, dst_port))", "event_type = 'kernel.tcp.retransmit'", ">= 2", 60),
+    "R14": ("", "count(DISTINCT dst_ip)", "event_type = 'kernel.tcp.retransmit'", ">= 2", 60),
+    "R17": ("dst_port, pid", "count(event_id)", "event_type = 'kernel.tcp.accept' AND ret = -11", "> 1", 60),
+    "R19": (_PAIR, "count(*) - count(*) FILTER (WHERE ret > 0)", "event_type = 'kernel.tcp.recv'", "= 0", 60),
+    "R20": (_PAIR, "count(*)", "event_type = 'kernel.tcp.recv' AND ret = 0", "> 1", 60),
+    "R21": ("dst_port", "count(*)", "event_type = 'kernel.tcp.syn_recv' AND ret = 0", "> 1", 60),
+    "R22": ("dst_port", "count(*) FILTER (WHERE ret = 0)", "event_type = 'kernel.tcp.syn_recv'", "= 0", 60),
+    "R23": ("src_ip, dst_ip", "count(*)", "event_type = 'kernel.tcp.reset'", "> 1", 60),
+    "R24": ("dst_port", "count(DISTINCT (src_ip, src_port, dst_ip))", "event_type = 'kernel.tcp.reset'", "> 1", 60),
+    "R25": ("cgroup_id", "count(*)", "event_type = 'kernel.memory.oom_kill' AND cgroup_id > 0", "> 1", 3600),
+    "R26": ("", "count(DISTINCT comm)", "event_type = 'kernel.memory.oom_kill'", "> 1", 60),
+    "R28": ("", "count(*) FILTER (WHERE ret = 0)", "event_type = 'kernel.memory.page_alloc'", "= 0", 60),
+    "R29": ("cgroup_id", "count(*)", "event_type = 'kernel.memory.cgroup_charge' AND ret NOT IN (0)", "> 1", 600),
+    "R32": ("pid", "sum(ret)", "event_type = 'kernel.fs.write' AND ret > 0", ">= 5000", 60),
+    "R33": ("pid", "sum(ret)", "event_type = 'kernel.fs.read' AND ret > 0", ">= 5000", 60),
+    "R37": ("pid", "count(*)", "event_type = 'kernel.sched.wakeup'", "> 1", 60),
+    "R41": ("comm", "count(*)", "event_type = 'kernel.process.exit' AND ret IS DISTINCT FROM 0", "> 2", 60),
+    "R43": ("pid", "count(*)", "event_type = 'kernel.process.clone'", "> 1", 60),
+}
+
+
 def _rule_sql(rule: rules.Rule) -> str:
     clause, table = _rule_with(rule)
     if rule.shape == "filter":
         return clause + f"SELECT '{rule.id}' AS rule_id, event_id, node_id, observed_at_ns FROM {table} WHERE {_SINGLE[rule.id]}"
-    return clause + rules.rule_sql(rule, table)
+    keys, measure, where, tells, seconds = _WINDOWED[rule.id]
+    keys = f"{NODE}{', ' if keys else ''}{keys}"
+    start = f"observed_at_ns - observed_at_ns % {seconds * 10**9}"
+    return clause + f"SELECT '{rule.id}' AS rule_id, {keys}, {start} AS window_start_ns, CAST({measure} AS BIGINT) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM {table} WHERE {where} GROUP BY {keys}, {start} HAVING {measure} {tells}"
 
 
 for _r in rules.RULES:
@@ -491,9 +520,14 @@ def a05_gap_records(spark, sf_dir):
     return loss.gap_records(loss.gaps(dropped, F.col("unbound_reason"), "node_id")).select("node_id", "type", "severity", "observed_at_ns", F.col("labels")["dropped_records"].alias("dropped"))
 
 
-@query(KE + "SELECT node_id, event_type, count(*) AS events_total, min(observed_at_ns) AS attached_since FROM ke GROUP BY 1, 2")
+@query(KE + """, s AS (SELECT node_id, event_type, observed_at_ns // 60000000000 AS m, count(*) * 7 % 50 AS dropped FROM ke GROUP BY 1, 2, 3),
+d AS (SELECT node_id, event_type, CASE WHEN dropped < lag(dropped, 1, 0) OVER w THEN dropped ELSE dropped - lag(dropped, 1, 0) OVER w END AS delta FROM s WINDOW w AS (PARTITION BY node_id, event_type ORDER BY m)),
+x AS (SELECT node_id, event_type, sum(delta)::BIGINT AS drops FROM d GROUP BY ALL)
+SELECT cluster, ke.node_id, replace(substr(event_type, 8), '.', '_') AS probe_id, event_type, count(*) AS events_total, min(observed_at_ns) AS attached_since, any_value(drops) AS drops, CASE event_type WHEN 'kernel.file.open' THEN 4 ELSE 1 END AS sample_rate FROM ke JOIN x USING (node_id, event_type) GROUP BY ALL""")
 def a06_q07_m01_status(spark, sf_dir):
-    return kernel_events(spark, sf_dir).groupBy("node_id", "event_type").agg(F.count("*").alias("events_total"), F.min("observed_at_ns").alias("attached_since"))
+    rates = spark.createDataFrame([("kernel.file.open", 4)], "event_type string, sample_rate int")
+    samples = _samples(spark, sf_dir).withColumns({"cluster": F.lit("c1"), "event_type": F.col("probe_id")})
+    return metrics.status(kernel_events(spark, sf_dir), samples, rates)
 
 
 @query(KE + f"SELECT {_SOURCE} AS source, count(*) AS n FROM ke WHERE observed_at_ns >= 300000000000 GROUP BY 1")
@@ -594,19 +628,20 @@ def _kb_sql() -> str:
     layers = [layer for layer in knowledge.LAYERS for _ in json.loads((Path(knowledge.__file__).parent.parent / "knowledge" / f"{layer}.json").read_text())["probes"]]
     first = {x: layers.index(x) for x in set(layers)}
     at = [knowledge.LAYERS.index(x) * 1000 + 1000 + i - first[x] for i, x in enumerate(layers)]
-    rows = ", ".join(f"({i}, '{x}', '{p['function']}', '{p['attachment']}', '{p['event_type']}', {texts(p['answers'])}, {texts(p['keywords'])})" for i, x, p in zip(at, layers, probes, strict=True))
-    return f"kb AS (SELECT * FROM (VALUES {rows}) AS t(position, layer, function, attachment, event_type, answers, keywords))"
+    rows = ", ".join(f"({i}, '{x}', '{p['function']}', '{p['attachment']}', '{p['event_type']}', {texts(p['answers'])}, {texts(p['keywords'])}, {texts([p['use_when']])}, {texts([f"{x['name']}: {x['meaning']}" for x in p['fields'] if x['important']])}, {texts(p['combine_with'])})" for i, x, p in zip(at, layers, probes, strict=True))
+    return f"kb AS (SELECT * FROM (VALUES {rows}) AS t(position, layer, function, attachment, event_type, answers, keywords, use_when, important_fields, combine_with))"
 
 
 _ASKED = f"""WITH {EVENTS_SQL}, {MORE_SQL}, {_kb_sql()}, u AS (SELECT * FROM ke UNION ALL SELECT * FROM me),
 q AS (SELECT DISTINCT concat_ws('/', comm, event_type) AS question_id, concat('why does ', comm, ' see so many ', regexp_replace(regexp_replace(event_type, '^kernel\\.', ''), '[._]', ' ', 'g'), ' events') AS question FROM u),
-s AS (SELECT question_id, function, event_type, position, CAST(10 * len(list_filter(answers, lambda a: contains(lower(question), lower(a)) OR contains(lower(a), lower(question)))) + 5 * len(list_filter(keywords, lambda k: contains(lower(question), lower(k)))) + CASE WHEN contains(lower(question), function) THEN 20 ELSE 0 END AS INT) AS score FROM q, kb),
+s AS (SELECT question_id, function, event_type, position, attachment, use_when[1] AS why, array_to_string(important_fields, '; ') AS important_fields, array_to_string(combine_with, ',') AS combine_with, CAST(10 * len(list_filter(answers, lambda a: contains(lower(question), lower(a)) OR contains(lower(a), lower(question)))) + 5 * len(list_filter(keywords, lambda k: contains(lower(question), lower(k)))) + CASE WHEN contains(lower(question), function) THEN 20 ELSE 0 END AS INT) AS score FROM q, kb),
 f AS (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, position) AS INT) AS rank FROM s WHERE score > 0) """
 
 
-@query(_ASKED + "SELECT question_id, rank, function, event_type, score FROM f WHERE rank <= 5")
+@query(_ASKED + "SELECT question_id, rank, function, event_type, score, attachment, why, important_fields, combine_with FROM f WHERE rank <= 5")
 def q01_j06_find(spark, sf_dir):
-    return knowledge.find(_questions(spark, sf_dir), knowledge.load(spark)).select("question_id", "rank", "function", "event_type", "score")
+    found = knowledge.with_reasons(knowledge.find(_questions(spark, sf_dir), knowledge.load(spark)))
+    return found.withColumns({"important_fields": F.array_join("important_fields", "; "), "combine_with": F.array_join("combine_with", ",")})
 
 
 _FIRST = "CASE " + " ".join(f"WHEN {p} THEN '{k}'" for k, p in _SINGLE.items()) + " END"
@@ -952,7 +987,33 @@ def x04_without_noise(spark, sf_dir):
     return select.without(ev, noise, "comm", "event_type").select("event_id", "node_id", "pid")
 
 
-@query(f"WITH {_kb_sql()} SELECT layer, count(*) AS n_probes, count(DISTINCT function) AS n_functions, 0::BIGINT AS n_broken FROM kb WHERE event_type NOT IN (SELECT event_type FROM events) GROUP BY 1")
+_PARTS = """b AS (SELECT concat('layer', p_partkey % 5) AS layer, concat('f', CASE WHEN p_partkey % 50 = 0 THEN p_partkey - 1 ELSE p_partkey END) AS function, concat('kernel.t', CASE WHEN p_partkey % 60 = 0 THEN p_partkey - 7 ELSE p_partkey END) AS event_type, CASE WHEN p_partkey % 13 = 0 THEN 'kprobe' ELSE 'fexit' END AS attachment,
+  p_partkey % 7 = 0 AS no_answers, p_partkey % 11 = 0 AS loud, p_partkey % 19 = 0 AS odd, CASE WHEN p_partkey % 17 = 0 THEN ' ' ELSE 'when' END AS use_when, concat('f', CASE WHEN p_partkey % 23 = 0 THEN -p_partkey ELSE 1 END) AS other FROM part)"""
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A large base of probes, a row for each part, with faults planted by number."""
+    k = "p_partkey"
+    text = lambda x: f"cast({x} as string)"
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
+        f"concat('layer', {text(k + ' % 5')}) as layer", f"concat('f', {text(f'case when {k} % 50 = 0 then {k} - 1 else {k} end')}) as function", f"concat('kernel.t', {text(f'case when {k} % 60 = 0 then {k} - 7 else {k} end')}) as event_type",
+        f"case when {k} % 13 = 0 then 'kprobe' else 'fexit' end as attachment", f"case when {k} % 7 = 0 then cast(array() as array<string>) else array('a') end as answers", f"array(case when {k} % 11 = 0 then 'Loud' else 'quiet' end) as keywords",
+        f"array(case when {k} % 19 = 0 then 'fatal' else 'info' end) as severities", f"case when {k} % 17 = 0 then ' ' else 'when' end as use_when", "array('pid') as fields", f"array(concat('f', {text(f'case when {k} % 23 = 0 then -{k} else 1 end')})) as combine_with",
+    )
+
+
+_BROKEN = """x AS (SELECT *, count(*) OVER (PARTITION BY function) AS nf, count(*) OVER (PARTITION BY event_type) AS nt FROM b),
+v AS (SELECT layer, function, unnest(list_filter([CASE WHEN trim(use_when) = '' THEN 'no use_when' END, CASE WHEN no_answers THEN 'no answers' END, CASE WHEN loud THEN 'a keyword is not in lower case' END, CASE WHEN attachment = 'kprobe' THEN 'attaches in no known way' END, CASE WHEN odd THEN 'a severity is unknown' END,
+  CASE WHEN nf > 1 THEN 'its function is there more than once' END, CASE WHEN nt > 1 THEN 'its event type is there more than once' END], lambda p: p IS NOT NULL)) AS problem FROM x
+  UNION ALL SELECT c.layer, c.function, concat('goes together with nothing: ', b.other) FROM b JOIN b c ON c.function = b.function WHERE b.other NOT IN (SELECT function FROM b))"""
+
+
+@query(f"WITH {_PARTS}, {_BROKEN} SELECT layer, function, problem, count(*) AS n FROM v GROUP BY ALL")
+def a13_j07_violations(spark, sf_dir):
+    """What is wrong with a base in which faults were planted."""
+    return knowledge.violations(_base(spark, sf_dir)).groupBy("layer", "function", "problem").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_PARTS}, {_BROKEN}, s AS (SELECT layer, count(DISTINCT function) AS n_broken, count(*) AS n_violations FROM v GROUP BY 1) SELECT layer, count(*) AS n_probes, count(DISTINCT function) AS n_functions, coalesce(any_value(n_broken), 0) AS n_broken, coalesce(any_value(n_violations), 0) AS n_violations FROM b LEFT JOIN s USING (layer) GROUP BY layer")
 def a13_base_statistics(spark, sf_dir):
-    kb = knowledge.load(spark)
-    return knowledge.statistics(kb.join(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct(), "event_type", "left_anti"))
+    return knowledge.statistics(_base(spark, sf_dir))

@@ -225,9 +225,9 @@ def k05_ingress_results(spark, sf_dir):
     return delivery_results(ingest(items, items.select("idempotency_key").limit(0)), "batch_id")
 
 
-@query(KE + "SELECT count(*) AS rows, 0::BIGINT AS behind_files, false AS live, false AS stalled, 4::BIGINT AS epochs FROM ke")
+@query(KE + "SELECT count(*) AS rows, false AS live, false AS stalled, 4::BIGINT AS epochs FROM ke")
 def st07_progress_stream(spark, sf_dir):
-    """What a stream reports of itself, as a table: all rows in four epochs, nothing left behind, and at its end neither live nor stalled."""
+    """What a stream reports of itself, as a table: all rows in four epochs, and at its end neither live nor stalled."""
     path = shared_dir(spark)
     for part in range(4):
         kernel_events(spark, sf_dir).where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(f"{path}/events")
@@ -243,7 +243,7 @@ def st07_progress_stream(spark, sf_dir):
     finally:
         spark.streams.removeListener(progress)
     epochs = reports.where("kind = 'progress' and rows > 0").select("query", "epoch").distinct().groupBy("query").agg(F.count("*").alias("epochs"))
-    return readiness(reports, int(time.time() * 1000)).join(epochs, "query").select("rows", "behind_files", "live", "stalled", "epochs")
+    return readiness(reports, int(time.time() * 1000)).join(epochs, "query").select("rows", "live", "stalled", "epochs")
 
 
 @query(KE + "SELECT 'written' AS what, count(*) AS n FROM ke WHERE ret < 0 UNION ALL SELECT 'warnings', 1")

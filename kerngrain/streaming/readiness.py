@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 from collections import deque
 
@@ -10,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
-PROGRESS = "query string, name string, kind string, at_ms long, epoch long, rows long, behind_files long, behind_bytes long, watermark string, state_rows long, took_ms long"
+PROGRESS = "query string, name string, kind string, at_ms long, epoch long, rows long, behind long, watermark string, state_rows long, took_ms long"
+#: Metrics by which sources tell how much lies before them, offsets or files; those that don't leave ``behind`` null.
+BEHIND = ("maxOffsetsBehindLatest", "numFilesOutstanding")
 
 
 class Progress(StreamingQueryListener):
@@ -28,9 +29,8 @@ class Progress(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:  # noqa: ANN001
         p = event.progress
-        metrics = [json.loads(x.json).get("metrics") or {} for x in p.sources]
-        behind = lambda k: sum(int(m.get(k, 0)) for m in metrics)
-        self._add(p.id, p.name, "progress", epoch=p.batchId, rows=p.numInputRows, behind_files=behind("numFilesOutstanding"), behind_bytes=behind("numBytesOutstanding"), watermark=(p.eventTime or {}).get("watermark"),
+        told = [int(float(x.metrics[k])) for x in p.sources for k in BEHIND if x.metrics and k in x.metrics]
+        self._add(p.id, p.name, "progress", epoch=p.batchId, rows=p.numInputRows, behind=sum(told) if told else None, watermark=(p.eventTime or {}).get("watermark"),
                   state_rows=sum(x.numRowsTotal for x in p.stateOperators), took_ms=int((p.durationMs or {}).get("triggerExecution", 0)))
 
     def onQueryIdle(self, event) -> None:  # noqa: ANN001
@@ -51,8 +51,8 @@ def readiness(progress: DataFrame, now_ms: int, stalled_ms: int = 60_000) -> Dat
     """
     last = F.max_by(F.struct("kind", "at_ms"), F.struct("at_ms", F.col("kind").isin("terminated", "failed"))).alias("last")
     latest = lambda c: F.max_by(c, F.when(F.col("kind") == "progress", F.col("epoch"))).alias(c)
-    rows = progress.groupBy("query").agg(last, F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), latest("behind_files"), latest("behind_bytes"), latest("state_rows"))
+    rows = progress.groupBy("query").agg(last, F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), latest("behind"), latest("state_rows"))
     live = ~F.col("last.kind").isin("terminated", "failed")
     age = F.lit(now_ms) - F.col("last.at_ms")
     stalled = live & (age > stalled_ms)
-    return rows.select("query", "rows", "behind_files", "behind_bytes", "state_rows", age.alias("age_ms"), live.alias("live"), stalled.alias("stalled"), (live & ~stalled).alias("ready"))
+    return rows.select("query", "rows", "behind", "state_rows", age.alias("age_ms"), live.alias("live"), stalled.alias("stalled"), (live & ~stalled).alias("ready"))
