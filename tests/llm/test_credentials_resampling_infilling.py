@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from kerngrain.llm import infilling, op11, op12, op13, resampling
+from kerngrain.llm import infilling, resampling
 from kerngrain.llm.credentials import ASSIGN_LEAST, BASE, BREAK, COMPLEMENT, KINDS, REACH, find_secrets, redacted
 
 DOCS = "doc_id long, text string"
@@ -198,21 +198,3 @@ def test_middles_as_brute_force(spark, rate, spm):
     made = [(r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, r.output, r.back) for r in got.collect()]
     assert sorted(made, key=repr) == sorted(((i, *brute_middle(i, t, rate=rate, spm=spm), t or "") for i, t in rows), key=repr)
     assert infilling.fill_in_middle(docs.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("module", [op11, op12, op13])
-def test_queries_as_their_sql(spark, module):
-    import duckdb
-
-    data = "/root/testdata/sf0.001"
-    c = duckdb.connect()
-    for t in ("documents", "benchmark"):
-        c.execute(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
-    query = next(f for n, f in vars(module).items() if re.match(r"op\d+_", n))
-    df = query(spark, data)
-    cols = sorted(df.columns)
-    found = c.execute(module.ORACLE_SQL)
-    names = [x[0] for x in found.description]
-    assert sorted(names) == cols
-    rows = lambda xs: sorted(map(str, xs))
-    assert rows([r[x] for x in cols] for r in df.collect()) == rows([r[names.index(x)] for x in cols] for r in found.fetchall())

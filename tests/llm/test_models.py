@@ -238,7 +238,7 @@ def test_neighbours_of_odd_rows(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_against_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         duck.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     df = QUERIES[name](spark, DATA)
     found = duck.execute(ORACLE_SQL[name])
