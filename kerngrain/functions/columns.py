@@ -46,11 +46,6 @@ def tcp_state_code(name: Column) -> Column:
     return F.coalesce(lookup({v: k for k, v in TCP_STATES.items()}, name), F.lit(0))
 
 
-def ipv4_text(address: Column) -> Column:
-    """The first four bytes of an address."""
-    return F.concat_ws(".", *[F.conv(F.hex(F.substring(address, i, 1)), 16, 10) for i in range(1, 5)])
-
-
 def c_string(text: Column) -> Column:
     """E5: up to the first NUL."""
     return F.substring_index(text, "\0", 1)

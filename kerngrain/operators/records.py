@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import connection_id, endpoint, errno_name, evidence_class, outcome_code, record_id, severity_code, tcp_state_code
 from ..schemas import AGENT_TYPES, IDENTITY_METHOD, PRODUCER, PRODUCER_VERSION, SCHEMA_VERSION, TCP, TYPES
+from .knowledge import explain
 
 CAUSES = ("destination host unreachable", "nothing listens on the port", "a firewall blocks the connection")
 SOURCES = dict(zip(TYPES, ("tcp_connect", "tcp_close", "tcp_retransmit", "process_exec", "file_open", "file_open_attempt"), strict=True))
@@ -193,8 +194,12 @@ def wire(records: DataFrame) -> DataFrame:
     )
 
 
-def compact(records: DataFrame) -> DataFrame:
-    """The short row of a feed, twelve positions."""
+def compact(records: DataFrame, interpreted: bool = False) -> DataFrame:
+    """The short row of a feed, twelve positions; the last is what the first rule says that the record meets (J5), if that is asked for."""
+    interp = F.lit(None).cast("string")
+    if interpreted:
+        records = explain(records.withColumns({"event_type": F.col("type"), "tcp_state": F.col("labels")["tcp_state"]}))
+        interp = F.col("conclusion")
     n, p = F.col("network_data"), F.col("process_data")
     kinds = F.array(*map(F.lit, TYPES))
     return records.select(
@@ -202,7 +207,7 @@ def compact(records: DataFrame) -> DataFrame:
         severity_code(F.col("severity")).alias("severity"), outcome_code(F.col("outcome")).alias("outcome"),
         endpoint(n["src_ip"], n["src_port"]).alias("src"), endpoint(n["dst_ip"], n["dst_port"]).alias("dst"), n["protocol"].alias("proto"),
         p["pid"].alias("pid"), p["command"].alias("cmd"), F.when(F.size("labels") > 0, F.to_json("labels")).alias("labels"),
-        F.lit(None).cast("string").alias("interp"),
+        interp.alias("interp"),
     )
 
 

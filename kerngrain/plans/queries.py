@@ -854,6 +854,17 @@ def x02_edges(spark, sf_dir):
     return lineage.edges(_bound(spark, sf_dir))
 
 
+_CONCLUSION = "CASE " + " ".join(f"WHEN {p} THEN '{rules.BY_ID[k].conclusion}'" for k, p in _SINGLE.items()) + " END"
+
+
+@query(KE + f"SELECT {_ID} AS id, observed_at_ns AS ts_ns, comm AS cmd, json_object('c', CAST(cgroup_id AS VARCHAR), 's', tcp_state) AS labels, {_CONCLUSION} AS interp FROM ke")
+def p06_interpreted(spark, sf_dir):
+    """Short rows with what the first rule says of them; of the labels two are compared."""
+    rows = records.compact(records.normalize(kernel_events(spark, sf_dir)), interpreted=True)
+    label = lambda k: F.get_json_object("labels", f"$.{k}")
+    return rows.select("id", "ts_ns", "cmd", F.to_json(F.struct(label("cgroup_id").alias("c"), label("tcp_state").alias("s")), {"ignoreNullFields": "false"}).alias("labels"), "interp")
+
+
 @query(KE + """, s AS (SELECT node_id, event_type AS probe_id, observed_at_ns // 60000000000 * 60000000000 AS polled_ns, count(*) * 7 % 50 AS dropped FROM ke GROUP BY 1, 2, 3),
 f AS (SELECT *, CASE WHEN coalesce(polled_ns - lag(polled_ns) OVER w > 60000000000 OR dropped < lag(dropped) OVER w, true) THEN 1 ELSE 0 END AS new FROM s WINDOW w AS (PARTITION BY node_id, probe_id ORDER BY polled_ns)),
 g AS (SELECT *, CAST(sum(new) OVER (PARTITION BY node_id, probe_id ORDER BY polled_ns) AS BIGINT) AS span FROM f)

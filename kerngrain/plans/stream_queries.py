@@ -15,7 +15,7 @@ from ..sources.adapter import MORE_SQL, kernel_events, more_events
 from ..sources.shared import shared_dir
 from ..streaming import state, streams
 from ..streaming.readiness import Progress, readiness
-from .queries import _DROPS, _LIVES, KE, TCP_ID, _samples, query
+from .queries import _CONCLUSION, _DROPS, _ID, _LIVES, KE, TCP_ID, _samples, query
 
 
 def _stream(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> tuple[DataFrame, str]:
@@ -129,10 +129,12 @@ def st02_a11_stream(spark, sf_dir):
     return _appended(streams.coalesced(rows), path).selectExpr(*NODE, "conn_id", _START, "n")
 
 
-@query(KE + "SELECT src_ip IS NOT NULL AS tcp, count(*) AS n FROM ke WHERE dst_port = 443 GROUP BY 1")
+@query(KE + f"SELECT {_ID} AS id, observed_at_ns AS ts_ns, pid, concat(src_ip, ':', src_port) AS src, concat(dst_ip, ':', dst_port) AS dst, {_CONCLUSION} AS interp FROM ke WHERE dst_port = 443 AND {_ID} > '000000000100000'")
 def q04_subscribe_stream(spark, sf_dir):
+    """A feed of one port from behind an id on, with interpretations."""
     rows, path = _stream(spark, sf_dir)
-    return _appended(streams.subscribe(rows, dst_port=443), path).groupBy(F.col("src").isNotNull().alias("tcp")).agg(F.count("*").alias("n"))
+    feed = streams.subscribe(rows, interpreted=True, after_id="000000000100000", dst_port=443)
+    return _appended(feed, path).select("id", "ts_ns", "pid", "src", "dst", "interp")
 
 
 @query(KE + "SELECT count(DISTINCT event_id // 2) AS n FROM ke")

@@ -16,6 +16,7 @@ from ..functions.columns import connection_id
 from ..operators.loss import delivery_results, gaps, ingest
 from ..operators.records import compact, normalize
 from ..operators.rules import NODE
+from ..operators.select import after
 from ..schemas import EVENTS
 
 WATERMARK = "5 minutes"
@@ -67,11 +68,12 @@ def once(records: DataFrame) -> DataFrame:
     return records.withWatermark("event_time", WATERMARK).dropDuplicatesWithinWatermark(["idempotency_key"])
 
 
-def subscribe(rows: DataFrame, **equal: object) -> DataFrame:
-    """Q4: the short rows of events that meet all conditions."""
+def subscribe(rows: DataFrame, interpreted: bool = False, after_id: str | None = None, **equal: object) -> DataFrame:
+    """Q4: the short rows of events that meet all conditions, from behind an id on (F8), with what the first rule says of each, if that is asked for."""
     for k, v in equal.items():
         rows = rows.where(F.col(k) == v)
-    return compact(normalize(rows))
+    found = normalize(rows)
+    return compact(found if after_id is None else after(found, after_id), interpreted)
 
 
 def late_gaps(path: str) -> Callable[[DataFrame, int], None]:
