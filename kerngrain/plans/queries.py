@@ -874,7 +874,9 @@ def x03_receipts(spark, sf_dir):
 
 
 # --- knowledge over the tables -------------------------------------------------------------------------------------
-@query()
+@query(f"""WITH {EVENTS_SQL}, {MORE_SQL}, {_kb_sql()}, u AS (SELECT event_type, count(*) AS n FROM (SELECT event_type FROM ke UNION ALL SELECT event_type FROM me) GROUP BY 1),
+o AS (SELECT function, unnest(combine_with) AS other FROM kb), d AS (SELECT function, count(*) AS n_dangling FROM o WHERE other NOT IN (SELECT function FROM kb) GROUP BY 1)
+SELECT layer, kb.function, kb.event_type, coalesce(n, 0) AS n, coalesce(n_dangling, 0) AS n_dangling FROM kb LEFT JOIN u ON u.event_type = kb.event_type LEFT JOIN d ON d.function = kb.function""")
 def j07_a13_s07_knowledge_against_events(spark, sf_dir):
     """Probes of the base with what the tables have of their types, and whether they name only known others."""
     kb = knowledge.load(spark)
