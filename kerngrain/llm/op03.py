@@ -10,4 +10,5 @@ from .fertility import quality
 
 def op3_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality(docs, carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "byte_share", "entropy", "band_group")
+    measures = [f"{m}{name}" for name in ("", "_bytes") for m in ("chars_per_token", "byte_share", "entropy")]
+    return quality(docs, carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *measures, "band_group")

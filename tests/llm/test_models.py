@@ -187,6 +187,87 @@ def test_repeated_words_against_counting():
     assert main_script("абв ab") == "cyrillic" and main_script("12") == "none"
 
 
+def quartile_bins(values, step):
+    bins = sorted(int(np.floor(x / step)) for x in values)
+    return bins[-(-len(bins) // 4) - 1], bins[-(-3 * len(bins) // 4) - 1]
+
+
+def brute_quality(rows, least_group):
+    """rows: (doc_id, text, lang). Words by a pattern, windows and lines by lists, tokens from the libraries, bands from sorted values."""
+    import base64
+    import math
+    import unicodedata
+
+    import public_tokenizers
+    import sentencepiece
+    import tiktoken
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
+    coder = tiktoken.Encoding("brute", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    token = {i: x for x, i in ranks.items()}
+    cut = {i for i, x in token.items() if "\ufffd" in x.decode(errors="replace")}
+    out = {}
+    for doc_id, text, lang in rows:
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        repeated = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        scripts = Counter(unicodedata.name(x, "UNKNOWN").split()[0].split("-")[0].lower() for x in text if x.isalpha())
+        script = min(scripts, key=lambda s: (-scripts[s], s)) if scripts else "none"
+        found = []
+        for ids, fallback, size in ((model.encode(text), model.is_byte, 32000), (coder.encode_ordinary(text), cut.__contains__, 50256)):
+            n, counts = len(ids), Counter(ids)
+            entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+            found += [len(text) / n, sum(map(fallback, ids)) / n, entropy / math.log2(min(n, size)) if n > 1 else 1.0] if n else [None] * 3
+        failed = len(words) < 50 or 100 * len(repeated) > 50 * len(words)
+        counts = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated))
+        out[doc_id] = (counts, failed, lang if lang is not None else f"script {script}", script, found)
+    passed = [x for x in out.values() if not x[1]]
+    kept = {}
+    for doc_id, (_, failed, group, script, found) in out.items():
+        own, same, few = ([x[4] for x in passed if f(x)] for f in (lambda x: x[2] == group, lambda x: x[3] == script, lambda x: x[2:4] == (group, script)))
+        of, width, margin = (own, 3.0, 1.0) if len(own) >= least_group else (same, 3.0, 1.0) if len(same) >= least_group else (few, 6.0, 2.0)
+        ok = not failed
+        for i, (step, least) in enumerate([(0.02, 0.1), (0.002, 0.02), (0.005, 0.02)] * 2):
+            if ok:
+                q1, q3 = quartile_bins([x[i] for x in of], step)
+                spread = max((q3 - q1) * step * width, least * margin)
+                ok = q1 * step - spread <= found[i] <= (q3 + 1) * step + spread
+        kept[doc_id] = ok
+    return out, kept
+
+
+@pytest.mark.parametrize("least_group", [100, 10**6])
+def test_quality_against_brute_force(spark, least_group):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(4)
+    odd = ["".join(rng.choice(list("qxzj#%"), 9)) for _ in range(200)]
+    extra = [(10**6, " ".join(odd), "en"), (10**6 + 1, " ".join("\U0001f9ff" * 3 + f"{i}" for i in range(90)), "de"), (10**6 + 2, None, "en"), (10**6 + 3, "", None)]
+    extra += [(10**6 + 4, " ".join(f"новое слово{i}" for i in range(60)), None), (10**6 + 5, "a\x0bb\u00a0c\u0085d " * 40 + " ".join(map(str, range(70))), "xx")]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema)).where("doc_id is not null").dropDuplicates(["doc_id"])
+    want, kept = brute_quality([tuple(r) for r in docs.collect()], least_group)
+    got = quality(docs, carry=["doc_id"], least_group=least_group).collect()
+    assert len(got) == len(want) and {r.kept for r in got} == {True, False}
+    for r in got:
+        counts, failed, group, script, found = want[r.doc_id]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts and (r.base_failed, r.band_group, r.script) == (failed, group, script)
+        mine = [r.chars_per_token, r.byte_share, r.entropy, r.chars_per_token_bytes, r.byte_share_bytes, r.entropy_bytes]
+        assert [x is None for x in mine] == [x is None for x in found] and np.allclose([x or 0 for x in mine], [x or 0 for x in found], rtol=0, atol=1e-9)
+        assert r.kept == kept[r.doc_id]
+
+
+def test_quality_of_repeated_rows_and_null_ids(spark):
+    good = [" ".join(f"word{i} is here" for i in range(40)) + f" and number {k} too" for k in range(120)]
+    rows = [(k, x, "en") for k, x in enumerate(good)]
+    odd = [(None, good[0], "en"), (None, good[1], "en"), (5, good[5], "en"), (5, good[5], "en"), (None, None, None)]
+    got = quality(spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 125 and sum(r.doc_id is None for r in got) == 3 and sum(r.doc_id == 5 for r in got) == 3
+    assert [r.kept for r in got].count(False) == 1  # the row without a text
+
+
 def test_quality_of_odd_rows(spark):
     good = " ".join(f"word{i} is here" for i in range(40))
     rows = [(i, good + f" and number {i} too", "en") for i in range(120)] + [(200, None, "en"), (201, "", None), (202, "* % " * 3000, "en"), (203, "xqzw" * 800 + " a b" * 30, "en"), (204, "short", None)]
