@@ -3,17 +3,20 @@
 import gzip
 import struct
 import zlib
+from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kerngrain.llm import op04
 from kerngrain.llm.near_duplicates import near_duplicates
 from kerngrain.llm.packing import Block, pack
 from kerngrain.llm.tokenizing import public_path, tokenizer
 from kerngrain.llm.warc import checked_revisits, read_warc, resolve_revisits, write_warc
 
+DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string"
 
 
@@ -98,6 +101,80 @@ def test_packing_round_trip(spark):
     assert pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def round_robin(have, order, window):
+    """The windows of one block and what is left, as lists of (queue, tokens): deficits as fractions, a window at a time."""
+    total, out, credit, left = sum(have.values()), [], dict.fromkeys(order, Fraction(0)), dict(have)
+    for _ in range(total // window):
+        for q in order:
+            credit[q] += Fraction(window * have[q], total)
+        take = {q: max(0, int(credit[q] // 1)) for q in order}
+        while sum(take.values()) < window:  # to the largest deficit, each queue once
+            take[max((q for q in order if take[q] <= credit[q] // 1 or credit[q] < 0), key=lambda q: credit[q] - take[q])] += 1
+        while sum(take.values()) > window:
+            take[min((q for q in order if take[q] > 0), key=lambda q: credit[q] - take[q])] -= 1
+        for q in order:
+            credit[q] -= take[q]
+            left[q] -= take[q]
+        out.append([(q, take[q]) for q in order if take[q]])
+    rest, size = [q for q in order for _ in range(left[q])], sum(left.values())
+    for b in range(window.bit_length(), -1, -1):
+        if size >> b & 1:
+            out.append(list(Counter(rest[: 1 << b]).items()))  # in order of queues
+            rest = rest[1 << b :]
+    return out
+
+
+@pytest.mark.parametrize("block_tokens", [None, 1 << 14])
+def test_packing_query_against_brute_force(spark, block_tokens):
+    """Ids by the library, each source's tokens in the table's order, and a plain round-robin give the very pieces."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = (pack(docs, block_tokens=block_tokens) if block_tokens else op04.op4_mixture_packing(spark, DATA)).toPandas()
+    block_tokens, coder = block_tokens or 1 << 22, tokenizer(public_path("byte_bpe_50k.json"))
+    ids, queue = {}, defaultdict(list)  # of each queue its tokens as (doc_id, place in the document)
+    source = {}
+    for r in docs.select("doc_id", "text", "source").collect():
+        ids[r.doc_id] = coder.encode(r.text or "", add_special_tokens=False).ids + [1]
+        source[r.doc_id] = r.source or ""
+        queue[source[r.doc_id]] += [(r.doc_id, i) for i in range(len(ids[r.doc_id]))]
+    total = sum(map(len, queue.values()))
+    blocks, stride = max(1, -(-total // block_tokens)), (block_tokens + len(queue)) // 2048 + 14
+    found["queue"], found["block"] = found.doc_id.map(source), found.sequence_id // stride
+    assert len(ids) == docs.count() and sorted(found.block.unique()) == list(range(blocks)) and (blocks > 3 or block_tokens == 1 << 22)
+    first = found.sort_values(["sequence_id", "offset"]).queue.drop_duplicates().tolist()
+    order = [q for q in first if len(queue[q]) * 2048 > total] + [q for q in first if len(queue[q]) * 2048 <= total]
+    assert len(order) == len(queue)
+    at, want = dict.fromkeys(queue, 0), []
+    for k, part in found.groupby("block"):
+        have = {q: int(n) for q, n in part.groupby("queue").length.sum().items()}
+        for s, row in enumerate(round_robin({q: have.get(q, 0) for q in order}, order, 2048)):
+            offset = 0
+            for q, n in row:
+                while n:
+                    doc, start = queue[q][at[q]]
+                    m = min(n, len(ids[doc]) - start)
+                    crc = zlib.crc32(struct.pack(f"<{m}I", *ids[doc][start : start + m]))
+                    want.append((doc, start, m, crc, len(ids[doc]), k * stride + s, offset))
+                    at[q], offset, n = at[q] + m, offset + m, n - m
+        for q in queue:  # a block holds each queue's share to a token
+            assert abs(at[q] - Fraction(len(queue[q]) * (k + 1), blocks)) < 1
+    got = found[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]].itertuples(index=False)
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_packing_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "the same words " * 300, "en", "a")] * 5 + [(None, "no id " * 300, "en", "a")] * 2 + [(2, None, None, None)] * 3
+    found = pack(spark.createDataFrame(rows, DOCS).repartition(3), block_tokens=2048).toPandas()
+    coder = tokenizer(public_path("byte_bpe_50k.json"))
+    for ids, some, n in ((coder.encode(rows[0][1], add_special_tokens=False).ids + [1], found[found.doc_id == 1], 5), (coder.encode(rows[5][1], add_special_tokens=False).ids + [1], found[found.doc_id.isna()], 2), ([1], found[found.doc_id == 2], 3)):
+        times = np.zeros(len(ids), dtype=int)  # each token of each copy in exactly one piece
+        for x in some.itertuples():
+            times[x.start : x.start + x.length] += 1
+            assert x.doc_tokens == len(ids) and x.ids_crc32 == zlib.crc32(struct.pack(f"<{x.length}I", *ids[x.start : x.start + x.length]))
+        assert (times == n).all()
+    for _, g in found.sort_values("offset").groupby("sequence_id"):
+        assert list(g.offset) == [0, *g.length.cumsum()[:-1]]
+
+
 def test_packing_of_many_sources(spark):
     many = spark.range(3000).selectExpr("id as doc_id", "case when id < 1500 then repeat('x y ', 40) else 'x y' end as text", "case when id < 1500 then concat('large', id % 3) else cast(id as string) end as source")
     for share in (2.0**-20, 0.01):  # every source its own queue, and small ones together
