@@ -4,8 +4,10 @@ A text is cut where a rolling hash of its last ``WINDOW`` characters ends in ``B
 wherever it occurs. What a chunk holds between its first and its last white space, its inside, encodes alike in any
 context, as no token of a vocabulary that drops white space reaches across it.
 
-1. Digests of all insides are counted over all documents; of those that more than one row holds a filter of fixed size
-is made (``filter_words`` words of 64 bits, however large the corpus). 2. Insides that pass it go by digest, each text once,
+1. Digests of all insides are counted over all documents; of those that more than one row holds a filter is made, of
+``SPARSE`` bits for each of them: ``filter_words`` words of 64 bits or more, ``most_filter_words`` (128 MB) at most. Where the corpus shares more than
+fit, those go in that the most rows hold, by powers of two of that number, and the rest is encoded in each document, so that the filter neither
+outgrows memory nor fills up until everything passes it. 2. Insides that pass it go by digest, each text once,
 to be encoded once: a table of digest and ids. What passes by chance is in that table too, so that the filter only
 decides how much is shared, never a result. 3. Every document of which shared insides are a good part (``least_shared``) encodes what else it holds,
 and leaves holes where these are; others encode all, as moving their ids would cost more than it saves. 4. Holes are joined with the table by digest, ids are put in, and the ids decoded. Documents without holes skip this.
@@ -41,6 +43,8 @@ from ._shared import discard, free_name, written
 from .tokenizing import public_path, tokenizer
 
 WINDOW, BITS, KEEP = 16, 8, 32_000_000
+SPARSE = 16  # bits of the filter for each digest in it: one of sixteen others passes by chance
+BLOCK = 4096  # words of the filter that one row brings to the driver
 ROWS = 100  # documents whose new words are encoded together
 STOPS = ".,;:!?"
 _FIRST = re.compile(r"[ \t\n\r]")
@@ -97,7 +101,7 @@ def digest(inside: str) -> bytes:
 
 
 class Filter:
-    """A set of digests, and some others by chance, in a fixed number of bits."""
+    """A set of digests, and some others by chance, in a given number of bits."""
 
     def __init__(self, words: np.ndarray) -> None:
         self.words, self.n = words, len(words)
@@ -265,14 +269,40 @@ def shared_insides(texts: DataFrame) -> DataFrame:
     return written(counted.where("n > 1"), "shared")
 
 
+def sized(shared: DataFrame, least_words: int, most_words: int) -> tuple[int, int]:
+    """Of shared_insides() the number of rows that a digest must be in to go into the filter, and the filter's words.
+
+    A row for each power of two comes to the driver. The digests of the most rows go in even if they alone are too many.
+    """
+    power = F.floor(F.log2(F.col("n"))).cast("int")
+    n_of = sorted(((r["power"], r["n"]) for r in shared.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, total = 2, 0
+    for k, n in n_of:
+        if total and (total + n) * SPARSE > most_words * 64:
+            break
+        least, total = 2**k, total + n
+    words = least_words
+    while words * 64 < total * SPARSE and words < most_words:
+        words *= 2
+    return least, min(words, most_words)
+
+
 def filter_of(shared: DataFrame, words: int) -> Filter:
-    """The filter of shared_insides(): one row for each of its words at most comes to the driver."""
-    word = F.pmod(F.expr("shiftrightunsigned(low, 6)"), F.lit(words))
-    rows = shared.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("bits")).collect()
-    out = np.zeros(words, dtype=np.uint64)
-    for r in rows:
-        out[r["word"]] = r["bits"] & (2**64 - 1)
-    return Filter(out)
+    """The filter of shared_insides(), made in tasks of BLOCK words each; the driver puts these together."""
+    size = min(BLOCK, words)
+
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf["low"].to_numpy(dtype=np.int64).view(np.uint64)
+        bits = np.zeros(size, dtype=np.uint64)
+        word = (x >> np.uint64(6)) % np.uint64(words) - np.uint64(key[0] * size)
+        np.bitwise_or.at(bits, word.astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+        return pd.DataFrame({"block": [key[0]], "bits": [bits.tobytes()]})
+
+    at = F.floor(F.pmod(F.expr("shiftrightunsigned(low, 6)"), F.lit(words)) / size).alias("block")
+    out = np.zeros(-(-words // size) * size, dtype=np.uint64)
+    for r in shared.select("low", at).groupBy("block").applyInPandas(block, "block long, bits binary").toLocalIterator():
+        out[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(r["bits"], dtype=np.uint64)
+    return Filter(out[:words])
 
 
 def table_of(texts: DataFrame, filter_at, path: str, least: float = 0.0) -> DataFrame:
@@ -299,7 +329,7 @@ def table_of(texts: DataFrame, filter_at, path: str, least: float = 0.0) -> Data
     return written(found.mapInPandas(encode, "digest binary, inside_ids binary"), "insides")
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = False, carry: list[str] | None = None, filter_words: int = 1 << 18, least_shared: float = 0.5) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = False, carry: list[str] | None = None, filter_words: int = 1 << 18, least_shared: float = 0.5, most_filter_words: int = 1 << 24) -> DataFrame:
     """docs with ids (little-endian 32-bit integers) and decoded, or with their number and digests.
 
     carry: the columns of docs to return, all if not given. Without a path by the public vocabulary of 49,408 words and parts.
@@ -311,7 +341,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, digests: bool = F
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded string"
     texts = docs.select(F.col("text").cast("string").alias("text"))
     counted = shared_insides(texts)
-    shared = filter_of(counted, filter_words)
+    least_rows, words = sized(counted, filter_words, max(filter_words, most_filter_words))
+    shared = filter_of(counted.where(F.col("n") >= least_rows), words)
     discard(counted)
     filter_at = docs.sparkSession.sparkContext.broadcast(shared)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kerngrain.llm import dom, licences, op07, wrappers
-from kerngrain.llm.chunk_bpe import Cutter, Encoder, Filter, digest, encode_documents, filter_of, pieces, place, shared_insides, table_of, whitespace_free
+from kerngrain.llm.chunk_bpe import Cutter, Encoder, Filter, digest, encode_documents, filter_of, pieces, place, shared_insides, sized, table_of, whitespace_free
 from kerngrain.llm.tokenizing import public_path, tokenizer
 from tests.llm.test_dedup_pack import brute
 
@@ -74,10 +74,27 @@ def test_shared_chunks_are_encoded_once(spark):
     table = table_of(docs.select("text"), spark.sparkContext.broadcast(held), PATH)
     assert insides <= {bytes(r.digest) for r in table.collect()} and table.count() < len(insides) + 20
     for words, least in ((1 << 18, 0.5), (1 << 18, 0.0), (1, 0.0), (1, 1.1)):  # all or no documents with holes give the same
-        got = {r.doc_id: (bytes(r.ids), r.decoded) for r in encode_documents(docs, filter_words=words, least_shared=least).collect()}
+        got = {r.doc_id: (bytes(r.ids), r.decoded) for r in encode_documents(docs, filter_words=words, most_filter_words=words, least_shared=least).collect()}
         assert got == {i: library(x or "") for i, x in enumerate(texts)}
 
 
+def test_filter_grows_with_what_is_shared_and_is_bounded(spark):
+    rng = np.random.default_rng(2)
+    low = rng.integers(-(2**63), 2**63 - 1, 40_000)
+    shared = spark.createDataFrame([(int(x), 2 + (i % 8 == 0) * 9) for i, x in enumerate(low)], "low long, n long")  # 5,000 are in eleven rows
+    assert sized(shared, 1 << 6, 1 << 20) == (2, 1 << 14) and sized(shared, 1 << 18, 1 << 24) == (2, 1 << 18)
+    assert sized(shared, 1 << 6, 1 << 12) == (8, 1 << 11)  # not all fit: those of the most rows
+    assert sized(shared, 1 << 6, 1 << 6) == (8, 1 << 6) and sized(shared.limit(0), 1 << 6, 1 << 12) == (2, 1 << 6)
+    keys = [int(x).to_bytes(8, "little", signed=True) + b"12345678" for x in low]
+    for words in (1, 1 << 7, 1 << 14, 5000):
+        bits = np.zeros(words, dtype=np.uint64)
+        for word, bit in (place(k, words) for k in keys):
+            bits[word] |= np.uint64(1 << bit)
+        assert (filter_of(shared, words).words == bits).all()
+    held = filter_of(shared, 1 << 14)
+    assert all(map(held.has, keys)) and sum(held.has(rng.bytes(16)) for _ in range(10_000)) < 1000
+
+
 def test_encoding_query_against_the_library(spark):
     got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op07.op7_chunked_bpe(spark, DATA).collect()}
     rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
