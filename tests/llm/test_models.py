@@ -130,6 +130,75 @@ def test_language_on_the_held_out_fold(spark):
     assert (held.lang == held.lang_pred).mean() > 0.95 and not found.rejected.any() and found.score.between(0, 1).all()
 
 
+def brute_language(rows, dims=4096):
+    """rows: (doc_id, text, lang). n-grams one at a time, dense vectors in doubles, k-means and limits by their definitions."""
+    mask = 2**64 - 1
+
+    def grams(text):
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            for i, x in enumerate(word):
+                one = (ord(x) + 1) * 0x9E3779B97F4A7C15 & mask
+                two = (one ^ ((ord(word[i - 1]) if i else 0) + 7) * 0xD6E8FEB86659FD93 & mask) * 0x9E3779B97F4A7C15 & mask
+                three = (two ^ ((ord(word[i + 1]) if i + 1 < len(word) else 0) + 13) * 0xBF58476D1CE4E5B9 & mask) * 0x9E3779B97F4A7C15 & mask
+                yield from (one >> 52, two >> 52, three >> 52)
+
+    counts = {i: Counter(grams(t or "")) for i, t, _ in rows}
+    letters = {i: sum(c.values()) // 3 for i, c in counts.items()}
+    learn = [(i, lang) for i, t, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1 and t is not None and lang is not None]
+    n = sum(letters[i] > 0 for i, _ in learn)
+    df = Counter(g for i, _ in learn for g in counts[i])
+    idf = np.array([np.log((1 + n) / (1 + df[g])) + 1 for g in range(dims)])
+    v = {}
+    for i, c in counts.items():
+        x = np.zeros(dims)
+        for g, k in c.items():
+            x[g] = (1 + np.log(k)) * idf[g]
+        v[i] = x / max(np.linalg.norm(x), 1e-12)
+    centroids = {}
+    for lang in sorted({x for _, x in learn}):
+        xs = [v[i] for i, x in learn if x == lang and letters[i]]
+        mean = sum(xs) / np.linalg.norm(sum(xs))
+        picked = [max(xs, key=lambda x: x @ mean)]
+        while len(picked) < 4:
+            picked.append(min(xs, key=lambda x: max(x @ c for c in picked)))
+        for _ in range(8):
+            own = [max(range(4), key=lambda j: x @ picked[j]) for x in xs]
+            groups = [[x for x, o in zip(xs, own, strict=True) if o == j] for j in range(4)]
+            picked = [sum(g) / np.linalg.norm(sum(g)) if g else c for g, c in zip(groups, picked, strict=True)]
+        centroids[lang] = picked
+    near = {i: {lang: max(x @ c for c in cs) for lang, cs in centroids.items()} for i, x in v.items()}
+    kind = {i: sum(k >= x for x in (32, 128, 512)) for i, k in letters.items()}
+
+    def limit(lang, at):
+        for some in ([x for x in learn if x[1] == lang], learn):
+            for wide in range(4):
+                cosines = sorted(near[i][x] for i, x in some if letters[i] and abs(kind[i] - at) <= wide)
+                if len(cosines) >= 20:
+                    return (0.3 if wide else 0.5) * int(cosines[int(0.05 * len(cosines))] * 100) / 100
+        return -1.0
+
+    limits = {(lang, at): limit(lang, at) for lang in centroids for at in range(4)}
+    out = {}
+    for i, _, _ in rows:
+        if letters[i]:
+            lang = max(sorted(near[i]), key=near[i].get)
+            out[i] = (lang, 1 / sum(np.exp(25 * (x - near[i][lang])) for x in near[i].values()), near[i][lang], limits[lang, kind[i]])
+        else:
+            out[i] = ("und", 0.0, 0.0, 2.0)
+    return out
+
+
+def test_language_query_against_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    want, got = brute_language(rows), op05.op5_language_id(spark, DATA).collect()
+    assert len(got) == len(want) == len(rows)
+    for r in got:
+        lang, score, cosine, least = want[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-3 and abs(r.cosine - cosine) < 1e-4
+        assert r.rejected == (cosine < least) or abs(cosine - least) < 0.01  # a cosine at the edge of a bin moves the limit by half a bin
+
+
 def test_language_of_odd_rows(spark):
     training = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "fr"), (4, "x", None), (5, "12", "es")], "doc_id long, text string, lang string")
     docs = spark.createDataFrame([("the dog", 1), ("die katze", 2), (None, 3), ("", 4), ("12 !?", 5), ("the " * 50000, 6)], "text string, score int")
