@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,6 +91,25 @@ def bind(events: DataFrame, cgroups: DataFrame, pods: DataFrame, live: DataFrame
     return out.withColumns({c: F.when(F.col("unbound_reason").isNull(), F.col(c)) for c in ("container_id", *of_pod, "provenance")}).drop("box", "live", "listed")
 
 
+#: What a resolver is asked about.
+ASKED = ("cluster", "node_id", "cgroup_id", "pid")
+
+
+def resolved(events: DataFrame, *resolvers: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """UD3: events with what the first of the resolvers tells that knows their container or pod, and ``resolver``, its place from 0; else nulls.
+
+    A resolver is a function from rows of ASKED, each once, to rows of these with container_id, pod_uid and anything else; columns of these names that
+    events have are replaced. Of several rows of one resolver the one of the smallest container and pod goes. All are asked about all keys,
+    which are far fewer than events, and their rows meet in one aggregation.
+    """
+    keys = events.select(*ASKED).distinct()
+    told = [f(keys).withColumn("resolver", F.lit(i)) for i, f in enumerate(resolvers)]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), told).where("container_id is not null or pod_uid is not null")
+    more = [c for c in rows.columns if c not in ASKED]
+    best = rows.groupBy(*ASKED).agg(F.min_by(F.struct(*more), F.struct("resolver", "container_id", "pod_uid")).alias("best_"))
+    return events.drop(*more).join(best, list(ASKED), "left").select(*[c for c in events.columns if c not in more], *[F.col(f"best_.{c}").alias(c) for c in more])
+
+
 def coverage(bound: DataFrame) -> DataFrame:
     """Hits, misses and their ratio, 0 without any."""
     return bound.agg(F.count_if(F.col("unbound_reason").isNull()).alias("hits"), F.count_if(F.col("unbound_reason").isNotNull()).alias("misses")).withColumn("ratio", F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)))

@@ -12,8 +12,9 @@ from .intervals import points_in
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], bucket: int | None = None) -> DataFrame:
     """Left rows with the values of the latest right row at or before them: one window over both sides, no range join.
 
-    A row of the right side at the same time counts as before. Without one the values are null. With a bucket, a span of time,
-    windows are over keys and spans, and each span begins with the last row of those before: for keys of many rows.
+    A row of the right side at the same time counts as before; of several at one time the largest values go. Without one the values are
+    null. With a bucket, a span of whole units of time, windows are over keys and spans, and each span begins with the last row of those
+    before: for keys of many rows.
     """
     mine = [c for c in left.columns if c not in keys]
     l = left.select(*keys, F.col(left_time).alias("at_"), F.lit(1).alias("side_"), F.struct(*mine).alias("row_"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("value_"))  # noqa: E741
@@ -21,14 +22,14 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     by = list(keys)
     if bucket is not None:
         by.append("span_")
-        span = F.floor(F.col("at_") / bucket).alias("span_")
+        span = F.expr(f"(at_ - pmod(at_, {bucket})) div {bucket}")  # in whole numbers, as a double can't hold every nanosecond
         l, r = l.withColumn("span_", span), r.withColumn("span_", span)
-        last = l.select(*by).distinct().join(r.groupBy(*by).agg(F.max_by("value_", "at_").alias("last_")), by, "full")
+        last = l.select(*by).distinct().join(r.groupBy(*by).agg(F.max_by("value_", F.struct("at_", "value_")).alias("last_")), by, "full")
         before = Window.partitionBy(*keys).orderBy("span_").rowsBetween(Window.unboundedPreceding, -1)
         carried = last.withColumn("value_", F.last("last_", ignorenulls=True).over(before)).where("value_ is not null")
         at = F.col("span_") * F.lit(bucket) - 1
         r = r.unionByName(carried.select(*keys, at.cast("long").alias("at_"), F.lit(0).alias("side_"), F.lit(None).cast(l.schema["row_"].dataType).alias("row_"), "value_", "span_"))
-    before = Window.partitionBy(*by).orderBy("at_", "side_").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("at_", "side_", "value_").rowsBetween(Window.unboundedPreceding, 0)
     both = l.unionByName(r).withColumn("found_", F.last("value_", ignorenulls=True).over(before)).where("side_ = 1")
     return both.select(*keys, *[F.col(f"row_.{c}").alias(c) for c in mine], *[F.col(f"found_.{v}").alias(v) for v in values])
 
@@ -45,11 +46,11 @@ def placed(events: DataFrame, moves: DataFrame, *keys: str) -> DataFrame:
 
 
 def parents(execs: DataFrame) -> DataFrame:
-    """Executions with their parent's command: the last execution of that pid on the node at or before."""
+    """Executions with their parent's command: the last execution of that pid on the node at or before, minute by minute, as one parent starts much."""
     node = ["cluster", "node_id", "boot_id"]
     other = execs.select(*node, F.col("pid").alias("parent"), F.col("observed_at_ns").alias("since"), F.col("comm").alias("parent_comm"), F.col("event_id").alias("parent_event"))
     mine = execs.select(*node, F.col("ppid").alias("parent"), "event_id", "pid", "observed_at_ns", "comm").where("parent is not null")
-    return as_of(mine, other, [*node, "parent"], "observed_at_ns", "since", ["parent_comm", "parent_event"])
+    return as_of(mine, other, [*node, "parent"], "observed_at_ns", "since", ["parent_comm", "parent_event"], 60_000_000_000)
 
 
 def wall_clock(events: DataFrame, samples: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.columns import connection_id, endpoint, errno_name, evidence_class, outcome_code, record_id, severity_code, tcp_state_code
 from ..schemas import AGENT_TYPES, IDENTITY_METHOD, PRODUCER, PRODUCER_VERSION, SCHEMA_VERSION, TCP, TYPES
 from .knowledge import explain
+from .select import event_filter, newest, oldest
 
 CAUSES = ("destination host unreachable", "nothing listens on the port", "a firewall blocks the connection")
 SOURCES = dict(zip(TYPES, ("tcp_connect", "tcp_close", "tcp_retransmit", "process_exec", "file_open", "file_open_attempt"), strict=True))
@@ -234,15 +236,38 @@ def idempotency_key(records: DataFrame) -> DataFrame:
 
 
 def approximate_bytes(records: DataFrame) -> DataFrame:
-    """The length of the record's JSON and 256 bytes."""
-    return records.withColumn("approx_bytes", (F.octet_length(F.to_json(F.struct("id", "source", "type", "severity", "outcome", "correlation_keys", "entity_ids", "labels", "network_data", "process_data"))) + 256).cast("long"))
+    """The length of the record's JSON, of what tells its probe and its binding, if it has one, and 256 bytes."""
+    whole = F.to_json(F.struct("id", "source", "type", "severity", "outcome", "correlation_keys", "entity_ids", "labels", "network_data", "process_data"))
+    name = F.split_part("source", F.lit("/"), F.lit(2))
+    texts = [name, F.lit("1"), F.split_part(name, F.lit("_"), F.lit(1)), name, *[F.col(c) for c in BINDING if c in records.columns]]
+    return records.withColumn("approx_bytes", sum((F.coalesce(F.octet_length(x), F.lit(0)) for x in (whole, *texts)), F.lit(256)).cast("long"))
+
+
+def batch_bytes(records: DataFrame, *batch: str, kernel_release: str = "6.8.0") -> DataFrame:
+    """P13 of batches (columns that name one): their records, what tells the producer, once for each, and 128 bytes."""
+    producer = sum((F.octet_length(x) for x in (F.lit(PRODUCER), F.lit(PRODUCER_VERSION), F.lit(kernel_release), F.max("cluster"), F.max("node_id"))), F.lit(128))
+    return approximate_bytes(records).groupBy(*batch).agg(F.count("*").alias("n"), (F.sum("approx_bytes") + producer).alias("approx_bytes"))
+
+
+def get_events(events: DataFrame, now_ns: Column | int, probe: str | None = None, last_seconds: int = 60, limit: int = 100, **equal: object) -> DataFrame:
+    """Q3: short rows (P6), interpreted, of events that a filter takes: of one probe the oldest, of all probes the newest; ``total`` is how many there are."""
+    found = event_filter(events, now_ns, last_seconds, event_type=probe, **equal)
+    rows = compact(normalize((oldest if probe else newest)(found, limit)), interpreted=True)
+    return rows.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(0))))  # at most limit rows
 
 
 def with_class(records: DataFrame) -> DataFrame:
-    """P7, U4."""
+    """P7."""
     return records.withColumn("evidence_class", evidence_class(F.col("type")))
 
 
+def split_by_class(records: DataFrame, *batch: str) -> DataFrame:
+    """U4: batches (columns that name one) parted into those of one class each, two at most, with ``position`` from 0 in the order of time; a class
+    without records makes no batch. A batch is what one delivery holds, so that its window is short."""
+    order = Window.partitionBy(*batch, "evidence_class").orderBy("observed_at_ns", "event_id")
+    return with_class(records).withColumn("position", F.row_number().over(order) - 1)
+
+
 def tcp_codes(records: DataFrame) -> DataFrame:
     """Ret and the number of the TCP state for an explanation, of typed columns."""
     return records.select("id", "type", F.col("ret"), tcp_state_code(F.col("labels")["tcp_state"]).alias("tcp_state"))

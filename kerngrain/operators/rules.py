@@ -90,10 +90,18 @@ def evaluate(events: DataFrame, rule: Rule) -> DataFrame:
 
 
 def losses(events: DataFrame, seconds: int = 10, least: int = 3) -> DataFrame:
-    """Retransmits of a live connection with ``least`` of them in the last ``seconds``, itself included."""
-    rows = events.where("event_type = 'kernel.tcp.retransmit' and tcp_state = 'ESTABLISHED'")
-    recent = Window.partitionBy(*CONNECTION).orderBy("observed_at_ns").rangeBetween(-seconds * 1_000_000_000, 0)
-    return rows.withColumn("n", F.count("*").over(recent)).where(F.col("n") >= least).select("event_id", *CONNECTION, "observed_at_ns", "n")
+    """Retransmits of a live connection with ``least`` of them in the last ``seconds``, itself included.
+
+    Windows are over spans of six times that time, so that no connection's whole history meets in one; a row that the span after its own
+    can still see goes there too, and is counted there but not given again.
+    """
+    ns = seconds * 1_000_000_000
+    span = 6 * ns
+    own = F.expr(f"(observed_at_ns - pmod(observed_at_ns, {span})) div {span}")
+    seen = F.when(F.pmod("observed_at_ns", F.lit(span)) >= span - ns, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = events.where("event_type = 'kernel.tcp.retransmit' and tcp_state = 'ESTABLISHED'").select("event_id", *CONNECTION, "observed_at_ns", own.alias("own_"), F.explode(seen).alias("span_"))
+    recent = Window.partitionBy(*CONNECTION, "span_").orderBy("observed_at_ns").rangeBetween(-ns, 0)
+    return rows.withColumn("n", F.count("*").over(recent)).where((F.col("n") >= least) & (F.col("span_") == F.col("own_"))).drop("own_", "span_")
 
 
 def _next(events: DataFrame, first: str, then: str, keys: tuple[str, ...]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as E
 from ..operators import binding, knowledge, lineage, loss, metrics, records, rules, select
 from ..sources import capture, probes
+from . import json_sql as J
 from .captures import captures, decoded_sql
 from ..sources.adapter import CGROUPS_SQL, EVENTS_SQL, FAST, FAST_EVENTS_SQL, FAST_MORE_SQL, MORE_SQL, PODS_SQL, cgroup_paths, kernel_events, more_events, pods
 
@@ -57,7 +58,7 @@ _NORMAL = {
 
 def _flat(rec: DataFrame) -> DataFrame:
     label = lambda k: F.col("labels")[k].alias(k)
-    return rec.select("event_id", "type", "source", "severity", "outcome", F.get("correlation_keys", 0).alias("correlation_key"), F.col("error.code").alias("error_code"), "duration_us", label("errno_num"), label("tcp_state"))
+    return rec.select("event_id", "type", "source", "severity", "outcome", F.get("correlation_keys", 0).alias("correlation_key"), F.col("error.code").alias("error_code"), "duration_us", label("errno_num"), label("tcp_state"), F.to_json("labels").alias("labels"), F.to_json("entity_ids").alias("entities"), F.to_json("network_data").alias("network"), F.to_json("process_data").alias("process"))
 
 
 def _normal(kind: str):
@@ -66,7 +67,7 @@ def _normal(kind: str):
 
 def _normal_sql(name: str) -> str:
     kind, severity, outcome, key, code, duration, errno, state = _NORMAL[name]
-    return f"SELECT event_id, event_type AS type, 'kerngrain/{records.SOURCES[kind]}' AS source, {severity} AS severity, {outcome} AS outcome, {key} AS correlation_key, {code} AS error_code, {duration} AS duration_us, {errno} AS errno_num, {state} AS tcp_state FROM ke WHERE event_type = '{kind}'"
+    return f"SELECT event_id, event_type AS type, 'kerngrain/{records.SOURCES[kind]}' AS source, {severity} AS severity, {outcome} AS outcome, {key} AS correlation_key, {code} AS error_code, {duration} AS duration_us, {errno} AS errno_num, {state} AS tcp_state, {J.LABELS} AS labels, {J.ENTITIES} AS entities, {J.NETWORK} AS network, {J.PROCESS_DATA} AS process FROM ke WHERE event_type = '{kind}'"
 
 
 for _name, (_kind, *_) in _NORMAL.items():
@@ -94,11 +95,10 @@ def n07_generic_probe(spark, sf_dir):
 
 
 # --- projections ---------------------------------------------------------------------------------------------------
-@query(KE + f"""SELECT event_id, 'kerngrain' AS producer, node_id AS node, CAST(observed_at_ns AS VARCHAR) AS observed, split_part({'CASE event_type ' + ' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in records.SOURCES.items()) + ' END'}, '_', 1) AS probe_family,
-  CASE WHEN event_type IN ('kernel.tcp.retransmit', 'kernel.process.exec') THEN 'fentry' ELSE 'fexit' END AS hook_kind, '1' AS schema_version FROM ke""")
+@query(KE + f"SELECT event_id, {', '.join(f'CAST({x} AS VARCHAR) AS {k}' for k, x in J.METADATA.items())} FROM ke")
 def p01_metadata(spark, sf_dir):
-    label = lambda k, n=None: F.col("labels")[k].alias(n or k)
-    return records.with_metadata(records.normalize(kernel_events(spark, sf_dir))).select("event_id", label("producer"), label("node_id", "node"), label("observed_at_ns", "observed"), label("probe_family"), label("hook_kind"), label("schema_version"))
+    rows = records.with_metadata(records.normalize(kernel_events(spark, sf_dir)))
+    return rows.select("event_id", *[F.col("labels")[k].alias(k) for k in J.METADATA])
 
 
 _OF_POD = ("container_id", "pod_uid", "pod_name", "namespace", "service_account", "owner_kind", "owner_name", "owner_uid")
@@ -162,11 +162,11 @@ def p05_wire_of_gaps(spark, sf_dir):
     return found.select("node_id", "occurrence_type", "cause", "gap_start_ns", "gap_end_ns", "dropped_records", "dropped_reliability", "dropped_attribution", F.array_join("affected_probes", "|").alias("affected_probes"), "kernel_time_ns")
 
 
-@query(KE + """SELECT CAST(CASE event_type WHEN 'kernel.tcp.connect' THEN 0 WHEN 'kernel.tcp.close' THEN 1 WHEN 'kernel.tcp.retransmit' THEN 2 WHEN 'kernel.process.exec' THEN 3 ELSE 4 END AS INT) AS probe_idx, observed_at_ns AS ts_ns,
+@query(KE + f"SELECT {J.ID} AS id, {J.LABELS} AS labels, " + """CAST(CASE event_type WHEN 'kernel.tcp.connect' THEN 0 WHEN 'kernel.tcp.close' THEN 1 WHEN 'kernel.tcp.retransmit' THEN 2 WHEN 'kernel.process.exec' THEN 3 ELSE 4 END AS INT) AS probe_idx, observed_at_ns AS ts_ns,
   CAST(CASE WHEN event_type = 'kernel.tcp.retransmit' OR (event_type IN ('kernel.tcp.connect', 'kernel.file.open') AND ret <> 0) THEN 1 ELSE 0 END AS INT) AS severity, CAST(CASE WHEN event_type = 'kernel.tcp.retransmit' OR (event_type IN ('kernel.tcp.connect', 'kernel.file.open') AND ret <> 0) THEN 1 ELSE 0 END AS INT) AS outcome,
   CASE WHEN src_ip IS NOT NULL THEN concat(src_ip, ':', src_port) END AS src, CASE WHEN dst_ip IS NOT NULL THEN concat(dst_ip, ':', dst_port) END AS dst, CASE WHEN src_ip IS NOT NULL THEN 'tcp' END AS proto, pid, comm AS cmd FROM ke""")
 def p06_compact(spark, sf_dir):
-    return records.compact(records.normalize(kernel_events(spark, sf_dir))).drop("id", "labels", "interp")
+    return records.compact(records.normalize(kernel_events(spark, sf_dir))).drop("interp")
 
 
 @query(KE + "SELECT CASE WHEN event_type IN ('kernel.tcp.close', 'kernel.tcp.retransmit') THEN 'reliability' ELSE 'attribution' END AS evidence_class, count(*) AS n FROM ke GROUP BY 1")
@@ -204,7 +204,7 @@ def p11_validation(spark, sf_dir):
     return records.violations(rec).where(F.size("violations") > 0).select("event_id", F.array_join("violations", "; ").alias("broken"))
 
 
-_ID = "concat(lpad(CAST(observed_at_ns // 1000000 AS VARCHAR), 15, '0'), '-', substr(sha256(concat_ws('~', node_id, event_type, CAST(event_id AS VARCHAR))), 1, 16))"
+_ID = J.ID
 _SOURCE = "concat('kerngrain/', CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in records.SOURCES.items()) + " END)"
 
 
@@ -213,10 +213,19 @@ def p12_idempotency_key(spark, sf_dir):
     return records.idempotency_key(records.normalize(kernel_events(spark, sf_dir))).select("event_id", "idempotency_key")
 
 
-@query()
+@query(STRONG + f"""SELECT node_id, observed_at_ns // 10000000000 AS batch, count(*) AS n, CAST(sum(256 + strlen({J.SHORT}) + 2 * strlen({J.NAME}) + 1 + strlen(split_part({J.NAME}, '_', 1)) + CASE WHEN unbound_reason IS NULL THEN {' + '.join(f"coalesce(strlen({c}), 0)" for c in _OF_POD)} ELSE 0 END)
+  + 128 + strlen('kerngrain') + strlen('0.1') + strlen('6.8.0') + any_value(strlen(cluster)) + any_value(strlen(node_id)) AS BIGINT) AS approx_bytes FROM bound GROUP BY ALL""")
 def p13_approximate_bytes(spark, sf_dir):
-    rec = records.approximate_bytes(records.normalize(kernel_events(spark, sf_dir)))
-    return rec.groupBy("node_id").agg(F.count("*").alias("n"), (F.sum("approx_bytes") + 128).alias("approx_bytes"))
+    """Sizes of batches of ten seconds of a node."""
+    rec = _bound_records(spark, sf_dir).withColumn("batch", F.expr("observed_at_ns div 10000000000"))
+    return records.batch_bytes(rec, "node_id", "batch")
+
+
+@query(STRONG + """SELECT event_id, node_id, observed_at_ns // 10000000000 AS batch, CASE WHEN event_type IN ('kernel.tcp.close', 'kernel.tcp.retransmit') THEN 'reliability' ELSE 'attribution' END AS evidence_class,
+  CAST(row_number() OVER (PARTITION BY node_id, observed_at_ns // 10000000000, event_type IN ('kernel.tcp.close', 'kernel.tcp.retransmit') ORDER BY observed_at_ns, event_id) - 1 AS INT) AS position FROM bound""")
+def u04_split_batches(spark, sf_dir):
+    rec = records.normalize(kernel_events(spark, sf_dir)).withColumn("batch", F.expr("observed_at_ns div 10000000000"))
+    return records.split_by_class(rec, "node_id", "batch").select("event_id", "node_id", "batch", "evidence_class", "position")
 
 
 # --- filters -------------------------------------------------------------------------------------------------------
@@ -232,6 +241,12 @@ def f02_sensitive_paths(spark, sf_dir):
     return kernel_events(spark, sf_dir).where((F.col("event_type") == "kernel.file.open") & E.matches_path(F.col("path"))).select("event_id", "path")
 
 
+@query(KE + "SELECT event_id, path FROM ke WHERE path LIKE '/etc/%' OR path LIKE '/var/run/secrets/%' OR path LIKE '/proc/_/environ'")
+def e12_configured_paths(spark, sf_dir):
+    """Paths by patterns as an operator writes them."""
+    return kernel_events(spark, sf_dir).where(E.matches_path(F.col("path"), E.parse_patterns(" /etc/* ,, /var/run/secrets/,/proc/?/environ "))).select("event_id", "path")
+
+
 @query(STRONG + "SELECT event_id, namespace FROM bound WHERE unbound_reason IS NULL AND namespace IN ('NATION_1', 'NATION_4', 'NATION_12')")
 def f04_namespaces(spark, sf_dir):
     return select.in_namespaces(_bound_records(spark, sf_dir), ["NATION_1", "NATION_4", "NATION_12"]).select("event_id", "namespace")
@@ -264,6 +279,18 @@ def j01_j02_bind(spark, sf_dir):
     return _bound(spark, sf_dir).select("event_id", "unbound_reason", "pod_uid", "namespace")
 
 
+@query(STRONG + """SELECT event_id, CAST(CASE WHEN unbound_reason IS NULL THEN 0 WHEN c_custkey IS NOT NULL THEN 1 END AS INT) AS resolver, CASE WHEN unbound_reason IS NULL THEN container_id END AS container_id,
+  CASE WHEN unbound_reason IS NULL THEN pod_uid ELSE 'static-' || c_custkey END AS pod_uid, CASE WHEN unbound_reason IS NULL THEN namespace WHEN c_custkey IS NOT NULL THEN 'static' END AS namespace FROM bound LEFT JOIN customer ON bound.pid = 1000 + c_custkey AND c_nationkey < 9""")
+def ud03_resolvers(spark, sf_dir):
+    """Bindings by the inventory, and by a list of pids where that knows nothing."""
+    static = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_nationkey < 9").selectExpr("1000 + c_custkey as pid", "concat('static-', c_custkey) as pod_uid", "'static' as namespace", "cast(null as string) as container_id")
+
+    def inventory(keys: DataFrame) -> DataFrame:
+        return binding.bind(keys.withColumn("event_id", F.xxhash64(*binding.ASKED)), cgroup_paths(spark, sf_dir), pods(spark, sf_dir)).select(*binding.ASKED, "container_id", "pod_uid", "namespace")
+
+    return binding.resolved(kernel_events(spark, sf_dir), inventory, lambda keys: keys.join(static, "pid")).select("event_id", "resolver", "container_id", "pod_uid", "namespace")
+
+
 @query(STRONG + "SELECT count(*) FILTER (WHERE unbound_reason IS NULL) AS hits, count(*) FILTER (WHERE unbound_reason IS NOT NULL) AS misses, count(*) FILTER (WHERE unbound_reason IS NULL) / count(*) AS ratio FROM bound")
 def a09_binding_coverage(spark, sf_dir):
     return binding.coverage(_bound(spark, sf_dir))
@@ -857,6 +884,17 @@ def x02_edges(spark, sf_dir):
 _CONCLUSION = "CASE " + " ".join(f"WHEN {p} THEN '{rules.BY_ID[k].conclusion}'" for k, p in _SINGLE.items()) + " END"
 
 
+@query(KE + f""", m AS (SELECT * FROM ke WHERE observed_at_ns >= (SELECT max(observed_at_ns) FROM ke) - 60000000000), o AS (SELECT 'one' AS asked, * FROM (SELECT * FROM m WHERE event_type = 'kernel.tcp.connect' ORDER BY observed_at_ns, event_id LIMIT 100)
+  UNION ALL SELECT 'all', * FROM (SELECT * FROM m WHERE comm = 'app3' ORDER BY observed_at_ns DESC, event_id DESC LIMIT 100))
+SELECT asked, {J.ID} AS id, observed_at_ns AS ts_ns, pid, comm AS cmd, {J.LABELS} AS labels, {_CONCLUSION} AS interp, count(*) OVER (PARTITION BY asked) AS total FROM o""")
+def q03_get_events(spark, sf_dir):
+    """The last minute: one probe's oldest events, and the newest ones of a command of all probes."""
+    ev = kernel_events(spark, sf_dir)
+    now = ev.agg(F.max("observed_at_ns")).scalar()
+    one = records.get_events(ev, now, "kernel.tcp.connect").withColumn("asked", F.lit("one"))
+    return one.unionByName(records.get_events(ev, now, comm="app3").withColumn("asked", F.lit("all"))).select("asked", "id", "ts_ns", "pid", "cmd", "labels", "interp", "total")
+
+
 @query(KE + f"SELECT {_ID} AS id, observed_at_ns AS ts_ns, comm AS cmd, json_object('c', CAST(cgroup_id AS VARCHAR), 's', tcp_state) AS labels, {_CONCLUSION} AS interp FROM ke")
 def p06_interpreted(spark, sf_dir):
     """Short rows with what the first rule says of them; of the labels two are compared."""
@@ -950,10 +988,10 @@ def k04_append_result(spark, sf_dir):
     return loss.append_result(_bound(spark, sf_dir), "node_id")
 
 
-@query(KE + "SELECT event_id, json_extract_string(line, '$.type') AS type, json_extract_string(line, '$.node') AS node FROM (SELECT event_id, to_json({'type': event_type, 'node': node_id}) AS line FROM ke)")
+@query(KE + f"SELECT event_id, {J.LINE} AS line FROM ke")
 def k01_lines(spark, sf_dir):
-    lines = records.lines(records.with_metadata(records.normalize(kernel_events(spark, sf_dir))))
-    return lines.select("event_id", F.get_json_object("line", "$.type").alias("type"), F.get_json_object("line", "$.labels.node_id").alias("node"))
+    """Whole lines, character by character."""
+    return records.lines(records.with_metadata(records.normalize(kernel_events(spark, sf_dir))))
 
 
 _FILTERS = (("kernel.tcp.connect", 443, None, None, None), ("kernel.tcp.connect", None, "10.42.0.3", None, None), ("kernel.file.open", None, None, None, "app1"))

@@ -15,6 +15,7 @@ from ..sources.adapter import MORE_SQL, kernel_events, more_events
 from ..sources.shared import shared_dir
 from ..streaming import state, streams
 from ..streaming.readiness import Progress, readiness
+from . import json_sql as J
 from .queries import _CONCLUSION, _DROPS, _ID, _LIVES, KE, TCP_ID, _samples, query
 
 
@@ -155,14 +156,16 @@ def j03_pairing_stream(spark, sf_dir):
         return _appended(state.paired(rows.where("kind is not null").fillna("", [*NODE]).fillna(0, ["pid"])), path).select("event_id", "node_id", "pid", "path")
 
 
-@query(KE + f"SELECT {TCP_ID} AS conn_id, count(*) AS n FROM ke WHERE event_type = 'kernel.tcp.connect' AND ret = 0 GROUP BY 1")
+@query(KE + f"SELECT {J.ID} AS id, {J.SOURCE} AS source, event_type AS type, {J.SEVERITY} AS severity, {J.OUTCOME} AS outcome, cluster, {J.DURATION} AS duration_us, 'raw' AS enrichment_state, {J.array(J.text(J.KEY))} AS correlation_keys, {J.ERROR} AS error, {J.ENTITIES} AS entity_ids, {J.LABELS} AS labels, {J.NETWORK} AS network_data, {J.PROCESS_DATA} AS process_data FROM ke")
 def k02_s03_json_round_trip(spark, sf_dir):
+    """Records written as JSON and read again, all their fields."""
     from ..sources.capture import read_records, write_records
 
     path = shared_dir(spark)
     write_records(normalize(kernel_events(spark, sf_dir)), f"{path}/records")
-    back = read_records(spark, f"{path}/records").where("type = 'kernel.tcp.connect' and outcome = 'success'")
-    return back.groupBy(F.get("correlation_keys", 0).alias("conn_id")).agg(F.count("*").alias("n"))
+    back = read_records(spark, f"{path}/records").where("_corrupt_record is null")
+    nested = ("correlation_keys", "error", "entity_ids", "labels", "network_data", "process_data")
+    return back.select("id", "source", "type", "severity", "outcome", "cluster", "duration_us", "enrichment_state", *[F.to_json(c).alias(c) for c in nested])
 
 
 @query(f"WITH {MORE_SQL}, " + """x AS (SELECT cluster, node_id, boot_id, comm, observed_at_ns, CASE WHEN observed_at_ns // 1000 - lag(observed_at_ns // 1000) OVER w < 30000000 THEN 0 ELSE 1 END AS new

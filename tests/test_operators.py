@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from kerngrain.functions import columns as E
-from kerngrain.operators import binding, knowledge, loss, records, rules, select
+from kerngrain.operators import binding, knowledge, lineage, loss, records, rules, select
 from kerngrain.schemas import EVENTS
 
 ID = "ab" * 32
@@ -191,3 +191,53 @@ def test_filters_of_probes(spark):
     ev = frame(spark, dict(event_type="a", dst_port=1), dict(event_id=2, event_type="a", dst_port=2), dict(event_id=3, event_type="a"), dict(event_id=4, event_type="b"))
     filters = spark.createDataFrame([("a", 1, None, None, None), ("a", None, None, 9, None)], "event_type string, dst_port int, src_ip string, pid long, comm string")
     assert sorted(r.event_id for r in select.probe_filters(ev, filters).collect()) == [1, 4]
+
+
+def test_losses_are_counted_across_spans(spark):
+    at = [50, 55, 60, 61, 118, 119, 121, 240]
+    ev = frame(spark, *[dict(event_id=i, event_type="kernel.tcp.retransmit", tcp_state="ESTABLISHED", observed_at_ns=s * 10**9, **TCP) for i, s in enumerate(at)], dict(event_id=9, event_type="kernel.tcp.retransmit", tcp_state="ESTABLISHED", observed_at_ns=None, **TCP))
+    assert sorted((r.event_id, r.n) for r in rules.losses(ev).collect()) == [(2, 3), (3, 3), (6, 3)]
+
+
+def test_a_parent_is_the_last_execution_of_its_pid(spark):
+    second = 10**9
+    ev = frame(spark, *[dict(event_id=i, event_type="kernel.process.exec", pid=p, ppid=q, observed_at_ns=t * second, comm=c) for i, p, q, t, c in [(1, 1, None, 0, "init"), (2, 7, 1, 500, "a"), (3, 8, 1, 70, "b"), (4, 1, None, 400, "again"), (5, 9, 5, 600, "c")]])
+    assert {r.event_id: (r.parent_event, r.parent_comm) for r in lineage.parents(ev).collect()} == {2: (4, "again"), 3: (1, "init"), 5: (None, None)}
+
+
+def test_batches_part_by_class_in_order(spark):
+    kinds = ["kernel.tcp.close", "kernel.tcp.connect", "kernel.tcp.retransmit", "kernel.process.exec"]
+    ev = frame(spark, *[dict(event_id=i, event_type=kinds[i % 4], ret=0, observed_at_ns=100 - i, **TCP) for i in range(4)], dict(event_id=9, event_type="kernel.tcp.close", observed_at_ns=5, node_id="m", **TCP))
+    found = records.split_by_class(records.normalize(ev), "node_id").collect()
+    assert {(r.node_id, r.evidence_class, r.position): r.event_id for r in found} == {("n", "attribution", 0): 3, ("n", "attribution", 1): 1, ("n", "reliability", 0): 2, ("n", "reliability", 1): 0, ("m", "reliability", 0): 9}
+
+
+def test_sizes_of_batches(spark):
+    rec = records.normalize(frame(spark, *[dict(event_id=i, event_type="kernel.tcp.close", node_id="n" * (1 + i // 2), **TCP) for i in range(3)]))
+    each = {r.event_id: r.approx_bytes for r in records.approximate_bytes(rec).collect()}
+    whole = rec.where("event_id = 0").select(F.to_json(F.struct("id", "source", "type", "severity", "outcome", "correlation_keys", "entity_ids", "labels", "network_data", "process_data"))).first()[0]
+    assert each[0] == len(whole.encode()) + 2 * len("tcp_close") + len("1") + len("tcp") + 256
+    fixed = 128 + len("kerngrain" + "0.1" + "6.8.0" + "c")
+    assert {r.node_id: (r.n, r.approx_bytes) for r in records.batch_bytes(rec, "node_id").collect()} == {"n": (2, each[0] + each[1] + fixed + 1), "nn": (1, each[2] + fixed + 2)}
+
+
+def test_the_first_resolver_that_knows_tells(spark):
+    ev = frame(spark, *[dict(event_id=i, event_type="kernel.process.exec", pid=i) for i in (1, 1, 2, 3)])
+    of = lambda *rows: lambda keys: keys.join(spark.createDataFrame(rows, "pid long, container_id string, pod_uid string, namespace string"), "pid")
+    found = binding.resolved(ev, of((1, "b", "p1", "x"), (1, "a", "p1", "x"), (2, None, None, "nothing")), of((1, "z", "z", "z"), (2, None, "p2", "y")))
+    assert sorted((r.pid, r.resolver, r.container_id, r.pod_uid, r.namespace) for r in found.where("pid < 3").collect()) == [(1, 0, "a", "p1", "x"), (1, 0, "a", "p1", "x"), (2, 1, None, "p2", "y")]
+    assert [(r.resolver, r.pod_uid) for r in found.where("pid = 3").collect()] == [(None, None)]
+
+
+def test_asked_events_are_the_last_minute_in_order(spark):
+    second = 10**9
+    ev = frame(spark, *[dict(event_id=i, event_type="kernel.tcp.connect" if i % 2 else "kernel.tcp.close", ret=-111 if i % 2 else None, observed_at_ns=i * 10 * second, **TCP) for i in range(12)])
+    times = lambda df: [(r.ts_ns // second, r.total) for r in df.orderBy("ts_ns").collect()]
+    assert times(records.get_events(ev, 110 * second, "kernel.tcp.connect", limit=2)) == [(50, 2), (70, 2)]
+    assert times(records.get_events(ev, 110 * second, limit=3)) == [(90, 3), (100, 3), (110, 3)]
+    assert times(records.get_events(ev, 110 * second, dst_port=1)) == []
+    assert {r.interp for r in records.get_events(ev, 110 * second, "kernel.tcp.connect").collect()} == {"no process listens on the destination port"}
+
+
+def test_patterns_are_parted_and_trimmed():
+    assert E.parse_patterns(" /a/* ,, /b/ ,") == ["/a/*", "/b/"] and E.parse_patterns(" , ") == list(E.SENSITIVE_PATHS)

@@ -138,3 +138,11 @@ def test_as_of_by_spans_is_the_same(spark):
     rows = lambda df: sorted((r.e, r.v) for r in df.collect() if r.v is not None)
     plain = rows(lineage.as_of(left, right, ["node_id"], "t", "s", ["v"]))
     assert plain and all(rows(lineage.as_of(left, right, ["node_id"], "t", "s", ["v"], n)) == plain for n in (7, 100, 5000))
+
+
+def test_as_of_by_spans_holds_every_nanosecond_and_ties(spark):
+    at = 150_000 * 60_000_000_000
+    left = spark.createDataFrame([("n", 1, at - 1), ("n", 2, at), ("n", 3, at + 10**12)], "node_id string, e long, t long")
+    right = spark.createDataFrame([("n", at - 5, "a"), ("n", at - 5, "b"), ("n", at, "c")], "node_id string, s long, v string")
+    for bucket in (None, 60_000_000_000):
+        assert {r.e: r.v for r in lineage.as_of(left, right, ["node_id"], "t", "s", ["v"], bucket).collect()} == {1: "b", 2: "c", 3: "c"}
