@@ -148,17 +148,33 @@ def ingest(items: DataFrame, delivered: DataFrame, files: bool = False) -> DataF
     return rows.drop("refused_", "open_", "rn_", "before_", "delivery_status")
 
 
+def _results(items: DataFrame, *keys: str) -> DataFrame:
+    """A row for each batch: accepted, duplicates, rejected, reasons, retryable. Items combine to a row for each reason first."""
+    reason = F.col("reason") if "reason" in items.columns else F.lit("blank cluster or node")
+    again = F.coalesce(F.col("retryable"), F.lit(False)) if "retryable" in items.columns else F.lit(False)
+    bad, twice = F.col("status") == "REJECTED", F.col("status") == "DUPLICATE"
+    counts = items.groupBy(*keys, F.when(bad, reason).alias("reason_")).agg(
+        F.count_if((F.col("status") == "ACCEPTED") | twice).alias("good"), F.count_if(twice).alias("twice"), F.count_if(bad).alias("bad"), F.max(bad & again).alias("again")
+    )
+    said = F.when(F.col("bad") > 0, F.concat("reason_", F.lit(": "), F.col("bad")))
+    reasons = F.array_join(F.array_sort(F.collect_list(said)), "; ").alias("reasons")
+    return counts.groupBy(*keys).agg(F.sum("good").alias("accepted"), F.sum("twice").alias("duplicates"), F.sum("bad").alias("rejected"), reasons, F.max("again").alias("retryable"))
+
+
 def delivery_results(items: DataFrame, *keys: str) -> DataFrame:
     """Accepted (duplicates too) and rejected items of each batch, what was rejected for which reason, and whether trying again can help.
 
     A rejected item says why in ``reason``, where there is such a column; only one that is ``retryable`` makes its batch so.
     """
-    reason = F.col("reason") if "reason" in items.columns else F.lit("blank cluster or node")
-    again = F.coalesce(F.col("retryable"), F.lit(False)) if "retryable" in items.columns else F.lit(False)
-    bad = F.col("status") == "REJECTED"
-    counts = items.groupBy(*keys, F.when(bad, reason).alias("reason_")).agg(F.count_if(F.col("status").isin("ACCEPTED", "DUPLICATE")).alias("good"), F.count_if(bad).alias("bad"), F.max(bad & again).alias("again"))
-    said = F.when(F.col("bad") > 0, F.concat("reason_", F.lit(": "), F.col("bad")))
-    return counts.groupBy(*keys).agg(F.sum("good").alias("accepted"), F.sum("bad").alias("rejected"), F.array_join(F.array_sort(F.collect_list(said)), "; ").alias("reasons"), F.max("again").alias("retryable"))
+    return _results(items, *keys).drop("duplicates")
+
+
+def settled(items: DataFrame, *keys: str) -> DataFrame:
+    """delivery_results with what each batch comes to: ``retry``, all of it, if a rejected item can be taken later (what was accepted is a
+    duplicate then), ``partial_failure`` if others were rejected, else ``delivered``; and ``warning``, which tells duplicates of a delivered batch."""
+    outcome = F.when(F.col("retryable"), "retry").when(F.col("rejected") > 0, "partial_failure").otherwise("delivered")
+    warning = F.when((outcome == "delivered") & (F.col("duplicates") > 0), F.concat("duplicates", F.lit(" duplicate items")))
+    return _results(items, *keys).withColumns({"outcome": outcome, "warning": warning})
 
 
 def backlog_gauges(backlog: DataFrame, now_ms: int, stalled_ms: int = 60_000) -> DataFrame:

@@ -306,6 +306,17 @@ def j03_pairing(spark, sf_dir):
     return paired(ev.withColumn("kind", kind).where("kind is not null")).select("event_id", "node_id", "pid", "path")
 
 
+@query(KE + f""", e AS (SELECT *, lag(event_type) OVER w AS before, lag(path) OVER w AS path0 FROM (SELECT * FROM ke WHERE event_type IN ('kernel.file.open', 'kernel.tcp.connect')) WINDOW w AS (PARTITION BY cluster, node_id, boot_id, pid ORDER BY observed_at_ns, event_id))
+SELECT event_id, path0 AS requested_path, {J.ERRNO} AS errno, CAST(ret AS VARCHAR) AS errno_num, 'unresolved' AS path_resolution, 'warning' AS severity, 'failure' AS outcome FROM e WHERE event_type = 'kernel.tcp.connect' AND before = 'kernel.file.open' AND ret < 0""")
+def j03_failed_attempts(spark, sf_dir):
+    """Enters and exits to records of attempts; a connect stands for the exit, as it has a result."""
+    from ..operators.pairing import attempts
+
+    kind = F.when(F.col("event_type") == "kernel.file.open", "enter").when(F.col("event_type") == "kernel.tcp.connect", "exit")
+    found = records.normalize(attempts(kernel_events(spark, sf_dir).withColumn("kind", kind).where("kind is not null")))
+    return found.select("event_id", *[F.col("labels")[k].alias(k) for k in ("requested_path", "errno", "errno_num", "path_resolution")], "severity", "outcome")
+
+
 _NEXT = """, e AS (SELECT *, lead(CASE WHEN event_type = '{then}' THEN observed_at_ns END IGNORE NULLS) OVER w AS next_ns, lead(CASE WHEN event_type = '{then}' THEN event_id END IGNORE NULLS) OVER w AS next_id
   FROM (SELECT * FROM {table} WHERE event_type IN ('{first}', '{then}')) WINDOW w AS (PARTITION BY {keys} ORDER BY observed_at_ns, event_id))
 SELECT event_id, {keys}, observed_at_ns, next_id, next_ns - observed_at_ns AS after_ns FROM e WHERE event_type = '{first}' AND next_ns - observed_at_ns <= {ns}"""
@@ -431,6 +442,13 @@ def r15_r16_send_and_loss(spark, sf_dir):
     return found.withColumn("rule_id", F.when(F.col("n_then") >= 2, "R16").otherwise("R15"))
 
 
+@query(f"WITH {MORE_SQL}, {EVENTS_SQL}, u AS (SELECT * FROM me UNION ALL SELECT * FROM ke), w AS (" + _RATES.format(keys=f"{NODE}, {_PAIR}", a="kernel.tcp.send", b="kernel.tcp.retransmit", t="u", ns=720 * 10**9) + ") SELECT *, CASE WHEN n_then >= 1 THEN 'R16' ELSE 'R15' END AS rule_id FROM w WHERE first_bytes >= 500")
+def r15_r16_by_connection(spark, sf_dir):
+    both = more_events(spark, sf_dir).union(kernel_events(spark, sf_dir))
+    found = rules.rates(both, ("kernel.tcp.send", "kernel.tcp.retransmit"), rules.CONNECTION, 720).where("first_bytes >= 500")
+    return found.withColumn("rule_id", F.when(F.col("n_then") >= 1, "R16").otherwise("R15"))
+
+
 @query(f"WITH {MORE_SQL}, {EVENTS_SQL}, u AS (SELECT * FROM me UNION ALL SELECT * FROM ke), w AS (" + _RATES.format(keys=f"{NODE}, pid", a="kernel.file.open", b="kernel.fs.close", t="u", ns=600 * 10**9) + ") SELECT cluster, node_id, boot_id, pid, window_start_ns, n_first, n_then FROM w WHERE n_first >= 2 AND n_then < 0.5 * n_first")
 def r35_descriptor_leak(spark, sf_dir):
     both = more_events(spark, sf_dir).union(kernel_events(spark, sf_dir))
@@ -640,6 +658,24 @@ def a08_delivery_results(spark, sf_dir):
     return loss.delivery_results(_items(spark, sf_dir), "node_id")
 
 
+_SETTLED = """, t AS (SELECT node_id, observed_at_ns // 10000000000 AS batch, CASE WHEN event_id % 13 = 0 OR event_id % 101 = 0 THEN 'REJECTED' WHEN event_id % 4 = 0 THEN 'DUPLICATE' ELSE 'ACCEPTED' END AS status,
+  CASE WHEN event_id % 13 = 0 THEN 'blank cluster' WHEN event_id % 101 = 0 THEN 'queue full' END AS reason FROM ke WHERE event_id % 5 = 0),
+c AS (SELECT node_id, batch, count(*) FILTER (WHERE status <> 'REJECTED') AS accepted, count(*) FILTER (WHERE status = 'DUPLICATE') AS duplicates, count(*) FILTER (WHERE status = 'REJECTED') AS rejected,
+  count(*) FILTER (WHERE reason = 'blank cluster') AS blank, count(*) FILTER (WHERE reason = 'queue full') AS full_ FROM t GROUP BY ALL)
+SELECT node_id, batch, accepted, duplicates, rejected, concat_ws('; ', CASE WHEN blank > 0 THEN 'blank cluster: ' || blank END, CASE WHEN full_ > 0 THEN 'queue full: ' || full_ END) AS reasons, full_ > 0 AS retryable,
+  CASE WHEN full_ > 0 THEN 'retry' WHEN rejected > 0 THEN 'partial_failure' ELSE 'delivered' END AS outcome, CASE WHEN rejected = 0 AND duplicates > 0 THEN duplicates || ' duplicate items' END AS warning FROM c"""
+
+
+@query(KE + _SETTLED)
+def a08_settled_batches(spark, sf_dir):
+    """Batches of ten seconds of a node by a receiver's answers: some items refused for good, some for the moment."""
+    ev = kernel_events(spark, sf_dir).where("event_id % 5 = 0").withColumn("batch", F.expr("observed_at_ns div 10000000000"))
+    blank, full = F.col("event_id") % 13 == 0, F.col("event_id") % 101 == 0
+    status = F.when(blank | full, "REJECTED").when(F.col("event_id") % 4 == 0, "DUPLICATE").otherwise("ACCEPTED")
+    items = ev.withColumns({"status": status, "reason": F.when(blank, "blank cluster").when(full, "queue full"), "retryable": ~blank & full})
+    return loss.settled(items, "node_id", "batch")
+
+
 # --- knowledge and questions ---------------------------------------------------------------------------------------
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions that the tables give: one for each command and type."""
@@ -789,6 +825,21 @@ def e09_s05_pod_containers(spark, sf_dir):
     return flat.join(kinds, "pod_uid").select("pod_uid", "container_id", "runtime", "namespace")
 
 
+@query("""WITH p AS (SELECT *, 'pod-' || s_suppkey AS pod_uid, 'app-' || s_suppkey AS pod_name, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'sa' END AS service_account, CASE WHEN s_suppkey % 2 = 0 THEN 'ReplicaSet' END AS owner_kind, CASE WHEN s_suppkey % 2 = 0 THEN 'rs-' || s_nationkey END AS owner_name, CASE WHEN s_suppkey % 2 = 0 THEN 'uid-' || s_nationkey END AS owner_uid FROM supplier WHERE s_suppkey % 11 <> 0),
+c AS (SELECT *, sha256('main:' || s_suppkey) AS container_id FROM p UNION ALL SELECT *, sha256('init:' || s_suppkey) FROM p WHERE s_suppkey % 2 = 0 UNION ALL SELECT *, sha256('debug:' || s_suppkey) FROM p WHERE s_suppkey % 5 = 0)
+SELECT pod_uid, 'shop' AS namespace, pod_name, service_account, owner_kind, owner_name, owner_uid, container_id FROM c""")
+def s05_all_containers(spark, sf_dir):
+    """Containers of all three kinds of status with what is told of their pods; pods without a name and addresses that aren't containers go."""
+    uri = lambda scheme, name: f"concat('{scheme}://', upper(sha2(concat('{name}:', s_suppkey), 256)))"
+    none = "cast(array() as array<string>)"
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr(
+        "concat('pod-', s_suppkey) as pod_uid", "case when s_suppkey % 11 <> 0 then concat('app-', s_suppkey) end as pod_name", "'shop' as namespace", "case when s_suppkey % 3 = 0 then '' else 'sa' end as service_account",
+        f"array({uri('containerd', 'main')}, 'containerd://short') as containers", f"case when s_suppkey % 2 = 0 then array({uri('docker', 'init')}) end as init_containers", f"case when s_suppkey % 5 = 0 then array({uri('cri-o', 'debug')}) else {none} end as ephemeral_containers",
+        "array(named_struct('controller', false, 'kind', 'Other', 'name', 'x', 'uid', 'y'), named_struct('controller', s_suppkey % 2 = 0, 'kind', 'ReplicaSet', 'name', concat('rs-', s_nationkey), 'uid', concat('uid-', s_nationkey))) as owners",
+    )
+    return binding.flatten_pods(rows).select("pod_uid", "namespace", *binding.OF_POD, "container_id")
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE lower(u) END AS boot, CASE WHEN o_orderkey % 2 = 0 THEN concat('owner-', o_custkey) END AS owner FROM (SELECT *, concat(substr(m, 1, 8), '-', substr(m, 9, 4), '-', substr(m, 13, 4), '-', substr(m, 17, 4), '-', substr(m, 21, 12)) AS u FROM (SELECT *, upper(md5(CAST(o_orderkey AS VARCHAR))) AS m FROM orders))")
 def e10_e11_boot_and_owner(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("m", F.upper(F.md5(F.col("o_orderkey").cast("string"))))

@@ -5,7 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from kerngrain.functions import columns as E
-from kerngrain.operators import binding, knowledge, lineage, loss, records, rules, select
+from kerngrain.operators import binding, knowledge, lineage, loss, pairing, records, rules, select
 from kerngrain.schemas import EVENTS
 
 ID = "ab" * 32
@@ -241,3 +241,23 @@ def test_asked_events_are_the_last_minute_in_order(spark):
 
 def test_patterns_are_parted_and_trimmed():
     assert E.parse_patterns(" /a/* ,, /b/ ,") == ["/a/*", "/b/"] and E.parse_patterns(" , ") == list(E.SENSITIVE_PATHS)
+
+
+def test_only_failed_exits_are_attempts(spark):
+    rows = [("enter", "/a", None), ("exit", None, 0), ("exit", None, -2), ("enter", "/b", None), ("enter", "/c", None), ("exit", None, -13)]
+    ev = frame(spark, *[dict(event_id=i, event_type="kernel.file.open", path=p, ret=r, observed_at_ns=i) for i, (_, p, r) in enumerate(rows)])
+    kind = F.element_at(F.array(*[F.lit(k) for k, _, _ in rows]), (F.col("event_id") + 1).cast("int"))
+    found = records.normalize(pairing.attempts(ev.withColumn("kind", kind))).collect()
+    assert [(r.event_id, r.labels["requested_path"], r.labels["errno"], r.outcome) for r in found] == [(5, "/c", "EACCES", "failure")]
+
+
+def test_batches_settle(spark):
+    items = spark.createDataFrame([(1, "ACCEPTED", None, False), (1, "DUPLICATE", None, False), (2, "ACCEPTED", None, False), (2, "REJECTED", "a", False), (2, "REJECTED", "b", None), (2, "REJECTED", "a", False), (3, "REJECTED", "full", True), (3, "REJECTED", "a", False)], "batch int, status string, reason string, retryable boolean")
+    found = {r.batch: (r.accepted, r.duplicates, r.rejected, r.reasons, r.outcome, r.warning) for r in loss.settled(items, "batch").collect()}
+    assert found == {1: (2, 1, 0, "", "delivered", "1 duplicate items"), 2: (1, 0, 3, "a: 2; b: 1", "partial_failure", None), 3: (0, 0, 2, "a: 1; full: 1", "retry", None)}
+
+
+def test_samples_by_hash_are_the_same_each_time(spark):
+    ev = spark.range(4000).withColumnRenamed("id", "event_id")
+    first, again = ({r.event_id for r in select.sampled(x, 4).collect()} for x in (ev, ev.repartition(7)))
+    assert first == again and 800 < len(first) < 1200
