@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerngrain.llm import op02, op05
-from kerngrain.llm.binary_codes import cosines, encode, estimates, margin, nearest, rotation
+from kerngrain.llm import binary_codes, op02, op05
+from kerngrain.llm.binary_codes import Codes, Queries, Search, cosines, encode, estimates, margin, nearest, refined, rotation, scaled
 from kerngrain.llm.fertility import base_counts, main_script, quality, repeated_words
 from kerngrain.llm.language_id import Letters, fit, identify, language, ngram_counts
 from kerngrain.llm.queries import ORACLE_SQL, QUERIES
@@ -367,6 +367,29 @@ def test_error_bounds_hold():
     assert np.abs(guess - x[:50] @ x.T).mean() < 0.1
 
 
+def test_second_level_leaves_few_pairs_to_rerank(monkeypatch):
+    """Unrelated vectors: the bounds hold for every pair, and few of these are reranked, where many or few pass the first level."""
+    rng, reranked = np.random.default_rng(8), []
+    x = scaled(np.vstack([rng.standard_normal((4000, 64)), rng.standard_normal((30, 64)).repeat(3, axis=0)]))
+    ids, unit = np.arange(len(x)), x / np.linalg.norm(x, axis=1, keepdims=True)
+    (bits, correction), (steps, step, left) = encode(unit, rotation(64)), refined(unit, rotation(64))
+    guess = unit[:200] @ rotation(64).T @ (steps * step[:, None]).T
+    assert (np.abs(guess - unit[:200] @ unit.T) <= left + 1e-12).all() and left.max() < 0.02
+    at = np.append(np.arange(0, 4000, 40), np.arange(4000, 4090, 10))
+    monkeypatch.setattr(binary_codes, "dots", lambda a, b, f=binary_codes.dots: reranked.append(len(a)) or f(a, b))
+    for dense in (0.0, 1.0):
+        monkeypatch.setattr(binary_codes, "DENSE", dense)
+        reranked.clear()
+        search = Search(Queries(at, x[at]), 5, 4.0)
+        for w in (slice(0, 2000), slice(2000, 4090)):
+            search.add(Codes(ids[w], x[w], bits[w], correction[w], steps[w], step[w], left[w]))
+        assert sum(reranked) < 0.05 * len(at) * len(x)
+        for q, near, score in zip(at, search.near, search.scores, strict=True):
+            others = np.flatnonzero(ids != q)
+            want = sorted(zip(-cosines(x[[q] * len(others)], x[others]), others, strict=True))[:5]
+            assert near.tolist() == [i for _, i in want] and score.tolist() == [-s for s, _ in want]
+
+
 def test_neighbours_of_odd_rows(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(10).tolist()) for i in range(300)]
