@@ -85,59 +85,23 @@ def _flat(rows: list[Row], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 @dataclass
 class Index:
-    """Postings by term, then block of examples."""
+    """The examples' vectors, one after another, and the largest weight of each term in each block of examples."""
 
     ids: np.ndarray
     labels: np.ndarray
     idf: np.ndarray
-    top: np.ndarray = field(default=None)  # terms by blocks: the block's largest weight
-    begin: np.ndarray = field(default=None)  # terms by blocks: the first posting, with one column more for the end
-    example: np.ndarray = field(default=None)
+    begin: np.ndarray = field(default=None)  # each example's first entry, with one more for the end
+    term: np.ndarray = field(default=None)  # ascending within an example
     weight: np.ndarray = field(default=None)
+    top: np.ndarray = field(default=None)  # terms by blocks: the block's largest weight
     size: int = 256
 
     @classmethod
     def of(cls, ids: np.ndarray, labels: np.ndarray, rows: list[Row], idf: np.ndarray, size: int = 256) -> Index:
-        out = cls(ids, labels, idf, size=size)
         row, term, w = _flat(rows, idf)
-        order = np.lexsort((row, term))
-        row, term, w = row[order], term[order], w[order]
-        blocks = -(-len(ids) // out.size)
-        cell = term * blocks + row // out.size
-        out.example, out.weight = row.astype(np.int32), w
-        out.begin = np.append(np.searchsorted(cell, np.arange(len(idf) * blocks)), len(row))[np.arange(len(idf))[:, None] * blocks + np.arange(blocks + 1)]
-        out.top = np.zeros(len(idf) * blocks)
-        np.maximum.at(out.top, cell, w)
-        out.top = out.top.reshape(len(idf), blocks)
-        return out
-
-    def _scores(self, term: np.ndarray, w: np.ndarray, k: int, but: int) -> np.ndarray:
-        """Of all examples that may be among the k nearest the cosine, 0 of others: the blocks of the largest bounds are
-        scored first, and their k-th best is what the bounds of the others must reach."""
-        bound = w @ self.top[term]
-        scores = np.zeros(len(bound) * self.size)
-
-        def add(blocks: np.ndarray) -> None:
-            posting, of = _ranges(self.begin[term[:, None], blocks].ravel(), self.begin[term[:, None], blocks + 1].ravel())
-            nonlocal scores
-            scores = scores + np.bincount(self.example[posting], weights=np.repeat(w, len(blocks))[of] * self.weight[posting], minlength=len(scores))
-            if but >= 0:
-                scores[but] = 0
-
-        order = np.argsort(-bound, kind="stable")
-        lead = -(-k // self.size) + 1
-        add(order[:lead])
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        rest = order[lead:][bound[order[lead:]] > max(least - 1e-9, 0)]
-        if 4 * len(rest) > len(order):  # nearly all: whole lists, one after another
-            first, stop = self.begin[term, 0].tolist(), self.begin[term, -1].tolist()
-            weights = np.concatenate([self.weight[a:b] * q for a, b, q in zip(first, stop, w.tolist(), strict=True)])
-            scores = np.bincount(np.concatenate([self.example[a:b] for a, b in zip(first, stop, strict=True)]), weights=weights, minlength=len(scores))
-            if but >= 0:
-                scores[but] = 0
-        elif len(rest):
-            add(rest)
-        return scores
+        top = np.zeros((len(idf), -(-len(ids) // size)))
+        np.maximum.at(top, (term, row // size), w)
+        return cls(ids, labels, idf, np.searchsorted(row, np.arange(len(rows) + 1)), term.astype(np.int32), w, top, size)
 
     def nearest(self, rows: list[Row], k: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine for each row, exactly, ties to the smaller id: positions (-1: none) and cosines.
@@ -146,18 +110,85 @@ class Index:
         """
         near, cosines = np.full((len(rows), k), -1), np.zeros((len(rows), k))
         row, term, w = _flat(rows, self.idf)
-        ends = np.searchsorted(row, np.arange(len(rows) + 1))
-        for i in range(len(rows)):
-            a, b = ends[i], ends[i + 1]
-            if a == b:
-                continue
-            x = self._scores(term[a:b], w[a:b], k, -1 if but is None else int(but[i]))
-            least = np.partition(x, -k)[-k] if len(x) > k else 0.0
-            some = np.flatnonzero(x >= least) if least > 0 else np.flatnonzero(x > 0)
-            some = some[np.lexsort((self.ids[some], -x[some]))[:k]]
-            near[i, : len(some)], cosines[i, : len(some)] = some, np.minimum(x[some], 1.0)
+        ends, postings = np.searchsorted(row, np.arange(len(rows) + 1)), Postings(self)
+        for at in range(0, len(rows), 128):
+            n = min(128, len(rows) - at)
+            own = slice(ends[at], ends[at + n])
+            which, example = postings.may_be_near(row[own] - at, term[own], w[own], n, k, None if but is None else but[at : at + n])
+            cos = self._cosines(row[own] - at, term[own], w[own], n, which, example)
+            which, example, cos = which[cos > 0], example[cos > 0], cos[cos > 0]
+            order = np.lexsort((self.ids[example], -cos, which))
+            which, example, cos = which[order], example[order], cos[order]
+            rank = np.arange(len(which)) - np.searchsorted(which, which)
+            best = rank < k
+            near[at + which[best], rank[best]], cosines[at + which[best], rank[best]] = example[best], np.minimum(cos[best], 1.0)
         return near, cosines
 
+    def _cosines(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, which: np.ndarray, example: np.ndarray, step: int = 16384) -> np.ndarray:
+        """Of pairs of a row and an example, summed in the order of the terms, so that equal examples get equal cosines."""
+        q, out = np.zeros((n, len(self.idf))), [np.zeros(0)]
+        q[row, term] = w
+        for i in range(0, len(which), step):
+            x, e = which[i : i + step], example[i : i + step]
+            entry, of = _ranges(self.begin[e], self.begin[e + 1])
+            out.append(np.bincount(of, weights=q[x[of], self.term[entry]] * self.weight[entry], minlength=len(x)))
+        return np.concatenate(out)
+
+
+class Postings:
+    """An index by term, then block of examples: of frequent terms every weight, in single precision, of others the postings.
+
+    Blocks are scored for many rows at once, each for the rows whose bound reaches it.
+    """
+
+    def __init__(self, index: Index, frequent: float = 1 / 32) -> None:
+        """frequent: the share of examples from which on a term's weights are kept for all of them."""
+        self.index, (terms, self.blocks) = index, index.top.shape
+        example = np.repeat(np.arange(len(index.ids)), np.diff(index.begin))
+        counts = np.bincount(index.term, minlength=terms)
+        dense = counts > frequent * len(index.ids)
+        self.place = np.where(dense, np.cumsum(dense) - 1, -1)  # of frequent terms
+        self.all = np.zeros((self.blocks, np.count_nonzero(dense), index.size), dtype=np.float32)
+        own = dense[index.term]
+        self.all[example[own] // index.size, self.place[index.term[own]], example[own] % index.size] = index.weight[own]
+        rare = np.flatnonzero(~own)
+        rare = rare[np.argsort(index.term[rare], kind="stable")]
+        self.example, self.weight = example[rare], index.weight[rare]
+        self.begin = np.searchsorted(index.term[rare], np.arange(terms + 1))
+        self.rounding = (terms + 8) * 2.0**-24  # the most that a sum of products of unit vectors is off in single precision
+
+    def may_be_near(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, k: int, but: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, example) of all that may be among the k nearest of n rows. The blocks of a row's largest bounds are scored first, and
+        their k-th best is what the bounds of its other blocks must reach."""
+        size, blocks, off = self.index.size, self.blocks, 2 * self.rounding
+        ends, width = np.searchsorted(row, np.arange(n + 1)), self.blocks * self.index.size
+        bound = np.stack([w[a:b] @ self.index.top[term[a:b]] for a, b in zip(ends, ends[1:], strict=False)])
+        dense = self.place[term] >= 0
+        q = np.zeros((n, self.all.shape[1]), dtype=np.float32)
+        q[row[dense], self.place[term[dense]]] = w[dense]
+        posting, of = _ranges(self.begin[term[~dense]], self.begin[term[~dense] + 1])
+        scores = np.bincount(row[~dense][of] * width + self.example[posting], weights=w[~dense][of] * self.weight[posting], minlength=n * width)
+        scores = scores.astype(np.float32).reshape(n, blocks, size)
+        if but is not None:
+            scores[np.arange(n), but // size, but % size] = -np.inf
+
+        def add(needed: np.ndarray) -> None:
+            for i in np.flatnonzero(needed.any(0)):
+                x = np.flatnonzero(needed[:, i])
+                scores[x, i] += q[x] @ self.all[i]
+
+        def kth(x: np.ndarray) -> np.ndarray:
+            return np.partition(x, x.shape[1] - k, axis=1)[:, -k] if x.shape[1] > k else np.zeros(n)
+
+        first = np.argsort(-bound, axis=1, kind="stable")[:, : -(-k // size) + 1]
+        lead = np.zeros((n, blocks), dtype=bool)
+        np.put_along_axis(lead, first, True, axis=1)
+        add(lead)
+        least = kth(scores[np.arange(n)[:, None], first].reshape(n, -1))
+        add(~lead & (bound > np.maximum(least - off, 0)[:, None]))
+        scores = scores.reshape(n, -1)
+        return np.nonzero((scores > 0) & (scores >= (kth(scores) - off)[:, None]))
+
 
 def votes(labels: np.ndarray, near: np.ndarray, cosines: np.ndarray, doubt: float) -> np.ndarray:
     w = np.where(near >= 0, cosines**2, 0.0)

@@ -48,6 +48,30 @@ def test_index_finds_the_exact_neighbours():
         assert all(i not in but[i] for i in range(90))
 
 
+def test_index_scores_whole_batches_and_sums_few_pairs_exactly(monkeypatch):
+    """Frequent and rare terms, more rows than a batch, groups of copies: the same sums as by definition, of few pairs."""
+    rng, share = np.random.default_rng(4), np.r_[np.full(20, 0.4), np.full(180, 0.02)]
+    at = [np.flatnonzero(rng.random(200) < share) for _ in range(1500)]
+    rows = [(x, rng.integers(1, 9, len(x))) for x in at]
+    rows[100:140], rows[7] = [rows[3]] * 40, (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    ids, idf, summed = rng.permutation(1500), rng.random(200) + 0.5, []
+    r, t, w = _flat(rows, idf)
+    vectors = np.zeros((1500, 200))
+    vectors[r, t] = w
+    index = Index.of(ids, np.zeros(1500, dtype=int), rows, idf)
+    monkeypatch.setattr(Index, "_cosines", lambda self, *x, f=Index._cosines: summed.append(len(x[-1])) or f(self, *x))
+    near, cos = index.nearest(rows[:300], 15, but=np.arange(300))
+    assert sum(summed) < 0.03 * 300 * 1500
+    for i in range(300):
+        exact = np.zeros(1500)
+        for j in range(200):  # in the order of the terms
+            exact += vectors[i, j] * vectors[:, j]
+        exact[i] = 0
+        want = [j for j in np.lexsort((ids, -exact))[:15] if exact[j] > 0]
+        assert near[i][near[i] >= 0].tolist() == want and cos[i][: len(want)].tolist() == np.minimum(exact[want], 1.0).tolist()
+    assert (near[7] == -1).all() and (cos[100][:15] == cos[100][0]).all()
+
+
 def log_likelihood(a, b, n1, n0):
     cells = [(a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n1 + n0 - a - b), (n0 - b, n0, n1 + n0 - a - b)]
     return 2 * sum(n * np.log(n * (n1 + n0) / (row * of)) for n, of, row in cells if n)
