@@ -7,7 +7,8 @@ ten thousand), however many these are: vectors of all terms find fewer of the to
 postings in blocks of examples with each block's largest weight, so that a block whose bound is below the k-th best cosine
 so far is skipped: the k neighbours are exact, ties to the smaller id. Votes weigh the squared cosine; a pseudo-vote against
 keeps little evidence little. The vote is calibrated by a logistic curve on the examples themselves, each left out of
-its own neighbours, at the class shares of all training labels.
+its own neighbours, at the class shares of all training labels. Neighbours are found in tasks; the driver gathers the
+examples' terms as arrays and makes the index, a block at a time.
 
 Bounded parts (parameters): ``examples`` labelled rows per class, those with the smallest hash of their id; k. The
 examples bound the terms and the index, which is broadcast. Document frequencies and class shares cover all rows.
@@ -28,6 +29,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,10 +100,21 @@ class Index:
 
     @classmethod
     def of(cls, ids: np.ndarray, labels: np.ndarray, rows: list[Row], idf: np.ndarray, size: int = 256) -> Index:
-        row, term, w = _flat(rows, idf)
+        """The entries are made a block of examples at a time, as this runs on the driver."""
         top = np.zeros((len(idf), -(-len(ids) // size)))
-        np.maximum.at(top, (term, row // size), w)
-        return cls(ids, labels, idf, np.searchsorted(row, np.arange(len(rows) + 1)), term.astype(np.int32), w, top, size)
+        terms, weights = [np.zeros(0, dtype=np.int32)], [np.zeros(0)]
+        for i in range(top.shape[1]):
+            _, term, w = _flat(rows[i * size : (i + 1) * size], idf)
+            np.maximum.at(top[:, i], term, w)
+            terms.append(term.astype(np.int32))
+            weights.append(w)
+        begin = np.cumsum([0, *(len(x) for x, _ in rows)])
+        return cls(ids, labels, idf, begin, np.concatenate(terms), np.concatenate(weights), top, size)
+
+    def place(self, ids: np.ndarray) -> np.ndarray:
+        """The examples' positions; ids: of examples alone."""
+        order = np.argsort(self.ids)
+        return order[np.searchsorted(self.ids, ids, sorter=order)]
 
     def nearest(self, rows: list[Row], k: int, but: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine for each row, exactly, ties to the smaller id: positions (-1: none) and cosines.
@@ -124,7 +137,7 @@ class Index:
             near[at + which[best], rank[best]], cosines[at + which[best], rank[best]] = example[best], np.minimum(cos[best], 1.0)
         return near, cosines
 
-    def _cosines(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, which: np.ndarray, example: np.ndarray, step: int = 16384) -> np.ndarray:
+    def _cosines(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, which: np.ndarray, example: np.ndarray, step: int = 2048) -> np.ndarray:
         """Of pairs of a row and an example, summed in the order of the terms, so that equal examples get equal cosines."""
         q, out = np.zeros((n, len(self.idf))), [np.zeros(0)]
         q[row, term] = w
@@ -271,20 +284,46 @@ def _terms(chosen: DataFrame | None, least_docs: int, least_evidence: float) ->
     return sorted(r["term"] for r in counted.select("term").collect())  # these are bounded by the examples
 
 
+def _pairs(at: pd.Series, tf: pd.Series) -> list[Row]:
+    return [(np.asarray(x, dtype=np.int64), np.asarray(n)) for x, n in zip(at, tf, strict=True)]
+
+
+def _index(held: pa.Table, idf: np.ndarray) -> Index:
+    """held: doc_id, toxic, at, tf of the examples. Terms and counts stay arrays of Arrow's: as lists of Python's integers they take a
+    hundred bytes an entry."""
+    at, tf = (held[x].combine_chunks() for x in ("at", "tf"))
+    ends, at, tf = at.offsets.to_numpy(), at.values.to_numpy(), tf.values.to_numpy()
+    rows = [(at[a:b], tf[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    ids, toxic = held["doc_id"].to_numpy(), held["toxic"].to_numpy()
+    rarest = np.array([x[np.argmax(idf[x])] if len(x) else -1 for x, _ in rows])  # the first of several, as terms ascend
+    order = np.lexsort((ids, rarest, toxic))  # alike examples share blocks
+    return Index.of(ids[order].astype(np.int64), toxic[order].astype(np.int32), [rows[i] for i in order], idf)
+
+
 def _model(chosen: DataFrame | None, share: float, terms: list[str], rows: DataFrame, column: str, k: int, doubt: float) -> Model:
     """rows: all documents with their terms in the column."""
     if not terms:
         return Model(None, k, doubt, 0.0, 0.0, share)
+    sc = chosen.sparkSession.sparkContext
     counts = {r["term"]: r["n"] for r in rows.select(F.explode(f"{column}.at").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     idf = np.log((1 + rows.count()) / (1 + np.array([counts.get(i, 0) for i in range(len(terms))]))) + 1
-    held = chosen.withColumn("x", term_rows(chosen.sparkSession.sparkContext.broadcast(terms), F.col("text"))).select("doc_id", "toxic", "x.at", "x.tf").collect()  # 2 * examples rows
-    held.sort(key=lambda r: (r["toxic"], min(r["at"], key=lambda t: (-idf[t], t), default=-1), r["doc_id"]))  # alike examples share blocks
-    vectors = [(np.array(r["at"], dtype=np.int64), np.array(r["tf"], dtype=np.int64)) for r in held]
-    y = np.array([r["toxic"] for r in held], dtype=float)
-    index = Index.of(np.array([r["doc_id"] for r in held], dtype=np.int64), y.astype(np.int32), vectors, idf)
-    near, cosines = index.nearest(vectors, k, but=np.arange(len(held)))
+    held = written(chosen.select("doc_id", "toxic", term_rows(sc.broadcast(terms), F.col("text")).alias("x")), "held")
+    index = _index(held.select("doc_id", "toxic", "x.at", "x.tf").toArrow(), idf)  # 2 * examples rows
+    index_at = sc.broadcast(index)
+
+    @F.pandas_udf("double")
+    def vote(doc_id: pd.Series, at: pd.Series, tf: pd.Series) -> pd.Series:
+        index = index_at.value
+        near, cosines = index.nearest(_pairs(at, tf), k, but=index.place(doc_id.to_numpy()))
+        return pd.Series(votes(index.labels, near, cosines, doubt))
+
+    found = held.select("doc_id", vote("doc_id", "x.at", "x.tf").alias("vote")).toArrow()
+    own, y = np.zeros(len(index.ids)), index.labels.astype(float)
+    own[index.place(found["doc_id"].to_numpy())] = found["vote"].to_numpy()
+    index_at.destroy()
+    discard(held)
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    slope, intercept = logistic(votes(index.labels, near, cosines, doubt), y, weight)
+    slope, intercept = logistic(own, y, weight)
     return Model(index, k, doubt, slope, intercept, share)
 
 
@@ -326,7 +365,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, name: str, examples: int =
 
     @F.pandas_udf("score double, predicted int, neighbours array<long>, similarities array<double>, neighbour_labels array<int>")
     def score(at: pd.Series, tf: pd.Series) -> pd.DataFrame:
-        return model_at.value.score([(np.asarray(x, dtype=np.int64), np.asarray(n)) for x, n in zip(at, tf, strict=True)])
+        return model_at.value.score(_pairs(at, tf))
 
     return rows.withColumn(name, score(F.col(f"{of}.at"), F.col(f"{of}.tf"))).drop(of)
 

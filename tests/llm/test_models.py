@@ -1,6 +1,7 @@
 """Language ID, toxicity, quality rules and neighbours: against brute force, on held-out folds, and on odd rows."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -147,6 +148,20 @@ def test_toxicity_of_odd_rows(spark):
     assert score_toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_is_fitted_in_little_memory_of_the_driver(spark):
+    rng = np.random.default_rng(1)
+    words = np.array(["".join(x) for x in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (240, 8))]).reshape(2, 120)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words[i % 2], 60, replace=False))) for i in range(1024)], "doc_id long, text string").coalesce(4)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    score_toxicity(docs.limit(40), labels)  # what is imported once
+    tracemalloc.start()
+    found = score_toxicity(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 * 1024 * 600  # bytes an entry: 60 words of ten terms and more in each text
+    assert found.where("predicted <> doc_id % 2 or size(neighbours) <> 15").count() == 0
+
+
 def test_language_on_the_held_out_fold(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang")
     found = op05.op5_language_id(spark, DATA).join(docs, "doc_id").toPandas()
