@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import container_of_path, container_of_uri, controlling_owner
+from .lineage import as_of
 
 
 def latest_pods(changes: DataFrame) -> DataFrame:
@@ -18,19 +19,21 @@ def latest_pods(changes: DataFrame) -> DataFrame:
     return last.where("last.op <> 'delete'").select("pod_uid", "last.*")
 
 
-def watch_changes(watch: DataFrame) -> DataFrame:
+def watch_changes(watch: DataFrame, span: int = 1 << 16) -> DataFrame:
     """A watch (cluster, seq, op, pod_uid, pod) to the applies and deletes it amounts to, one row each, with their seq.
 
     op is apply, delete, init, init_apply or init_done. A listing from init to init_done deletes, at its end, the pods whose last row is older than its
-    begin; one that another init interrupts deletes nothing. A delete of a pod that isn't there is none. Listings of a cluster are few,
-    one for each start of its watch, and are joined as one array; each pod's rows are a window.
+    begin; one that another init interrupts deletes nothing. A delete of a pod that isn't there is none. A row looks for the one whole listing
+    that begins next after it, by windows over ``span`` numbers of a cluster (``as_of``, from behind), whatever the number of listings; each pod's rows are a window.
     """
-    marks = watch.where("op in ('init', 'init_done')").withColumn("end", F.lead(F.struct("seq", "op")).over(Window.partitionBy("cluster").orderBy("seq")))
-    listings = marks.where("op = 'init' and end.op = 'init_done'").groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").alias("begin"), F.col("end.seq").alias("end")))).alias("listings"))
+    marks = watch.where("op in ('init', 'init_done') and cluster is not null").select("cluster", "seq", "op", F.col("seq").alias("begin"))
+    ends = marks.select("cluster", (-F.col("seq")).alias("at"), F.col("seq").alias("end"), F.col("op").alias("end_op"))
+    begun = as_of(marks.where("op = 'init'").withColumn("behind", -1 - F.col("seq")), ends, ["cluster"], "behind", "at", ["end", "end_op"], span)
+    listings = begun.where("end_op = 'init_done'").select("cluster", (-F.col("begin")).alias("at"), F.col("end").alias("gone"))
     by = Window.partitionBy("cluster", "pod_uid").orderBy("seq")
-    rows = watch.where("op in ('apply', 'init_apply', 'delete')").join(listings, "cluster", "left")
-    later = F.get(F.filter("listings", lambda x: x["begin"] > F.col("seq")), 0)["end"]
-    rows = rows.withColumns({"gone": F.when(F.col("op") != "delete", later), "next": F.lead("seq").over(by)})
+    rows = watch.where("op in ('apply', 'init_apply', 'delete')").select("cluster", "seq", "op", "pod_uid", "pod", (-1 - F.col("seq")).alias("behind"))
+    rows = as_of(rows, listings, ["cluster"], "behind", "at", ["gone"], span)
+    rows = rows.withColumns({"gone": F.when(F.col("op") != "delete", F.col("gone")), "next": F.lead("seq").over(by)})
     listed_out = F.col("gone").isNotNull() & F.coalesce(F.col("gone") < F.col("next"), F.lit(True))
     rows = rows.withColumns({"was": F.lag(F.when((F.col("op") != "delete") & ~listed_out, True)).over(by), "listed_out": listed_out})
     own = rows.where("op <> 'delete' or was").select("cluster", "seq", F.when(F.col("op") == "delete", "delete").otherwise("apply").alias("op"), "pod_uid", F.when(F.col("op") != "delete", F.col("pod")).alias("pod"))

@@ -50,6 +50,55 @@ def test_listings_delete_once_and_broken_ones_nothing(spark):
     assert [x[:3] for x in got] == CHANGES and all((x[3] is None) == (x[1] == "delete") for x in got)
 
 
+def _replayed(rows):
+    """What a watch amounts to, row after row in order of seq."""
+    out, clusters = [], {}
+    for cluster, seq, op, uid, pod in sorted(rows, key=lambda r: r[1]):
+        seen = clusters.setdefault(cluster, {"pods": {}, "begin": None})
+        if op == "init":
+            seen["begin"] = seq
+        elif op == "init_done" and seen["begin"] is not None:
+            gone = [x for x, last in seen["pods"].items() if last < seen["begin"]]
+            out += [(cluster, seq, "delete", x, None) for x in gone if seen["pods"].pop(x) is not None]
+            seen["begin"] = None
+        elif op in ("apply", "init_apply"):
+            seen["pods"][uid] = seq
+            out.append((cluster, seq, "apply", uid, pod))
+        elif op == "delete" and seen["pods"].pop(uid, None) is not None:
+            out.append((cluster, seq, "delete", uid, None))
+    return sorted(out, key=lambda r: (r[1], r[3]))
+
+
+def _watch(n, block, pods):
+    """Two clusters' blocks of numbers with a listing each, of which one in three is broken off."""
+    rows = []
+    for i in range(n):
+        b, k = divmod(i, block)
+        op = "init" if k == 0 else "init_done" if k == 2 and b // 2 % 3 else "init_apply" if k <= 2 else "delete" if i * 7 % 5 == 0 else "apply"
+        rows.append((f"c{b % 2}", i, op, f"pod-{i * 7919 % 104729 % pods}", f"ns-{i % 7}"))
+    return rows
+
+
+WATCHED = "cluster string, seq long, op string, pod_uid string, pod string"
+
+
+def test_a_row_looks_for_one_listing_however_many_there_are(spark):
+    rows = _watch(200_000, 4, 50)
+    watch = spark.createDataFrame(rows, WATCHED).repartition(4)
+    began = time.time()
+    got = sorted(map(tuple, binding.watch_changes(watch).collect()), key=lambda r: (r[1], r[3]))
+    assert time.time() - began < 40
+    assert got == _replayed(rows)
+
+
+def test_listings_are_found_beyond_spans(spark):
+    rows = _watch(3000, 97, 7)
+    want = _replayed(rows)
+    for span in (2, 50, 1000):
+        got = binding.watch_changes(spark.createDataFrame(rows, WATCHED), span).collect()
+        assert sorted(map(tuple, got), key=lambda r: (r[1], r[3])) == want
+
+
 def test_listings_as_a_stream_in_any_order(spark, tmp_path):
     rows = spark.createDataFrame([("c", s, op, uid or "", "p") for s, op, uid in WATCH] + [("z", 0, "tick", "", "")], "cluster string, seq long, op string, pod_uid string, pod string")
     rows = rows.withColumn("event_time", F.when(F.col("cluster") == "z", F.lit("2034-01-01").cast("timestamp")).otherwise(F.timestamp_seconds(F.lit(1704067200) + F.col("seq"))))
