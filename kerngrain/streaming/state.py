@@ -12,15 +12,18 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, DataType, LongType, StringType, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DataType, LongType, StringType, StructType
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _SETTING = "spark.sql.streaming.stateStore.providerClass"
-_TYPES: dict[str, DataType] = {"long": LongType(), "string": StringType(), "boolean": BooleanType()}
+_TYPES: dict[str, DataType] = {"long": LongType(), "string": StringType(), "boolean": BooleanType(), "binary": BinaryType()}
+_ARROW = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 
 
 def columns(ddl: str) -> StructType:
@@ -31,6 +34,11 @@ def columns(ddl: str) -> StructType:
     return out
 
 
+def _cells(column: pa.ChunkedArray) -> list:
+    """A column's values. NumPy's list is quicker, but makes floating-point numbers of longs with nulls."""
+    return column.to_pylist() if column.null_count and not pa.types.is_string(column.type) else column.to_numpy().tolist()
+
+
 @contextmanager
 def stateful(spark: SparkSession) -> Iterator[None]:
     """Queries that are started in here keep their state where typed state can be kept."""
@@ -43,81 +51,130 @@ def stateful(spark: SparkSession) -> Iterator[None]:
 
 
 class InOrder(StatefulProcessor):
-    """Rows of a key in order of (order, tie), once the watermark has passed their ``at_ms``. Subclasses name the columns that rows keep while they wait
-    (``row``), the columns that they give (``out``), and take one row at a time."""
+    """Rows of a key in order of (order, tie), once the watermark has passed their ``at_ms``; a row that comes twice counts once. Subclasses name the columns that rows keep
+    while they wait (``row``), the columns that they give (``out``), and take one row at a time.
+
+    Rows wait in blocks of at most ``block`` rows, those of one time together, as Arrow's bytes: one call to the state store for each block. Its name holds its first
+    time and its least (order, tie), so that blocks which the watermark has not reached aren't read.
+    """
 
     row: str
     out: str
     quiet_ms: int | None = None  # after so long without a row, in event time, a key is finished
+    block = 1 << 14
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", columns("order long, tie long"), columns("at_ms long, " + self.row))
-        self.kinds = dict(x.split() for x in ("at_ms long, " + self.row).split(", "))
-        self.names = list(self.kinds)
-        self.wake = handle.getValueState("wake", columns("at_ms long"))
+        kinds = dict(x.split() for x in ("order long, tie long, at_ms long, " + self.row).split(", "))
+        self.kept = pa.schema([(name, _ARROW[kind]) for name, kind in kinds.items()])
+        self.given = [x.split()[0] for x in self.out.split(", ")]
+        self.waiting = handle.getMapState("waiting", columns("at_ms long, order long, tie long, number long"), columns("rows binary"))
+        self.wake = handle.getValueState("wake", columns("at_ms long, blocks long"))
         self.latest = handle.getValueState("latest", columns("at_ms long"))
         self.opened(handle)
 
     def opened(self, handle: StatefulProcessorHandle) -> None:
         raise NotImplementedError
 
+    def begin(self) -> None:
+        """Before rows are taken."""
+
     def take(self, key: tuple, order: int, row: dict[str, Any]) -> list[tuple]:
         raise NotImplementedError
 
+    def end(self) -> None:
+        """After rows were taken."""
+
     def finish(self, key: tuple) -> list[tuple]:
         """What a quiet key leaves."""
         return []
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        wake, blocks = self.wake.get() or (None, 0)
         first = None
         for pdf in rows:
-            # longs with nulls come as floating-point numbers
-            cells = [[None if pd.isna(x) else int(x) if t == "long" else x for x in pdf[c]] for c, t in self.kinds.items()]
-            for order, tie, *values in zip(pdf["order"], pdf["tie"], *cells, strict=True):
-                at = int(values[0])
-                if not self.waiting.containsKey((int(order), int(tie))):
-                    self.waiting.updateValue((int(order), int(tie)), (at, *values[1:]))
+            if len(pdf):
+                # longs with nulls come as floating-point numbers
+                part = pa.table([pa.array(pdf[x.name], x.type, from_pandas=True) for x in self.kept], schema=self.kept)
+                at, blocks = self._keep(part, blocks)
                 first = at if first is None else min(first, at)
         if first is not None:
-            self._wake_at(first)
-        yield pd.DataFrame(columns=[x.split()[0] for x in self.out.split(", ")])
-
-    def _wake_at(self, at_ms: int) -> None:
+            self._wake_at(wake, first, blocks)
+        yield pd.DataFrame(columns=self.given)
+
+    def _keep(self, rows: pa.Table, blocks: int) -> tuple[int, int]:
+        """Rows as further blocks; the first time among them, and the number of blocks so far."""
+        rows = rows.sort_by("at_ms")
+        for i in range(0, rows.num_rows, self.block):
+            (part,) = rows.slice(i, self.block).combine_chunks().to_batches()
+            at, order, tie = (part[c].to_numpy() for c in ("at_ms", "order", "tie"))
+            least, blocks = order.min(), blocks + 1
+            self.waiting.updateValue((int(at[0]), int(least), int(tie[order == least].min()), blocks), (part.serialize().to_pybytes(),))
+        return rows["at_ms"][0].as_py(), blocks
+
+    def _wake_at(self, known: int | None, at_ms: int, blocks: int) -> None:
         """A timer at the time, unless there is an earlier one."""
-        known = self.wake.get()
-        if known is not None and known[0] <= at_ms:
-            return
-        if known is not None:
-            self.handle.deleteTimer(known[0])
-        self.wake.update((at_ms,))
-        self.handle.registerTimer(at_ms)
+        if known is None or at_ms < known:
+            if known is not None:
+                self.handle.deleteTimer(known)
+            self.handle.registerTimer(at_ms)
+            known = at_ms
+        self.wake.update((known, blocks))
+
+    def _due(self, until: int, blocks: int) -> tuple[pa.Table, int | None, int]:
+        """Of rows in order, those before the first that the watermark has not passed; when the next is due, and the number of blocks so far. The rows given wait no longer."""
+        names = sorted((tuple(k) for k in self.waiting.keys()), key=lambda k: k[3])
+        later = [k for k in names if k[0] > until]
+        found = []
+        for k in names:
+            if k[0] <= until:
+                found.append(pa.ipc.read_record_batch(pa.py_buffer(bytes(self.waiting.getValue(k)[0])), self.kept))
+                self.waiting.removeKey(k)
+        rows = pa.Table.from_batches(found, self.kept).combine_chunks()
+        order, tie, at = (rows[c].to_numpy() for c in ("order", "tie", "at_ms"))
+        place = np.lexsort((tie, order))  # of equal ones the first that came stays first
+        order, tie = order[place], tie[place]
+        new = np.ones(len(place), bool)
+        new[1:] = (order[1:] != order[:-1]) | (tie[1:] != tie[:-1])
+        place, order, tie = place[new], order[new], tie[new]
+        waits = at[place] > until
+        if later:
+            held = min(k[1:3] for k in later)
+            waits |= (order > held[0]) | ((order == held[0]) & (tie >= held[1]))
+        n = int(waits.argmax()) if waits.any() else len(place)
+        left = min((k[0] for k in later), default=None)
+        if n < len(place):
+            first, blocks = self._keep(rows.take(place[n:]), blocks)
+            left = first if left is None else min(left, first)
+        return rows.take(place[:n]), left, blocks
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator())
-        made: list[tuple] = []
-        left = None
-        # of rows in order, those before the first that the watermark has not passed
-        for k, v in rows:
-            if left is not None or v[0] > until:
-                left = v[0] if left is None else min(left, v[0])
-                continue
-            made += self.take(tuple(key), k[0], dict(zip(self.names, v, strict=True)))
-            self.waiting.removeKey(k)
+        rows, left, blocks = self._due(until, self.wake.get()[1])
+        names = self.kept.names[2:]
+        if rows.num_rows:
+            self.begin()
+            for i in range(0, rows.num_rows, self.block):
+                made: list[tuple] = []
+                order, _, *cells = (_cells(c) for c in rows.slice(i, self.block).columns)
+                for o, *values in zip(order, *cells, strict=True):
+                    made += self.take(tuple(key), o, dict(zip(names, values, strict=True)))
+                yield pd.DataFrame(made, columns=self.given)
+            self.end()
             if self.quiet_ms is not None:
-                self.latest.update((v[0],))
+                self.latest.update((rows["at_ms"][-1].as_py(),))
         self.wake.clear()
+        made = []
         if left is not None:
-            self._wake_at(max(left, until + 1))
+            self._wake_at(None, max(left, until + 1), blocks)
         elif self.quiet_ms is not None and self.latest.exists():
             due = self.latest.get()[0] + self.quiet_ms
             if due <= until:
-                made += self.finish(tuple(key))
+                made = self.finish(tuple(key))
                 self.latest.clear()
             else:
-                self._wake_at(due)
-        yield pd.DataFrame(made, columns=[x.split()[0] for x in self.out.split(", ")])
+                self._wake_at(None, due, blocks)
+        yield pd.DataFrame(made, columns=self.given)
 
     def close(self) -> None:
         pass
@@ -142,7 +199,7 @@ class CounterDeltas(InOrder):
 
 class PodWatch(InOrder):
     """The changes of a cluster's pods by its watch: apply and delete, and listings from init over init_apply to init_done. Pods that a whole listing
-    doesn't name are deleted at its end, once; a listing that begins anew before its end deletes nothing."""
+    doesn't name are deleted at its end, once; a listing that begins anew before its end deletes nothing. A key is a cluster's share of pods, with all its listings."""
 
     row = "op string, pod_uid string, pod string"
     out = "cluster string, seq long, op string, pod_uid string, pod string"
@@ -151,26 +208,37 @@ class PodWatch(InOrder):
         self.pods = handle.getMapState("pods", columns("pod_uid string"), columns("listing long"))
         self.listing = handle.getValueState("listing", columns("number long, open boolean"))
 
+    def begin(self) -> None:
+        self.before = {k[0]: v[0] for k, v in self.pods.iterator()}
+        self.now = dict(self.before)
+        self.number, self.is_open = self.listing.get() or (0, False)
+
     def take(self, key: tuple, order: int, row: dict[str, Any]) -> list[tuple]:
-        op, uid = row["op"], row["pod_uid"]
-        number, is_open = self.listing.get() or (0, False)
+        op, uid, cluster = row["op"], row["pod_uid"], key[0]
         if op == "init":
-            self.listing.update((number + 1, True))
+            self.number, self.is_open = self.number + 1, True
         elif op in ("apply", "init_apply"):
-            self.pods.updateValue((uid,), (number,))
-            return [(*key, order, "apply", uid, row["pod"])]
+            self.now[uid] = self.number
+            return [(cluster, order, "apply", uid, row["pod"])]
         elif op == "delete":
-            if self.pods.containsKey((uid,)):
-                self.pods.removeKey((uid,))
-                return [(*key, order, "delete", uid, None)]
-        elif op == "init_done" and is_open:
-            self.listing.update((number, False))
-            gone = sorted(k[0] for k, v in self.pods.iterator() if v[0] < number)
+            if self.now.pop(uid, None) is not None:
+                return [(cluster, order, "delete", uid, None)]
+        elif op == "init_done" and self.is_open:
+            self.is_open = False
+            gone = sorted(x for x, listed in self.now.items() if listed < self.number)
             for x in gone:
-                self.pods.removeKey((x,))
-            return [(*key, order, "delete", x, None) for x in gone]
+                del self.now[x]
+            return [(cluster, order, "delete", x, None) for x in gone]
         return []
 
+    def end(self) -> None:
+        for x in self.before.keys() - self.now.keys():
+            self.pods.removeKey((x,))
+        for x, listed in self.now.items():
+            if self.before.get(x) != listed:
+                self.pods.updateValue((x,), (listed,))
+        self.listing.update((self.number, self.is_open))
+
 
 class Pairing(InOrder):
     """An enter keeps its path, an exit takes and clears it."""
@@ -285,9 +353,14 @@ def counter_deltas(samples: DataFrame, delay: str = "5 minutes") -> DataFrame:
     return run_in_order(samples, CounterDeltas(), ["cluster", "node_id", "probe_id"], "polled_ns", "polled_ns", delay)
 
 
-def pod_changes(watch: DataFrame, delay: str = "5 minutes") -> DataFrame:
-    """S4 and W4 as a stream: watch (cluster, seq, op, pod_uid, pod, event_time) to applies and deletes, in order of seq within a cluster."""
-    return run_in_order(watch, PodWatch(), ["cluster"], "seq", "seq", delay)
+def pod_changes(watch: DataFrame, delay: str = "5 minutes", shares: int = 16) -> DataFrame:
+    """S4 and W4 as a stream: watch (cluster, seq, op, pod_uid, pod, event_time) to applies and deletes, in order of seq within a cluster.
+
+    A cluster's pods are dealt over ``shares`` keys, and the begin and end of its listings go to each of these, so that a cluster's rows don't meet in one task.
+    """
+    own = F.array(F.pmod(F.xxhash64("pod_uid"), F.lit(shares)))
+    dealt = watch.withColumn("share", F.explode(F.when(F.col("op").isin("init", "init_done"), F.expr(f"sequence(0L, {shares - 1}L)")).otherwise(own)))
+    return run_in_order(dealt, PodWatch(), ["cluster", "share"], "seq", "seq", delay)
 
 
 def paired(rows: DataFrame, delay: str = "5 minutes") -> DataFrame:

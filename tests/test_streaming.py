@@ -111,6 +111,35 @@ def test_listings_as_a_stream_in_any_order(spark, tmp_path):
     assert sorted((r.seq, r.op, r.pod_uid) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == CHANGES
 
 
+def _streamed(spark, path, files, change):
+    """Files of a watch, one to a batch, and then a row of a day long after all others, which closes what waits, through a stream: what it gives."""
+    for rows in [*files, [("z", 0, "tick", "", "")]]:
+        seen_at = F.when(F.col("cluster") == "z", F.lit("2034-01-01").cast("timestamp")).otherwise(F.timestamp_seconds(F.lit(1704067200) + F.col("seq")))
+        frame = spark.createDataFrame(rows, WATCHED).withColumn("event_time", seen_at)
+        frame.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{path}/in")
+    with state.stateful(spark):
+        streams.run_once(change(stream), f"file://{path}/out", f"file://{path}/state")
+    return sorted(map(tuple, spark.read.parquet(f"{path}/out").collect()), key=lambda r: (r[1], r[3]))
+
+
+def test_a_stream_of_one_cluster_is_not_a_call_for_each_row(spark, tmp_path):
+    rows = [("c", *r[1:]) for r in _watch(60_000, 97, 60)]
+    began = time.time()
+    files = [[r for r in rows if r[1] * 7919 % 104729 % 2 == i] for i in range(2)]
+    assert _streamed(spark, tmp_path, files, lambda w: state.pod_changes(w, "30 days")) == _replayed(rows)
+    assert time.time() - began < 45
+
+
+def test_rows_wait_in_blocks_while_the_watermark_moves(spark, tmp_path):
+    """Files follow one another in time, but some rows come a file late and some twice; of blocks of three rows the watermark passes a part."""
+    rows, processor = _watch(300, 20, 7), state.PodWatch()
+    processor.block = 3
+    files = [[r for r in rows if r[1] // 60 + (r[1] % 10 == 3) == i] for i in range(6)]
+    files = [f + [r for r in f if r[1] % 9 == 0] for f in files]
+    assert _streamed(spark, tmp_path, files, lambda w: state.run_in_order(w, processor, ["cluster"], "seq", "seq", "70 seconds")) == _replayed(rows)
+
+
 TCP = "event_id long, cluster string, node_id string, boot_id string, src_ip string, src_port int, dst_ip string, dst_port int, observed_at_ns long, event_type string, ret int, bytes_sent long, bytes_received long"
 
 
